@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIRECTORIES = ("src/", "tests/", "docs/", "vendor/lib/", "legacy/auth/", "web/__tests__/",
-               "pkg/core/", "build/out/", "lib/crypto.egg-info/", "app/", "spec/")
+               "pkg/core/", "build/out/", "lib/crypto.egg-info/", "app/", "spec/", "cmd/",
+               "internal/tls/")
 
 # {id} is the number of the document; a document is a whole file of its kind.
 FILES = ("f{id}.py", "f{id}.ts", "F{id}.java", "test_f{id}.go", "svc{id}/requirements.txt",
