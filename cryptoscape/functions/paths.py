@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cryptoscape.functions.text import quote
+
 # Directories that are never scanned (also any name ending in .egg-info).
 EXCLUDED_DIRS = (
     ".git", "node_modules", "__pycache__", ".venv", "venv", ".env", "dist", "build",
@@ -80,28 +82,15 @@ def _glob_class(body: str) -> str:
     return "[" + ("^" if negated else "") + "".join(members) + "]"
 
 
-def glob_at_component(path: Column, globs: tuple[str, ...]) -> Column:
-    """True when a glob matches the path, or a part of it that starts at a component.
+def glob_at_component(path: str, globs: tuple[str, ...]) -> str:
+    """SQL: does a glob match the path, or a part of it that starts at a component?
 
     Only ``*`` at the ends of a glob is supported, so plain string predicates do.
     """
-    rooted = F.concat(F.lit("/"), F.replace(path, F.lit("\\"), F.lit("/")))
+    rooted = f"concat('/', replace({path}, '\\\\', '/'))"
     tests = []
     for glob in globs:
-        word = glob.strip("*")
-        if glob.startswith("*"):
-            tests.append(rooted.contains(word) if glob.endswith("*") else rooted.endswith(word))
-        else:
-            tests.append(rooted.contains("/" + word) if glob.endswith("*")
-                         else rooted.endswith("/" + word))
-    return any_of(tests)
-
-
-def any_of(tests: list[Column]) -> Column:
-    """OR over the tests as a balanced tree, which keeps expression depth small."""
-    if not tests:
-        return F.lit(False)
-    if len(tests) == 1:
-        return tests[0]
-    half = len(tests) // 2
-    return any_of(tests[:half]) | any_of(tests[half:])
+        word = glob.strip("*") if glob.startswith("*") else "/" + glob.strip("*")
+        test = "contains" if glob.endswith("*") else "endswith"
+        tests.append(f"{test}({rooted}, {quote(word)})")
+    return "(" + " OR ".join(tests) + ")"

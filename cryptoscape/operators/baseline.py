@@ -60,7 +60,7 @@ def diff_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
     before = baseline.groupBy("repo", "hash").agg(F.max_by(entry, place).alias("b"))
     now = current.drop("diff_status").withColumn("hash", finding_hash())
     joined = now.withColumn("in_scan", F.lit(True)).join(before, ["repo", "hash"], "full_outer")
-    worse = severity_index(F.col("severity")) < severity_index(F.col("b.severity"))
+    worse = severity_index("severity") < severity_index("b.severity")
     diff_class = (F.when(F.col("in_scan").isNull(), "resolved")
                   .when(F.col("b").isNull(), "new")
                   .when(worse, "worsened").otherwise("unchanged"))

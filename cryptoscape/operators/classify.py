@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cryptoscape.functions import text as tx
-from cryptoscape.functions.paths import any_of, glob_at_component
+from cryptoscape.functions.paths import glob_at_component
 from cryptoscape.functions.scales import lookup
 from cryptoscape.sources.catalogue import Algorithm, algorithms_df, load_algorithms
 
@@ -74,52 +74,49 @@ def classify(findings: DataFrame,
     })
 
 
-def context_of(path: Column, line_text: Column) -> Column:
+def context_of(path: str, line_text: str) -> Column:
     """test, docs, build (by path), comment (by line) or runtime."""
-    bare = F.ltrim(line_text, F.lit(tx.WHITE_SPACE))
-    column = F.when(F.lit(False), "")
-    for context, globs in CONTEXT_GLOBS.items():
-        column = column.when(glob_at_component(path, globs), context)
-    return column.when(any_of([bare.startswith(s) for s in COMMENT_STARTS]), "comment").otherwise(
-        "runtime")
+    bare = f"ltrim({tx.quote(tx.WHITE_SPACE)}, {line_text})"
+    by_path = " ".join(f"WHEN {glob_at_component(path, globs)} THEN '{context}'"
+                       for context, globs in CONTEXT_GLOBS.items())
+    comment = " OR ".join(f"startswith({bare}, {tx.quote(s)})" for s in COMMENT_STARTS)
+    return F.expr(f"CASE {by_path} WHEN {comment} THEN 'comment' ELSE 'runtime' END")
 
 
-def confidence_of(line_text: Column, source: Column, context: Column) -> Column:
+def confidence_of(line_text: str, source: str, context: str) -> Column:
     """high for manifests, settings, imports and calls; low for other comments and docs."""
-    return (F.when(source.isin("dependency", "config"), "high")
-            .when(line_text.rlike(IMPORT_LINE) | line_text.rlike(CALL_LINE), "high")
-            .when(context.isin("comment", "docs"), "low")
-            .otherwise("medium"))
+    active = " OR ".join(f"{line_text} RLIKE {tx.quote(r)}" for r in (IMPORT_LINE, CALL_LINE))
+    return F.expr(f"CASE WHEN {source} IN ('dependency', 'config') OR {active} THEN 'high' "
+                  f"WHEN {context} IN ('comment', 'docs') THEN 'low' ELSE 'medium' END")
 
 
-def classify_context(path: Column, line_text: Column, source: Column) -> tuple[Column, Column]:
-    """Context and confidence of a finding."""
-    context = context_of(path, line_text)
-    return context, confidence_of(line_text, source, context)
+def classify_context(findings: DataFrame) -> DataFrame:
+    """``context`` and ``confidence`` from ``path``, ``line_text`` and ``source``."""
+    return findings.withColumn("context", context_of("path", "line_text")).withColumn(
+        "confidence", confidence_of("line_text", "source", "context"))
 
 
 def enrich_findings(findings: DataFrame) -> DataFrame:
-    """Add context and confidence."""
-    return findings.withColumn("context", context_of(F.col("path"), F.col("line_text"))).withColumn(
-        "confidence", confidence_of(F.col("line_text"), F.col("source"), F.col("context")))
+    """Add context and confidence to findings."""
+    return classify_context(findings)
 
 
-def severity_of(risk: Column, confidence: Column, context: Column) -> Column:
-    key = F.concat_ws(" ", risk, confidence)
+def severity_of(risk: str, confidence: str, context: str) -> Column:
+    key = f"concat_ws(' ', {risk}, {confidence})"
     runtime = lookup(key, {" ".join(k): v[0] for k, v in SEVERITY.items()}, "medium")
     elsewhere = lookup(key, {" ".join(k): v[1] for k, v in SEVERITY.items()}, "medium")
-    away = context.isin("test", "docs", "comment", "build")
-    return F.when(risk == "SAFE", "info").when(away, elsewhere).otherwise(runtime)
+    away = F.col(context).isin("test", "docs", "comment", "build")
+    return F.when(F.col(risk) == "SAFE", "info").when(away, elsewhere).otherwise(runtime)
 
 
 def enrich_severity(findings: DataFrame) -> DataFrame:
     """Add severity, and category and remediation from the bundled catalogue."""
     with_severity = findings.withColumn("severity", severity_of(
-        F.col("quantum_risk"), F.col("confidence"), F.col("context")))
+        "quantum_risk", "confidence", "context"))
     return _join_catalogue(with_severity, load_algorithms(), "category", "remediation")
 
 
-def sarif_level(severity: Column) -> Column:
+def sarif_level(severity: str) -> Column:
     return lookup(severity, SARIF_LEVEL, "warning")
 
 

@@ -43,35 +43,28 @@ def small_enough() -> Column:
     return F.col("size") <= paths.MAX_FILE_BYTES
 
 
-def in_class(name: str, suffix: Column) -> Column:
-    """Does the file at ``path`` belong to a file class (suffix or name only)?"""
-    file_name = paths.file_name(F.col("path"))
+def in_class(name: str, suffix: str) -> str:
+    """SQL: does the file at ``path`` belong to a file class (suffix or name only)?"""
+    file_name = "substring_index(path, '/', -1)"
     if name == "env":
-        return paths.is_env_file(file_name)
-    members = CLASS_FILES[name]
-    exact = [m for m in members if not m.startswith(".")]
-    matched = suffix.isin(*members)
-    return matched | file_name.isin(*exact) if exact else matched
+        return f"({file_name} = '.env' OR startswith({file_name}, '.env.'))"
+    tests = [f"{suffix if m.startswith('.') else file_name} = {text.quote(m)}"
+             for m in CLASS_FILES[name]]
+    return "(" + " OR ".join(tests) + ")"
 
 
-def class_mask(classes: list[str], suffix: Column) -> Column:
+def class_mask(classes: list[str], suffix: str) -> Column:
     """Bit mask of the file classes of a file, excluded directories considered."""
     def bits(names: list[str]) -> Column:
-        mask = F.lit(0)
-        for name in names:
-            mask = mask.bitwiseOR(
-                F.when(in_class(name, suffix), F.lit(CLASS_BIT[name])).otherwise(0))
-        return mask
+        return F.expr(" | ".join(
+            ["0", *(f"CASE WHEN {in_class(n, suffix)} THEN {CLASS_BIT[n]} ELSE 0 END"
+                    for n in names)]))
 
     source = [c for c in classes if c == "source"]
     config = [c for c in classes if c != "source"]
-    mask = F.lit(0)
-    if source:
-        mask = F.when(~paths.in_excluded_dir(F.col("path")), bits(source)).otherwise(mask)
-    if config:
-        mask = mask.bitwiseOR(
-            F.when(~paths.in_excluded_parent(F.col("path")), bits(config)).otherwise(0))
-    return mask
+    return F.when(paths.in_excluded_parent(F.col("path")), F.lit(0)).otherwise(
+        bits(config).bitwiseOR(F.when(
+            paths.in_excluded_dir(F.col("path")), F.lit(0)).otherwise(bits(source))))
 
 
 def manifest_kind() -> Column:

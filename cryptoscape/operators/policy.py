@@ -196,11 +196,11 @@ def check_fail_conditions(findings: DataFrame, policy: Policy | DataFrame,
     """``repo, worst, new_findings, fails`` for every repository with findings."""
     status = F.col("diff_status") if "diff_status" in findings.columns else F.lit(None)
     per_repo = findings.groupBy("repo").agg(
-        F.min(severity_index(F.col("severity"))).alias("worst"),
+        F.min(severity_index("severity")).alias("worst"),
         F.count_if(F.coalesce(status.isin("new", "worsened"), F.lit(False)))
         .alias("new_findings"))
     over = F.col("new_findings") > F.col("policy.max_new") if diff_mode else F.lit(False)
-    fails = (F.col("worst") <= severity_index(F.col("policy.on_severity"))) | over
+    fails = (F.col("worst") <= severity_index("policy.on_severity")) | over
     # Without a policy a scan does not fail, and a diff fails on anything new.
     default = F.col("new_findings") > 0 if diff_mode else F.lit(False)
     return with_policy(per_repo, policy).select(

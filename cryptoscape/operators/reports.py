@@ -47,10 +47,10 @@ def _location() -> Column:
 
 def findings_listing(findings: DataFrame) -> DataFrame:
     """The columns of the findings table, with the keys that order it in a repository."""
-    badge = lookup(F.col("diff_status"), {"new": "NEW", "worsened": "WORSENED"}, "")
+    badge = lookup("diff_status", {"new": "NEW", "worsened": "WORSENED"}, "")
     replacement = F.when(F.col("replacement") == "", "-").otherwise(F.col("replacement"))
     return with_diff_status(findings).select(
-        "repo", lookup(F.col("quantum_risk"), {r: i for i, r in enumerate(RISKS)}, len(RISKS))
+        "repo", lookup("quantum_risk", {r: i for i, r in enumerate(RISKS)}, len(RISKS))
         .alias("risk_ord"), report_key().alias("seq"),
         F.upper("severity").alias("severity"), badge.alias("badge"),
         F.col("quantum_risk").alias("risk"), F.col("algorithm_name").alias("algorithm"),
@@ -75,7 +75,7 @@ def advise(findings: DataFrame) -> DataFrame:
             F.lit("WARNING: "), known, F.lit(". Consider: "), F.col("replacement")))
         .otherwise(F.concat(F.lit("INFO: Unknown algorithm '"), F.col("algorithm_id"),
                             F.lit("' in "), place)))
-    order = lookup(F.col("quantum_risk"), {"VULNERABLE": 0, "PARTIAL": 1, "UNKNOWN": 2}, 99)
+    order = lookup("quantum_risk", {"VULNERABLE": 0, "PARTIAL": 1, "UNKNOWN": 2}, 99)
     return findings.where(F.col("quantum_risk") != "SAFE").select(
         "repo", order.alias("advice_ord"), report_key().alias("seq"), message.alias("message"))
 
@@ -174,7 +174,7 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     """Columns of the SARIF results, one row per finding."""
     return with_diff_status(findings).select(
         "repo", report_key().alias("element_key"), _rule_id().alias("rule_id"),
-        sarif_level(F.col("severity")).alias("level"),
+        sarif_level("severity").alias("level"),
         F.concat(F.col("algorithm_name"), F.lit(" detected — "), F.col("reason"),
                  F.lit(". Replace with "), F.col("replacement")).alias("message"),
         F.col("path").alias("uri"), F.coalesce("line_number", F.lit(1)).alias("start_line"),

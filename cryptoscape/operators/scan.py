@@ -120,7 +120,7 @@ def _classed(files: DataFrame, classes: list[str], with_deps: bool) -> DataFrame
     small = fl.with_size(files).where(fl.small_enough() & F.col("content").isNotNull())
     named = tx.bind_row(small.select("repo", "path", "content"), "named", F.struct(
         paths.file_suffix(F.col("path")).alias("suffix"), kind.alias("kind")))
-    mask = fl.class_mask(classes, F.col("named.suffix")).bitwiseOR(
+    mask = fl.class_mask(classes, "named.suffix").bitwiseOR(
         F.when(F.col("named.kind").isNotNull(), manifest).otherwise(0))
     return tx.bind_row(named, "mask", mask).where((F.col("mask") != 0) & readable).select(
         "repo", "path", "mask", F.col("named.kind").alias("kind"),

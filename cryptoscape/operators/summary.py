@@ -67,17 +67,17 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return findings.groupBy("repo", "algorithm_id").agg(
         F.min(report_key()).alias("first_key"), first
     ).select("repo", "algorithm_id", "first_key", "r.*").withColumn(
-        "default_level", lookup(F.col("quantum_risk"), RULE_LEVEL, "warning"))
+        "default_level", lookup("quantum_risk", RULE_LEVEL, "warning"))
 
 
-def asset_type(algorithm_type: Column) -> Column:
-    return F.when(algorithm_type == "protocol", "protocol").otherwise("algorithm")
+def asset_type(algorithm_type: str) -> Column:
+    return lookup(algorithm_type, {"protocol": "protocol"}, "algorithm")
 
 
-def primitive_of(algorithm_type: Column, algorithm_id: Column) -> Column:
+def primitive_of(algorithm_type: str, algorithm_id: str) -> Column:
     """CycloneDX primitive; null for a protocol or an unknown type."""
-    asymmetric = F.when(algorithm_id.isin(*KEY_EXCHANGE), "pke").otherwise("signature")
-    return F.when(algorithm_type == "asymmetric", asymmetric).otherwise(
+    asymmetric = lookup(algorithm_id, dict.fromkeys(KEY_EXCHANGE, "pke"), "signature")
+    return F.when(F.col(algorithm_type) == "asymmetric", asymmetric).otherwise(
         lookup(algorithm_type, PRIMITIVES))
 
 
@@ -97,7 +97,7 @@ def cbom_components(findings: DataFrame) -> DataFrame:
     return grouped.withColumns({
         "component_index": ranked,
         "bom_ref": F.concat_ws("-", F.lit("crypto"), "algorithm_id", ranked.cast("string")),
-        "asset_type": asset_type(F.col("algorithm_type")),
-        "oid": lookup(F.col("algorithm_id"), OIDS),
-        "primitive": primitive_of(F.col("algorithm_type"), F.col("algorithm_id")),
+        "asset_type": asset_type("algorithm_type"),
+        "oid": lookup("algorithm_id", OIDS),
+        "primitive": primitive_of("algorithm_type", "algorithm_id"),
     })

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cryptoscape.functions.text import quote
+
 DIRECTORIES = ("src/", "tests/", "docs/", "vendor/lib/", "legacy/auth/", "web/__tests__/",
                "pkg/core/", "build/out/", "lib/crypto.egg-info/", "app/", "spec/", "cmd/",
                "internal/tls/")
@@ -76,8 +78,8 @@ def spread(files: DataFrame) -> DataFrame:
 
 
 def _pick(values: tuple[str, ...], number: Column) -> Column:
-    literal = F.array(*[F.lit(v) for v in values])
-    return F.element_at(literal, (number % len(values) + 1).cast("int"))
+    literal = F.expr("array(" + ", ".join(quote(v) for v in values) + ")")
+    return F.get(literal, (number % len(values)).cast("int"))
 
 
 def planted(documents: DataFrame, shift: Column | int = 0) -> DataFrame:

@@ -103,7 +103,7 @@ def file_classes(spark, sf_dir):
     files = tx.bind_row(corpus(spark, sf_dir).select("repo", "path"), "suffix",
                         fl.paths.file_suffix(F.col("path")))
     return files.select("repo", "path", "suffix",
-                        fl.class_mask(list(fl.CLASS_FILES), F.col("suffix")).alias("mask"),
+                        fl.class_mask(list(fl.CLASS_FILES), "suffix").alias("mask"),
                         fl.manifest_kind().alias("manifest"))
 
 
@@ -136,7 +136,7 @@ def classified_prose(spark, sf_dir):
 
 def sarif_levels(spark, sf_dir):
     return findings(spark, sf_dir).groupBy(
-        "repo", "severity", cl.sarif_level(F.col("severity")).alias("level")).agg(
+        "repo", "severity", cl.sarif_level("severity").alias("level")).agg(
         F.count("*").alias("n"))
 
 
