@@ -44,18 +44,16 @@ class _TreeReader(DataSourceReader):
         self.max_bytes = int(options.get("maxBytes", "1000000"))
 
     def partitions(self) -> list[InputPartition]:
-        if not os.path.isdir(self.path):
-            return [_Directory("", self.path, self.path, False)]
-        if self.repo is not None:
-            return list(_chunks(self.repo, self.path, self.path, self.depth))
-        found = [
-            chunk for entry in _subdirectories(self.path)
-            for chunk in _chunks(entry.name, entry.path, entry.path, self.depth)]
-        return found or [_Directory("", self.path, os.path.join(self.path, ""), False)]
+        found: list[InputPartition] = []
+        if os.path.isdir(self.path) and self.repo is not None:
+            found += _chunks(self.repo, self.path, self.path, self.depth)
+        elif os.path.isdir(self.path):
+            for entry in _subdirectories(self.path):
+                found += _chunks(entry.name, entry.path, entry.path, self.depth)
+        return found or [_Directory("", self.path, "", False)]
 
     def read(self, partition: _Directory) -> Iterator[tuple]:
-        if not partition.repo or not os.path.isdir(partition.directory):
-            return
+        # Without a repository there is one partition with no directory and no rows.
         for directory, names, files in os.walk(partition.directory):
             names[:] = [n for n in sorted(names) if partition.recursive and not _is_excluded(n)]
             for name in sorted(files):
