@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 # The line boundaries of Unicode text.
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
-_RARE_BREAK = r"[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+_RARE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 # Unicode white space, and the same as a regex class (needs (?U)).
 WHITE_SPACE = (
@@ -46,13 +46,14 @@ def is_binary(content: Column, dtype: T.DataType) -> Column:
 def split_lines(text: str) -> str:
     """SQL for the array of lines, without line ends and without a last empty line.
 
-    Text with '\\n' only is split on that literal, which needs no regex.
+    Text with '\\n' only is split on that literal. A search for each of the other
+    breaks is several times faster than one regex for all of them.
     """
-    whole, rare = quote(LINE_BREAK), quote(_RARE_BREAK)
-    last = quote(rf"(?:{LINE_BREAK})\z")
+    whole, last = quote(LINE_BREAK), quote(rf"(?:{LINE_BREAK})\z")
+    rare = " OR ".join(f"contains({text}, {quote(c)})" for c in _RARE_BREAKS)
     return (
         f"CASE WHEN {text} = '' THEN CAST(array() AS array<string>)"
-        f" WHEN {text} RLIKE {rare} THEN split(regexp_replace({text}, {last}, ''), {whole}, -1)"
+        f" WHEN {rare} THEN split(regexp_replace({text}, {last}, ''), {whole}, -1)"
         f" WHEN endswith({text}, '\\n') THEN split(left({text}, length({text}) - 1), '\\n', -1)"
         f" ELSE split({text}, '\\n', -1) END")
 

@@ -19,6 +19,10 @@ _REGEX_MARKS = (".*", ".+", "\\", "[", "]", "(", ")", "|")
 _BOUNDED = "(?iu)(?<![a-zA-Z0-9]){}(?![a-zA-Z0-9])"
 _SEPARATOR = "[-_ ]?"
 
+# The same boundary tested behind the first letter: a position that does not have
+# the letter is then given up without looking back.
+_BOUNDED_LETTER = "(?iu){}(?<![a-zA-Z0-9].){}(?![a-zA-Z0-9])"
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -41,8 +45,13 @@ def pattern_regex(pattern: str) -> str:
     if is_regex(pattern):
         return "(?iU)" + pattern.replace("(?P<", "(?<")
     if "-" in pattern or "_" in pattern:
-        return _BOUNDED.format(re.sub("[-_]", _SEPARATOR, pattern))
-    return _BOUNDED.format(re.escape(pattern))
+        body = re.sub("[-_]", _SEPARATOR, pattern)
+    else:
+        body = re.escape(pattern)
+    # A quantifier may follow the first letter of a pattern that is not escaped.
+    if re.match(r"[a-zA-Z0-9](?![?*+{])", body):
+        return _BOUNDED_LETTER.format(body[0], body[1:])
+    return _BOUNDED.format(body)
 
 
 def pattern_words(pattern: str) -> tuple[str, ...]:
@@ -85,8 +94,10 @@ def _compiles(spark: SparkSession, pattern: str) -> bool:
                    if "-" in pattern or "_" in pattern else re.escape(pattern))
     except re.error:
         return False
+    jvm = getattr(spark, "_jvm", None)  # not there with Spark Connect
     try:
-        spark._jvm.java.util.regex.Pattern.compile(pattern_regex(pattern))
+        if jvm is not None:
+            jvm.java.util.regex.Pattern.compile(pattern_regex(pattern))
     except Exception as e:
         raise ValueError(f"pattern {pattern!r} is no valid Java regex") from e
     return True
@@ -115,21 +126,26 @@ def guard_groups(bits: int, word_sets: list[tuple[str, ...]]) -> list[dict]:
     """
     terms = guard_terms(word_sets)
     if terms is None:
-        return [{"bits": bits, "letters": "", "terms": [[""]]}]
+        return [{"bits": bits, "letters": "", "terms": [_term(())]}]
     groups = []
     while terms:
         shared = Counter(g for t in terms for g in {w[i:i + 3] for w in t
                                                     for i in range(len(w) - 2)})
         letters, count = min(shared.items(), key=lambda kv: (-kv[1], kv[0]), default=("", 0))
         if count < 2:
-            groups += [{"bits": bits, "letters": t[0], "terms": [list(t[1:])]} for t in terms]
+            groups += [{"bits": bits, "letters": t[0], "terms": [_term(t[1:])]} for t in terms]
             break
         held = [t for t in terms if any(letters in w for w in t)]
         terms = [t for t in terms if t not in held]
-        groups.append({"bits": bits, "letters": letters, "terms": [list(t) for t in held]})
+        groups.append({"bits": bits, "letters": letters, "terms": [_term(t) for t in held]})
     return groups
 
 
+def _term(words: tuple[str, ...]) -> dict[str, str]:
+    """Two words of a term; leaving out a third lets more lines pass, none less."""
+    return {"a": (*words, "")[0], "b": (*words, "", "")[1]}
+
+
 def guard(folded: str, mask: str, groups: list[dict]) -> str:
     """SQL: can a pattern match the case-folded text of a file with this class mask?
 
@@ -142,12 +158,13 @@ def guard(folded: str, mask: str, groups: list[dict]) -> str:
 
 
 def _some_term(terms: str, folded: str) -> str:
-    return f"exists({terms}, t -> forall(t, w -> contains({folded}, w)))"
+    return f"exists({terms}, t -> contains({folded}, t.a) AND contains({folded}, t.b))"
 
 
-_GROUPS_TYPE = "array<struct<bits:int,letters:string,terms:array<array<string>>>>"
+_TERMS_TYPE = "array<struct<a:string,b:string>>"
+_GROUPS_TYPE = f"array<struct<bits:int,letters:string,terms:{_TERMS_TYPE}>>"
 _RULES_TYPE = (
-    "array<struct<algorithm_id:string,source:string,bits:int,terms:array<array<string>>,"
+    f"array<struct<algorithm_id:string,source:string,bits:int,terms:{_TERMS_TYPE},"
     "patterns:array<struct<ord:int,bit:int,word:string,regex:string,line_text:string>>>>"
 )
 
@@ -160,7 +177,7 @@ def rules_literal(patterns: list[Pattern]) -> str:
     rows = [{
         "source": source, "algorithm_id": algorithm_id,
         "bits": sum({CLASS_BIT[p.file_class] for _, p in numbered}),
-        "terms": guard_terms([p.words for _, p in numbered]) or [[""]],
+        "terms": [_term(t) for t in guard_terms([p.words for _, p in numbered]) or [()]],
         "patterns": [{"ord": i, "bit": CLASS_BIT[p.file_class], "word": (*p.words, "")[0],
                       "regex": p.regex, "line_text": p.line_text} for i, p in numbered],
     } for (source, algorithm_id), numbered in rules.items()]

@@ -12,6 +12,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,8 +149,11 @@ def _as_row(policy: Policy) -> dict[str, Any]:
 
 def policies_df(spark: SparkSession, policies: dict[str, Policy]) -> DataFrame:
     """``repo, policy``: one policy per repository."""
-    rows = [(repo, json.dumps(_as_row(p))) for repo, p in policies.items()]
-    return spark.createDataFrame(rows, "repo string, p string").select(
+    rows = pa.table({"repo": pa.array(policies, pa.string()),
+                     "p": pa.array([json.dumps(_as_row(p)) for p in policies.values()],
+                                   pa.string())})
+    # A local relation: its size decides whether the join broadcasts it.
+    return spark.createDataFrame(rows).select(
         "repo", F.from_json("p", POLICY_TYPE).alias("policy"))
 
 

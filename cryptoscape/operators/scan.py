@@ -122,9 +122,10 @@ def _classed(files: DataFrame, classes: list[str], with_deps: bool) -> DataFrame
         paths.file_suffix(F.col("path")).alias("suffix"), kind.alias("kind")))
     mask = fl.class_mask(classes, "named.suffix").bitwiseOR(
         F.when(F.col("named.kind").isNotNull(), manifest).otherwise(0))
+    # A Windows line end is one break like "\n", for which lines split fastest.
+    text = F.replace(tx.decode(F.col("content"), dtype), F.lit("\r\n"), F.lit("\n"))
     return tx.bind_row(named, "mask", mask).where((F.col("mask") != 0) & readable).select(
-        "repo", "path", "mask", F.col("named.kind").alias("kind"),
-        tx.decode(F.col("content"), dtype).alias("text"))
+        "repo", "path", "mask", F.col("named.kind").alias("kind"), text.alias("text"))
 
 
 def _lines_of(candidates: DataFrame, libraries: dict[str, Library] | None,

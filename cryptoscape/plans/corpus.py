@@ -1,7 +1,7 @@
 """The corpus table of the registered queries, made from the given tables.
 
-Every document becomes one file: its text and, after it, a snippet as one finds
-it in a repository. Its path depends on the id, so all file kinds, directories
+Every document becomes one file: its text and, after it, snippets as one finds
+them in a repository. Its path depends on the id, so all file kinds, directories
 and snippets occur together. The same arithmetic is written in SQL for the check.
 """
 
@@ -16,43 +16,52 @@ DIRECTORIES = ("src/", "tests/", "docs/", "vendor/lib/", "legacy/auth/", "web/__
                "pkg/core/", "build/out/", "lib/crypto.egg-info/", "app/", "spec/", "cmd/",
                "internal/tls/")
 
-# {id} is the number of the document; a document is a whole file of its kind.
-FILES = ("f{id}.py", "f{id}.ts", "F{id}.java", "test_f{id}.go", "svc{id}/requirements.txt",
-         "svc{id}/package.json", "svc{id}/nginx.conf", "svc{id}/sshd_config",
-         "svc{id}/pyproject.toml", "svc{id}/openssl.cnf", "svc{id}/.env", "svc{id}/Cargo.toml",
-         "svc{id}/settings.yaml", "f{id}.md", "svc{id}/go.mod", "svc{id}/Pipfile",
-         "svc{id}/pom.xml", "svc{id}/build.gradle", "svc{id}/id.pub", "svc{id}/server.pem",
-         "README{id}.rb", "f{id}.min.js", "svc{id}/config.json")
-
-SNIPPETS = (
-    "import hashlib\nh = hashlib.md5(data) + hashlib.sha1(x)\n# old: RSA_PKCS1_PADDING\n",
-    "key = RSA.generate(2048)\nsig = key.sign(msg, 'SHA-512')\n  // uses ecdsa_sign over P-384\n",
-    "const c = createCipheriv('aes-128-cbc', k, iv);\nconst h = createHash('sha256');\n",
-    "cipher = TripleDES(DESede)\nrequire('bcrypt')\ncurve = Curve25519; X448\n",
-    "ctx.minimum = TLSv1_2\nproto: TLS_1_0 and SSLv3 or tls1.1\n\nRS256, ES256 or HS512\n",
-    "mac = hmac.new(key, msg, sha1)\nHMAC-SHA256 with hmac_sha256\npbkdf2_hmac('sha256')\n",
-    "/* Argon2id or scrypt */\nchacha20-poly1305\n* Blowfish bf-cbc\nfrom Crypto import ARC4\n",
-    "ssl_protocols TLSv1 TLSv1.1 TLSv1.2;\nSSLProtocol all +TLSv1\nssl-min-ver TLSv1.0\n",
-    "Ciphers aes128-ctr,3des-cbc\nMACs hmac-sha1,hmac-md5\nKexAlgorithms diffie-hellman-group1\n",
-    "[ req ]\ndefault_bits = 2048\ndefault_md = sha1\nMinProtocol = TLSv1\ndefault_md=MD5\n",
-    "TLS_VERSION=1.0\nJWT_ALGORITHM = RS256\nTLS_VERSION=1.01\n",
-    'auth:\n  algorithm: "RS256"\n  alg = ES256\n  "alg": "HS256"\n',
-    "cryptography==42.0  # pinned\npycryptodome>=3\n-r other.txt\nbcrypt[x]; python_version\n\n"
-    "Paramiko ~= 3\npynacl\nrequests @ url\n",
-    '[packages]\njose = "*"\n"passlib" = "1"\n[dev-packages]\n\'pyopenssl\' = "*"\n[requires]\n'
-    'bcrypt = "1"\n',
-    '[project]\ndependencies = ["cryptography>=1", "paramiko"]\n"pynacl"\n]\n"bcrypt"\n'
-    '[tool.poetry.dependencies]\npython = "3"\npasslib = "^1"\n[project.optional-dependencies]\n'
-    "x = ['jose', \"tweetnacl\"]\n",
-    '[dependencies]\nbcrypt = "0.1"\n[dev-dependencies]\njose = { version = "1" }\n[profile]\n'
-    'tweetnacl = "1"\n',
-    "require (\n  golang.org/x/bcrypt v1\n  // note\n\n  jose v2\n)\nrequire github.com/a/node-forge v1\n",
-    "<artifactId> bcrypt </artifactId>\n<artifactId>jose</artifactId><artifactId>x</artifactId>\n",
-    "implementation 'org.x:bcrypt:1'\ncompile \"a:node-forge:2\"\nimplementation project(':b')\n",
-    "ssh-rsa AAAAB3 me\nssh-dss AAAA\n ssh-rsa no\necdsa-sha2-nistp256 AA\nssh-ed25519 AA\n",
-    "-----BEGIN RSA PRIVATE KEY-----\nx\n-----BEGIN EC PRIVATE KEY-----\n",
-    "a plain line\nuse universal versatile designs for 256 shapes\n",
-)
+SNIPPETS = {
+    "hash": "import hashlib\nh = hashlib.md5(data) + hashlib.sha1(x)\n# old: RSA_PKCS1_PADDING\n",
+    "sign": "key = RSA.generate(2048)\nsig = key.sign(msg, 'SHA-512')\n  // uses ecdsa_sign over P-384\n",
+    "node": "const c = createCipheriv('aes-128-cbc', k, iv);\nconst h = createHash('sha256');\n",
+    "mixed": "cipher = TripleDES(DESede)\nrequire('bcrypt')\ncurve = Curve25519; X448\n",
+    "tls": "ctx.minimum = TLSv1_2\nproto: TLS_1_0 and SSLv3 or tls1.1\n\nRS256, ES256 or HS512\n",
+    "mac": "mac = hmac.new(key, msg, sha1)\nHMAC-SHA256 with hmac_sha256\npbkdf2_hmac('sha256')\n",
+    "kdf": "/* Argon2id or scrypt */\nchacha20-poly1305\n* Blowfish bf-cbc\nfrom Crypto import ARC4\n",
+    "strong": "AES-256-GCM or aes_192, camellia\nSHA3 and Keccak, blake2b, SHA-384, sha_224\nTLSv1.3\n",
+    "curves": "ECDH over Ed448 or ElGamal\ndsa_verify and RIPEMD160\nnew DiffieHellman (x)\n",
+    "nginx": "ssl_protocols TLSv1 TLSv1.1 TLSv1.2;\nSSLProtocol all +TLSv1\nssl-min-ver TLSv1.0\n",
+    "sshd": "Ciphers aes128-ctr,3des-cbc\nMACs hmac-sha1,hmac-md5\nKexAlgorithms diffie-hellman-x\n",
+    "openssl": "[ req ]\ndefault_bits = 2048\ndefault_md = sha1\nMinProtocol = TLSv1\ndefault_md=MD5\n",
+    "env": "TLS_VERSION=1.0\nJWT_ALGORITHM = RS256\nTLS_VERSION=1.01\n",
+    "jwt": 'auth:\n  algorithm: "RS256"\n  alg = ES256\n  "alg": "HS256"\n',
+    "requirements": "cryptography==42.0  # pinned\npycryptodome>=3\n-r other.txt\n"
+                    "bcrypt[x]; python_version\n\nParamiko ~= 3\npynacl\nrequests @ url\n",
+    "pipfile": '[packages]\njose = "*"\n"passlib" = "1"\n[dev-packages]\n\'pyopenssl\' = "*"\n'
+               '[requires]\nbcrypt = "1"\n',
+    "pyproject": '[project]\ndependencies = ["cryptography>=1", "paramiko"]\n"pynacl"\n]\n"bcrypt"\n'
+                 '[tool.poetry.dependencies]\npython = "3"\npasslib = "^1"\n'
+                 "[project.optional-dependencies]\nx = ['jose', \"tweetnacl\"]\n",
+    "cargo": '[dependencies]\nbcrypt = "0.1"\n[dev-dependencies]\njose = { version = "1" }\n'
+             '[profile]\ntweetnacl = "1"\n',
+    "gomod": "require (\n  golang.org/x/bcrypt v1\n  // note\n\n  jose v2\n)\n"
+             "require github.com/a/node-forge v1\n",
+    "pom": "<artifactId> bcrypt </artifactId>\n<artifactId>jose</artifactId><artifactId>x</artifactId>\n",
+    "gradle": "implementation 'org.x:bcrypt:1'\ncompile \"a:node-forge:2\"\nruntime project(':b')\n",
+    "key": "ssh-rsa AAAAB3 me\nssh-dss AAAA\n ssh-rsa no\necdsa-sha2-nistp256 AA\nssh-ed25519 AA\n",
+    "pem": "-----BEGIN RSA PRIVATE KEY-----\nx\n-----BEGIN EC PRIVATE KEY-----\n"
+           "-----BEGIN DSA PRIVATE KEY-----\n",
+    "plain": "a plain line\nuse universal versatile designs for 256 shapes\n",
+}
+
+# File name, {id} being the number of the document, and the snippet that fits its kind.
+# Every file has that one and another one, so wrong places are tried as well.
+FILES = {
+    "f{id}.py": "hash", "f{id}.ts": "node", "F{id}.java": "curves", "test_f{id}.go": "sign",
+    "svc{id}/requirements.txt": "requirements", "svc{id}/package.json": "plain",
+    "svc{id}/nginx.conf": "nginx", "svc{id}/sshd_config": "sshd",
+    "svc{id}/pyproject.toml": "pyproject", "svc{id}/openssl.cnf": "openssl", "svc{id}/.env": "env",
+    "svc{id}/Cargo.toml": "cargo", "svc{id}/settings.yaml": "jwt", "f{id}.md": "plain",
+    "svc{id}/go.mod": "gomod", "svc{id}/Pipfile": "pipfile", "svc{id}/pom.xml": "pom",
+    "svc{id}/build.gradle": "gradle", "svc{id}/id.pub": "key", "svc{id}/server.pem": "pem",
+    "README{id}.rb": "mac", "f{id}.min.js": "strong", "svc{id}/config.json": "jwt",
+}
 
 # A package.json is valid JSON only without prose, so the prose is one of its values.
 PACKAGE_JSON = (
@@ -77,7 +86,7 @@ def spread(files: DataFrame) -> DataFrame:
     return files.repartition(cores, *files.columns[:1])
 
 
-def _pick(values: tuple[str, ...], number: Column) -> Column:
+def _pick(values: list[str] | tuple[str, ...], number: Column) -> Column:
     literal = F.expr("array(" + ", ".join(quote(v) for v in values) + ")")
     return F.get(literal, (number % len(values)).cast("int"))
 
@@ -89,14 +98,15 @@ def planted(documents: DataFrame, shift: Column | int = 0) -> DataFrame:
     same files.
     """
     number = F.col("doc_id")
-    name = F.replace(_pick(FILES, number), F.lit("{id}"), number.cast("string"))
-    snippet = _pick(SNIPPETS, number + shift)
+    name = F.replace(_pick(list(FILES), number), F.lit("{id}"), number.cast("string"))
+    fitting = _pick([SNIPPETS[kind] for kind in FILES.values()], number)
+    other = _pick(list(SNIPPETS.values()), number + shift)
     opening, closing = (F.lit(p.replace("{{", "{").replace("}}", "}"))
                         for p in PACKAGE_JSON.split("{text}"))
     escaped = F.to_json(F.struct(F.col("text").alias("t")))
     json_text = F.concat(opening, F.substr(escaped, F.lit(6), F.length(escaped) - 6), closing)
     content = F.when(name.endswith("package.json"), json_text).otherwise(
-        F.concat("text", F.lit("\n"), snippet))
+        F.concat("text", F.lit("\n"), fitting, other))
     return spread(documents).select(
         F.col("source").alias("repo"),
         F.concat(_pick(DIRECTORIES, number), name).alias("path"),
@@ -105,15 +115,15 @@ def planted(documents: DataFrame, shift: Column | int = 0) -> DataFrame:
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prose tables as source files, for catalogues of the user's own."""
-    documents = table(spark, sf_dir, "documents").select(
+    documents = spread(table(spark, sf_dir, "documents")).select(
         F.lit("documents").alias("repo"),
         F.concat(F.lit("d"), F.col("doc_id"), F.lit(".py")).alias("path"),
         F.col("text").alias("content"))
-    pages = table(spark, sf_dir, "pages").select(
+    pages = spread(table(spark, sf_dir, "pages")).select(
         F.lit("pages").alias("repo"),
         F.concat(F.lit("p"), F.col("page_id"), F.lit(".js")).alias("path"),
         F.col("html").alias("content"))
-    turns = table(spark, sf_dir, "conversations").select(
+    turns = spread(table(spark, sf_dir, "conversations")).select(
         F.lit("conversations").alias("repo"),
         F.concat(F.lit("c"), F.col("conv_id"), F.lit("/t"), F.col("turn"), F.lit(".rb"))
         .alias("path"),

@@ -31,9 +31,11 @@ def inventory(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach; a temporary one where the session names none."""
+    """The folder all executors reach; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cryptoscape-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

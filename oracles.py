@@ -41,12 +41,15 @@ _EXCLUDED = (r"\.git|node_modules|__pycache__|\.venv|venv|\.env|dist|build|\.nex
 def planted(documents: str = "SELECT * FROM documents", shift: str = "0") -> str:
     name = (f"replace({lst(corpus.FILES)}[doc_id % {len(corpus.FILES)} + 1], '{{id}}', "
             "doc_id::VARCHAR)")
-    snippet = f"{lst(corpus.SNIPPETS)}[(doc_id + {shift}) % {len(corpus.SNIPPETS)} + 1]"
+    fitting = (f"{lst(corpus.SNIPPETS[kind] for kind in corpus.FILES.values())}"
+               f"[doc_id % {len(corpus.FILES)} + 1]")
+    other = (f"{lst(corpus.SNIPPETS.values())}"
+             f"[(doc_id + {shift}) % {len(corpus.SNIPPETS)} + 1]")
     return f"""SELECT source AS repo,
       {lst(corpus.DIRECTORIES)}[doc_id % {len(corpus.DIRECTORIES)} + 1] || {name} AS path,
       CASE WHEN {name} LIKE '%package.json'
            THEN {q(_HEAD)} || to_json(text)::VARCHAR || {q(_TAIL)}
-           ELSE text || chr(10) || {snippet} END AS content
+           ELSE text || chr(10) || {fitting} || {other} END AS content
       FROM ({documents})"""
 
 
