@@ -372,6 +372,101 @@ diff AS (SELECT coalesce(f.repo, b.repo) AS repo, coalesce(f.hash, b.hash) AS ha
 _STATUS = "CASE WHEN diff_class IN ('new', 'worsened') THEN diff_class END AS diff_status"
 _NEW = "count(*) FILTER (diff_class IN ('new', 'worsened'))"
 
+# --- documents ------------------------------------------------------------------------
+
+_REPOS = """repos AS (SELECT repo, count(*) FILTER ((is_source OR is_config) AND NOT excluded
+  AND size <= 1000000) AS total_files_scanned FROM files GROUP BY repo)"""
+_FINDING = ("{'file_path': path, 'line_number': line_number, 'matched_text': matched_text, "
+            "'algorithm_id': algorithm_id, 'algorithm_name': algorithm_name, "
+            "'algorithm_type': algorithm_type, 'source': source, 'quantum_risk': quantum_risk, "
+            "'reason': reason, 'replacement': replacement, 'confidence': confidence, "
+            "'context': context, 'severity': severity, 'category': category, "
+            "'remediation': remediation, 'diff_status': NULL::VARCHAR}")
+_SCORE = "CASE WHEN count(f.repo) = 0 THEN 100.0::DOUBLE ELSE {safe}::DOUBLE / count(f.repo) * 100 END"
+
+
+def risk_count(risk: str) -> str:
+    return f"count(*) FILTER (quantum_risk = '{risk}')"
+
+
+def listed(value: str, order: str = "seq") -> str:
+    """JSON text of a list of structs in order, without brackets."""
+    return f"coalesce(string_agg(to_json({value})::VARCHAR, ',' ORDER BY {order}), '')"
+
+
+JSON_DOCUMENTS = f"""{FINDINGS}, {_REPOS} SELECT r.repo,
+  rtrim(to_json({{'version': '0.1.0', 'scan_path': r.repo,
+    'total_files_scanned': any_value(total_files_scanned), 'scan_duration_seconds': 0.0::DOUBLE,
+    'summary': {{'total_findings': count(f.repo), 'vulnerable': {risk_count('VULNERABLE')},
+      'partial': {risk_count('PARTIAL')}, 'safe': {risk_count('SAFE')},
+      'quantum_ready_score': {_SCORE.format(safe=risk_count('SAFE'))}}}}})::VARCHAR, '}}')
+  || '}},"findings":[' || coalesce(string_agg(to_json({_FINDING})::VARCHAR, ',' ORDER BY seq)
+    FILTER (f.repo IS NOT NULL), '') || ']}}' AS text
+FROM repos r LEFT JOIN findings f ON r.repo = f.repo GROUP BY r.repo"""
+
+_RULE = ("{'id': 'cryptoscape/' || algorithm_id, 'name': 'QuantumVulnerableCrypto', "
+         "'shortDescription': {'text': algorithm_name || ' — ' || reason}, "
+         "'fullDescription': {'text': algorithm_name || ' (' || algorithm_type || "
+         "') is classified as ' || quantum_risk || '. Recommended replacement: ' || replacement}, "
+         "'defaultConfiguration': {'level': CASE quantum_risk WHEN 'VULNERABLE' THEN 'error' "
+         "WHEN 'SAFE' THEN 'note' ELSE 'warning' END}, 'properties': {'tags': ['security', "
+         "'cryptography', 'quantum', 'pqc'], 'precision': 'medium'}}")
+_RESULT = (f"{{'ruleId': 'cryptoscape/' || algorithm_id, 'level': {_LEVEL}, 'message': {{'text': "
+           "algorithm_name || ' detected — ' || reason || '. Replace with ' || replacement}, "
+           "'locations': [{'physicalLocation': {'artifactLocation': {'uri': path, 'uriBaseId': "
+           "'%SRCROOT%'}, 'region': {'startLine': coalesce(line_number, 1), 'startColumn': 1}}}], "
+           "'properties': {'quantum_risk': quantum_risk, 'algorithm_type': algorithm_type, "
+           "'replacement': replacement, 'confidence': confidence, 'context': context, "
+           "'severity': severity, 'category': category, 'remediation': remediation, "
+           "'diff_status': NULL::VARCHAR}}")
+SARIF_DOCUMENTS = f"""{FINDINGS}, {_REPOS},
+firsts AS (SELECT * FROM findings
+  QUALIFY row_number() OVER (PARTITION BY repo, algorithm_id ORDER BY seq) = 1),
+rules AS (SELECT repo, {listed(_RULE)} AS rules FROM firsts GROUP BY repo),
+results AS (SELECT repo, {listed(_RESULT)} AS results FROM findings GROUP BY repo)
+SELECT repo, '{{"$schema":"https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/'
+  || 'schema/sarif-schema-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":'
+  || '"cryptoscape","version":"0.1.0","rules":[' || coalesce(rules, '') || ']}}}},"results":['
+  || coalesce(results, '') || ']}}]}}' AS text
+FROM repos LEFT JOIN rules USING (repo) LEFT JOIN results USING (repo)"""
+
+_PROPERTIES = ", ".join(
+    f"{{'name': 'cryptoscape:{n}', 'value': coalesce({n}, '')}}"
+    for n in ("quantum_risk", "replacement", "source", "confidence", "context", "severity",
+              "category", "remediation"))
+_OCCURRENCE = ("'{\"location\":' || to_json(path) || ',\"line\":' || coalesce(line_number, 1) || "
+               "CASE WHEN matched_text <> '' THEN ',\"additionalContext\":' || to_json(matched_text) "
+               "ELSE '' END || '}'")
+
+
+def cbom_documents(components: str) -> str:
+    start = "\nSELECT repo, algorithm_id, occurrences"
+    table = components.replace(start, ",\ncomponents AS (" + start.strip())
+    return f"""{table}), {_REPOS},
+places AS (SELECT repo, algorithm_id, string_agg({_OCCURRENCE}, ',' ORDER BY seq) AS places
+  FROM findings GROUP BY repo, algorithm_id),
+bodies AS (SELECT repo, string_agg('{{"type":"cryptographic-asset","name":'
+    || to_json(algorithm_name) || ',"bom-ref":' || to_json(bom_ref) || ',"cryptoProperties":'
+    || '{{"assetType":' || to_json(asset_type) || coalesce(',"oid":' || to_json(oid), '')
+    || coalesce(',"algorithmProperties":{{"primitive":' || to_json(primitive) || '}}', '')
+    || '}},"properties":' || to_json([{_PROPERTIES}]) || ',"evidence":{{"occurrences":[' || places
+    || ']}}}}', ',' ORDER BY component_index) AS body
+  FROM components JOIN places USING (repo, algorithm_id) GROUP BY repo)
+SELECT repo, '{{"bomFormat":"CycloneDX","specVersion":"1.6","version":1,"serialNumber":"urn:uuid:'
+  || md5(repo) || '","metadata":{{"timestamp":"2026-06-30T00:00:00+00:00","tools":{{"components":'
+  || '[{{"type":"application","name":"cryptoscape","version":"0.1.0"}}]}},"component":{{"type":'
+  || '"application","name":' || to_json(repo) || ',"bom-ref":"scanned-project"}}}},"components":['
+  || coalesce(body, '') || ']}}' AS text FROM repos LEFT JOIN bodies USING (repo)"""
+
+
+_ENTRY = ("{'hash': hash, 'file': path, 'line': line_number, 'algorithm': algorithm_id, "
+          "'risk': quantum_risk, 'severity': severity, 'source': source}")
+BASELINE_DOCUMENTS = f"""{FINDINGS}, {_REPOS},
+entries AS (SELECT repo, count(*) AS n, {listed(_ENTRY, 'hash')} AS body FROM findings GROUP BY repo)
+SELECT repo, '{{"baseline_version":"1.0","tool_version":"0.1.0","generated_at":'
+  || '"2026-06-30T00:00:00+00:00","commit":null,"findings_count":' || coalesce(n, 0)
+  || ',"findings":[' || coalesce(body, '') || ']}}' AS text FROM repos LEFT JOIN entries USING (repo)"""
+
 # --- checks on catalogues -----------------------------------------------------------
 
 PARTS = """parts AS (SELECT 'P' || p_partkey AS algorithm_id, p_name AS name,
@@ -549,3 +644,7 @@ WHERE quantum_risk <> 'SAFE'""",
         "no cnsa reference": "NOT is_asym OR body = 'cnsa'",
         "no eu deadlines": "NOT is_asym OR has_full"}),
 }
+ORACLES["rpt1_json_documents"] = JSON_DOCUMENTS
+ORACLES["rpt2_sarif_documents"] = SARIF_DOCUMENTS
+ORACLES["rpt3_cbom_documents"] = cbom_documents(ORACLES["agg5_cbom_components"])
+ORACLES["bas2_baseline_documents"] = BASELINE_DOCUMENTS
