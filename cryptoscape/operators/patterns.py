@@ -24,6 +24,10 @@ _SEPARATOR = "[-_ ]?"
 _BOUNDED_LETTER = "(?iu){}(?<![a-zA-Z0-9].){}(?![a-zA-Z0-9])"
 
 
+# Above this many terms a catalogue is grouped by first letters, in one pass over it.
+_MANY_TERMS = 500
+
+
 @dataclass(frozen=True)
 class Pattern:
     """One regex of a rule. ``words`` are literals every matching line holds."""
@@ -112,6 +116,8 @@ def guard_terms(word_sets: list[tuple[str, ...]]) -> list[tuple[str, ...]] | Non
     if any(not words for words in word_sets):
         return None
     kept: list[tuple[str, ...]] = []
+    if len(set(word_sets)) > _MANY_TERMS:
+        return sorted(set(word_sets))
     for term in sorted(set(word_sets), key=lambda t: (sum(map(len, t)), t)):
         if not any(all(any(w in v for v in term) for w in other) for other in kept):
             kept.append(term)
@@ -128,6 +134,12 @@ def guard_groups(bits: int, word_sets: list[tuple[str, ...]]) -> list[dict]:
     if terms is None:
         return [{"bits": bits, "letters": "", "terms": [_term(())]}]
     groups = []
+    if len(terms) > _MANY_TERMS:
+        by_start: dict[str, list[tuple[str, ...]]] = {}
+        for t in terms:
+            by_start.setdefault(t[0][:3], []).append(t)
+        return [{"bits": bits, "letters": start, "terms": [_term(t) for t in held]}
+                for start, held in by_start.items()]
     while terms:
         shared = Counter(g for t in terms for g in {w[i:i + 3] for w in t
                                                     for i in range(len(w) - 2)})

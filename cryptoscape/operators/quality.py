@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cryptoscape.functions.scales import RISKS
+from cryptoscape.sources.catalogue import exposed_rows, pattern_rows
 
 # The domains of the catalogue columns.
 TYPES = ("asymmetric", "symmetric", "hash", "kdf", "mac", "protocol")
@@ -21,15 +22,13 @@ EU_DEADLINES = ("eu_high_risk", "eu_full_transition")
 
 def unknown_exposed(libraries: DataFrame, algorithms: DataFrame) -> DataFrame:
     """Exposed algorithms that the catalogue does not have."""
-    exposed = libraries.select("library_id", F.explode("exposes").alias("algorithm_id"))
-    return exposed.join(algorithms.select("algorithm_id"), "algorithm_id", "left_anti").select(
+    return exposed_rows(libraries).join(algorithms.select("algorithm_id"), "algorithm_id", "left_anti").select(
         "library_id", "algorithm_id")
 
 
 def repeated_patterns(algorithms: DataFrame) -> DataFrame:
     """Patterns that occur twice in an algorithm."""
-    patterns = algorithms.select("algorithm_id", F.explode("patterns").alias("pattern"))
-    return patterns.groupBy("algorithm_id", "pattern").agg(F.count("*").alias("times")).where(
+    return pattern_rows(algorithms).groupBy("algorithm_id", "pattern").agg(F.count("*").alias("times")).where(
         F.col("times") > 1)
 
 

@@ -106,14 +106,16 @@ def _piece(part: int, *keys: Column, text: Column) -> list[Column]:
     return [F.col("repo"), key.alias("key"), text.alias("text")]
 
 
-def _with_commas(elements: DataFrame, by: list[str]) -> DataFrame:
-    """Put a comma before every ``text`` but the first of its group.
+def _with_commas(elements: DataFrame) -> DataFrame:
+    """Put a comma before every ``text`` but the first of its repository.
 
-    The firsts are one row per group; a large group is split by the skew join.
+    The join is on repository and element, so no repository is a hot key.
     """
-    firsts = elements.groupBy(*by).agg(F.min("element_key").alias("first_key"))
-    comma = F.when(F.col("element_key") == F.col("first_key"), "").otherwise(",")
-    return elements.join(firsts, by).withColumn("text", F.concat(comma, "text"))
+    firsts = elements.groupBy("repo").agg(F.min("element_key").alias("element_key"))
+    marked = elements.join(firsts.withColumn("is_first", F.lit(True)),
+                           ["repo", "element_key"], "left")
+    comma = F.when(F.col("is_first"), "").otherwise(",")
+    return marked.withColumn("text", F.concat(comma, "text"))
 
 
 def assemble(pieces: DataFrame, limit: int = MAX_ASSEMBLED) -> DataFrame:
@@ -159,7 +161,7 @@ def json_pieces(findings: DataFrame, file_counts: DataFrame, diff: DataFrame | N
     elements = with_diff_status(findings).select(
         "repo", report_key().alias("element_key"),
         _json(F.col("path").alias("file_path"), *FINDING_FIELDS).alias("text"))
-    body = _with_commas(elements, ["repo"])
+    body = _with_commas(elements)
     return (summary.select(*_piece(_HEAD, text=head))
             .unionByName(body.select(*_piece(_BODY, F.col("element_key"), text=F.col("text"))))
             .unionByName(tails.select(*_piece(_TAIL, text=F.col("text")))))
@@ -218,7 +220,7 @@ def sarif_pieces(findings: DataFrame, repos: DataFrame) -> DataFrame:
         F.struct("quantum_risk", "algorithm_type", "replacement", "confidence", "context",
                  "severity", "category", "remediation", "diff_status").alias("properties"))
     body = _with_commas(
-        sarif_results(findings).select("repo", "element_key", result.alias("text")), ["repo"])
+        sarif_results(findings).select("repo", "element_key", result.alias("text")))
     tails = repos.select(*_piece(_TAIL, text=F.lit("]}]}")))
     return heads.unionByName(
         body.select(*_piece(_BODY, F.col("element_key"), text=F.col("text")))).unionByName(tails)
@@ -259,8 +261,8 @@ def cbom_pieces(findings: DataFrame, repos: DataFrame, timestamp: str,
     opening = F.concat(
         F.when(F.col("component_index") == 0, "").otherwise(","),
         F.left(component, F.length(component) - 1), F.lit(',"evidence":{"occurrences":['))
-    # Between the first key of a component and that of the next there is no other
-    # component, so its parts are numbered below the component's own key.
+    # The first key of a component orders it; its parts are ordered below that key.
+    # A component with a third of all occurrences is split by the adaptive skew join.
     parts = components.select("repo", "algorithm_id", "first_key", opening.alias("opening"))
     occurrence = _compact(
         F.col("path").alias("location"), F.coalesce("line_number", F.lit(1)).alias("line"),
@@ -299,7 +301,7 @@ def baseline_pieces(findings: DataFrame, repos: DataFrame, generated_at: str,
     elements = entries.select(
         "repo", F.struct("hash", "source").alias("element_key"),
         _json("hash", "file", "line", "algorithm", "risk", "severity", "source").alias("text"))
-    body = _with_commas(elements, ["repo"])
+    body = _with_commas(elements)
 
     def piece(part: int, text: Column, order: Column) -> list[Column]:
         key = F.struct(F.lit(part).alias("part"), order.cast("string").alias("order"))

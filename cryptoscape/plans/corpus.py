@@ -75,15 +75,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(files: DataFrame) -> DataFrame:
-    """Give every core a share of a table that is small but in few row groups.
+    """Give every core a share of a table too small to have a row group per core.
 
-    A large table has a row group per task already and is not shuffled.
+    A larger table has row groups for all tasks already and is not shuffled.
     """
     cores = files.sparkSession.sparkContext.defaultParallelism
     size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > cores * 64 * 1024 * 1024:
-        return files
-    return files.repartition(cores, *files.columns[:1])
+    return files if size > cores * 4 * 1024 * 1024 else files.repartition(cores)
 
 
 def _pick(values: list[str] | tuple[str, ...], number: Column) -> Column:

@@ -25,7 +25,7 @@ from cryptoscape.operators.scan import scan_config, scan_dependencies, scan_file
 from cryptoscape.plans.catalogues import line_libraries, part_algorithms
 from cryptoscape.plans.corpus import planted, prose, table
 from cryptoscape.plans.inventory import inventory, materialize
-from cryptoscape.sources.catalogue import algorithms_from_dict
+from cryptoscape.sources.catalogue import algorithms_from_dict, exposed_rows, pattern_rows
 
 AS_OF = dt.date(2026, 6, 30)
 
@@ -292,6 +292,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rpt2_sarif_documents": sarif_documents,
     "rpt3_cbom_documents": cbom_documents,
     "bas2_baseline_documents": baseline_documents,
+    "src3_exposed_algorithms": lambda spark, sf_dir: exposed_rows(line_libraries(spark, sf_dir)),
+    "src4_all_patterns": _on_parts(pattern_rows),
     "qc1_unknown_exposed": lambda spark, sf_dir: qc.unknown_exposed(
         line_libraries(spark, sf_dir), part_algorithms(spark, sf_dir)),
     "qc2_repeated_patterns": _on_parts(qc.repeated_patterns),

@@ -9,6 +9,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cryptoscape.functions.scales import RISKS
 from cryptoscape.sources import catalogue_data as data
@@ -136,6 +137,17 @@ def libraries_df(spark: SparkSession, libraries: dict[str, Library] | None = Non
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=_LIBRARY_SCHEMA))
 
 
+def pattern_rows(algorithms: DataFrame) -> DataFrame:
+    """``algorithm_id, pat_ord, pattern``: the patterns of a catalogue table, one per row."""
+    return algorithms.select("algorithm_id", F.posexplode("patterns").alias("pat_ord", "pattern"))
+
+
+def exposed_rows(libraries: DataFrame) -> DataFrame:
+    """``library_id, expose_ord, algorithm_id``: what the libraries of a table expose."""
+    return libraries.select(
+        "library_id", F.posexplode("exposes").alias("expose_ord", "algorithm_id"))
+
+
 def _bundled_algorithm(algorithm_id: str) -> Algorithm:
     name, kind, risk, category, patterns = data.ALGORITHMS[algorithm_id]
     replacement, reason = data.ADVICE.get(algorithm_id, (

@@ -622,6 +622,10 @@ SELECT repo, algorithm_id, occurrences, algorithm_name, algorithm_type, quantum_
     ELSE 'INFO: Unknown algorithm ''' || algorithm_id || ''' in ' || place END AS message
 FROM (SELECT *, path || coalesce(':' || line_number, '') AS place FROM findings)
 WHERE quantum_risk <> 'SAFE'""",
+    "src3_exposed_algorithms": f"WITH {LIBS} SELECT library_id, unnest(range(len(exposes)))::INT AS "
+                               "expose_ord, 'P' || unnest(exposes) AS algorithm_id FROM libs",
+    "src4_all_patterns": f"WITH {PARTS} SELECT algorithm_id, unnest(range(len(patterns)))::INT AS "
+                         "pat_ord, unnest(patterns) AS pattern FROM parts",
     "qc1_unknown_exposed": f"WITH {PARTS}, {LIBS} SELECT library_id, 'P' || e AS algorithm_id FROM "
                            "(SELECT library_id, unnest(exposes) AS e FROM libs) "
                            "WHERE 'P' || e NOT IN (SELECT algorithm_id FROM parts)",

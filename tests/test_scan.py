@@ -100,6 +100,15 @@ def test_guard_terms_drop_what_others_cover():
     assert guard_terms([("rsa",), ()]) is None
 
 
+def test_large_catalogue_equals_brute_force(corpus):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 6))) for _ in range(1500)]
+    algorithms = catalogue(**{f"A{i}": words[i::60] for i in range(60)})
+    files = {f"f{i}.py": " ".join(rng.choice(words) + rng.choice(["", "x"]) for _ in range(5))
+             for i in range(100)}
+    assert rows(scan_source(corpus(files), algorithms)) == brute_force(files, algorithms)
+
+
 def test_first_pattern_names_the_match_and_lines_are_deduplicated(corpus):
     found = scan_source(corpus({"a.py": "  use rsa_sign, RSA and SHA256 or sha256  \n"})).collect()
     assert {(f.algorithm_id, f.matched_text, f.line_text) for f in found} == {
@@ -190,3 +199,27 @@ def test_config_patterns(corpus):
     texts = {(f.path, f.algorithm_id): f.line_text for f in found}
     assert texts["nginx.conf", "TLS-1.1"] == "nginx TLS 1.1 enabled"
     assert {f.source for f in found} == {"config"}
+
+
+def test_scan_has_no_shuffle_and_small_methods(corpus):
+    """One read, no exchange, and generated methods below the size the JVM compiles."""
+    df = scan_files(corpus({"a.py": "RSA", "package.json": "{}"}))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [o for o in ("Exchange", "Join ", "EvalPython", "MapIn") if o in plan]
+    assert plan.count("Scan ExistingRDD") == 1
+    stages = df._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_scan_of_a_stream_of_files(spark, corpus, tmp_path):
+    files = corpus({"a.py": "RSA", "requirements.txt": "bcrypt", "x.pem": "none"})
+    files.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(files.schema).parquet(str(tmp_path / "in"))
+    query = scan_files(stream).writeStream.format("memory").queryName("stream_findings").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    found = spark.table("stream_findings").select("path", "algorithm_id").collect()
+    assert {tuple(r) for r in found} == {("a.py", "RSA"), ("requirements.txt", "bcrypt")}
