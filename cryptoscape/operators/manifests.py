@@ -141,7 +141,7 @@ def _go_mod() -> str:
     blocks = sections("rows", "startswith(r.line, 'require (') OR r.line = ')'", in_block)
     singles = f"transform(filter(rows, r -> {single}), r -> {module(1)})"
     last_segment, whole = _package("substring_index(r.path, '/', -1)"), _package("r.path")
-    return (f"flatten(transform(array_sort(concat({blocks}, {singles})), "
+    return (f"flatten(transform(sort_array(concat({blocks}, {singles})), "
             f"r -> array({last_segment}, {whole})))")
 
 

@@ -128,7 +128,7 @@ def assemble(pieces: DataFrame, limit: int = MAX_ASSEMBLED) -> DataFrame:
     large = sizes.where(F.col("size") > limit).select("repo")
     whole = pieces.join(large, "repo", "left_anti").groupBy("repo").agg(
         F.min("key").alias("key"),
-        F.array_sort(F.collect_list(F.struct("key", "text"))).alias("p")
+        F.sort_array(F.collect_list(F.struct("key", "text"))).alias("p")
     ).select("repo", "key", F.array_join("p.text", "").alias("text"))
     return whole.unionByName(pieces.join(large, "repo", "left_semi"))
 
@@ -201,7 +201,7 @@ def sarif_pieces(findings: DataFrame, repos: DataFrame) -> DataFrame:
                  F.lit("medium").alias("precision")).alias("properties"))
     # A repository has at most one rule per catalogue entry.
     rules = sarif_rules(findings).groupBy("repo").agg(
-        F.array_sort(F.collect_list(F.struct("first_key", rule.alias("rule")))).alias("r")
+        F.sort_array(F.collect_list(F.struct("first_key", rule.alias("rule")))).alias("r")
     ).select("repo", F.col("r.rule").alias("rules"))
     empty = F.from_json(F.lit("[]"), rules.schema["rules"].dataType)
     driver = F.struct(F.lit(TOOL).alias("name"), F.lit(VERSION).alias("version"),

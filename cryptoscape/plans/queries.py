@@ -221,27 +221,29 @@ def _stored(spark, sf_dir):
             materialize(fl.count_files(files), "repos"))
 
 
+def _documents(pieces: DataFrame) -> DataFrame:
+    return rp.assemble(materialize(pieces, "pieces")).select("repo", "text")
+
+
 def json_documents(spark, sf_dir):
     found, repos = _stored(spark, sf_dir)
-    return rp.assemble(rp.json_pieces(found, repos)).select("repo", "text")
+    return _documents(rp.json_pieces(found, repos))
 
 
 def sarif_documents(spark, sf_dir):
     found, repos = _stored(spark, sf_dir)
-    return rp.assemble(rp.sarif_pieces(found, repos)).select("repo", "text")
+    return _documents(rp.sarif_pieces(found, repos))
 
 
 def cbom_documents(spark, sf_dir):
     found, repos = _stored(spark, sf_dir)
     serial = F.concat(F.lit("urn:uuid:"), F.md5("repo"))
-    return rp.assemble(rp.cbom_pieces(found, repos, "2026-06-30T00:00:00+00:00", serial)).select(
-        "repo", "text")
+    return _documents(rp.cbom_pieces(found, repos, "2026-06-30T00:00:00+00:00", serial))
 
 
 def baseline_documents(spark, sf_dir):
     found, repos = _stored(spark, sf_dir)
-    return rp.assemble(rp.baseline_pieces(found, repos, "2026-06-30T00:00:00+00:00")).select(
-        "repo", "text")
+    return _documents(rp.baseline_pieces(found, repos, "2026-06-30T00:00:00+00:00"))
 
 
 def _on_parts(check):
