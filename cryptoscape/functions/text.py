@@ -58,6 +58,13 @@ def split_lines(text: str) -> str:
         f" ELSE split({text}, '\\n', -1) END")
 
 
+def count_breaks(text: str) -> str:
+    """SQL for the number of line breaks."""
+    rare = " OR ".join(f"contains({text}, {quote(c)})" for c in _RARE_BREAKS)
+    return (f"CASE WHEN {rare} THEN size(split({text}, {quote(LINE_BREAK)}, -1)) - 1 "
+            f"ELSE octet_length({text}) - octet_length(replace({text}, '\\n', '')) END")
+
+
 def strip(text: str) -> str:
     """SQL that removes Unicode white space at both ends."""
     return f"btrim({text}, {quote(WHITE_SPACE)})"

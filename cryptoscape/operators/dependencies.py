@@ -39,7 +39,9 @@ def dependency_hits(kind: str, text: str, libraries: dict[str, Library] | None =
         "'algorithm_id', algorithm, 'ord_a', i, 'ord_b', j, "
         "'matched_text', lib.name, 'line_text', lib.text))")
     library = f"try_element_at({table}, lower({strip('p.package')}))"
-    per_package = f"transform({packages_of(kind, text)}, (p, i) -> {bind(library, 'lib', exposed)})"
+    is_known = f"map_contains_key({table}, lower({strip('name')}))"
+    packages = packages_of(kind, text, is_known)
+    per_package = f"transform({packages}, (p, i) -> {bind(library, 'lib', exposed)})"
     hits = f"sort_array(flatten(filter({per_package}, h -> h IS NOT NULL)))"
     # Sorted, equal (line, algorithm) are neighbours and the first package is in front.
     first = ("filter(hits, (h, i) -> i = 0 OR NOT (h.line_number <=> get(hits, i - 1).line_number "

@@ -29,18 +29,23 @@ _NONE = f"CAST(array() AS {PACKAGES_TYPE})"
 _BEFORE_EQUALS = strip("substring_index(r.line, '=', 1)")
 
 
-def packages_of(kind: str, text: str) -> str:
-    """SQL for the packages of a manifest of the given kind, null for another kind."""
+def packages_of(kind: str, text: str, is_wanted: str = "true") -> str:
+    """SQL for the packages of a manifest of the given kind, null for another kind.
+
+    The line of a package.json key costs a search of the text. It is only looked
+    up for keys with ``is_wanted``, a predicate on ``name``.
+    """
     numbered = (f"transform({tx.split_lines(text)}, (l, i) -> "
                 f"named_struct('no', i + 1, 'raw', l, 'line', {strip('l')}))")
     branches = " ".join(f"WHEN {quote(name)} THEN {sql}" for name, sql in _extractors().items())
-    return (f"CAST(CASE WHEN {kind} = 'package.json' THEN {_package_json(text)} ELSE "
+    return (f"CAST(CASE WHEN {kind} = 'package.json' THEN {_package_json(text, is_wanted)} ELSE "
             f"{bind(numbered, 'rows', f'CASE {kind} {branches} END')} END AS {PACKAGES_TYPE})")
 
 
 def extract_packages(files: DataFrame) -> DataFrame:
     """``repo, path, pkg_ord, package, line_number`` for every manifest in the corpus."""
-    text = tx.decode(F.col("content"), files.schema["content"].dataType)
+    text = F.replace(tx.decode(F.col("content"), files.schema["content"].dataType),
+                     F.lit("\r\n"), F.lit("\n"))
     manifests = select_manifests(files).select(
         "repo", "path", manifest_kind().alias("kind"), text.alias("text"))
     return manifests.select(
@@ -157,15 +162,16 @@ def _gradle() -> str:
             f"r -> {both}))")
 
 
-def _package_json(text: str) -> str:
+def _package_json(text: str, is_wanted: str) -> str:
     """Keys of the dependency objects; the line is the first one with the quoted key."""
     keys = ", ".join(
         f"coalesce(array_distinct(json_object_keys(get_json_object({text}, '$.{s}'))), "
         f"CAST(array() AS array<string>))" for s in _JSON_SECTIONS)
     needle = "concat('\"', name, '\"')"
-    above = f"split(substring_index({text}, {needle}, 1), {quote(tx.LINE_BREAK)}, -1)"
-    line = (f"CASE WHEN contains({text}, {needle}) AND NOT name RLIKE {quote(tx.LINE_BREAK)} "
-            f"THEN size({above}) END")
+    above = f"substring_index({text}, {needle}, 1)"
+    line = (f"CASE WHEN {is_wanted} AND contains({text}, {needle}) "
+            f"AND NOT name RLIKE {quote(tx.LINE_BREAK)} "
+            f"THEN {bind(above, 'above', tx.count_breaks('above'))} + 1 END")
     packages = (f"transform(concat({keys}), name -> "
                 f"named_struct('package', name, 'line_number', {line}))")
     return f"CASE WHEN {_is_json(text)} THEN {packages} ELSE {_NONE} END"

@@ -127,5 +127,8 @@ def test_custom_libraries(corpus):
 def test_large_manifest(corpus, lines):
     """A manifest near the size limit is one row of work, not one per pair of lines."""
     text = "[dependencies]\n" + "".join(f'p{i} = "1"\n' for i in range(lines)) + 'bcrypt = "1"\n'
-    found = scan_dependencies(corpus({"Cargo.toml": text})).collect()
-    assert [(f.line_number, f.algorithm_id) for f in found] == [(lines + 2, "bcrypt")]
+    keys = ",\n".join(f'"p{i}": "1"' for i in range(lines)) + ',\n"bcrypt": "1"'
+    found = scan_dependencies(corpus({
+        "Cargo.toml": text, "package.json": '{"dependencies": {\n' + keys + "}}"})).collect()
+    assert {(f.path, f.line_number, f.algorithm_id) for f in found} == {
+        ("Cargo.toml", lines + 2, "bcrypt"), ("package.json", lines + 2, "bcrypt")}
