@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op4_decontamination
+from .html_text import op9_html_text
 from .license_scan import op1_license_scan
+from .mixing import op6_source_mix
+from .quality import op7_quality_rules
+from .secret_scan import op2_secret_scan
+from .simhash import op10_simhash
 from .token_count import op3_token_counts
+from .toxicity import op5_toxicity
+from .warc import op8_warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_license_scan, op3_token_counts)}
+    q.__name__: q for q in (
+        op1_license_scan, op2_secret_scan, op3_token_counts, op4_decontamination,
+        op5_toxicity, op6_source_mix, op7_quality_rules,
+        op8_warc_round_trip, op9_html_text, op10_simhash)}
 
 ORACLES: dict[str, str] = {}
