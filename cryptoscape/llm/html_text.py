@@ -1,8 +1,8 @@
 """Main text of HTML pages: a tree-structured graphical model over the DOM.
 
-Block elements are nodes; each is content or not. Tags, class words, own text length and link
-density speak for either (emissions); a node depends on its parent (edge potentials by kind of
-element). Sum-product messages go up the tree and down again, which gives the exact probability of
+Block elements are nodes; each is content or not. Class words, own text length and link density
+speak for either (emissions by kind of element); a node depends on its parent (edge potentials by
+kind of element). What is rare for a kind leans on all kinds together. Sum-product messages go up the tree and down again, which gives the exact probability of
 content for every node, and the text of the likely ones is the page's text. Potentials are counts
 over labelled pages, gathered by Spark. Pages label themselves: those with an article or main
 element, whose inside is content except for what its markup names as something else.
@@ -24,7 +24,8 @@ from .common import map_texts, table
 
 #: Labelled pages that the potentials are counted on, about.
 TRAIN_PAGES = 2_000
-SMOOTH = 0.5
+#: Count given to what was never seen, and weight of all kinds in the estimate for one.
+SMOOTH, BACK = 0.5, 4.0
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
                   r"|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'](?=[^>]*>))*+)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -164,7 +165,7 @@ class Page:
             words = ("bad" if _BAD.search(names) else "") + ("good" if _GOOD.search(names) else "") if names else "none"
             size = 0 if not own else 1 if own < 25 else 2 if own < 100 else 3
             density = 0 if not total[i] else 1 + min(3, int(4 * linked[i] / max(total[i], 1)))
-            found.append((f"tag {kind(tag)}", f"names {words}", f"size {size}", f"links {density}"))
+            found.append((f"names {words}", f"size {size}", f"links {density}"))
         return found
 
 
@@ -185,42 +186,52 @@ def _potential_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 continue
             for i, shown in enumerate(page.evidence()):
                 if i:
-                    counts[f"edge {kind(page.tag[i])}", y[page.parent[i]], y[i]] += 1
+                    counts["edge", kind(page.tag[i]), y[page.parent[i]], y[i]] += 1
                 for feature in shown:
-                    counts[feature, -1, y[i]] += 1
+                    counts[feature, kind(page.tag[i]), -1, y[i]] += 1
         keys = list(counts)
+        types = (pa.string(), pa.string(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-             pa.array([k[2] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())],
-            ["name", "parent", "label", "n"])
+            [*(pa.array([k[i] for k in keys], t) for i, t in enumerate(types)),
+             pa.array([counts[k] for k in keys], pa.int64())],
+            ["name", "tag", "parent", "label", "n"])
 
 
 def train(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> dict:
     """Potentials from about TRAIN_PAGES labelled pages, chosen by a hash of their id.
 
-    The counts are over a fixed set of names, so what comes to the driver is bounded. Without
-    labelled pages all potentials are even, and the markup alone decides.
+    The counts are over a fixed set of names and kinds, so what comes to the driver is bounded.
+    Without labelled pages the potentials hold no evidence and no page has content.
     """
     n = pages.count()
     share = min(1.0, TRAIN_PAGES / max(n, 1))
     some = pages.where(F.pmod(F.xxhash64(F.col(page_id).cast("string")), F.lit(1_000_000))
                        < int(share * 1_000_000))
     some = some.select(F.coalesce(F.col(html), F.lit("")).cast("binary").alias("html"))
-    rows = some.mapInArrow(_potential_counts, "name string, parent int, label int, n long").groupBy(
-        "name", "parent", "label").agg(F.sum("n").alias("n")).collect()
-    counts = {(r["name"], r["parent"], r["label"]): r["n"] for r in rows}
+    rows = some.mapInArrow(
+        _potential_counts, "name string, tag string, parent int, label int, n long").groupBy(
+        "name", "tag", "parent", "label").agg(F.sum("n").alias("n")).collect()
+    counts = Counter({(r["name"], r["tag"], r["parent"], r["label"]): r["n"] for r in rows})
+    every = Counter()  # over all kinds
+    for (name, _, parent, y), n in counts.items():
+        every[name, parent, y] += n
+    nodes = Counter()  # by kind and label; every node shows one size
+    for (name, tag, parent, y), n in counts.items():
+        if name.startswith("size "):
+            nodes[tag, y] += n
+            nodes[None, y] += n
     model: dict = {"emit": {}, "edge": {}}
-    total = [sum(n for (name, _, y), n in counts.items() if y == label and name.startswith("size "))
-             for label in (0, 1)]
-    for name in {k[0] for k in counts if k[1] < 0}:
-        model["emit"][name] = tuple(
-            (counts.get((name, -1, y), 0) + SMOOTH) / (total[y] + SMOOTH * 10) for y in (0, 1))
-    for name in {k[0] for k in counts if k[1] >= 0}:
+    for tag in _KNOWN | {"other"}:
+        for name in {k[0] for k in counts if k[0] != "edge"}:
+            model["emit"][name, tag] = tuple(
+                (counts[name, tag, -1, y] + BACK * (every[name, -1, y] + SMOOTH) / (nodes[None, y] + 10 * SMOOTH))
+                / (nodes[tag, y] + BACK) for y in (0, 1))
         edge = []
         for up in (0, 1):
-            c = [counts.get((name, up, y), 0) + SMOOTH for y in (0, 1)]
+            total = every["edge", up, 0] + every["edge", up, 1] + 2 * SMOOTH
+            c = [counts["edge", tag, up, y] + BACK * (every["edge", up, y] + SMOOTH) / total for y in (0, 1)]
             edge.append((c[0] / sum(c), c[1] / sum(c)))
-        model["edge"][name[5:]] = tuple(edge)
+        model["edge"][tag] = tuple(edge)
     return model
 
 
@@ -232,10 +243,10 @@ def marginals(page: Page, model: dict) -> list[float]:
     n, parent = len(page.tag), page.parent
     emit, edge = model["emit"], model["edge"]
     up = []
-    for shown in page.evidence():
+    for tag, shown in zip(page.tag, page.evidence()):
         a = b = 1.0
         for feature in shown:
-            e = emit.get(feature)
+            e = emit.get((feature, kind(tag)))
             if e:
                 a, b = a * e[0], b * e[1]
         s = a + b

@@ -4,8 +4,8 @@ Document rates start at one and are tilted as little as possible, in relative en
 each source meets its token target: rate = min(CAP, exp(lambda * size / mean size)). The convex dual
 is solved by safeguarded Newton steps: each step is one distributed sum over the histogram of
 sizes per source, and only the largest error comes back to the driver. Rates become copies by
-systematic rounding over the sizes of a source, and what is still missing or too much is settled
-with its shortest documents. Hashes decide which documents of equal size get a copy, so reruns agree.
+systematic rounding over the sizes of a source, and the few tokens that are then missing or too many
+are settled by single copies of fitting size. Hashes decide which documents of equal size get a copy, so reruns agree.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ WEIGHTS = (5, 2, 1)
 #: Tokens of the mix as a share of all tokens; most copies of a document.
 SHARE, CAP = 1.5, 2
 TOLERANCE, MOST_STEPS = 1e-7, 80
+#: Copies per source that are moved one by one after rounding.
+MOVES = 5
 #: Rows of equal source and size that are ranked in one group.
 RANKED = 512
 
@@ -102,6 +104,22 @@ def solve(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     return state
 
 
+def _closer(x: DataFrame) -> DataFrame:
+    """Give or take one copy per source where that brings its tokens nearer to the target.
+
+    ``x`` has a row per source and size; the size that leaves the least error is taken.
+    """
+    left = x.groupBy("key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
+    room = F.when(F.col("left") > 0, F.col("n") * CAP - F.col("copies")).otherwise(F.col("copies"))
+    moves = x.join(left, "key").where((room > 0) & (F.col("size") > 0)).withColumn(
+        "after", F.abs(F.abs("left") - F.col("size"))).where(F.col("after") < F.abs("left"))
+    best = moves.groupBy("key").agg(F.min(F.struct(
+        "after", "size", F.signum("left").cast("long").alias("sign"))).alias("m"))
+    best = best.select(F.col("key").alias("_key"), F.col("m.size").alias("_size"), F.col("m.sign").alias("_sign"))
+    return x.join(best, (x.key == best["_key"]) & (x["size"] == best["_size"]), "left").withColumn(
+        "copies", F.col("copies") + F.coalesce("_sign", F.lit(0))).select(x.columns)
+
+
 def plan(docs: DataFrame, text: str = "text", source: str = "source",
          id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows, copies): each row's id, key, size, h, and the copies of each (key, size).
@@ -126,18 +144,9 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source",
     x = x.withColumn("copies", F.col("n") * F.col("whole") + F.floor(F.col("c") + 0.5)
                      - F.floor(F.col("c") - F.col("extra") + 0.5))
     x = x.withColumn("copies", F.least(F.greatest("copies", F.lit(0)), F.col("n") * CAP))
-    left = F.round(F.col("target") - F.sum(F.col("copies") * F.col("size")).over(
-        Window.partitionBy("key"))).cast("long")
-    x = stored(x.withColumn("left", left).select("key", "size", "n", "copies", "source_size",
-                                                 "target", "left"), "rounded")
-    room = F.when(F.col("size") == 0, F.lit(0)).when(
-        F.col("left") > 0, F.col("n") * CAP - F.col("copies")).otherwise(F.col("copies"))
-    rising = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("room", room)
-    x = x.withColumn("used", F.coalesce(F.sum(F.col("room") * F.col("size")).over(rising), F.lit(0)))
-    moved = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("room"), F.floor(
-        (F.abs("left") - F.col("used")) / F.col("size"))))).otherwise(0)
-    x = x.withColumn("copies", F.col("copies") + F.signum("left").cast("long") * moved)
+    x = x.select("key", "size", "n", "copies", "source_size", "target")
+    for _ in range(MOVES):
+        x = _closer(stored(x, "rounded"))
     x = x.select("key", "size", "n", "source_size", "target",
                  F.floor(F.col("copies") / F.col("n")).alias("base"),
                  (F.col("copies") % F.col("n")).alias("more"))

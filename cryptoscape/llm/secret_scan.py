@@ -104,8 +104,12 @@ def digest(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The rows of ``docs`` with every reported span replaced by ``mark``; overlaps become one mark."""
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]",
+           length: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with every reported span replaced by ``mark``.
+
+    Overlapping spans become one mark. A column ``length``, if there is one, follows changed texts.
+    """
     found = scan_secrets(docs, text)
     found = bound(found, body=F.col("row")[text])
 
@@ -120,7 +124,11 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         F.array_join(F.transform("spans", cut), ""), F.substring(F.col("body"), end + 1, F.length("body"))
     )).otherwise(F.col("body"))
     found = bound(found, fresh=new)
-    return found.select(*((F.col("fresh") if c == text else F.col("row")[c]).alias(c) for c in docs.columns))
+    made = {text: F.col("fresh")}
+    if length in docs.columns:
+        made[length] = F.when(F.size("spans") > 0, F.length("fresh")).otherwise(
+            F.col("row")[length]).cast(docs.schema[length].dataType)
+    return found.select(*(made.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,6 +199,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _marked(docs: DataFrame, keep: tuple[str, ...], width: int, most: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots): the columns in ``keep`` with fp for every row, and the root of every fp."""
+    rows = stored(fingerprints(docs, width, text, keep), "fingerprints")
+    nodes = rows.select("fp").distinct()
+    roots = components(links(nodes, most))
+    return rows, stored(nodes.join(roots, nodes.fp == roots.node, "left").select(
+        nodes.fp, F.coalesce("root", nodes.fp).alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, text: str = "text",
                     id_column: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: its id, fp and component_id, the smallest id it reaches.
@@ -207,15 +216,38 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, text: str =
     with a null id are nodes like any other and get their component's smallest id that is not
     null, or null if there is none. Repeated rows are repeated. Other columns are ignored.
     """
-    marked = stored(fingerprints(docs, width, text, (id_column,)), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min(id_column).alias("first"))
-    roots = components(links(nodes.select("fp"), most))
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        nodes.fp, "first", F.coalesce("root", nodes.fp).alias("root"))
-    grouped = stored(grouped, "grouped")
+    rows, roots = _marked(docs, (id_column,), width, most, text)
+    first = rows.groupBy("fp").agg(F.min(id_column).alias("first"))
+    grouped = stored(first.join(roots, "fp"), "grouped")
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     known = grouped.join(smallest, "root").select("fp", "component_id")
-    return marked.join(known, "fp").select(id_column, "fp", "component_id")
+    return rows.join(known, "fp").select(id_column, "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, text: str = "text",
+                         id_column: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without near duplicates, with all their columns.
+
+    Of each component the row with the smallest id stays (null ids last, then by a hash of the
+    text); of rows with equal id and text, one. A table of what goes is joined, so texts are not
+    kept anywhere else.
+    """
+    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keyed = docs.select(F.col(id_column).alias("_id"), h.alias("_h"), F.col(text).alias("_text"))
+    rows, roots = _marked(keyed, ("_id", "_h"), width, most, "_text")
+    per_key = rows.join(roots, "fp").groupBy("root", "_id", "_h").agg(F.count("*").alias("_n"))
+    per_key = stored(per_key, "keys").withColumn("_rank", F.struct(
+        F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_h").alias("h")))
+    best = per_key.groupBy("root").agg(F.min("_rank").alias("_best"))
+    fate = stored(per_key.join(best, "root").select(
+        "_id", "_h", (F.col("_rank") == F.col("_best")).alias("_stays"), "_n").where(
+        "not _stays or _n > 1"), "fates").withColumnRenamed("_h", "_of")
+    whole = docs.select(F.struct("*").alias("row"), h.alias("_h"))
+    met = whole.join(fate, F.col(f"row.{id_column}").eqNullSafe(F.col("_id"))
+                     & (F.col("_h") == F.col("_of")), "left")
+    single = met.where("_stays is null").select("row.*")
+    again = met.where("_stays").dropDuplicates(["_id", "_h"]).select("row.*")
+    return single.union(again)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,10 +43,8 @@ ADDRESS = frozenset(
 
 
 def edits(term: str, stem: bool) -> int:
-    """Spelling errors that a term allows."""
-    if stem:
-        return 0 if len(term) < 7 else 1
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+    """Spelling errors that a term allows; a stem with errors would start too many words."""
+    return 0 if stem or len(term) < 5 else 1 if len(term) < 8 else 2
 
 
 class Lexicon:
@@ -136,7 +134,7 @@ class Lexicon:
         return best
 
 
-FEATURES = 8
+FEATURES = 9
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
@@ -161,18 +159,19 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
         near = words[max(0, i - CONTEXT):i] + words[i + 1:i + 1 + CONTEXT]
         quoted = (open_quotes % 2 == 1) + 0.5 * any(w in REPORTING for w in near)
         address = any(w in ADDRESS for w in near)
-        weight = lexicon.terms[term][2] / (1.0 + errors)
-        abuse = weight / (1.0 + quoted) * (1.25 if address else 1.0)
+        _, stem, weight = lexicon.terms[term]
+        abuse = weight / (1.0 + errors) / (1.0 + quoted) * (1.25 if address else 1.0)
         terms.add(term)
-        out[0] += abuse if errors == 0 else 0.0
-        out[1] += abuse if errors else 0.0
-        out[2] += weight if quoted else 0.0
-        out[3] += address
-        out[4] = max(out[4], abuse)
-    out[5] = float(len(terms))
-    out[6] = len(hits) / (len(words) + 20.0)
-    out[7] = 1.0
-    return [math.log1p(v) for v in out[:7]] + [1.0]
+        # whole words, misspelled words and stems apart: a stem can turn up by chance
+        out[2 if stem else 1 if errors else 0] += abuse
+        out[3] += 0.0 if stem else abuse
+        out[4] += abuse if stem else 0.0
+        out[5] += weight if quoted else 0.0
+        out[6] += address
+    per_100 = 100.0 / (len(words) + 20.0)
+    out[3], out[4] = out[3] * per_100, out[4] * per_100
+    out[7], out[8] = float(len(terms)), 1.0
+    return [math.log1p(v) for v in out[:8]] + [1.0]
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -231,7 +230,7 @@ def learn_terms(train: DataFrame) -> list[tuple[str, bool, float]]:
         F.desc("g2"), F.desc(F.length("term")), "term", "stem").limit(10 * TERMS)
     chosen: list[tuple[str, bool, float]] = []
     for r in best.collect():
-        alike = any(r["term"].startswith(t) if s else r["stem"] and t.startswith(r["term"])
+        alike = any((s and r["term"].startswith(t)) or (r["stem"] and t.startswith(r["term"]))
                     for t, s, _ in chosen)
         if not alike and len(chosen) < TERMS:
             chosen.append((r["term"], r["stem"], math.log(r["ratio"])))
