@@ -25,8 +25,9 @@ CONFIG_SUFFIXES = (
     ".json", ".yaml", ".yml", ".toml", ".cfg", ".ini", ".conf", ".env", ".sh", ".bash",
 )
 
-# Fixed value: larger files are not scanned.
+# The usual limits for the size filter and for the binary test.
 MAX_FILE_BYTES = 1_000_000
+PROBE_BYTES = 8192
 
 _EXCLUDED = "|".join([re.escape(d) for d in EXCLUDED_DIRS] + [r"[^/]*\.egg-info"])
 

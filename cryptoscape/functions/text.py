@@ -37,25 +37,36 @@ def decode(content: Column, dtype: T.DataType) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def is_binary(content: Column, dtype: T.DataType) -> Column:
-    """True when the first 8192 bytes hold a NUL."""
+def is_binary(content: Column, dtype: T.DataType, probe_bytes: int | None = None) -> Column:
+    """True when the content, or its first ``probe_bytes``, holds a NUL."""
     raw = content.cast("binary") if isinstance(dtype, T.StringType) else content
-    return F.contains(F.substring(raw, 1, 8192), F.unhex(F.lit("00")))
+    probed = raw if probe_bytes is None else F.substring(raw, 1, probe_bytes)
+    return F.contains(probed, F.unhex(F.lit("00")))
 
 
 def split_lines(text: str) -> str:
     """SQL for the array of lines, without line ends and without a last empty line.
 
-    Text with '\\n' only is split on that literal. A search for each of the other
-    breaks is several times faster than one regex for all of them.
+    Text with '\\n' only is split on that literal, and so is text that has only
+    Windows line ends besides. A search for each of the other breaks is several
+    times faster than one regex for all of them.
     """
     whole, last = quote(LINE_BREAK), quote(rf"(?:{LINE_BREAK})\z")
-    rare = " OR ".join(f"contains({text}, {quote(c)})" for c in _RARE_BREAKS)
+
+    def rare(t: str) -> str:
+        return " OR ".join(f"contains({t}, {quote(c)})" for c in _RARE_BREAKS)
+
+    def plain(t: str) -> str:
+        return (f"CASE WHEN endswith({t}, '\\n') THEN split(left({t}, length({t}) - 1), '\\n', -1)"
+                f" ELSE split({t}, '\\n', -1) END")
+
+    # A break before such a line end is a break of its own: "\\r\\r\\n" is two.
+    unix = f"replace({text}, '\\r\\n', '\\n')"
     return (
         f"CASE WHEN {text} = '' THEN CAST(array() AS array<string>)"
-        f" WHEN {rare} THEN split(regexp_replace({text}, {last}, ''), {whole}, -1)"
-        f" WHEN endswith({text}, '\\n') THEN split(left({text}, length({text}) - 1), '\\n', -1)"
-        f" ELSE split({text}, '\\n', -1) END")
+        f" WHEN NOT ({rare(text)}) THEN {plain(text)}"
+        f" WHEN contains({text}, '\\r\\n') AND NOT ({rare(unix)}) THEN {plain(unix)}"
+        f" ELSE split(regexp_replace({text}, {last}, ''), {whole}, -1) END")
 
 
 def count_breaks(text: str) -> str:

@@ -31,7 +31,9 @@ def baseline_entries(findings: DataFrame) -> DataFrame:
 
 
 def load_baseline(spark: SparkSession, path: str, repo: str) -> DataFrame:
-    """Entries of a baseline document; ``ord`` is the place in it.
+    """Entries of one baseline document, as other tools keep them; ``ord`` is the place in it.
+
+    The document is read by one task; baselines of any size are kept as lines.
 
     A missing file, invalid JSON or a missing key is an error.
     """
@@ -47,17 +49,58 @@ def load_baseline(spark: SparkSession, path: str, repo: str) -> DataFrame:
     ).select("repo", "ord", "e.*")
 
 
+def write_baseline(findings: DataFrame, repos: DataFrame, path: str, tool_version: str,
+                   generated_at: str, commit: str | None = None) -> None:
+    """Write the baselines of all repositories as JSON lines: a header for each, and its entries.
+
+    Lines are spread over files; ``load_baselines`` reads them in parallel.
+    """
+    entries = baseline_entries(findings)
+    heads = repos.select("repo").join(
+        entries.groupBy("repo").agg(F.count("*").alias("findings_count")), "repo", "left"
+    ).na.fill(0, ["findings_count"]).select(
+        "repo", F.lit(BASELINE_VERSION).alias("baseline_version"),
+        F.lit(tool_version).alias("tool_version"), F.lit(generated_at).alias("generated_at"),
+        F.lit(commit).cast("string").alias("commit"), "findings_count")
+    entries.unionByName(heads, allowMissingColumns=True).write.json(path)
+
+
+def load_baselines(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of baselines that ``write_baseline`` wrote, read line by line.
+
+    A repository without its header, with several, or with another number of
+    entries than its header says is an error, as is a line that is no JSON.
+    """
+    schema = (_ENTRY.replace(":", " ") + ", repo string, baseline_version string, tool_version string, "
+              "generated_at string, commit string, findings_count bigint, _corrupt string")
+    lines = spark.read.schema(schema).json(path, columnNameOfCorruptRecord="_corrupt")
+    lines = lines.where(F.assert_true(
+        F.col("_corrupt").isNull(), F.lit("a baseline line is no JSON")).isNull())
+    is_head = F.col("baseline_version").isNotNull() & F.col("generated_at").isNotNull()
+    counts = lines.groupBy("repo").agg(
+        F.count_if(is_head).alias("heads"), F.max("findings_count").alias("said"),
+        F.count_if(F.col("hash").isNotNull()).alias("there"))
+    good = (F.col("heads") == 1) & F.coalesce(F.col("said") == F.col("there"), F.lit(False))
+    checked = counts.where(F.assert_true(good, F.concat(
+        F.lit("incomplete baseline of "), "repo")).isNull()).select("repo")
+    return lines.where(F.col("hash").isNotNull()).join(checked, "repo", "left_semi").select(
+        "repo", "hash", "file", "line", "algorithm", "risk", "severity", "source")
+
+
 def diff_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Full outer join of findings and baseline entries on (repo, hash).
 
     ``diff_class`` is new, worsened, unchanged or resolved. Resolved rows bring
-    their columns from the baseline. Of equal hashes in a baseline the last
-    (largest ``ord``, where there is one) counts.
+    their columns from the baseline. Of equal hashes in a baseline with ``ord``
+    the last counts; one without ``ord`` has each hash once, as
+    ``baseline_entries`` gives it.
     """
     entry = F.struct("file", "line", "algorithm", "risk",
                      F.coalesce("severity", F.lit("medium")).alias("severity"), "source")
-    place = F.col("ord") if "ord" in baseline.columns else F.lit(0)
-    before = baseline.groupBy("repo", "hash").agg(F.max_by(entry, place).alias("b"))
+    if "ord" in baseline.columns:
+        before = baseline.groupBy("repo", "hash").agg(F.max_by(entry, "ord").alias("b"))
+    else:
+        before = baseline.select("repo", "hash", entry.alias("b"))
     now = current.drop("diff_status").withColumn("hash", finding_hash())
     joined = now.withColumn("in_scan", F.lit(True)).join(before, ["repo", "hash"], "full_outer")
     worse = severity_index("severity") < severity_index("b.severity")
@@ -87,9 +130,13 @@ def reported(diff: DataFrame) -> DataFrame:
     return diff.where(F.col("diff_class").isin("new", "worsened"))
 
 
-def diff_summary(diff: DataFrame) -> DataFrame:
-    """Counts of the four classes per repository, and whether there is new debt."""
-    counts = [F.count_if(F.col("diff_class") == c).alias(c)
-              for c in ("new", "worsened", "resolved", "unchanged")]
-    return diff.groupBy("repo").agg(*counts).withColumn(
-        "has_new_debt", F.col("new") + F.col("worsened") > 0)
+def diff_summary(diff: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Counts of the four classes per repository, and whether there is new debt.
+
+    ``repos`` lists all repositories; one without findings on either side counts zeros.
+    """
+    names = ["new", "worsened", "resolved", "unchanged"]
+    counts = diff.groupBy("repo").agg(*[F.count_if(F.col("diff_class") == c).alias(c) for c in names])
+    if repos is not None:
+        counts = repos.select("repo").join(counts, "repo", "left").na.fill(0, names)
+    return counts.withColumn("has_new_debt", F.col("new") + F.col("worsened") > 0)

@@ -34,24 +34,22 @@ SEVERITY = {
     ("PARTIAL", "medium"): ("medium", "low"),
     ("PARTIAL", "low"): ("low", "low"),
 }
+# The level of a result by its severity.
 SARIF_LEVEL = {"critical": "error", "high": "error", "medium": "warning", "low": "note",
                "info": "note"}
 
-# Catalogues come from the driver; one with more rows than this is not broadcast by hint.
-_BROADCAST_ROWS = 100_000
-
 
 def _join_catalogue(findings: DataFrame, algorithms: dict[str, Algorithm],
                     *columns: Column) -> DataFrame:
+    # A local relation: its size decides whether the join broadcasts it.
     catalogue = algorithms_df(findings.sparkSession, algorithms).select("algorithm_id", *columns)
-    if len(algorithms) <= _BROADCAST_ROWS:
-        catalogue = F.broadcast(catalogue)
     return findings.join(catalogue, "algorithm_id", "left")
 
 
 def classify(findings: DataFrame,
-             algorithms: dict[str, Algorithm] | str | os.PathLike | None = None) -> DataFrame:
-    """Add name, type, risk, reason and replacement of the algorithm.
+             algorithms: dict[str, Algorithm] | str | os.PathLike | None = None,
+             more: tuple[str, ...] = ()) -> DataFrame:
+    """Add name, type, risk, reason and replacement of the algorithm, and ``more`` of its columns.
 
     An algorithm outside the catalogue is kept with risk UNKNOWN. A catalogue
     that cannot be read gives no rows.
@@ -63,7 +61,7 @@ def classify(findings: DataFrame,
         catalogue, findings = load_algorithms(), findings.where(F.lit(False))
     joined = _join_catalogue(
         findings, catalogue, F.col("name").alias("algorithm_name"),
-        F.col("type").alias("algorithm_type"), "quantum_risk", "reason", "replacement")
+        F.col("type").alias("algorithm_type"), "quantum_risk", "reason", "replacement", *more)
     return joined.withColumns({
         "algorithm_name": F.coalesce("algorithm_name", "algorithm_id"),
         "algorithm_type": F.coalesce("algorithm_type", F.lit("unknown")),
@@ -122,4 +120,8 @@ def sarif_level(severity: str) -> Column:
 
 def assess(findings: DataFrame, algorithms: dict[str, Algorithm] | None = None) -> DataFrame:
     """Classified findings with context, confidence and severity."""
-    return enrich_severity(enrich_findings(classify(findings, algorithms)))
+    if algorithms is not None:
+        return enrich_severity(enrich_findings(classify(findings, algorithms)))
+    # With the bundled catalogue one join brings everything.
+    found = enrich_findings(classify(findings, more=("category", "remediation")))
+    return found.withColumn("severity", severity_of("quantum_risk", "confidence", "context"))

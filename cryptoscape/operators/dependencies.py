@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 
 from cryptoscape.functions.text import bind, quote, strip
 from cryptoscape.operators.manifests import packages_of
@@ -30,16 +31,25 @@ def dependency_hits(kind: str, text: str, libraries: dict[str, Library] | None =
     ``ord_a`` is the position of the package and ``ord_b`` of the algorithm in
     what its library exposes.
     """
-    known = {name: {"name": lib.package_name, "text": lib.description, "exposes": lib.exposes}
-             for name, lib in library_lookup(libraries).items()}
-    table = (f"from_json({quote(json.dumps(known))}, "
-             "'map<string,struct<name:string,text:string,exposes:array<string>>>')")
+    known = library_lookup(libraries)
+    slots: list[list[dict]] = [[] for _ in range(2 * len(known) + 1)]
+    for name, lib in known.items():
+        slots[zlib.crc32(name.encode()) % len(slots)].append(
+            {"key": name, "name": lib.package_name, "text": lib.description, "exposes": lib.exposes})
+    table = (f"from_json({quote(json.dumps(slots))}, 'array<array<struct<"
+             "key:string,name:string,text:string,exposes:array<string>>>>')")
+
+    def found(name: str) -> str:
+        """The library of a name; a slot of the literal table holds one or two."""
+        slot = f"get({table}, cast(crc32(cast(key AS binary)) % {len(slots)} AS int))"
+        return bind(f"lower({strip(name)})", "key", f"get(filter({slot}, s -> s.key = key), 0)")
+
     exposed = (
         "transform(lib.exposes, (algorithm, j) -> named_struct('line_number', p.line_number, "
         "'algorithm_id', algorithm, 'ord_a', i, 'ord_b', j, "
         "'matched_text', lib.name, 'line_text', lib.text))")
-    library = f"try_element_at({table}, lower({strip('p.package')}))"
-    is_known = f"map_contains_key({table}, lower({strip('name')}))"
+    library = found("p.package")
+    is_known = f"{found('name')} IS NOT NULL"
     packages = packages_of(kind, text, is_known)
     per_package = f"transform({packages}, (p, i) -> {bind(library, 'lib', exposed)})"
     hits = f"sort_array(flatten(filter({per_package}, h -> h IS NOT NULL)))"

@@ -39,8 +39,9 @@ def with_size(files: DataFrame) -> DataFrame:
     return files.withColumn("size", F.octet_length("content").cast("bigint"))
 
 
-def small_enough() -> Column:
-    return F.col("size") <= paths.MAX_FILE_BYTES
+def small_enough(max_bytes: int | None) -> Column:
+    """The size filter; without a limit every file passes."""
+    return F.lit(True) if max_bytes is None else F.col("size") <= max_bytes
 
 
 def in_class(name: str, suffix: str) -> str:
@@ -73,32 +74,34 @@ def manifest_kind() -> Column:
     return F.when(name.isin(*MANIFESTS) & ~paths.in_excluded_dir(F.col("path")), name)
 
 
-def select_files(files: DataFrame, suffixes: tuple[str, ...] | None = None) -> DataFrame:
-    """Files worth a scan: known suffix, no excluded directory, at most 1,000,000 bytes."""
+def select_files(files: DataFrame, suffixes: tuple[str, ...] | None = None,
+                 max_bytes: int | None = None) -> DataFrame:
+    """Files worth a scan: known suffix, no excluded directory, at most ``max_bytes``."""
     wanted = suffixes or paths.SOURCE_SUFFIXES + paths.CONFIG_SUFFIXES
     return with_size(files).where(
         paths.file_suffix(F.col("path")).isin(*wanted)
-        & ~paths.in_excluded_dir(F.col("path")) & small_enough())
+        & ~paths.in_excluded_dir(F.col("path")) & small_enough(max_bytes))
 
 
-def select_text_files(files: DataFrame) -> DataFrame:
+def select_text_files(files: DataFrame, max_bytes: int | None = None,
+                      probe_bytes: int | None = None) -> DataFrame:
     """Source files that are not binary."""
     dtype = files.schema["content"].dataType
-    return select_files(files, paths.SOURCE_SUFFIXES).where(
-        ~text.is_binary(F.col("content"), dtype))
+    return select_files(files, paths.SOURCE_SUFFIXES, max_bytes).where(
+        ~text.is_binary(F.col("content"), dtype, probe_bytes))
 
 
-def select_manifests(files: DataFrame) -> DataFrame:
-    return with_size(files).where(manifest_kind().isNotNull() & small_enough())
+def select_manifests(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    return with_size(files).where(manifest_kind().isNotNull() & small_enough(max_bytes))
 
 
-def select_config_files(files: DataFrame) -> DataFrame:
+def select_config_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Configuration files; a file named like an excluded directory (``.env``) counts."""
     name, suffix = paths.file_name(F.col("path")), paths.file_suffix(F.col("path"))
     wanted = (name.isin(*CONFIG_NAMES) | paths.is_env_file(name)
               | suffix.isin(*CONFIG_FILE_SUFFIXES))
     return with_size(files).where(
-        wanted & ~paths.in_excluded_parent(F.col("path")) & small_enough())
+        wanted & ~paths.in_excluded_parent(F.col("path")) & small_enough(max_bytes))
 
 
 def file_lines(files: DataFrame) -> DataFrame:
@@ -116,10 +119,11 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
 
 
-def count_files(files: DataFrame) -> DataFrame:
+def count_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Files that a scan looks at, per repository; a repository without any counts 0."""
-    counted = with_size(files).select(
+    sized = files if max_bytes is None else with_size(files)
+    counted = sized.select(
         "repo",
         (paths.file_suffix(F.col("path")).isin(*paths.SOURCE_SUFFIXES, *paths.CONFIG_SUFFIXES)
-         & ~paths.in_excluded_dir(F.col("path")) & small_enough()).alias("scanned"))
+         & ~paths.in_excluded_dir(F.col("path")) & small_enough(max_bytes)).alias("scanned"))
     return counted.groupBy("repo").agg(F.count_if("scanned").alias("total_files_scanned"))

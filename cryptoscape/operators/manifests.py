@@ -1,8 +1,7 @@
 """Package names and line numbers out of the text of dependency manifests.
 
-Every extractor is an array expression over one file's lines: a manifest has at
-most 1,000,000 bytes, so its section state needs no window and no shuffle. The
-result is ``array<struct<package, line_number>>`` in the order of extraction.
+Every extractor is an array expression over one file's lines, so its section
+state needs no window and no shuffle. The result is ``array<struct<package, line_number>>`` in the order of extraction.
 The expressions are SQL text over ``rows``, the array of ``struct<no, raw, line>``
 with the number, the text and the stripped text of each line.
 """
@@ -42,11 +41,10 @@ def packages_of(kind: str, text: str, is_wanted: str = "true") -> str:
             f"{bind(numbered, 'rows', f'CASE {kind} {branches} END')} END AS {PACKAGES_TYPE})")
 
 
-def extract_packages(files: DataFrame) -> DataFrame:
+def extract_packages(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``repo, path, pkg_ord, package, line_number`` for every manifest in the corpus."""
-    text = F.replace(tx.decode(F.col("content"), files.schema["content"].dataType),
-                     F.lit("\r\n"), F.lit("\n"))
-    manifests = select_manifests(files).select(
+    text = tx.decode(F.col("content"), files.schema["content"].dataType)
+    manifests = select_manifests(files, max_bytes).select(
         "repo", "path", manifest_kind().alias("kind"), text.alias("text"))
     return manifests.select(
         "repo", "path", F.posexplode(F.expr(packages_of("kind", "text"))).alias("pkg_ord", "p")
@@ -163,33 +161,31 @@ def _gradle() -> str:
 
 
 def _package_json(text: str, is_wanted: str) -> str:
-    """Keys of the dependency objects; the line is the first one with the quoted key."""
-    keys = ", ".join(
-        f"coalesce(array_distinct(json_object_keys(get_json_object({text}, '$.{s}'))), "
-        f"CAST(array() AS array<string>))" for s in _JSON_SECTIONS)
+    """Keys of the dependency objects; the line is the first one with the quoted key.
+
+    Of repeated sections the last counts; a repeated key counts once, at its first place.
+    """
+    def section(name: str) -> str:
+        last = f"try_element_at(filter(map_entries(whole), e -> e.key = '{name}'), -1).value"
+        keys = f"array_distinct(map_keys(from_json({last}, 'map<string,string>', {_JSON_OPTIONS})))"
+        return f"coalesce({keys}, CAST(array() AS array<string>))"
+
+    keys = f"concat({', '.join(map(section, _JSON_SECTIONS))})"
     needle = "concat('\"', name, '\"')"
     above = f"substring_index({text}, {needle}, 1)"
     line = (f"CASE WHEN {is_wanted} AND contains({text}, {needle}) "
             f"AND NOT name RLIKE {quote(tx.LINE_BREAK)} "
             f"THEN {bind(above, 'above', tx.count_breaks('above'))} + 1 END")
-    packages = (f"transform(concat({keys}), name -> "
+    packages = (f"transform({keys}, name -> "
                 f"named_struct('package', name, 'line_number', {line}))")
-    return f"CASE WHEN {_is_json(text)} THEN {packages} ELSE {_NONE} END"
+    # In an array, text after the object is an error too.
+    document = f"from_json(concat('[', {text}, '\\n]'), 'array<map<string,string>>', {_JSON_OPTIONS})"
+    whole = f"CASE WHEN size({document}) = 1 THEN get({document}, 0) END"
+    return bind(whole, "whole", f"CASE WHEN whole IS NOT NULL THEN {packages} ELSE {_NONE} END")
 
 
-def _is_json(text: str) -> str:
-    """Exactly one strictly valid JSON value.
-
-    Variants refuse duplicate keys, which JSON allows, so a lenient parse that
-    finds duplicates counts too.
-    """
-    wrapped = f"concat('[', {text}, '\\n]')"
-    objects = [text, *(f"get_json_object({text}, '$.{s}')" for s in _JSON_SECTIONS)]
-    repeats = " OR ".join(
-        f"coalesce(size(array_distinct(json_object_keys({o}))) < size(json_object_keys({o})), false)"
-        for o in objects)
-    return (f"json_array_length({wrapped}) = 1 "
-            f"AND (try_parse_json({wrapped}) IS NOT NULL OR {repeats})")
+# NaN and the infinities are numbers; single quotes are not quotes.
+_JSON_OPTIONS = "map('allowNonNumericNumbers', 'true', 'allowSingleQuotes', 'false')"
 
 
 def _extractors() -> dict[str, str]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -24,10 +23,6 @@ _SEPARATOR = "[-_ ]?"
 _BOUNDED_LETTER = "(?iu){}(?<![a-zA-Z0-9].){}(?![a-zA-Z0-9])"
 
 
-# Above this many terms a catalogue is grouped by first letters, in one pass over it.
-_MANY_TERMS = 500
-
-
 @dataclass(frozen=True)
 class Pattern:
     """One regex of a rule. ``words`` are literals every matching line holds."""
@@ -110,47 +105,37 @@ def _compiles(spark: SparkSession, pattern: str) -> bool:
 def guard_terms(word_sets: list[tuple[str, ...]]) -> list[tuple[str, ...]] | None:
     """Fewest AND-terms whose OR holds wherever one of the word sets holds.
 
-    A term is dropped when a shorter one holds wherever it does ("rsa" covers
-    "rsa" + "generate"). None when some set is empty: no guard is possible.
+    A term is dropped when a shorter one-word term holds wherever it does ("rsa"
+    covers "rsa" + "generate"). None when some set is empty: no guard is possible.
     """
     if any(not words for words in word_sets):
         return None
-    kept: list[tuple[str, ...]] = []
-    if len(set(word_sets)) > _MANY_TERMS:
-        return sorted(set(word_sets))
-    for term in sorted(set(word_sets), key=lambda t: (sum(map(len, t)), t)):
-        if not any(all(any(w in v for v in term) for w in other) for other in kept):
-            kept.append(term)
-    return kept
+    short = {t[0] for t in word_sets if len(t) == 1}
+    pieces = {w[i:j] for t in set(word_sets) for w in t
+              for i in range(len(w)) for j in range(i + 1, len(w) + 1)} & short
+
+    def covered(term: tuple[str, ...]) -> bool:
+        """A one-word term stands inside a word of this one."""
+        return any(w[i:j] in pieces and (w[i:j],) != term for w in term
+                   for i in range(len(w)) for j in range(i + 1, len(w) + 1))
+
+    return sorted(t for t in set(word_sets) if not covered(t))
 
 
 def guard_groups(bits: int, word_sets: list[tuple[str, ...]]) -> list[dict]:
     """Guard terms of the files with one of the class bits, as groups.
 
-    Terms that share three letters are one group behind one test of those
+    Terms whose first words start alike are one group behind one test of those
     letters, so text without any of them costs few searches.
     """
     terms = guard_terms(word_sets)
     if terms is None:
         return [{"bits": bits, "letters": "", "terms": [_term(())]}]
-    groups = []
-    if len(terms) > _MANY_TERMS:
-        by_start: dict[str, list[tuple[str, ...]]] = {}
-        for t in terms:
-            by_start.setdefault(t[0][:3], []).append(t)
-        return [{"bits": bits, "letters": start, "terms": [_term(t) for t in held]}
-                for start, held in by_start.items()]
-    while terms:
-        shared = Counter(g for t in terms for g in {w[i:i + 3] for w in t
-                                                    for i in range(len(w) - 2)})
-        letters, count = min(shared.items(), key=lambda kv: (-kv[1], kv[0]), default=("", 0))
-        if count < 2:
-            groups += [{"bits": bits, "letters": t[0], "terms": [_term(t[1:])]} for t in terms]
-            break
-        held = [t for t in terms if any(letters in w for w in t)]
-        terms = [t for t in terms if t not in held]
-        groups.append({"bits": bits, "letters": letters, "terms": [_term(t) for t in held]})
-    return groups
+    by_start: dict[str, list[tuple[str, ...]]] = {}
+    for t in terms:
+        by_start.setdefault(t[0][:3], []).append(t)
+    return [{"bits": bits, "letters": start, "terms": [_term(t) for t in held]}
+            for start, held in by_start.items()]
 
 
 def _term(words: tuple[str, ...]) -> dict[str, str]:
@@ -177,25 +162,47 @@ _TERMS_TYPE = "array<struct<a:string,b:string>>"
 _GROUPS_TYPE = f"array<struct<bits:int,letters:string,terms:{_TERMS_TYPE}>>"
 _RULES_TYPE = (
     f"array<struct<algorithm_id:string,source:string,bits:int,terms:{_TERMS_TYPE},"
-    "patterns:array<struct<ord:int,bit:int,word:string,regex:string,line_text:string>>>>"
+    "patterns:array<struct<ord:int,place:int,bit:int,word:string,line_text:string>>>>"
 )
 
 
 def rules_literal(patterns: list[Pattern]) -> str:
-    """SQL literal of the patterns: a rule per (source, algorithm), in order."""
+    """SQL literal of the patterns: a rule per (source, algorithm), in order.
+
+    ``place`` orders the findings of a line: by algorithm in source, where its
+    patterns stand together, and by pattern in configuration.
+    """
     rules: dict[tuple[str, str], list[tuple[int, Pattern]]] = {}
+    first: dict[str, int] = {}
     for i, p in enumerate(patterns):
         rules.setdefault((p.source, p.algorithm_id), []).append((i, p))
+        first.setdefault(p.source, i)
+    place = {key: n for n, key in enumerate(k for k in rules if k[0] == "source_code")}
     rows = [{
         "source": source, "algorithm_id": algorithm_id,
         "bits": sum({CLASS_BIT[p.file_class] for _, p in numbered}),
         "terms": [_term(t) for t in guard_terms([p.words for _, p in numbered]) or [()]],
-        "patterns": [{"ord": i, "bit": CLASS_BIT[p.file_class], "word": (*p.words, "")[0],
-                      "regex": p.regex, "line_text": p.line_text} for i, p in numbered],
+        "patterns": [{"ord": i, "place": place.get((source, algorithm_id), i - first[source]),
+                      "bit": CLASS_BIT[p.file_class], "word": (*p.words, "")[0],
+                      "line_text": p.line_text} for i, p in numbered],
     } for (source, algorithm_id), numbered in rules.items()]
     return f"from_json({quote(json.dumps(rows))}, {quote(_RULES_TYPE)})"
 
 
+def by_ord(patterns: list[Pattern], ord_: str, leaf) -> str:
+    """SQL that picks ``leaf(pattern)`` by a pattern's number, by halves.
+
+    The leaves hold literal regexes, which are compiled once and not for each line.
+    """
+    def pick(low: int, high: int) -> str:
+        if high - low == 1:
+            return leaf(patterns[low])
+        middle = (low + high) // 2
+        return f"IF({ord_} < {middle}, {pick(low, middle)}, {pick(middle, high)})"
+
+    return pick(0, len(patterns))
+
+
 def line_hits(patterns: list[Pattern], line: str, folded: str, mask: str) -> str:
     """SQL for the first matching pattern of every rule that matches the line.
 
@@ -203,8 +210,9 @@ def line_hits(patterns: list[Pattern], line: str, folded: str, mask: str) -> str
     """
     possible = (f"filter({rules_literal(patterns)}, r -> {mask} & r.bits <> 0 AND "
                 f"{_some_term('r.terms', folded)})")
+    found = by_ord(patterns, "p.ord", lambda p: f"{line} RLIKE {quote(p.regex)}")
     matching = (f"filter(r.patterns, p -> {mask} & p.bit <> 0 AND contains({folded}, p.word) "
-                f"AND {line} RLIKE p.regex)")
+                f"AND {found})")
     tried = (f"transform({possible}, r -> named_struct('algorithm_id', r.algorithm_id, "
              f"'source', r.source, 'hit', get({matching}, 0)))")
     return f"filter({tried}, r -> r.hit IS NOT NULL)"

@@ -21,8 +21,8 @@ from cryptoscape.functions.scales import SEVERITIES, severity_index
 from cryptoscape.functions.text import quote
 
 POLICY_TYPE = (
-    "struct<ignore_paths:array<string>,ignore_algorithms:array<string>,"
-    "allow:array<struct<algorithm:string,paths:array<string>,expires:date>>,"
+    "struct<ignore_paths:string,ignore_algorithms:array<string>,"
+    "allow:array<struct<algorithm:string,paths:string,expires:date>>,"
     "overrides:array<struct<algorithm:string,severity:string>>,"
     "on_severity:string,max_new:int>"
 )
@@ -58,86 +58,108 @@ class Policy:
     severity_overrides: list[SeverityOverride] = field(default_factory=list)
 
 
+# What a policy may hold: kind of value, and whether the key has to be there.
+_TEXT, _NUMBER, _DAY, _SEVERITY, _TEXTS = "text", "number", "day", "severity", "texts"
+_FIELDS: dict[str, dict[str, tuple[Any, bool]]] = {
+    "policy": {"version": (_TEXT, True), "ignore": ("ignore", False), "allow": (["allow"], False),
+               "fail": ("fail", False), "severity_overrides": (["severity_overrides"], False)},
+    "ignore": {"paths": (_TEXTS, False), "algorithms": (_TEXTS, False)},
+    "allow": {"algorithm": (_TEXT, True), "reason": (_TEXT, True), "paths": (_TEXTS, False),
+              "expires": (_DAY, False)},
+    "fail": {"on_severity": (_SEVERITY, False), "max_new_findings": (_NUMBER, False)},
+    "severity_overrides": {"algorithm": (_TEXT, True), "severity": (_SEVERITY, True),
+                           "reason": (_TEXT, True)},
+}
+
+
 def policy_from_dict(raw: dict[str, Any]) -> Policy:
-    """Build a policy from its nested form and check the values."""
-    if "version" not in raw:
-        raise PolicyError("missing required key 'version'")
-    ignore = _typed(raw.get("ignore", {}), dict, "ignore")
-    fail = _typed(raw.get("fail", {}), dict, "fail")
-    max_new = fail.get("max_new_findings", 0)
+    """Build a policy from its nested form; unknown keys and wrong values are errors."""
+    found = _checked("policy", raw, "policy")
+    ignore, fail = found.get("ignore", {}), found.get("fail", {})
     return Policy(
-        version=str(raw["version"]),
-        ignore_paths=[str(p) for p in _typed(ignore.get("paths", []), list, "ignore.paths")],
-        ignore_algorithms=[str(a) for a in _typed(ignore.get("algorithms", []), list,
-                                                  "ignore.algorithms")],
-        allow=[_allow_rule(i, e) for i, e in enumerate(_typed(raw.get("allow", []), list,
-                                                              "allow"))],
-        on_severity=_severity(str(fail.get("on_severity", "high")), "fail.on_severity"),
-        max_new_findings=_typed(max_new, int, "fail.max_new_findings"),
-        severity_overrides=[_override(i, e) for i, e in enumerate(
-            _typed(raw.get("severity_overrides", []), list, "severity_overrides"))],
+        version=found["version"],
+        ignore_paths=ignore.get("paths", []),
+        ignore_algorithms=ignore.get("algorithms", []),
+        allow=[AllowRule(e["algorithm"], e.get("paths", []), e["reason"], e.get("expires"))
+               for e in found.get("allow", [])],
+        on_severity=fail.get("on_severity", "high"),
+        max_new_findings=fail.get("max_new_findings", 0),
+        severity_overrides=[SeverityOverride(e["algorithm"], e["severity"], e["reason"])
+                            for e in found.get("severity_overrides", [])],
     )
 
 
-def load_policy(path: str) -> Policy:
-    """Policy of a JSON file, or of a YAML file where the yaml package is there."""
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
+def load_policy(path: str, missing_ok: bool = False) -> Policy | None:
+    """Policy of a JSON file, or of a YAML file where the yaml package is there.
+
+    With ``missing_ok`` no file means no policy.
+    """
+    try:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    except FileNotFoundError:
+        if missing_ok:
+            return None
+        raise
     if path.endswith((".yml", ".yaml")):
         import yaml
 
-        return policy_from_dict(_typed(yaml.safe_load(text), dict, path))
-    return policy_from_dict(_typed(json.loads(text), dict, path))
-
-
-def _typed(value: Any, kind: type, where: str) -> Any:
-    if not isinstance(value, kind):
-        raise PolicyError(f"{where}: expected {kind.__name__}, got {type(value).__name__}")
-    return value
-
-
-def _required(entry: Any, keys: tuple[str, ...], where: str) -> None:
-    _typed(entry, dict, where)
-    for key in keys:
-        if key not in entry:
-            raise PolicyError(f"{where}: missing required key {key!r}")
-
-
-def _severity(value: str, where: str) -> str:
-    if value not in SEVERITIES:
-        raise PolicyError(f"{where}: invalid value {value!r}, must be one of {list(SEVERITIES)}")
-    return value
-
-
-def _allow_rule(i: int, entry: Any) -> AllowRule:
-    where = f"allow[{i}]"
-    _required(entry, ("algorithm", "reason"), where)
-    expires = entry.get("expires")
-    if isinstance(expires, str):
+        return policy_from_dict(yaml.safe_load(text))
+    return policy_from_dict(json.loads(text))
+
+
+def _checked(section: str, value: Any, where: str) -> dict[str, Any]:
+    """The entries of a section with their values checked and converted."""
+    if not isinstance(value, dict):
+        raise PolicyError(f"{where} has to be a mapping")
+    fields = _FIELDS[section]
+    for key in value:
+        if key not in fields:
+            raise PolicyError(f"{where} does not know {key!r}; it knows {', '.join(fields)}")
+    for key, (_, needed) in fields.items():
+        if needed and key not in value:
+            raise PolicyError(f"{where} lacks {key!r}")
+    return {key: _converted(fields[key][0], v, f"{where}.{key}") for key, v in value.items()}
+
+
+def _converted(kind: Any, value: Any, where: str) -> Any:
+    if isinstance(kind, list) or kind == _TEXTS:
+        if not isinstance(value, list):
+            raise PolicyError(f"{where} has to be a list")
+        if kind == _TEXTS:
+            return [str(v) for v in value]
+        return [_checked(kind[0], v, f"{where}[{i}]") for i, v in enumerate(value)]
+    if kind == _TEXT:
+        return str(value)
+    if kind == _NUMBER:
+        if not isinstance(value, int) or isinstance(value, bool):
+            raise PolicyError(f"{where} has to be a whole number")
+        return value
+    if kind == _SEVERITY:
+        if value not in SEVERITIES:
+            raise PolicyError(f"{where}: {value!r} is none of {', '.join(SEVERITIES)}")
+        return value
+    if kind == _DAY:
+        if isinstance(value, dt.date):
+            return value
         try:
-            expires = dt.date.fromisoformat(expires)
-        except ValueError as e:
-            raise PolicyError(f"{where}.expires: invalid date {expires!r}") from e
-    elif "expires" in entry:
-        _typed(expires, dt.date, f"{where}.expires")
-    paths = _typed(entry.get("paths", []), list, f"{where}.paths")
-    return AllowRule(str(entry["algorithm"]), [str(p) for p in paths], str(entry["reason"]), expires)
+            return dt.date.fromisoformat(value)
+        except (TypeError, ValueError) as e:
+            raise PolicyError(f"{where}: {value!r} is no date") from e
+    return _checked(kind, value, where)
 
 
-def _override(i: int, entry: Any) -> SeverityOverride:
-    where = f"severity_overrides[{i}]"
-    _required(entry, ("algorithm", "severity", "reason"), where)
-    return SeverityOverride(str(entry["algorithm"]),
-                            _severity(str(entry["severity"]), f"{where}.severity"),
-                            str(entry["reason"]))
+def _any_glob(globs: list[str]) -> str | None:
+    """One regex for all globs, so a path is tested once."""
+    return "|".join(f"(?:{glob_regex(g)})" for g in globs) or None
 
 
 def _as_row(policy: Policy) -> dict[str, Any]:
-    """Globs become regexes and ids upper case, once on the driver."""
+    """Globs become one regex and ids upper case, once on the driver."""
     return {
-        "ignore_paths": [glob_regex(g) for g in policy.ignore_paths],
+        "ignore_paths": _any_glob(policy.ignore_paths),
         "ignore_algorithms": [a.upper() for a in policy.ignore_algorithms],
-        "allow": [{"algorithm": r.algorithm.upper(), "paths": [glob_regex(g) for g in r.paths],
+        "allow": [{"algorithm": r.algorithm.upper(), "paths": _any_glob(r.paths),
                    "expires": r.expires.isoformat() if r.expires else None}
                   for r in policy.allow],
         "overrides": [{"algorithm": o.algorithm.upper(), "severity": o.severity}
@@ -166,7 +188,7 @@ def with_policy(df: DataFrame, policy: Policy | DataFrame) -> DataFrame:
 
 
 def should_ignore_path() -> Column:
-    return F.expr("coalesce(exists(policy.ignore_paths, p -> path RLIKE p), false)")
+    return F.expr("coalesce(path RLIKE policy.ignore_paths, false)")
 
 
 def should_ignore_finding(as_of: dt.date) -> Column:
@@ -175,7 +197,7 @@ def should_ignore_finding(as_of: dt.date) -> Column:
         "coalesce(array_contains(policy.ignore_algorithms, upper(algorithm_id)), false) OR "
         "coalesce(exists(policy.allow, a -> a.algorithm = upper(algorithm_id) "
         f"AND coalesce(a.expires >= DATE '{as_of.isoformat()}', true) "
-        "AND exists(a.paths, p -> path RLIKE p)), false)")
+        "AND coalesce(path RLIKE a.paths, false)), false)")
 
 
 def apply_severity_overrides(findings: DataFrame, policy: Policy | DataFrame) -> DataFrame:
@@ -196,17 +218,23 @@ def apply_policy(findings: DataFrame, policy: Policy | DataFrame, as_of: dt.date
 
 
 def check_fail_conditions(findings: DataFrame, policy: Policy | DataFrame,
-                          diff_mode: bool = False) -> DataFrame:
-    """``repo, worst, new_findings, fails`` for every repository with findings."""
+                          diff_mode: bool = False, repos: DataFrame | None = None) -> DataFrame:
+    """``repo, worst, new_findings, fails`` per repository.
+
+    ``repos`` lists all repositories (as ``count_files`` does): one without
+    findings has a null ``worst``, no new findings and does not fail.
+    """
     status = F.col("diff_status") if "diff_status" in findings.columns else F.lit(None)
     per_repo = findings.groupBy("repo").agg(
         F.min(severity_index("severity")).alias("worst"),
         F.count_if(F.coalesce(status.isin("new", "worsened"), F.lit(False)))
         .alias("new_findings"))
+    if repos is not None:
+        per_repo = repos.select("repo").join(per_repo, "repo", "left").na.fill(0, ["new_findings"])
     over = F.col("new_findings") > F.col("policy.max_new") if diff_mode else F.lit(False)
-    fails = (F.col("worst") <= severity_index("policy.on_severity")) | over
+    bad = F.coalesce(F.col("worst") <= severity_index("policy.on_severity"), F.lit(False))
     # Without a policy a scan does not fail, and a diff fails on anything new.
     default = F.col("new_findings") > 0 if diff_mode else F.lit(False)
     return with_policy(per_repo, policy).select(
         "repo", "worst", "new_findings",
-        F.when(F.col("policy").isNull(), default).otherwise(fails).alias("fails"))
+        F.when(F.col("policy").isNull(), default).otherwise(bad | over).alias("fails"))

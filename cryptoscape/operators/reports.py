@@ -1,14 +1,14 @@
 """Reports: findings listing, advice, and JSON, SARIF and CycloneDX documents.
 
-A document of a repository is a sequence of pieces (head, findings, tail) with a
-sort key. Pieces are rows, so a repository with a third of all findings is spread
-over the cluster. Repositories up to a checked size are put together into one
-row; a larger one stays in pieces, whose texts in key order are its document.
+A document of a repository is a sequence of pieces: rows with the columns in
+``ORDER`` and a text. In that order the texts, one after another, are the
+document. There is one shape at every size, so a repository with a third of all
+findings is spread over the cluster, and nothing is gathered per repository.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cryptoscape.functions.scales import RISKS, lookup
@@ -20,10 +20,9 @@ from cryptoscape.operators.summary import cbom_components, readiness, sarif_rule
 TOOL = "cryptoscape"
 VERSION = "0.1.0"
 
-# A document up to this many characters is put together into one row.
-MAX_ASSEMBLED = 32 * 1024 * 1024
-
-_HEAD, _BODY, _TAIL = 0, 1, 2
+# What orders the pieces of a repository: part of the document, element and place in
+# it, then the finding.
+ORDER = ("part", "item", "sub", "source_ord", "path_key", "ord_a", "ord_b")
 
 FINDING_FIELDS = (
     "line_number", "matched_text", "algorithm_id", "algorithm_name", "algorithm_type", "source",
@@ -59,22 +58,26 @@ def findings_listing(findings: DataFrame) -> DataFrame:
 
 
 def sorted_listing(findings: DataFrame) -> DataFrame:
-    """The listing from the worst risk down, in scan order inside a risk (a range sort)."""
-    return findings_listing(findings).orderBy("repo", "risk_ord", "seq").drop("risk_ord", "seq")
+    """The listing from the worst risk down, in scan order inside a risk (a range sort).
+
+    The keys stay with the rows: ``risk_ord`` and those of the scan.
+    """
+    return findings_listing(findings).select("*", "seq.*").drop("seq").orderBy(
+        "repo", "risk_ord", *ORDER[3:])
 
 
 def advise(findings: DataFrame) -> DataFrame:
     """Advice for every finding that is not safe: ``repo, advice_ord, seq, message``."""
-    place = _location()
-    known = F.concat(F.col("algorithm_name"), F.lit(" in "), place, F.lit(" — "),
-                     F.col("reason"))
+    what = F.concat(F.col("algorithm_name"), F.lit(" at "), _location())
     message = (
         F.when(F.col("quantum_risk") == "VULNERABLE", F.concat(
-            F.lit("CRITICAL: "), known, F.lit(". Replace with: "), F.col("replacement")))
+            F.lit("CRITICAL: "), what, F.lit(" has to go ("), F.col("reason"), F.lit("); use "),
+            F.col("replacement")))
         .when(F.col("quantum_risk") == "PARTIAL", F.concat(
-            F.lit("WARNING: "), known, F.lit(". Consider: "), F.col("replacement")))
-        .otherwise(F.concat(F.lit("INFO: Unknown algorithm '"), F.col("algorithm_id"),
-                            F.lit("' in "), place)))
+            F.lit("WARNING: "), what, F.lit(" is weak ("), F.col("reason"), F.lit("); think of "),
+            F.col("replacement")))
+        .otherwise(F.concat(F.lit("INFO: no entry for "), F.col("algorithm_id"),
+                            F.lit(", found at "), _location())))
     order = lookup("quantum_risk", {"VULNERABLE": 0, "PARTIAL": 1, "UNKNOWN": 2}, 99)
     return findings.where(F.col("quantum_risk") != "SAFE").select(
         "repo", order.alias("advice_ord"), report_key().alias("seq"), message.alias("message"))
@@ -98,73 +101,57 @@ def _opened(json: Column, array_name: str) -> Column:
     return F.concat(F.left(json, F.length(json) - 1), F.lit(f',"{array_name}":['))
 
 
-def _piece(part: int, *keys: Column, text: Column) -> list[Column]:
-    first, second = (*keys, F.lit(None))[:2] if keys else (F.lit(None), F.lit(None))
-    key_type = "struct<source_ord:int,path_key:array<string>,ord_a:int,ord_b:int>"
-    key = F.struct(F.lit(part).alias("part"), first.cast(key_type).alias("first"),
-                   second.cast(key_type).alias("second"))
-    return [F.col("repo"), key.alias("key"), text.alias("text")]
-
-
-def _with_commas(elements: DataFrame) -> DataFrame:
-    """Put a comma before every ``text`` but the first of its repository.
-
-    The join is on repository and element, so no repository is a hot key.
-    """
-    firsts = elements.groupBy("repo").agg(F.min("element_key").alias("element_key"))
-    marked = elements.join(firsts.withColumn("is_first", F.lit(True)),
-                           ["repo", "element_key"], "left")
-    comma = F.when(F.col("is_first"), "").otherwise(",")
-    return marked.withColumn("text", F.concat(comma, "text"))
+def _piece(part: int, text: Column, item: Column | int = 0, sub: int = 0,
+           key: str | None = None) -> list[Column]:
+    """Columns of a piece; ``key`` names the struct with the finding's place, if it has one."""
+    place = [F.col(f"{key}.{c}") if key else F.lit("" if c == "path_key" else 0)
+             for c in ORDER[3:]]
+    item = item if isinstance(item, Column) else F.lit(item)
+    return [F.col("repo"), F.lit(part).alias("part"), item.cast("int").alias("item"),
+            F.lit(sub).alias("sub"), *(p.alias(c) for p, c in zip(place, ORDER[3:])),
+            text.alias("text")]
 
 
-def assemble(pieces: DataFrame, limit: int = MAX_ASSEMBLED) -> DataFrame:
-    """``repo, key, text``: one row per repository up to ``limit`` characters.
+def _with_commas(elements: DataFrame, firsts: DataFrame) -> DataFrame:
+    """A comma before every ``text`` but the first of its repository.
 
-    The pieces of a larger repository stay rows of their own. Both ways give
-    the whole document.
+    ``firsts`` (repo, first_key) has a row per repository and comes from an
+    aggregate that the document needs anyway.
     """
-    sizes = pieces.groupBy("repo").agg(F.sum(F.length("text")).alias("size"))
-    large = sizes.where(F.col("size") > limit).select("repo")
-    whole = pieces.join(large, "repo", "left_anti").groupBy("repo").agg(
-        F.min("key").alias("key"),
-        F.sort_array(F.collect_list(F.struct("key", "text"))).alias("p")
-    ).select("repo", "key", F.array_join("p.text", "").alias("text"))
-    return whole.unionByName(pieces.join(large, "repo", "left_semi"))
+    comma = F.when(F.col("element_key") == F.col("first_key"), "").otherwise(",")
+    return elements.join(firsts, "repo").withColumn("text", F.concat(comma, "text"))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
+def write_documents(pieces: DataFrame, path: str) -> None:
     """Write documents as text, a directory per repository, in key order by file name.
 
     Pieces end between JSON tokens, so the line end after each changes nothing.
     """
-    ordered = documents.repartitionByRange("repo", "key").sortWithinPartitions("repo", "key")
+    ordered = pieces.repartitionByRange("repo", *ORDER).sortWithinPartitions("repo", *ORDER)
     ordered.select("repo", "text").write.partitionBy("repo").text(path)
 
 
 def json_pieces(findings: DataFrame, file_counts: DataFrame, diff: DataFrame | None = None,
                 duration: float = 0.0) -> DataFrame:
     """Pieces of the JSON report: summary, findings and, for a diff, its summary."""
-    summary = readiness(findings, file_counts)
+    summary = readiness(findings, file_counts, F.min(report_key()).alias("first_key"))
     head = _opened(_json(
         F.lit(VERSION).alias("version"), F.col("repo").alias("scan_path"), "total_files_scanned",
         F.lit(duration).alias("scan_duration_seconds"),
         F.struct("total_findings", "vulnerable", "partial", "safe", "quantum_ready_score")
         .alias("summary")), "findings")
-    tails = summary.select("repo", F.lit("]}").alias("text"))
+    tails = file_counts.select("repo", F.lit("]}").alias("text"))
     if diff is not None:
-        counts = diff_summary(diff)
-        tails = summary.select("repo").join(counts, "repo", "left").na.fill(
-            0, ["new", "worsened", "resolved", "unchanged"]).select("repo", F.concat(
-                F.lit('],"diff_summary":'), _json("new", "worsened", "resolved", "unchanged"),
-                F.lit("}")).alias("text"))
+        tails = diff_summary(diff, file_counts).select("repo", F.concat(
+            F.lit('],"diff_summary":'), _json("new", "worsened", "resolved", "unchanged"),
+            F.lit("}")).alias("text"))
     elements = with_diff_status(findings).select(
         "repo", report_key().alias("element_key"),
         _json(F.col("path").alias("file_path"), *FINDING_FIELDS).alias("text"))
-    body = _with_commas(elements)
-    return (summary.select(*_piece(_HEAD, text=head))
-            .unionByName(body.select(*_piece(_BODY, F.col("element_key"), text=F.col("text"))))
-            .unionByName(tails.select(*_piece(_TAIL, text=F.col("text")))))
+    body = _with_commas(elements, summary.select("repo", "first_key"))
+    return (summary.select(*_piece(0, head))
+            .unionByName(body.select(*_piece(1, F.col("text"), key="element_key")))
+            .unionByName(tails.select(*_piece(2, F.col("text")))))
 
 
 def _rule_id() -> Column:
@@ -180,36 +167,41 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return with_diff_status(findings).select(
         "repo", report_key().alias("element_key"), _rule_id().alias("rule_id"),
         sarif_level("severity").alias("level"),
-        F.concat(F.col("algorithm_name"), F.lit(" detected — "), F.col("reason"),
-                 F.lit(". Replace with "), F.col("replacement")).alias("message"),
+        F.concat(F.lit("Uses "), F.col("algorithm_name"), F.lit(": "), F.col("reason"),
+                 F.lit(". Instead: "), F.col("replacement")).alias("message"),
         F.col("path").alias("uri"), F.coalesce("line_number", F.lit(1)).alias("start_line"),
         "quantum_risk", "algorithm_type", "replacement", "confidence", "context", "severity",
         "category", "remediation", "diff_status")
 
 
-def sarif_pieces(findings: DataFrame, repos: DataFrame) -> DataFrame:
-    """Pieces of a SARIF 2.1.0 log: the rules are in the head, results follow."""
-    rule = F.struct(
+def sarif_pieces(findings: DataFrame, repos: DataFrame, help_uri: str | None = None,
+                 information_uri: str | None = None) -> DataFrame:
+    """Pieces of a SARIF 2.1.0 log: head, rules, results and tail.
+
+    ``help_uri`` is put into every rule and ``information_uri`` into the tool.
+    """
+    def uri(name: str, value: str | None) -> list[Column]:
+        return [F.lit(value).alias(name)] if value else []
+
+    ranked = F.row_number().over(Window.partitionBy("repo").orderBy("first_key")) - 1
+    rules = sarif_rules(findings).withColumn("item", ranked)
+    rule = _compact(
         _rule_id().alias("id"), F.lit("QuantumVulnerableCrypto").alias("name"),
-        _text(F.concat_ws(" — ", "algorithm_name", "reason")).alias("shortDescription"),
-        _text(F.concat(F.col("algorithm_name"), F.lit(" ("), F.col("algorithm_type"),
-                       F.lit(") is classified as "), F.col("quantum_risk"),
-                       F.lit(". Recommended replacement: "), F.col("replacement")))
-        .alias("fullDescription"),
+        _text(F.concat_ws(": ", "algorithm_name", "reason")).alias("shortDescription"),
+        _text(F.concat(F.lit("Risk "), F.col("quantum_risk"), F.lit(" for "),
+                       F.col("algorithm_name"), F.lit(", type "), F.col("algorithm_type"),
+                       F.lit(". Use "), F.col("replacement"))).alias("fullDescription"),
         F.struct(F.col("default_level").alias("level")).alias("defaultConfiguration"),
+        *uri("helpUri", help_uri),
         F.struct(F.array(*map(F.lit, ("security", "cryptography", "quantum", "pqc"))).alias("tags"),
                  F.lit("medium").alias("precision")).alias("properties"))
-    # A repository has at most one rule per catalogue entry.
-    rules = sarif_rules(findings).groupBy("repo").agg(
-        F.sort_array(F.collect_list(F.struct("first_key", rule.alias("rule")))).alias("r")
-    ).select("repo", F.col("r.rule").alias("rules"))
-    empty = F.from_json(F.lit("[]"), rules.schema["rules"].dataType)
-    driver = F.struct(F.lit(TOOL).alias("name"), F.lit(VERSION).alias("version"),
-                      F.coalesce("rules", empty).alias("rules"))
-    run = _opened(_json(F.struct(driver.alias("driver")).alias("tool")), "results")
-    heads = repos.select("repo").join(rules, "repo", "left").select(*_piece(_HEAD, text=F.concat(
-        F.lit('{"$schema":"https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/schema/sarif-schema-2.1.0.json","version":"2.1.0",'
-              '"runs":['), run)))
+    tool = _compact(F.lit(TOOL).alias("name"), F.lit(VERSION).alias("version"),
+                    *uri("informationUri", information_uri))
+    head = F.concat(
+        F.lit('{"$schema":"https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/'
+              'schema/sarif-schema-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":'),
+        _opened(tool, "rules"))
+    comma = F.when(F.col("item") == 0, "").otherwise(",")
     artifact = F.struct(F.col("uri").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId"))
     region = F.struct(F.col("start_line").alias("startLine"), F.lit(1).alias("startColumn"))
     location = F.struct(F.struct(artifact.alias("artifactLocation"), region.alias("region"))
@@ -220,10 +212,14 @@ def sarif_pieces(findings: DataFrame, repos: DataFrame) -> DataFrame:
         F.struct("quantum_risk", "algorithm_type", "replacement", "confidence", "context",
                  "severity", "category", "remediation", "diff_status").alias("properties"))
     body = _with_commas(
-        sarif_results(findings).select("repo", "element_key", result.alias("text")))
-    tails = repos.select(*_piece(_TAIL, text=F.lit("]}]}")))
-    return heads.unionByName(
-        body.select(*_piece(_BODY, F.col("element_key"), text=F.col("text")))).unionByName(tails)
+        sarif_results(findings).select("repo", "element_key", result.alias("text")),
+        rules.where("item = 0").select("repo", "first_key"))
+    repos = repos.select("repo")
+    return (repos.select(*_piece(0, head))
+            .unionByName(rules.select(*_piece(1, F.concat(comma, rule), F.col("item"))))
+            .unionByName(repos.select(*_piece(2, F.lit(']}},"results":['))))
+            .unionByName(body.select(*_piece(3, F.col("text"), key="element_key")))
+            .unionByName(repos.select(*_piece(4, F.lit("]}]}")))))
 
 
 def cbom_pieces(findings: DataFrame, repos: DataFrame, timestamp: str,
@@ -239,7 +235,7 @@ def cbom_pieces(findings: DataFrame, repos: DataFrame, timestamp: str,
         F.struct(F.array(tool).alias("components")).alias("tools"),
         F.struct(F.lit("application").alias("type"), F.col("repo").alias("name"),
                  F.lit("scanned-project").alias("bom-ref")).alias("component"))
-    heads = repos.select(*_piece(_HEAD, text=_opened(_compact(
+    heads = repos.select(*_piece(0, _opened(_compact(
         F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"),
         F.lit(1).alias("version"), serial_number.alias("serialNumber"),
         metadata.alias("metadata")), "components")))
@@ -258,33 +254,26 @@ def cbom_pieces(findings: DataFrame, repos: DataFrame, timestamp: str,
         F.lit("cryptographic-asset").alias("type"), F.col("algorithm_name").alias("name"),
         F.col("bom_ref").alias("bom-ref"), crypto.alias("cryptoProperties"),
         properties.alias("properties"))
-    opening = F.concat(
-        F.when(F.col("component_index") == 0, "").otherwise(","),
-        F.left(component, F.length(component) - 1), F.lit(',"evidence":{"occurrences":['))
-    # The first key of a component orders it; its parts are ordered below that key.
-    # A component with a third of all occurrences is split by the adaptive skew join.
-    parts = components.select("repo", "algorithm_id", "first_key", opening.alias("opening"))
+    index = F.col("component_index")
+    opening = F.concat(F.when(index == 0, "").otherwise(","),
+                       F.left(component, F.length(component) - 1),
+                       F.lit(',"evidence":{"occurrences":['))
     occurrence = _compact(
         F.col("path").alias("location"), F.coalesce("line_number", F.lit(1)).alias("line"),
         F.when(F.col("matched_text") != "", F.col("matched_text")).alias("additionalContext"))
+    # The table of components has a row per repository and algorithm; its size
+    # decides whether the join broadcasts it.
     occurrences = findings.select("repo", "algorithm_id", report_key().alias("element_key"),
                                   occurrence.alias("occurrence")).join(
-        parts.select("repo", "algorithm_id", "first_key"), ["repo", "algorithm_id"])
+        components.select("repo", "algorithm_id", "first_key", "component_index"),
+        ["repo", "algorithm_id"])
     comma = F.when(F.col("element_key") == F.col("first_key"), "").otherwise(",")
-    first = F.col("first_key")
     return (heads
-            .unionByName(parts.select(*_piece(_BODY, first, _edge(-1), text=F.col("opening"))))
+            .unionByName(components.select(*_piece(1, opening, index)))
             .unionByName(occurrences.select(*_piece(
-                _BODY, first, F.col("element_key"), text=F.concat(comma, "occurrence"))))
-            .unionByName(parts.select(*_piece(_BODY, first, _edge(9), text=F.lit("]}}"))))
-            .unionByName(repos.select(*_piece(_TAIL, text=F.lit("]}")))))
-
-
-def _edge(source_ord: int) -> Column:
-    """A key before (-1) or after (9) those of all findings."""
-    return F.struct(F.lit(source_ord).alias("source_ord"),
-                    F.array().cast("array<string>").alias("path_key"),
-                    F.lit(0).alias("ord_a"), F.lit(0).alias("ord_b"))
+                1, F.concat(comma, "occurrence"), index, 1, "element_key")))
+            .unionByName(components.select(*_piece(1, F.lit("]}}"), index, 2)))
+            .unionByName(repos.select(*_piece(2, F.lit("]}")))))
 
 
 def baseline_pieces(findings: DataFrame, repos: DataFrame, generated_at: str,
@@ -292,21 +281,19 @@ def baseline_pieces(findings: DataFrame, repos: DataFrame, generated_at: str,
     """Pieces of the baseline document of each repository, entries sorted by hash."""
     entries = baseline_entries(findings)
     counts = repos.select("repo").join(
-        entries.groupBy("repo").agg(F.count("*").alias("findings_count")), "repo", "left"
+        entries.groupBy("repo").agg(F.count("*").alias("findings_count"),
+                                    F.min("hash").alias("first_hash")), "repo", "left"
     ).na.fill(0, ["findings_count"])
     head = _opened(_json(
         F.lit(BASELINE_VERSION).alias("baseline_version"), F.lit(VERSION).alias("tool_version"),
         F.lit(generated_at).alias("generated_at"),
         F.lit(commit).cast("string").alias("commit"), "findings_count"), "findings")
-    elements = entries.select(
-        "repo", F.struct("hash", "source").alias("element_key"),
-        _json("hash", "file", "line", "algorithm", "risk", "severity", "source").alias("text"))
-    body = _with_commas(elements)
-
-    def piece(part: int, text: Column, order: Column) -> list[Column]:
-        key = F.struct(F.lit(part).alias("part"), order.cast("string").alias("order"))
-        return [F.col("repo"), key.alias("key"), text.alias("text")]
-
-    return (counts.select(*piece(_HEAD, head, F.lit(None)))
-            .unionByName(body.select(*piece(_BODY, F.col("text"), F.col("element_key.hash"))))
-            .unionByName(repos.select(*piece(_TAIL, F.lit("]}"), F.lit(None)))))
+    entry = _json("hash", "file", "line", "algorithm", "risk", "severity", "source")
+    comma = F.when(F.col("hash") == F.col("first_hash"), "").otherwise(",")
+    body = entries.join(counts.select("repo", "first_hash"), "repo").select(
+        "repo", F.concat(comma, entry).alias("text"),
+        F.struct(F.lit(0).alias("source_ord"), F.col("hash").alias("path_key"),
+                 F.lit(0).alias("ord_a"), F.lit(0).alias("ord_b")).alias("element_key"))
+    return (counts.select(*_piece(0, head))
+            .unionByName(body.select(*_piece(1, F.col("text"), key="element_key")))
+            .unionByName(repos.select(*_piece(2, F.lit("]}")))))

@@ -20,6 +20,7 @@ from cryptoscape.operators.config_rules import config_patterns
 from cryptoscape.operators.dependencies import HITS_TYPE, dependency_hits, package_words
 from cryptoscape.operators.patterns import (
     Pattern,
+    by_ord,
     compile_patterns,
     guard,
     guard_groups,
@@ -37,10 +38,15 @@ def scan_files(
     algorithms: dict[str, Algorithm] | None = None,
     libraries: dict[str, Library] | None = None,
     sources: Sequence[str] = SOURCES,
+    max_bytes: int | None = None,
+    probe_bytes: int | None = None,
 ) -> DataFrame:
     """Findings of the corpus: one row per (file, line, algorithm) and scanner.
 
-    ``ord_a``/``ord_b`` order the findings of one file in one scanner.
+    ``ord_a``/``ord_b`` order the findings of one file in one scanner. Files
+    larger than ``max_bytes`` and source files with a NUL in their first
+    ``probe_bytes`` are left out; without limits, every size and the whole
+    content count.
     """
     patterns: list[Pattern] = []
     if "source_code" in sources:
@@ -53,7 +59,8 @@ def scan_files(
     file_groups = groups + (guard_groups(fl.CLASS_BIT["manifest"], package_words(libraries))
                             if with_deps else [])
 
-    classed = _classed(files, sorted({p.file_class for p in patterns}), with_deps)
+    classed = _classed(files, sorted({p.file_class for p in patterns}), with_deps, max_bytes,
+                       probe_bytes)
     whole = tx.bind_row(classed, "folded", tx.fold_case(F.col("text")))
     # A JSON key may be written with escapes, which the guard cannot see through.
     escaped = (F.col("kind") == "package.json") & F.col("text").contains("\\")
@@ -91,7 +98,9 @@ def report_order() -> list[Column]:
     """Sort keys inside one repository."""
     ordinal = F.when(F.col("source") == "source_code", 0).when(
         F.col("source") == "dependency", 1).otherwise(2)
-    key = F.when(F.col("source") == "dependency", F.split("path", "/")).otherwise(F.array("path"))
+    # Components compare like an array when what joins them sorts before any character.
+    key = F.when(F.col("source") == "dependency", F.translate("path", "/", "\x01")).otherwise(
+        F.col("path"))
     return [ordinal, key, F.col("ord_a"), F.col("ord_b")]
 
 
@@ -109,21 +118,22 @@ def _by_class(patterns: list[Pattern]) -> list[tuple[int, list[Pattern]]]:
     return [(sum({fl.CLASS_BIT[p.file_class] for p in ps}), ps) for ps in groups.values()]
 
 
-def _classed(files: DataFrame, classes: list[str], with_deps: bool) -> DataFrame:
+def _classed(files: DataFrame, classes: list[str], with_deps: bool, max_bytes: int | None,
+             probe_bytes: int | None) -> DataFrame:
     """``repo, path, mask, kind, text`` of the files that some scanner looks at."""
     dtype = files.schema["content"].dataType
     source, manifest = F.lit(fl.CLASS_BIT["source"]), F.lit(fl.CLASS_BIT["manifest"])
     kind = fl.manifest_kind() if with_deps else F.lit(None).cast("string")
     readable = ((F.col("mask").bitwiseAND(source) == 0)
-                | ~tx.is_binary(F.col("content"), dtype))
+                | ~tx.is_binary(F.col("content"), dtype, probe_bytes))
 
-    small = fl.with_size(files).where(fl.small_enough() & F.col("content").isNotNull())
+    sized = files if max_bytes is None else fl.with_size(files)
+    small = sized.where(fl.small_enough(max_bytes) & F.col("content").isNotNull())
     named = tx.bind_row(small.select("repo", "path", "content"), "named", F.struct(
         paths.file_suffix(F.col("path")).alias("suffix"), kind.alias("kind")))
     mask = fl.class_mask(classes, "named.suffix").bitwiseOR(
         F.when(F.col("named.kind").isNotNull(), manifest).otherwise(0))
-    # A Windows line end is one break like "\n", for which lines split fastest.
-    text = F.replace(tx.decode(F.col("content"), dtype), F.lit("\r\n"), F.lit("\n"))
+    text = tx.decode(F.col("content"), dtype)
     return tx.bind_row(named, "mask", mask).where((F.col("mask") != 0) & readable).select(
         "repo", "path", "mask", F.col("named.kind").alias("kind"), text.alias("text"))
 
@@ -150,12 +160,14 @@ def _lines_of(candidates: DataFrame, libraries: dict[str, Library] | None,
 
 def _all_hits(patterns: list[Pattern]) -> str:
     """SQL for the line and dependency findings of a row, in one shape."""
-    found = (
+    matched = by_ord(patterns, "r.hit.ord", lambda p: (
+        f"regexp_extract(line, {tx.quote(p.regex)}, 0)")) if patterns else ""
+    found = "" if not patterns else (
         f"transform({line_hits(patterns, 'line', 'folded', 'mask')}, r -> named_struct("
-        "'line_number', pos + 1, 'matched_text', regexp_extract(line, r.hit.regex, 0), "
+        f"'line_number', pos + 1, 'matched_text', {matched}, "
         "'algorithm_id', r.algorithm_id, 'source', r.source, "
         f"'line_text', coalesce(r.hit.line_text, {tx.strip('line')}), "
-        "'ord_a', pos + 1, 'ord_b', r.hit.ord))")
+        "'ord_a', pos + 1, 'ord_b', r.hit.place))")
     deps = (
         f"transform(CASE WHEN pos = 0 AND deps IS NOT NULL THEN deps "
         f"ELSE CAST(array() AS {HITS_TYPE}) END, d -> named_struct("

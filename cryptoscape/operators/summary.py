@@ -24,16 +24,18 @@ OIDS = {
     "X25519": "1.3.101.110",
 }
 KEY_EXCHANGE = ("RSA", "ECDH", "DH", "X25519", "X448", "ElGamal")
+# Primitives by type; the level of a rule by its risk.
 PRIMITIVES = {"symmetric": "blockcipher", "hash": "hash", "kdf": "kdf", "mac": "mac"}
 RULE_LEVEL = {"VULNERABLE": "error", "PARTIAL": "warning", "SAFE": "note", "UNKNOWN": "warning"}
 
 
-def risk_counts(findings: DataFrame) -> DataFrame:
+def risk_counts(findings: DataFrame, *more: Column) -> DataFrame:
     """Findings by risk; an UNKNOWN risk only counts in the total."""
     counted = [F.count_if(F.col("quantum_risk") == risk).alias(name)
                for name, risk in (("vulnerable", "VULNERABLE"), ("partial", "PARTIAL"),
                                   ("safe", "SAFE"))]
-    return findings.groupBy("repo").agg(F.count("*").alias("total_findings"), *counted)
+    return findings.groupBy("repo").agg(F.count("*").alias("total_findings"), *counted,
+                                        *more)
 
 
 def score_of(safe: Column, total: Column) -> Column:
@@ -45,13 +47,13 @@ def score_band(score: Column) -> Column:
     return F.when(score >= 80, "green").when(score >= 50, "yellow").otherwise("red")
 
 
-def readiness(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
-    """Counts, score and band per repository.
+def readiness(findings: DataFrame, repos: DataFrame | None = None, *more: Column) -> DataFrame:
+    """Counts, score and band per repository, and ``more`` aggregates.
 
     ``repos`` lists all repositories (as ``count_files`` does), so one without
     findings has a row too.
     """
-    counts = risk_counts(findings)
+    counts = risk_counts(findings, *more)
     if repos is not None:
         counts = repos.join(counts, "repo", "left").na.fill(
             0, ["total_findings", "vulnerable", "partial", "safe"])

@@ -24,7 +24,9 @@ def part_algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("name"), kind.alias("type"), risk.alias("quantum_risk"),
         F.col("p_brand").alias("reason"), F.col("p_name").alias("replacement"),
         F.when(size % 5 != 0, "hash").alias("category"), F.col("p_type").alias("remediation"),
-        F.concat(words, F.array(F.lower("p_type"), F.get(words, size % 2))).alias("patterns"),
+        F.when(size == 9, F.array().cast("array<string>")).when(
+            size == 8, F.array(F.col("p_brand"), F.lit("  "))).otherwise(
+            F.concat(words, F.array(F.lower("p_type"), F.get(words, size % 2)))).alias("patterns"),
         F.create_map(F.when(size % 4 == 0, "cnsa").when(size % 4 == 1, "nist").otherwise("other"),
                      F.array("p_brand")).alias("references"),
         F.create_map(F.lit("eu_high_risk"), F.lit("2030-12-31"),

@@ -74,54 +74,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """Give every core a share of a table too small to have a row group per core.
-
-    A larger table has row groups for all tasks already and is not shuffled.
-    """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return files if size > cores * 4 * 1024 * 1024 else files.repartition(cores)
-
-
 def _pick(values: list[str] | tuple[str, ...], number: Column) -> Column:
     literal = F.expr("array(" + ", ".join(quote(v) for v in values) + ")")
     return F.get(literal, (number % len(values)).cast("int"))
 
 
-def planted(documents: DataFrame, shift: Column | int = 0) -> DataFrame:
+# A repository without a finding.
+CLEAN = "src7"
+
+# What some files have besides: by the rest of the document's number by 11.
+ODD_LINES = {
+    3: "dos MD5\r\n\r\nx\r\r\nuse MD5 here\rSHA-1\r\n",
+    5: "\fRSA \x0b page\u2028SHA-1 \x1c end\x85DES3\u2029\x1d\x1e last\n",
+}
+# The same with bytes that are not UTF-8, as hexadecimal digits.
+BROKEN = {7: "fffe204d44352063 6166c30a".replace(" ", "")}
+EARLY_NUL, LATE_NUL, LATE_PAD = 9, 10, 2100
+
+# Every seventh package.json repeats a section and has numbers that only some readers accept.
+ODD_JSON = ', "n": [NaN, -Infinity], "dependencies": { "jose": "1", "left": "2", "jose": "3" }}'
+
+
+def planted(documents: DataFrame, shift: Column | int = 0, move: Column | int = 0) -> DataFrame:
     """``repo, path, content`` of the documents; the repository is the source.
 
-    ``shift`` moves on to another snippet, which gives another state of the
-    same files.
+    ``shift`` moves on to another snippet and ``move`` to another directory,
+    which gives another state of the same repositories.
     """
-    number = F.col("doc_id")
-    name = F.replace(_pick(list(FILES), number), F.lit("{id}"), number.cast("string"))
+    number, clean = F.col("doc_id"), F.col("source") == CLEAN
+    rest = number % 11
+    name = F.when(clean, F.concat(F.lit("f"), number, F.lit(".py"))).otherwise(
+        F.replace(_pick(list(FILES), number), F.lit("{id}"), number.cast("string")))
     fitting = _pick([SNIPPETS[kind] for kind in FILES.values()], number)
     other = _pick(list(SNIPPETS.values()), number + shift)
     opening, closing = (F.lit(p.replace("{{", "{").replace("}}", "}"))
                         for p in PACKAGE_JSON.split("{text}"))
     escaped = F.to_json(F.struct(F.col("text").alias("t")))
     json_text = F.concat(opening, F.substr(escaped, F.lit(6), F.length(escaped) - 6), closing)
-    content = F.when(name.endswith("package.json"), json_text).otherwise(
-        F.concat("text", F.lit("\n"), fitting, other))
-    return spread(documents).select(
+    json_text = F.when(number % 7 == 0, F.concat(
+        F.left(json_text, F.length(json_text) - 1), F.lit(ODD_JSON))).otherwise(json_text)
+    body = F.concat("text", F.lit("\n"), fitting, other)
+    for r, lines in ODD_LINES.items():
+        body = F.when(rest == r, F.concat(body, F.lit(lines))).otherwise(body)
+    body = (F.when(rest == EARLY_NUL, F.concat(F.lit("\0"), body))
+            .when(rest == LATE_NUL, F.concat(body, F.repeat(F.lit("pad "), LATE_PAD),
+                                             F.lit("\0\nMD5 after\n"))).otherwise(body))
+    raw = body.cast("binary")
+    for r, digits in BROKEN.items():
+        raw = F.when(rest == r, F.concat(raw, F.unhex(F.lit(digits)))).otherwise(raw)
+    content = F.when(clean, F.col("text").cast("binary")).when(
+        name.endswith("package.json"), json_text.cast("binary")).otherwise(raw)
+    return documents.select(
         F.col("source").alias("repo"),
-        F.concat(_pick(DIRECTORIES, number), name).alias("path"),
-        content.cast("binary").alias("content"))
+        F.concat(_pick(DIRECTORIES, number + move), name).alias("path"),
+        content.alias("content"))
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prose tables as source files, for catalogues of the user's own."""
-    documents = spread(table(spark, sf_dir, "documents")).select(
+    documents = table(spark, sf_dir, "documents").select(
         F.lit("documents").alias("repo"),
         F.concat(F.lit("d"), F.col("doc_id"), F.lit(".py")).alias("path"),
         F.col("text").alias("content"))
-    pages = spread(table(spark, sf_dir, "pages")).select(
+    pages = table(spark, sf_dir, "pages").select(
         F.lit("pages").alias("repo"),
         F.concat(F.lit("p"), F.col("page_id"), F.lit(".js")).alias("path"),
         F.col("html").alias("content"))
-    turns = spread(table(spark, sf_dir, "conversations")).select(
+    turns = table(spark, sf_dir, "conversations").select(
         F.lit("conversations").alias("repo"),
         F.concat(F.lit("c"), F.col("conv_id"), F.lit("/t"), F.col("turn"), F.lit(".rb"))
         .alias("path"),

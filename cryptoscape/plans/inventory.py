@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from cryptoscape.operators.classify import assess
 from cryptoscape.operators.policy import Policy, apply_policy
@@ -30,23 +29,12 @@ def inventory(
     return apply_policy(findings, policy, as_of)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="cryptoscape-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write a table that several branches read to ``folder``, which all executors reach.
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that several branches read, so the corpus is scanned once.
-
-    It is a file table in the shared folder: a lost executor costs no rescan,
-    columns are pruned, and its size is known to the optimizer.
+    A lost executor then costs no rescan, columns are pruned, and the size is
+    known to the optimizer.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,10 +24,11 @@ from cryptoscape.operators.manifests import extract_packages
 from cryptoscape.operators.scan import scan_config, scan_dependencies, scan_files, scan_source
 from cryptoscape.plans.catalogues import line_libraries, part_algorithms
 from cryptoscape.plans.corpus import planted, prose, table
-from cryptoscape.plans.inventory import inventory, materialize
+from cryptoscape.plans.inventory import inventory
 from cryptoscape.sources.catalogue import algorithms_from_dict, exposed_rows, pattern_rows
 
 AS_OF = dt.date(2026, 6, 30)
+SMALL_FILE = 4_000
 
 POLICY = {
     "version": "1",
@@ -78,10 +79,11 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baseline entries of an earlier state: no German documents, other French
-    files, and two algorithms that were rated lower."""
-    before = table(spark, sf_dir, "documents").where(F.col("lang") != "de")
-    files = planted(before, F.when(F.col("lang") == "fr", 1).otherwise(0))
+    """Baseline entries of an earlier state: other French files, German ones at
+    other places, and two algorithms that were rated lower."""
+    files = planted(table(spark, sf_dir, "documents"),
+                    F.when(F.col("lang") == "fr", 1).otherwise(0),
+                    F.when(F.col("lang") == "de", 1).otherwise(0))
     entries = bl.baseline_entries(inventory(files))
     lower = F.when(F.col("algorithm").isin("MD5", "RSA"), "low").otherwise(F.col("severity"))
     return entries.withColumn("severity", lower)
@@ -160,14 +162,20 @@ def policy_per_repo(spark, sf_dir):
         "repo", "path", "line_number", "algorithm_id", "source", "severity")
 
 
+def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fl.count_files(corpus(spark, sf_dir))
+
+
 def fail_gate(spark, sf_dir):
     kept = po.apply_policy(findings(spark, sf_dir), repo_policies(spark), AS_OF)
-    return po.check_fail_conditions(kept, repo_policies(spark))
+    return po.check_fail_conditions(kept, repo_policies(spark),
+                                    repos=repositories(spark, sf_dir))
 
 
 def diff_gate(spark, sf_dir):
     return po.check_fail_conditions(
-        bl.reported(diff(spark, sf_dir)), repo_policies(spark), diff_mode=True)
+        bl.reported(diff(spark, sf_dir)), repo_policies(spark), diff_mode=True,
+        repos=repositories(spark, sf_dir))
 
 
 def diff_rows(spark, sf_dir):
@@ -209,41 +217,49 @@ def listing(spark, sf_dir):
     return rp.sorted_listing(findings(spark, sf_dir))
 
 
+def diff_listing(spark, sf_dir):
+    return rp.sorted_listing(bl.reported(diff(spark, sf_dir)))
+
+
 def advice(spark, sf_dir):
     return rp.advise(findings(spark, sf_dir)).orderBy("repo", "advice_ord", "seq").select(
-        "repo", "advice_ord", "message")
+        "repo", "advice_ord", "seq.*", "message")
 
 
-def _stored(spark, sf_dir):
-    """Findings and file counts as tables, since a document reads them repeatedly."""
-    files = corpus(spark, sf_dir)
-    return (materialize(inventory(files), "findings"),
-            materialize(fl.count_files(files), "repos"))
+DAY = "2026-06-30T00:00:00+00:00"
 
 
-def _documents(pieces: DataFrame) -> DataFrame:
-    return rp.assemble(materialize(pieces, "pieces")).select("repo", "text")
+def json_documents(spark, sf_dir):
+    return rp.json_pieces(findings(spark, sf_dir), repositories(spark, sf_dir))
 
 
-def json_documents(spark, sf_dir):
-    found, repos = _stored(spark, sf_dir)
-    return _documents(rp.json_pieces(found, repos))
+def json_diff_documents(spark, sf_dir):
+    found = diff(spark, sf_dir)
+    return rp.json_pieces(bl.reported(found), repositories(spark, sf_dir), found)
 
 
 def sarif_documents(spark, sf_dir):
-    found, repos = _stored(spark, sf_dir)
-    return _documents(rp.sarif_pieces(found, repos))
+    return rp.sarif_pieces(findings(spark, sf_dir), repositories(spark, sf_dir))
+
+
+def sarif_diff_results(spark, sf_dir):
+    return rp.sarif_results(bl.reported(diff(spark, sf_dir))).drop("element_key")
 
 
 def cbom_documents(spark, sf_dir):
-    found, repos = _stored(spark, sf_dir)
     serial = F.concat(F.lit("urn:uuid:"), F.md5("repo"))
-    return _documents(rp.cbom_pieces(found, repos, "2026-06-30T00:00:00+00:00", serial))
+    return rp.cbom_pieces(findings(spark, sf_dir), repositories(spark, sf_dir), DAY, serial)
 
 
 def baseline_documents(spark, sf_dir):
-    found, repos = _stored(spark, sf_dir)
-    return _documents(rp.baseline_pieces(found, repos, "2026-06-30T00:00:00+00:00"))
+    return rp.baseline_pieces(findings(spark, sf_dir), repositories(spark, sf_dir), DAY)
+
+
+def decoded(spark, sf_dir):
+    """The whole text of every file."""
+    files = corpus(spark, sf_dir)
+    return files.select("repo", "path", tx.decode(
+        F.col("content"), files.schema["content"].dataType).alias("text"))
 
 
 def _on_parts(check):
@@ -252,7 +268,10 @@ def _on_parts(check):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src1_fil1_select_files": _files(fl.select_files),
-    "fil4_text_files": _files(fl.select_text_files),
+    "fil3_size_filter": _files(lambda files: fl.select_files(files, max_bytes=SMALL_FILE)),
+    "fil4_text_files": _files(lambda files: fl.select_text_files(
+        files, probe_bytes=fl.paths.PROBE_BYTES)),
+    "prj1_decode": decoded,
     "fil5_manifests": _files(fl.select_manifests),
     "fil6_config_files": _files(fl.select_config_files),
     "fil7_file_classes": file_classes,
@@ -281,7 +300,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bas_baseline_entries": lambda spark, sf_dir: bl.baseline_entries(findings(spark, sf_dir)),
     "dif1_diff_findings": diff_rows,
     "dif2_resolved": lambda spark, sf_dir: bl.resolved(diff(spark, sf_dir)),
-    "dif3_diff_summary": lambda spark, sf_dir: bl.diff_summary(diff(spark, sf_dir)),
+    "dif3_diff_summary": lambda spark, sf_dir: bl.diff_summary(
+        diff(spark, sf_dir), repositories(spark, sf_dir)),
     "dif5_reported": diff_reported,
     "pol5_diff_gate": diff_gate,
     "agg1_agg2_readiness": readiness,
@@ -290,6 +310,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rpt2_sarif_results": sarif_results,
     "srt1_findings_listing": listing,
     "adv1_advice": advice,
+    "srt1_diff_listing": diff_listing,
+    "rpt2_diff_results": sarif_diff_results,
+    "rpt1_diff_documents": json_diff_documents,
     "rpt1_json_documents": json_documents,
     "rpt2_sarif_documents": sarif_documents,
     "rpt3_cbom_documents": cbom_documents,
@@ -299,6 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "qc1_unknown_exposed": lambda spark, sf_dir: qc.unknown_exposed(
         line_libraries(spark, sf_dir), part_algorithms(spark, sf_dir)),
     "qc2_repeated_patterns": _on_parts(qc.repeated_patterns),
+    "qc2_blank_patterns": _on_parts(qc.blank_patterns),
     "qc3_algorithm_problems": _on_parts(qc.algorithm_problems),
     "qc3_library_problems": lambda spark, sf_dir: qc.library_problems(
         line_libraries(spark, sf_dir)),

@@ -1,10 +1,13 @@
 """Data source ``repo_tree``: files below a directory as the corpus table.
 
 Spark's own file listing drops names that start with a dot or underscore, which
-this corpus needs (``.env``, ``__init__.py``). Directories are listed on the
-driver down to ``depth`` only; each one is a partition, read where it is needed.
-Options: ``path``; ``repo`` for the name of a single repository, else every
-directory below ``path`` is a repository; ``depth`` (2); ``maxBytes`` (1000000).
+this corpus needs (``.env``, ``__init__.py``). The driver lists the directories
+of the upper ``depth`` levels; a task gets some of them, lists what is below and
+reads it. A file is opened only if its name can matter to a scan. Options:
+``path``; ``repo`` for the name of a single repository, else every directory
+below ``path`` is a repository; ``depth`` (2); ``maxBytes`` (none: every size);
+``suffixes``, a comma list (default: what the scanners look at; ``*``: all);
+``tasks`` (200), the most tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from cryptoscape.functions.paths import EXCLUDED_DIRS
+from cryptoscape.functions.paths import CONFIG_SUFFIXES, EXCLUDED_DIRS, SOURCE_SUFFIXES
+from cryptoscape.operators.files import CONFIG_FILE_SUFFIXES, CONFIG_NAMES, MANIFESTS
 
 SCHEMA = "repo string, path string, content binary, size bigint"
 
@@ -31,9 +35,11 @@ class RepoTree(DataSource):
         return _TreeReader(self.options)
 
 
-class _Directory(InputPartition):
-    def __init__(self, repo: str, root: str, directory: str, recursive: bool):
-        self.repo, self.root, self.directory, self.recursive = repo, root, directory, recursive
+class _Directories(InputPartition):
+    """(repository, its root, a directory, whether what is below belongs to it)."""
+
+    def __init__(self, places: list[tuple[str, str, str, bool]]):
+        self.places = places
 
 
 class _TreeReader(DataSourceReader):
@@ -41,38 +47,58 @@ class _TreeReader(DataSourceReader):
         self.path = options["path"]
         self.repo = options.get("repo")
         self.depth = int(options.get("depth", "2"))
-        self.max_bytes = int(options.get("maxBytes", "1000000"))
+        self.tasks = int(options.get("tasks", "200"))
+        limit = options.get("maxBytes")
+        self.max_bytes = int(limit) if limit else None
+        suffixes = options.get("suffixes", "")
+        self.suffixes = frozenset(s.strip().lower() for s in suffixes.split(",") if s.strip())
 
     def partitions(self) -> list[InputPartition]:
-        found: list[InputPartition] = []
-        if os.path.isdir(self.path) and self.repo is not None:
-            found += _chunks(self.repo, self.path, self.path, self.depth)
-        elif os.path.isdir(self.path):
-            for entry in _subdirectories(self.path):
-                found += _chunks(entry.name, entry.path, entry.path, self.depth)
-        return found or [_Directory("", self.path, "", False)]
-
-    def read(self, partition: _Directory) -> Iterator[tuple]:
-        # Without a repository there is one partition with no directory and no rows.
-        for directory, names, files in os.walk(partition.directory):
-            names[:] = [n for n in sorted(names) if partition.recursive and not _is_excluded(n)]
-            for name in sorted(files):
-                row = self._row(partition, os.path.join(directory, name))
-                if row is not None:
-                    yield row
-
-    def _row(self, partition: _Directory, path: str) -> tuple | None:
-        """The file as a row; links, large and unreadable files are left out."""
+        places: list[tuple[str, str, str, bool]] = []
+        if os.path.isdir(self.path):
+            roots = ([(self.repo, self.path)] if self.repo is not None
+                     else [(e.name, e.path) for e in _subdirectories(self.path)])
+            for repo, root in roots:
+                places += _upper(repo, root, root, self.depth)
+        n = max(1, min(self.tasks, len(places)))
+        return [_Directories(places[i::n]) for i in range(n)]
+
+    def read(self, partition: _Directories) -> Iterator[tuple]:
+        for repo, root, top, recursive in partition.places:
+            for directory, names, files in os.walk(top):
+                names[:] = [n for n in sorted(names) if recursive and not _is_excluded(n)]
+                for name in sorted(files):
+                    if self._matters(name):
+                        row = self._row(repo, root, os.path.join(directory, name))
+                        if row is not None:
+                            yield row
+
+    def _matters(self, name: str) -> bool:
+        if "*" in self.suffixes:
+            return True
+        suffix = os.path.splitext(name)[1].lower()
+        if self.suffixes:
+            return suffix in self.suffixes
+        return (suffix in _SUFFIXES or name in _NAMES or name == ".env"
+                or name.startswith(".env."))
+
+    def _row(self, repo: str, root: str, path: str) -> tuple | None:
+        """The file as a row; links, too large and unreadable files are left out."""
         try:
-            size = os.lstat(path).st_size
-            if os.path.islink(path) or not os.path.isfile(path) or size > self.max_bytes:
+            if os.path.islink(path) or not os.path.isfile(path):
+                return None
+            if self.max_bytes is not None and os.lstat(path).st_size > self.max_bytes:
                 return None
             with open(path, "rb") as f:
                 content = f.read()
         except OSError:
             return None
-        relative = os.path.relpath(path, partition.root).replace(os.sep, "/")
-        return partition.repo, relative, content, len(content)
+        relative = os.path.relpath(path, root).replace(os.sep, "/")
+        return repo, relative, content, len(content)
+
+
+_SUFFIXES = frozenset((*SOURCE_SUFFIXES, *CONFIG_SUFFIXES, *CONFIG_FILE_SUFFIXES))
+_NAMES = frozenset((*MANIFESTS, *CONFIG_NAMES))
 
 
 def _is_excluded(name: str) -> bool:
@@ -85,11 +111,11 @@ def _subdirectories(directory: str) -> list[os.DirEntry]:
                        and not _is_excluded(e.name)), key=lambda e: e.name)
 
 
-def _chunks(repo: str, root: str, directory: str, depth: int) -> Iterator[_Directory]:
-    """The files of the upper directories, and whole trees from ``depth`` on."""
+def _upper(repo: str, root: str, directory: str, depth: int) -> Iterator[tuple[str, str, str, bool]]:
+    """The directories down to ``depth``, the last ones with all that is below them."""
     if depth == 0:
-        yield _Directory(repo, root, directory, True)
+        yield repo, root, directory, True
         return
-    yield _Directory(repo, root, directory, False)
+    yield repo, root, directory, False
     for entry in _subdirectories(directory):
-        yield from _chunks(repo, root, entry.path, depth - 1)
+        yield from _upper(repo, root, entry.path, depth - 1)

@@ -2,6 +2,8 @@
 
 DuckDB runs it on the same tables. Its regexes have no look-around, so a
 boundary is a neighbouring character or an end of the line, outside group 1.
+Fixed values: the file names, suffixes, regexes, line texts, scales and object
+identifiers in it are those of the operators, written out once more.
 """
 
 from __future__ import annotations
@@ -38,18 +40,35 @@ _EXCLUDED = (r"\.git|node_modules|__pycache__|\.venv|venv|\.env|dist|build|\.nex
              r"\.cargo|\.eggs|[^/]*\.egg-info")
 
 
-def planted(documents: str = "SELECT * FROM documents", shift: str = "0") -> str:
-    name = (f"replace({lst(corpus.FILES)}[doc_id % {len(corpus.FILES)} + 1], '{{id}}', "
-            "doc_id::VARCHAR)")
+def chars(value: str) -> str:
+    """A SQL string with its control characters as chr()."""
+    parts = re.split("([\x00-\x1f\x7f-\x9f\u2028\u2029])", value)
+    return " || ".join(f"chr({ord(x)})" if i % 2 else q(x) for i, x in enumerate(parts) if x)
+
+
+def planted(documents: str = "SELECT * FROM documents", shift: str = "0", move: str = "0") -> str:
+    name = (f"CASE WHEN source = {q(corpus.CLEAN)} THEN 'f' || doc_id || '.py' ELSE "
+            f"replace({lst(corpus.FILES)}[doc_id % {len(corpus.FILES)} + 1], '{{id}}', "
+            "doc_id::VARCHAR) END")
     fitting = (f"{lst(corpus.SNIPPETS[kind] for kind in corpus.FILES.values())}"
                f"[doc_id % {len(corpus.FILES)} + 1]")
     other = (f"{lst(corpus.SNIPPETS.values())}"
              f"[(doc_id + {shift}) % {len(corpus.SNIPPETS)} + 1]")
+    odd = " ".join(f"WHEN {r} THEN {chars(t)}" for r, t in corpus.ODD_LINES.items())
+    broken = " ".join(f"WHEN {r} THEN {chars(bytes.fromhex(t).decode('utf-8', 'replace'))}"
+                      for r, t in corpus.BROKEN.items())
+    json_text = f"{q(_HEAD)} || to_json(text)::VARCHAR || {q(_TAIL)}"
     return f"""SELECT source AS repo,
-      {lst(corpus.DIRECTORIES)}[doc_id % {len(corpus.DIRECTORIES)} + 1] || {name} AS path,
-      CASE WHEN {name} LIKE '%package.json'
-           THEN {q(_HEAD)} || to_json(text)::VARCHAR || {q(_TAIL)}
-           ELSE text || chr(10) || {fitting} || {other} END AS content
+      {lst(corpus.DIRECTORIES)}[(doc_id + {move}) % {len(corpus.DIRECTORIES)} + 1] || {name} AS path,
+      CASE WHEN source = {q(corpus.CLEAN)} THEN text
+           WHEN {name} LIKE '%package.json' AND doc_id % 7 = 0
+           THEN left({json_text}, -1) || {q(corpus.ODD_JSON)}
+           WHEN {name} LIKE '%package.json' THEN {json_text}
+           ELSE CASE doc_id % 11 WHEN {corpus.EARLY_NUL} THEN chr(0) ELSE '' END
+             || text || chr(10) || {fitting} || {other}
+             || CASE doc_id % 11 {odd} {broken}
+                WHEN {corpus.LATE_NUL} THEN repeat('pad ', {corpus.LATE_PAD}) || chr(0) || chr(10)
+                  || 'MD5 after' || chr(10) ELSE '' END END AS content
       FROM ({documents})"""
 
 
@@ -61,7 +80,9 @@ PROSE = """SELECT 'documents' AS repo, 'd' || doc_id || '.py' AS path, text AS c
 def files(source: str, p: str = "") -> str:
     """CTEs ``files`` and ``lines`` with the prefix ``p``."""
     return f"""{p}raw AS MATERIALIZED ({source}),
-{p}named AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, strlen(content) AS size FROM {p}raw),
+{p}named AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, strlen(content)
+  - 2 * (length(content) - length(replace(content, chr(65533), ''))) AS size,
+  contains(content, chr(0)) AS is_binary FROM {p}raw),
 {p}sized AS (SELECT *, lower(regexp_extract(name, '^.+([.][^.]+)$', 1)) AS suffix FROM {p}named),
 {p}files AS MATERIALIZED (SELECT *,
   regexp_matches(path, '(^|/)({_EXCLUDED})(/|$)') AS excluded,
@@ -89,8 +110,7 @@ CORPUS = files(planted())
 
 
 def select_files(where: str) -> str:
-    return (f"WITH {CORPUS} SELECT repo, path, size::BIGINT AS size FROM files "
-            f"WHERE size <= 1000000 AND {where}")
+    return f"WITH {CORPUS} SELECT repo, path, size::BIGINT AS size FROM files WHERE {where}"
 
 
 # --- patterns ---------------------------------------------------------------------
@@ -119,7 +139,7 @@ def source_hits(patterns: dict[str, list[str]], p: str = "") -> str:
     return f"""{p}tried AS (SELECT l.repo, l.path, n, line,
   unnest(list_filter([{tried}], lambda x: x.m IS NOT NULL)) AS h
   FROM {p}lines l JOIN {p}files f ON l.repo = f.repo AND l.path = f.path
-  WHERE f.is_source AND NOT f.excluded AND f.size <= 1000000),
+  WHERE f.is_source AND NOT f.excluded AND NOT f.is_binary),
 {p}source_hits AS (SELECT repo, path, n AS line_number, h.m AS matched_text, h.a AS algorithm_id,
   'source_code' AS source, {strip('line')} AS line_text, n AS ord_a, h.o AS ord_b FROM {p}tried)"""
 
@@ -173,7 +193,7 @@ def config_hits(p: str = "") -> str:
     return f"""{p}config_tried AS (SELECT l.repo, l.path, n,
   unnest(list_filter([{tried}], lambda x: x.m IS NOT NULL)) AS h
   FROM {p}lines l JOIN {p}files f ON l.repo = f.repo AND l.path = f.path
-  WHERE NOT f.excluded_parent AND f.size <= 1000000),
+  WHERE NOT f.excluded_parent),
 {p}config_hits AS (SELECT repo, path, n AS line_number, h.m AS matched_text, h.a AS algorithm_id,
   'config' AS source, h.t AS line_text, n AS ord_a, h.o AS ord_b FROM {p}config_tried
   QUALIFY row_number() OVER (PARTITION BY repo, path, n, h.a ORDER BY h.o) = 1)"""
@@ -189,12 +209,16 @@ def packages(p: str = "") -> str:
     name_re = q(r"""['"]([A-Za-z0-9_][A-Za-z0-9._-]*)""")
     gradle = q(r"""['"]([^'"]+):([^'"]+):([^'"]+)['"]""")
     maven = q(rf"<artifactId>[{_SPACES}]*([^<]+?)[{_SPACES}]*</artifactId>")
-    sections = ", ".join(f"{{'s': {i}, 'k': json_keys(content, '$.{s}')}}" for i, s in enumerate(
+    # The last of repeated sections counts, and a repeated key once; a section has no braces.
+    found = ("regexp_extract_all(regexp_extract(content, "
+             "'(?s).*\"{}\": \\{{([^}}]*)\\}}', 1), '\"([^\"]+)\" *:', 1)")
+    keys = f"list_filter({found}, lambda x, i: list_position({found}, x) = i)"
+    sections = ", ".join(f"{{'s': {i}, 'k': {keys.format(s, s)}}}" for i, s in enumerate(
         ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")))
     code = "s <> '' AND NOT starts_with(s, '#')"
     return f"""{p}m AS (SELECT f.repo, f.path, f.name, n, line AS raw, {strip('line')} AS s
   FROM {p}lines l JOIN {p}files f ON l.repo = f.repo AND l.path = f.path
-  WHERE f.is_manifest AND NOT f.excluded AND f.size <= 1000000),
+  WHERE f.is_manifest AND NOT f.excluded),
 {p}heads AS (SELECT *, starts_with(s, '[') AS is_head,
   last_value(CASE WHEN starts_with(s, '[') THEN lower(s) END IGNORE NULLS) {last} AS head,
   last_value(CASE WHEN starts_with(s, 'require (') THEN true WHEN s = ')' THEN false END
@@ -238,7 +262,7 @@ def packages(p: str = "") -> str:
               regexp_extract(raw, {gradle}, 1) || ':' || regexp_extract(raw, {gradle}, 2)])
     FROM {p}m WHERE name = 'build.gradle' AND regexp_matches(raw, {gradle})),
 {p}json_sections AS (SELECT repo, path, unnest([{sections}]) AS x FROM {p}files
-  WHERE name = 'package.json' AND NOT excluded AND size <= 1000000 AND json_valid(content)),
+  WHERE name = 'package.json' AND NOT excluded),
 {p}json_found AS (SELECT repo, path, x.s AS sec, unnest(range(len(x.k))) AS i, unnest(x.k) AS package
   FROM {p}json_sections WHERE x.k IS NOT NULL),
 {p}json_lines AS (SELECT j.repo, j.path, sec, i, package, min(l.n) AS n FROM {p}json_found j
@@ -313,7 +337,7 @@ def assessed(hits: str, p: str = "") -> str:
   substr(sha256(path || ':' || coalesce(line_number::VARCHAR, 'None') || ':' || algorithm_id || ':'
     || source), 1, 16) AS hash,
   {{'s': CASE source WHEN 'source_code' THEN 0 WHEN 'dependency' THEN 1 ELSE 2 END,
-    'p': CASE WHEN source = 'dependency' THEN string_split(path, '/') ELSE [path] END,
+    'p': CASE WHEN source = 'dependency' THEN replace(path, '/', chr(1)) ELSE path END,
     'a': ord_a, 'b': ord_b}} AS seq FROM {p}confident)"""
 
 
@@ -353,8 +377,8 @@ gates(repo, threshold, max_new) AS (VALUES ('src1', 0, 40), ('src2', 4, 0), ('sr
 
 # --- diff ---------------------------------------------------------------------------
 
-_EARLIER = files(planted("SELECT * FROM documents WHERE lang <> 'de'",
-                         "CASE WHEN lang = 'fr' THEN 1 ELSE 0 END"), "o_")
+_EARLIER = files(planted(shift="CASE WHEN lang = 'fr' THEN 1 ELSE 0 END",
+                         move="CASE WHEN lang = 'de' THEN 1 ELSE 0 END"), "o_")
 DIFF = f"""{FINDINGS}, {_EARLIER}, {scan('o_')}, {assessed('o_hits', 'o_')},
 before AS (SELECT repo, hash, path, line_number, algorithm_id, quantum_risk, source,
   CASE WHEN algorithm_id IN ('MD5', 'RSA') THEN 'low' ELSE severity END AS severity
@@ -374,61 +398,108 @@ _NEW = "count(*) FILTER (diff_class IN ('new', 'worsened'))"
 
 # --- documents ------------------------------------------------------------------------
 
-_REPOS = """repos AS (SELECT repo, count(*) FILTER ((is_source OR is_config) AND NOT excluded
-  AND size <= 1000000) AS total_files_scanned FROM files GROUP BY repo)"""
-_FINDING = ("{'file_path': path, 'line_number': line_number, 'matched_text': matched_text, "
-            "'algorithm_id': algorithm_id, 'algorithm_name': algorithm_name, "
-            "'algorithm_type': algorithm_type, 'source': source, 'quantum_risk': quantum_risk, "
-            "'reason': reason, 'replacement': replacement, 'confidence': confidence, "
-            "'context': context, 'severity': severity, 'category': category, "
-            "'remediation': remediation, 'diff_status': NULL::VARCHAR}")
-_SCORE = "CASE WHEN count(f.repo) = 0 THEN 100.0::DOUBLE ELSE {safe}::DOUBLE / count(f.repo) * 100 END"
+_REPOS = """repos AS (SELECT repo, count(*) FILTER ((is_source OR is_config) AND NOT excluded)
+  AS total_files_scanned FROM files GROUP BY repo)"""
+KEYS = "seq.s AS source_ord, seq.p AS path_key, seq.a AS ord_a, seq.b AS ord_b"
+_NO_KEYS = "0 AS source_ord, '' AS path_key, 0 AS ord_a, 0 AS ord_b"
+
+# The findings that a diff reports, with their status.
+DIFF_FINDINGS = f"""{DIFF}, reported AS (SELECT f.*, d.diff_class AS diff_status FROM findings f
+  JOIN diff d ON f.repo = d.repo AND f.hash = d.hash WHERE d.diff_class IN ('new', 'worsened'))"""
+
+
+def listing(status: str, table: str) -> str:
+    return f"""SELECT repo, list_position(['VULNERABLE', 'PARTIAL', 'SAFE', 'UNKNOWN'],
+    quantum_risk)::INT - 1 AS risk_ord, {KEYS}, upper(severity) AS severity,
+  coalesce(upper({status}), '') AS badge, quantum_risk AS risk, algorithm_name AS algorithm,
+  path || coalesce(':' || line_number, '') AS file_line, source, upper(confidence) AS confidence,
+  context, CASE replacement WHEN '' THEN '-' ELSE replacement END AS replacement FROM {table}"""
+
+
+_MESSAGE = "'Uses ' || algorithm_name || ': ' || reason || '. Instead: ' || replacement"
+
+
+def sarif_results(status: str, table: str) -> str:
+    return f"""SELECT repo, 'cryptoscape/' || algorithm_id AS rule_id, {_LEVEL} AS level,
+  {_MESSAGE} AS message, path AS uri, coalesce(line_number, 1) AS start_line, quantum_risk,
+  algorithm_type, replacement, confidence, context, severity, category, remediation,
+  {status} AS diff_status FROM {table}"""
 
 
 def risk_count(risk: str) -> str:
     return f"count(*) FILTER (quantum_risk = '{risk}')"
 
 
-def listed(value: str, order: str = "seq") -> str:
-    """JSON text of a list of structs in order, without brackets."""
-    return f"coalesce(string_agg(to_json({value})::VARCHAR, ',' ORDER BY {order}), '')"
+def piece(part: int, text: str, table: str, item: str = "0", sub: int = 0,
+          keys: str = _NO_KEYS) -> str:
+    return (f"SELECT repo, {part} AS part, ({item})::INT AS item, {sub} AS sub, {keys}, "
+            f"{text} AS text FROM {table}")
+
+
+def comma(first: str) -> str:
+    return f"CASE WHEN {first} THEN '' ELSE ',' END"
+
 
+_FIRST = "row_number() OVER (PARTITION BY repo ORDER BY seq) = 1"
 
-JSON_DOCUMENTS = f"""{FINDINGS}, {_REPOS} SELECT r.repo,
-  rtrim(to_json({{'version': '0.1.0', 'scan_path': r.repo,
-    'total_files_scanned': any_value(total_files_scanned), 'scan_duration_seconds': 0.0::DOUBLE,
-    'summary': {{'total_findings': count(f.repo), 'vulnerable': {risk_count('VULNERABLE')},
-      'partial': {risk_count('PARTIAL')}, 'safe': {risk_count('SAFE')},
-      'quantum_ready_score': {_SCORE.format(safe=risk_count('SAFE'))}}}}})::VARCHAR, '}}')
-  || '}},"findings":[' || coalesce(string_agg(to_json({_FINDING})::VARCHAR, ',' ORDER BY seq)
-    FILTER (f.repo IS NOT NULL), '') || ']}}' AS text
-FROM repos r LEFT JOIN findings f ON r.repo = f.repo GROUP BY r.repo"""
+
+def json_documents(start: str, table: str, status: str, tail: str) -> str:
+    finding = ("{'file_path': path, 'line_number': line_number, 'matched_text': matched_text, "
+               "'algorithm_id': algorithm_id, 'algorithm_name': algorithm_name, "
+               "'algorithm_type': algorithm_type, 'source': source, 'quantum_risk': quantum_risk, "
+               "'reason': reason, 'replacement': replacement, 'confidence': confidence, "
+               "'context': context, 'severity': severity, 'category': category, "
+               f"'remediation': remediation, 'diff_status': {status}}}")
+    return f"""{start}, {_REPOS}, counted AS (SELECT r.repo, any_value(total_files_scanned) AS files,
+  count(f.repo) AS total, {risk_count('VULNERABLE')} AS v, {risk_count('PARTIAL')} AS p,
+  {risk_count('SAFE')} AS s FROM repos r LEFT JOIN {table} f ON r.repo = f.repo GROUP BY r.repo),
+json_heads AS (SELECT repo, rtrim(to_json({{'version': '0.1.0', 'scan_path': repo,
+    'total_files_scanned': files, 'scan_duration_seconds': 0.0::DOUBLE,
+    'summary': {{'total_findings': total, 'vulnerable': v, 'partial': p, 'safe': s,
+      'quantum_ready_score': CASE WHEN total = 0 THEN 100.0::DOUBLE
+        ELSE s::DOUBLE / total * 100 END}}}})::VARCHAR, '}}') || '}},"findings":[' AS head FROM counted)
+{piece(0, "head", "json_heads")}
+UNION ALL {piece(1, f"{comma(_FIRST)} || to_json({finding})::VARCHAR", table, keys=KEYS)}
+UNION ALL {tail}"""
+
+
+JSON_DOCUMENTS = json_documents(FINDINGS, "findings", "NULL::VARCHAR", piece(2, "']}'", "repos"))
+_SUMMARY = """(SELECT r.repo, '],"diff_summary":' || to_json({
+  'new': count(*) FILTER (diff_class = 'new'), 'worsened': count(*) FILTER (diff_class = 'worsened'),
+  'resolved': count(*) FILTER (diff_class = 'resolved'),
+  'unchanged': count(*) FILTER (diff_class = 'unchanged')})::VARCHAR || '}' AS tail
+  FROM repos r LEFT JOIN diff d ON r.repo = d.repo GROUP BY r.repo)"""
+JSON_DIFF_DOCUMENTS = json_documents(DIFF_FINDINGS, "reported", "diff_status",
+                                     piece(2, "tail", _SUMMARY))
 
 _RULE = ("{'id': 'cryptoscape/' || algorithm_id, 'name': 'QuantumVulnerableCrypto', "
-         "'shortDescription': {'text': algorithm_name || ' — ' || reason}, "
-         "'fullDescription': {'text': algorithm_name || ' (' || algorithm_type || "
-         "') is classified as ' || quantum_risk || '. Recommended replacement: ' || replacement}, "
+         "'shortDescription': {'text': algorithm_name || ': ' || reason}, "
+         "'fullDescription': {'text': 'Risk ' || quantum_risk || ' for ' || algorithm_name || "
+         "', type ' || algorithm_type || '. Use ' || replacement}, "
          "'defaultConfiguration': {'level': CASE quantum_risk WHEN 'VULNERABLE' THEN 'error' "
          "WHEN 'SAFE' THEN 'note' ELSE 'warning' END}, 'properties': {'tags': ['security', "
          "'cryptography', 'quantum', 'pqc'], 'precision': 'medium'}}")
 _RESULT = (f"{{'ruleId': 'cryptoscape/' || algorithm_id, 'level': {_LEVEL}, 'message': {{'text': "
-           "algorithm_name || ' detected — ' || reason || '. Replace with ' || replacement}, "
+           f"{_MESSAGE}}}, "
            "'locations': [{'physicalLocation': {'artifactLocation': {'uri': path, 'uriBaseId': "
            "'%SRCROOT%'}, 'region': {'startLine': coalesce(line_number, 1), 'startColumn': 1}}}], "
            "'properties': {'quantum_risk': quantum_risk, 'algorithm_type': algorithm_type, "
            "'replacement': replacement, 'confidence': confidence, 'context': context, "
            "'severity': severity, 'category': category, 'remediation': remediation, "
            "'diff_status': NULL::VARCHAR}}")
+_HEAD_TEXT = """'{"$schema":"https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/'
+  || 'schema/sarif-schema-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":'
+  || '"cryptoscape","version":"0.1.0","rules":['"""
+_BETWEEN = """']}},"results":['"""
 SARIF_DOCUMENTS = f"""{FINDINGS}, {_REPOS},
 firsts AS (SELECT * FROM findings
   QUALIFY row_number() OVER (PARTITION BY repo, algorithm_id ORDER BY seq) = 1),
-rules AS (SELECT repo, {listed(_RULE)} AS rules FROM firsts GROUP BY repo),
-results AS (SELECT repo, {listed(_RESULT)} AS results FROM findings GROUP BY repo)
-SELECT repo, '{{"$schema":"https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/'
-  || 'schema/sarif-schema-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":'
-  || '"cryptoscape","version":"0.1.0","rules":[' || coalesce(rules, '') || ']}}}},"results":['
-  || coalesce(results, '') || ']}}]}}' AS text
-FROM repos LEFT JOIN rules USING (repo) LEFT JOIN results USING (repo)"""
+rules AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq) - 1 AS i FROM firsts)
+{piece(0, _HEAD_TEXT, "repos")}
+UNION ALL {piece(1, f"{comma('i = 0')} || to_json({_RULE})::VARCHAR", "rules", "i")}
+UNION ALL {piece(2, _BETWEEN, "repos")}
+UNION ALL {piece(3, f"{comma(_FIRST)} || to_json({_RESULT})::VARCHAR", "findings", keys=KEYS)}
+UNION ALL {piece(4, "']}]}'", "repos")}"""
 
 _PROPERTIES = ", ".join(
     f"{{'name': 'cryptoscape:{n}', 'value': coalesce({n}, '')}}"
@@ -442,30 +513,38 @@ _OCCURRENCE = ("'{\"location\":' || to_json(path) || ',\"line\":' || coalesce(li
 def cbom_documents(components: str) -> str:
     start = "\nSELECT repo, algorithm_id, occurrences"
     table = components.replace(start, ",\ncomponents AS (" + start.strip())
-    return f"""{table}), {_REPOS},
-places AS (SELECT repo, algorithm_id, string_agg({_OCCURRENCE}, ',' ORDER BY seq) AS places
-  FROM findings GROUP BY repo, algorithm_id),
-bodies AS (SELECT repo, string_agg('{{"type":"cryptographic-asset","name":'
+    head = """'{"bomFormat":"CycloneDX","specVersion":"1.6","version":1,"serialNumber":"urn:uuid:'
+  || md5(repo) || '","metadata":{"timestamp":"2026-06-30T00:00:00+00:00","tools":{"components":'
+  || '[{"type":"application","name":"cryptoscape","version":"0.1.0"}]},"component":{"type":'
+  || '"application","name":' || to_json(repo) || ',"bom-ref":"scanned-project"}},"components":['"""
+    opening = f"""{comma("component_index = 0")} || '{{"type":"cryptographic-asset","name":'
     || to_json(algorithm_name) || ',"bom-ref":' || to_json(bom_ref) || ',"cryptoProperties":'
     || '{{"assetType":' || to_json(asset_type) || coalesce(',"oid":' || to_json(oid), '')
     || coalesce(',"algorithmProperties":{{"primitive":' || to_json(primitive) || '}}', '')
-    || '}},"properties":' || to_json([{_PROPERTIES}]) || ',"evidence":{{"occurrences":[' || places
-    || ']}}}}', ',' ORDER BY component_index) AS body
-  FROM components JOIN places USING (repo, algorithm_id) GROUP BY repo)
-SELECT repo, '{{"bomFormat":"CycloneDX","specVersion":"1.6","version":1,"serialNumber":"urn:uuid:'
-  || md5(repo) || '","metadata":{{"timestamp":"2026-06-30T00:00:00+00:00","tools":{{"components":'
-  || '[{{"type":"application","name":"cryptoscape","version":"0.1.0"}}]}},"component":{{"type":'
-  || '"application","name":' || to_json(repo) || ',"bom-ref":"scanned-project"}}}},"components":['
-  || coalesce(body, '') || ']}}' AS text FROM repos LEFT JOIN bodies USING (repo)"""
+    || '}},"properties":' || to_json([{_PROPERTIES}]) || ',"evidence":{{"occurrences":['"""
+    first = "row_number() OVER (PARTITION BY repo, algorithm_id ORDER BY seq) = 1"
+    placed = """(SELECT f.*, c.component_index FROM findings f JOIN components c
+  ON f.repo = c.repo AND f.algorithm_id = c.algorithm_id)"""
+    return f"""{table}), {_REPOS}
+{piece(0, head, "repos")}
+UNION ALL {piece(1, opening, "components", "component_index")}
+UNION ALL {piece(1, f"{comma(first)} || {_OCCURRENCE}", placed, "component_index", 1, KEYS)}
+UNION ALL {piece(1, "']}}'", "components", "component_index", 2)}
+UNION ALL {piece(2, "']}'", "repos")}"""
 
 
 _ENTRY = ("{'hash': hash, 'file': path, 'line': line_number, 'algorithm': algorithm_id, "
           "'risk': quantum_risk, 'severity': severity, 'source': source}")
+_BASELINE_HEAD = """'{"baseline_version":"1.0","tool_version":"0.1.0","generated_at":'
+  || '"2026-06-30T00:00:00+00:00","commit":null,"findings_count":' || n || ',"findings":['"""
 BASELINE_DOCUMENTS = f"""{FINDINGS}, {_REPOS},
-entries AS (SELECT repo, count(*) AS n, {listed(_ENTRY, 'hash')} AS body FROM findings GROUP BY repo)
-SELECT repo, '{{"baseline_version":"1.0","tool_version":"0.1.0","generated_at":'
-  || '"2026-06-30T00:00:00+00:00","commit":null,"findings_count":' || coalesce(n, 0)
-  || ',"findings":[' || coalesce(body, '') || ']}}' AS text FROM repos LEFT JOIN entries USING (repo)"""
+counted AS (SELECT r.repo, count(f.repo) AS n FROM repos r LEFT JOIN findings f ON r.repo = f.repo
+  GROUP BY r.repo)
+{piece(0, _BASELINE_HEAD, "counted")}
+UNION ALL {piece(1, comma("row_number() OVER (PARTITION BY repo ORDER BY hash) = 1")
+                 + f" || to_json({_ENTRY})::VARCHAR", "findings",
+                 keys="0 AS source_ord, hash AS path_key, 0 AS ord_a, 0 AS ord_b")}
+UNION ALL {piece(2, "']}'", "repos")}"""
 
 # --- checks on catalogues -----------------------------------------------------------
 
@@ -474,8 +553,9 @@ PARTS = """parts AS (SELECT 'P' || p_partkey AS algorithm_id, p_name AS name,
     ELSE 'symmetric' END AS type,
   CASE p_size % 3 WHEN 0 THEN 'VULNERABLE' WHEN 1 THEN 'SAFE' ELSE 'DOUBTFUL' END AS quantum_risk,
   p_name AS replacement, CASE WHEN p_size % 5 <> 0 THEN 'hash' END AS category,
-  string_split(p_name, ' ') || [lower(p_type)]
-    || [string_split(p_name, ' ')[p_size % 2 + 1]] AS patterns,
+  CASE p_size WHEN 9 THEN []::VARCHAR[] WHEN 8 THEN [p_brand, '  ']
+    ELSE string_split(p_name, ' ') || [lower(p_type)]
+      || [string_split(p_name, ' ')[p_size % 2 + 1]] END AS patterns,
   CASE p_size % 4 WHEN 0 THEN 'cnsa' WHEN 1 THEN 'nist' ELSE 'other' END AS body,
   p_size % 2 = 0 AS has_full FROM part)"""
 LIBS = """libs AS (SELECT 'L-' || l_orderkey || '-' || l_linenumber AS library_id,
@@ -495,7 +575,11 @@ def problems(table: str, id_column: str, checks: dict[str, str]) -> str:
 
 ORACLES = {
     "src1_fil1_select_files": select_files("(is_source OR is_config) AND NOT excluded"),
-    "fil4_text_files": select_files("is_source AND NOT excluded"),
+    "fil3_size_filter": select_files("(is_source OR is_config) AND NOT excluded AND size <= 4000"),
+    # The late NUL is behind the bytes that are probed.
+    "fil4_text_files": select_files(
+        "is_source AND NOT excluded AND NOT starts_with(content, chr(0))"),
+    "prj1_decode": f"WITH {CORPUS} SELECT repo, path, content AS text FROM files",
     "fil5_manifests": select_files("is_manifest AND NOT excluded"),
     "fil6_config_files": select_files(
         "NOT excluded_parent AND (name IN ('nginx.conf','httpd.conf','apache2.conf','haproxy.cfg',"
@@ -514,7 +598,7 @@ ORACLES = {
     "prj4_relative_path": "SELECT page_id, CASE WHEN starts_with(url, 'https://m.ththth.example.net/')"
                           " THEN substr(url, 30) ELSE url END AS path FROM pages",
     "agg0_files_scanned": f"WITH {CORPUS} SELECT repo, count(*) FILTER ((is_source OR is_config) "
-                          "AND NOT excluded AND size <= 1000000) AS total_files_scanned "
+                          "AND NOT excluded) AS total_files_scanned "
                           "FROM files GROUP BY repo",
     "scn1_scan_source": f"WITH {CORPUS}, {source_hits(CATALOGUE)} SELECT {_ROW} FROM source_hits",
     "scn1_custom_catalogue": f"WITH {files(PROSE)}, {source_hits(PROSE_PATTERNS)} "
@@ -545,7 +629,7 @@ ORACLES = {
     "pol5_fail_gate": f"""{FINDINGS}, {PER_REPO}, worst AS (
   SELECT repo, min({index_of('severity')}) AS worst FROM kept GROUP BY repo)
 SELECT repo, worst, 0::BIGINT AS new_findings, coalesce(worst <= threshold, false) AS fails
-FROM worst LEFT JOIN gates USING (repo)""",
+FROM (SELECT DISTINCT repo FROM files) LEFT JOIN worst USING (repo) LEFT JOIN gates USING (repo)""",
     "bas_baseline_entries": f"{FINDINGS} SELECT repo, hash, path AS file, line_number AS line, "
                             "algorithm_id AS algorithm, quantum_risk AS risk, severity, source "
                             "FROM findings",
@@ -554,20 +638,21 @@ FROM worst LEFT JOIN gates USING (repo)""",
     "dif2_resolved": f"{DIFF} SELECT repo, hash, path AS file, line_number AS line, algorithm_id AS "
                      "algorithm, quantum_risk AS risk, severity, source FROM diff "
                      "WHERE diff_class = 'resolved'",
-    "dif3_diff_summary": f"""{DIFF} SELECT repo, count(*) FILTER (diff_class = 'new') AS new,
+    "dif3_diff_summary": f"""{DIFF} SELECT r.repo, count(*) FILTER (diff_class = 'new') AS new,
   count(*) FILTER (diff_class = 'worsened') AS worsened,
   count(*) FILTER (diff_class = 'resolved') AS resolved,
   count(*) FILTER (diff_class = 'unchanged') AS unchanged,
-  {_NEW} > 0 AS has_new_debt FROM diff GROUP BY repo""",
+  {_NEW} > 0 AS has_new_debt FROM (SELECT DISTINCT repo FROM files) r
+  LEFT JOIN diff d ON r.repo = d.repo GROUP BY r.repo""",
     "dif5_reported": f"{DIFF} SELECT repo, path, line_number, algorithm_id, source, severity, "
                      f"{_STATUS} FROM diff WHERE diff_class IN ('new', 'worsened')",
     "pol5_diff_gate": f"""{DIFF}, {PER_REPO}, worst AS (
   SELECT repo, min({index_of('severity')}) AS worst, count(*) AS new_findings FROM diff
   WHERE diff_class IN ('new', 'worsened') GROUP BY repo)
-SELECT repo, worst, new_findings,
-  CASE WHEN threshold IS NULL THEN new_findings > 0
-       ELSE worst <= threshold OR new_findings > max_new END AS fails
-FROM worst LEFT JOIN gates USING (repo)""",
+SELECT repo, worst, coalesce(new_findings, 0) AS new_findings,
+  CASE WHEN threshold IS NULL THEN coalesce(new_findings, 0) > 0
+       ELSE coalesce(worst <= threshold, false) OR coalesce(new_findings, 0) > max_new END AS fails
+FROM (SELECT DISTINCT repo FROM files) LEFT JOIN worst USING (repo) LEFT JOIN gates USING (repo)""",
     "agg1_agg2_readiness": f"""{FINDINGS}, counted AS (SELECT repo, count(*) AS total_findings,
   count(*) FILTER (quantum_risk = 'VULNERABLE') AS vulnerable,
   count(*) FILTER (quantum_risk = 'PARTIAL') AS partial,
@@ -576,8 +661,8 @@ scored AS (SELECT f.repo, f.total_files_scanned, coalesce(total_findings, 0) AS
   coalesce(vulnerable, 0) AS vulnerable, coalesce(partial, 0) AS partial, coalesce(safe, 0) AS safe,
   CASE WHEN coalesce(total_findings, 0) = 0 THEN 100.0::DOUBLE
        ELSE safe::DOUBLE / total_findings * 100 END AS quantum_ready_score
-  FROM (SELECT repo, count(*) FILTER ((is_source OR is_config) AND NOT excluded
-        AND size <= 1000000) AS total_files_scanned FROM files GROUP BY repo) f
+  FROM (SELECT repo, count(*) FILTER ((is_source OR is_config) AND NOT excluded)
+        AS total_files_scanned FROM files GROUP BY repo) f
   LEFT JOIN counted USING (repo))
 SELECT *, CASE WHEN quantum_ready_score >= 80 THEN 'green' WHEN quantum_ready_score >= 50
   THEN 'yellow' ELSE 'red' END AS score_band FROM scored""",
@@ -604,22 +689,18 @@ SELECT repo, algorithm_id, occurrences, algorithm_name, algorithm_type, quantum_
       ('RSA', 'ECDH', 'DH', 'X25519', 'X448', 'ElGamal') THEN 'pke' ELSE 'signature' END
     WHEN 'symmetric' THEN 'blockcipher' WHEN 'hash' THEN 'hash' WHEN 'kdf' THEN 'kdf'
     WHEN 'mac' THEN 'mac' END AS primitive FROM ranked""",
-    "rpt2_sarif_results": f"""{FINDINGS} SELECT repo, 'cryptoscape/' || algorithm_id AS rule_id,
-  {_LEVEL} AS level, algorithm_name || ' detected — ' || reason || '. Replace with ' || replacement
-  AS message, path AS uri, coalesce(line_number, 1) AS start_line, quantum_risk, algorithm_type,
-  replacement, confidence, context, severity, category, remediation,
-  NULL::VARCHAR AS diff_status FROM findings""",
-    "srt1_findings_listing": f"""{FINDINGS} SELECT repo, upper(severity) AS severity, '' AS badge,
-  quantum_risk AS risk, algorithm_name AS algorithm,
-  path || coalesce(':' || line_number, '') AS file_line, source, upper(confidence) AS confidence,
-  context, CASE replacement WHEN '' THEN '-' ELSE replacement END AS replacement FROM findings""",
+    "rpt2_sarif_results": f"{FINDINGS} {sarif_results('NULL::VARCHAR', 'findings')}",
+    "rpt2_diff_results": f"{DIFF_FINDINGS} {sarif_results('diff_status', 'reported')}",
+    "srt1_findings_listing": f"{FINDINGS} {listing('NULL', 'findings')}",
+    "srt1_diff_listing": f"{DIFF_FINDINGS} {listing('diff_status', 'reported')}",
     "adv1_advice": f"""{FINDINGS} SELECT repo, CASE quantum_risk WHEN 'VULNERABLE' THEN 0
     WHEN 'PARTIAL' THEN 1 ELSE 2 END AS advice_ord,
-  CASE quantum_risk WHEN 'VULNERABLE' THEN 'CRITICAL: ' || algorithm_name || ' in ' || place || ' — '
-      || reason || '. Replace with: ' || replacement
-    WHEN 'PARTIAL' THEN 'WARNING: ' || algorithm_name || ' in ' || place || ' — ' || reason
-      || '. Consider: ' || replacement
-    ELSE 'INFO: Unknown algorithm ''' || algorithm_id || ''' in ' || place END AS message
+  {KEYS},
+  CASE quantum_risk WHEN 'VULNERABLE' THEN 'CRITICAL: ' || algorithm_name || ' at ' || place
+      || ' has to go (' || reason || '); use ' || replacement
+    WHEN 'PARTIAL' THEN 'WARNING: ' || algorithm_name || ' at ' || place || ' is weak (' || reason
+      || '); think of ' || replacement
+    ELSE 'INFO: no entry for ' || algorithm_id || ', found at ' || place END AS message
 FROM (SELECT *, path || coalesce(':' || line_number, '') AS place FROM findings)
 WHERE quantum_risk <> 'SAFE'""",
     "src3_exposed_algorithms": f"WITH {LIBS} SELECT library_id, unnest(range(len(exposes)))::INT AS "
@@ -632,6 +713,8 @@ WHERE quantum_risk <> 'SAFE'""",
     "qc2_repeated_patterns": f"WITH {PARTS} SELECT algorithm_id, pattern, count(*) AS times FROM "
                              "(SELECT algorithm_id, unnest(patterns) AS pattern FROM parts) "
                              "GROUP BY ALL HAVING count(*) > 1",
+    "qc2_blank_patterns": f"WITH {PARTS} SELECT algorithm_id FROM parts WHERE len(patterns) = 0 "
+                          "OR list_contains(list_transform(patterns, lambda x: trim(x)), '')",
     "qc3_algorithm_problems": f"WITH {PARTS} " + problems("parts", "algorithm_id", {
         "type": "type IN ('asymmetric', 'symmetric', 'hash', 'kdf', 'mac', 'protocol')",
         "quantum_risk": "quantum_risk IN ('VULNERABLE', 'PARTIAL', 'SAFE', 'UNKNOWN')",
@@ -649,6 +732,7 @@ WHERE quantum_risk <> 'SAFE'""",
         "no eu deadlines": "NOT is_asym OR has_full"}),
 }
 ORACLES["rpt1_json_documents"] = JSON_DOCUMENTS
+ORACLES["rpt1_diff_documents"] = JSON_DIFF_DOCUMENTS
 ORACLES["rpt2_sarif_documents"] = SARIF_DOCUMENTS
 ORACLES["rpt3_cbom_documents"] = cbom_documents(ORACLES["agg5_cbom_components"])
 ORACLES["bas2_baseline_documents"] = BASELINE_DOCUMENTS

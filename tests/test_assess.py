@@ -158,7 +158,30 @@ def test_policy_per_repository(spark, assessed):
     assert gate == {"r": True, "s": False}
 
 
+def test_gate_of_a_repository_without_findings(spark, assessed):
+    repos = spark.createDataFrame([("r",), ("clean",)], "repo string")
+    for mode in (False, True):
+        gate = {r.repo: tuple(r) for r in po.check_fail_conditions(
+            assessed, policy(), diff_mode=mode, repos=repos).collect()}
+        assert gate["clean"] == ("clean", None, 0, False) and gate["r"][3]
+    none = po.apply_policy(assessed, policy(ignore={"paths": ["*"]}), DAY)
+    assert [tuple(r)[1:] for r in po.check_fail_conditions(
+        none, policy(), repos=repos.where("repo = 'r'")).collect()] == [(None, 0, False)]
+
+
+def test_policy_files(tmp_path):
+    path = tmp_path / "p.json"
+    path.write_text('{"version": "1", "ignore": {"paths": ["a/*"]}}')
+    assert po.load_policy(str(path)).ignore_paths == ["a/*"]
+    assert po.load_policy(str(tmp_path / "none.json"), missing_ok=True) is None
+    with pytest.raises(FileNotFoundError):
+        po.load_policy(str(tmp_path / "none.json"))
+
+
 @pytest.mark.parametrize("raw", [
+    {"version": "1", "ignroe": {}}, {"version": "1", "ignore": {"path": []}}, [],
+    {"version": "1", "fail": {"on": "low"}}, {"version": "1", "fail": {"max_new_findings": True}},
+    {"version": "1", "allow": [{"algorithm": "x", "reason": "r", "until": "2030-01-01"}]},
     {}, {"version": "1", "fail": {"on_severity": "bad"}}, {"version": "1", "allow": [{"algorithm": "x"}]},
     {"version": "1", "allow": [{"algorithm": "x", "reason": "r", "expires": "soon"}]},
     {"version": "1", "severity_overrides": [{"algorithm": "x", "severity": "odd", "reason": "r"}]},

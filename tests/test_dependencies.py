@@ -132,3 +132,37 @@ def test_large_manifest(corpus, lines):
         "Cargo.toml": text, "package.json": '{"dependencies": {\n' + keys + "}}"})).collect()
     assert {(f.path, f.line_number, f.algorithm_id) for f in found} == {
         ("Cargo.toml", lines + 2, "bcrypt"), ("package.json", lines + 2, "bcrypt")}
+
+
+def test_repeated_sections_and_odd_numbers(corpus):
+    """Of repeated sections the last counts, as JSON loading does it; NaN is a number."""
+    import json
+    texts = [
+        '{"dependencies": {"left": "1"}, "dependencies": {"bcrypt": "1"}}',
+        '{"dependencies": {"bcrypt": "1"}, "dependencies": {"left": "1"}}',
+        '{"dependencies": {"bcrypt": NaN, "jose": -Infinity, "bcrypt": 2}, "x": Infinity}',
+        '{"dependencies": {"bcrypt": 1}, "dependencies": null}', '{"dependencies": ["bcrypt"]}',
+        "{'dependencies': {'bcrypt': 1}}", '{"dependencies": {"bcrypt": 1}} x', '[{"dependencies": {"a": 1}}]',
+        '{"a": {"dependencies": {"bcrypt": 1}}}', '{"dependencies": {"bcrypt": {"b": [1, {"c": 2}]}}}', ""]
+    files = {f"p{i}/package.json": t for i, t in enumerate(texts)}
+    want = set()
+    for path, text in files.items():
+        try:
+            section = json.loads(text)
+        except ValueError:
+            continue
+        section = section.get("dependencies") if isinstance(section, dict) else None
+        want |= {(path, k) for k in (section if isinstance(section, dict) else ())}
+    assert {(r.path, r.package) for r in extract_packages(corpus(files)).collect()} == want
+
+
+def test_thousands_of_libraries(corpus):
+    import time
+    names = [f"lib-{i}" for i in range(5000)]
+    libraries = libraries_from_dict({n: {
+        "ecosystem": "npm", "package_name": n, "description": n, "exposes": ["RSA"],
+        "default_risk": "SAFE"} for n in names})
+    files = {f"p{i}/requirements.txt": "\n".join(names[i::40]) for i in range(40)}
+    start = time.monotonic()
+    assert scan_dependencies(corpus(files), libraries).count() == 5000
+    assert time.monotonic() - start < 120

@@ -30,8 +30,8 @@ def files(corpus):
 
 
 @pytest.fixture(scope="module")
-def findings(files):
-    return materialize(inventory(files), "test-findings")
+def findings(files, tmp_path_factory):
+    return materialize(inventory(files), str(tmp_path_factory.mktemp("shared")), "findings")
 
 
 @pytest.fixture(scope="module")
@@ -95,12 +95,12 @@ def test_diff_against_empty_sides(diffed, make_findings, spark):
     assert [r.diff_class for r in bl.diff_findings(empty, before).collect()] == ["resolved"]
 
 
-def documents(pieces, limit=rp.MAX_ASSEMBLED):
-    """Documents by repository from rows in key order."""
+def documents(pieces):
+    """Documents by repository: the texts of the pieces in order, each as one text."""
     texts = {}
-    for r in rp.assemble(pieces, limit).orderBy("repo", "key").collect():
+    for r in pieces.orderBy("repo", *rp.ORDER).collect():
         texts.setdefault(r.repo, []).append(r.text)
-    return texts
+    return {repo: ["".join(t)] for repo, t in texts.items()}
 
 
 @pytest.fixture(scope="module")
@@ -114,13 +114,21 @@ def pieces(findings, repos):
 
 
 @pytest.mark.parametrize("kind", ["json", "sarif", "cbom", "baseline"])
-def test_large_documents_stay_in_pieces_with_the_same_text(pieces, kind):
-    whole = documents(pieces[kind])
-    apart = documents(pieces[kind], limit=0)
-    assert all(len(texts) == 1 for texts in whole.values())
-    assert len(apart["one"]) > 5
-    assert {r: "".join(t) for r, t in apart.items()} == {r: t[0] for r, t in whole.items()}
-    assert set(whole) == {"one", "two", "none"}
+def test_pieces_have_one_shape_and_one_order(pieces, kind):
+    df = pieces[kind]
+    assert df.columns == ["repo", *rp.ORDER, "text"]
+    assert df.select("repo", *rp.ORDER).distinct().count() == df.count()
+    assert df.where("repo = 'one'").count() > 5
+    assert set(documents(df)) == {"one", "two", "none"}
+    for text in documents(df).values():
+        json.loads(text[0])
+
+
+def test_sarif_addresses(findings, repos):
+    df = rp.sarif_pieces(findings, repos, help_uri="https://h.example", information_uri="https://i.example")
+    driver = json.loads(documents(df)["one"][0])["runs"][0]["tool"]["driver"]
+    assert driver["informationUri"] == "https://i.example"
+    assert {r["helpUri"] for r in driver["rules"]} == {"https://h.example"}
 
 
 def test_json_report(pieces):
@@ -206,6 +214,30 @@ def test_baseline_round_trip(pieces, findings, spark, tmp_path):
     assert {r.diff_class for r in bl.diff_findings(one, loaded).collect()} == {"unchanged"}
 
 
+def test_baselines_as_lines(findings, repos, spark, tmp_path):
+    """Written to several files and read back, the entries are the same."""
+    path = str(tmp_path / "lines")
+    bl.write_baseline(findings.repartition(5), repos, path, "0.1.0", "2026-01-01T00:00:00Z")
+    assert len(list((tmp_path / "lines").glob("part-*"))) > 1
+    loaded = bl.load_baselines(spark, path)
+    want = sorted(map(tuple, bl.baseline_entries(findings).collect()), key=repr)
+    assert sorted(map(tuple, loaded.collect()), key=repr) == want
+    summary = {r.repo: r for r in bl.diff_summary(bl.diff_findings(findings, loaded), repos).collect()}
+    assert summary["one"].new == summary["one"].resolved == 0 and summary["one"].unchanged > 0
+    assert (summary["none"].unchanged, summary["none"].has_new_debt) == (0, False)
+
+
+@pytest.mark.parametrize("lines", [
+    "not json", '{"repo": "r", "hash": "h"}',
+    '{"repo": "r", "baseline_version": "1.0", "generated_at": "x", "findings_count": 1}'])
+def test_bad_lines(spark, tmp_path, lines):
+    (tmp_path / "b.json").write_text(lines)
+    with pytest.raises(PySparkException):
+        bl.load_baselines(spark, str(tmp_path / "b.json")).collect()
+    with pytest.raises(PySparkException):
+        bl.load_baselines(spark, str(tmp_path / "none")).collect()
+
+
 @pytest.mark.parametrize("text", [
     "not json", "[1]", '{"baseline_version": "1.0", "findings": []}'])
 def test_bad_baselines(spark, tmp_path, text):
@@ -217,7 +249,7 @@ def test_bad_baselines(spark, tmp_path, text):
 
 
 def test_written_documents(pieces, tmp_path):
-    rp.write_documents(rp.assemble(pieces["json"], limit=0), str(tmp_path / "out"))
+    rp.write_documents(pieces["json"], str(tmp_path / "out"))
     folder = tmp_path / "out" / "repo=one"
     text = "".join(p.read_text(encoding="utf-8") for p in sorted(folder.glob("part-*")))
     assert json.loads(text) == json.loads(documents(pieces["json"])["one"][0])
@@ -251,6 +283,6 @@ def test_listing_and_advice(make_findings):
     assert rows[3].replacement == "-" and rows[0].severity == "HIGH"
     messages = [r.message for r in rp.advise(df).orderBy("advice_ord", "seq").collect()]
     assert [m.split(":")[0] for m in messages] == ["CRITICAL", "WARNING", "INFO"]
-    assert messages[0].startswith("CRITICAL: RSA in src/auth.py:10 — ")
-    assert ". Consider: " in messages[1]
-    assert messages[2] == "INFO: Unknown algorithm 'Q' in src/auth.py:10"
+    assert messages[0].startswith("CRITICAL: RSA at src/auth.py:10 has to go (")
+    assert "; think of " in messages[1]
+    assert messages[2] == "INFO: no entry for Q, found at src/auth.py:10"

@@ -1,6 +1,7 @@
 """The source and configuration scan, against brute force and against single cases."""
 
 import random
+import time
 import re
 
 import pytest
@@ -121,8 +122,38 @@ def test_files_that_are_not_scanned(corpus):
     files = {"bin.py": b"RSA\x00", "late.py": b"x" * 8192 + b"\x00\nRSA", "big.py": big,
              "fits.py": b"RSA\n" + b"x" * 999_996, "node_modules/a.js": "RSA", "a.md": "RSA",
              "bad.py": b"RSA \xff\n", "empty.py": "", "x.PY": "RSA"}
-    found = scan_source(corpus(files)).collect()
-    assert {f.path for f in found} == {"late.py", "fits.py", "bad.py", "x.PY"}
+    def paths(**limits):
+        return {f.path for f in scan_files(corpus(files), sources=["source_code"], **limits).collect()}
+
+    assert paths() == {"big.py", "fits.py", "bad.py", "x.PY"}
+    assert paths(max_bytes=1_000_000, probe_bytes=8192) == {"late.py", "fits.py", "bad.py", "x.PY"}
+
+
+def test_lines_of_a_scan_are_those_of_python(corpus):
+    """Line numbers and texts with every kind of line break, in scans and manifests."""
+    ends = ["\n", "\r\n", "\r", "\r\r\n", "\n\r", "\f", "\x0b", "\x1c", "\x1d", "\x1e", "\x85",
+            "\u2028", "\u2029"]
+    rng = random.Random(11)
+    files = {f"f{i}.py": "".join(rng.choice(["x", "use MD5 here", ""]) + rng.choice(ends)
+                                 for _ in range(12)) for i in range(60)}
+    files |= {f"d{i}.py": f"x{e}use MD5 here{e}" for i, e in enumerate(ends)}
+    found = {(f.path, f.line_number, f.line_text) for f in scan_source(corpus(files)).collect()}
+    assert found == {(p, i, line.strip()) for p, t in files.items()
+                     for i, line in enumerate(t.splitlines(), 1) if "MD5" in line}
+    manifests = {f"m{i}/requirements.txt": f"x{e}bcrypt{e}" for i, e in enumerate(ends)}
+    found = {(f.path, f.line_number) for f in scan_files(corpus(manifests)).collect()}
+    assert found == {(p, i) for p, t in manifests.items()
+                     for i, line in enumerate(t.splitlines(), 1) if line == "bcrypt"}
+
+
+def test_thousands_of_patterns_end_in_bounded_time(corpus):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(5000)})
+    algorithms = catalogue(**{f"A{i}": words[i::500] for i in range(500)})
+    files = {f"f{i}.py": "\n".join(rng.choice(words) for _ in range(20)) for i in range(10)}
+    start = time.monotonic()
+    assert scan_source(corpus(files), algorithms).count() >= 200
+    assert time.monotonic() - start < 120
 
 
 def test_null_content_is_skipped(spark):

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from cryptoscape.operators import quality as qc
 from cryptoscape.operators.scan import scan_files
+from cryptoscape.plans.queries import QUERIES
 from cryptoscape.sources import catalogue as ct
 from cryptoscape.sources.file_tree import RepoTree
 
@@ -74,7 +75,14 @@ def test_tree_reader(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     os.symlink(tmp_path / "p1/__init__.py", tmp_path / "p1/link.py")
     spark.dataSource.register(RepoTree)
-    df = spark.read.format("repo_tree").load(str(tmp_path))
+    limited = spark.read.format("repo_tree").option("maxBytes", 1_000_000)
+    df = limited.load(str(tmp_path))
+    assert spark.read.format("repo_tree").load(str(tmp_path)).where("path = 'big.py'").count() == 1
+    (tmp_path / "p1/picture.png").write_bytes(b"x")
+    assert spark.read.format("repo_tree").option("suffixes", ".png,.rs").load(
+        str(tmp_path)).count() == 2
+    assert spark.read.format("repo_tree").option("tasks", 2).load(
+        str(tmp_path)).rdd.getNumPartitions() == 2
     assert {(r.repo, r.path, r.size) for r in df.collect()} == {
         ("p1", "__init__.py", 3), ("p1", ".env", 15), ("p1", "a/b/c/d/deep.py", 3),
         ("p1", "__tests__/t.js", 3), ("p1", "_private/k.go", 1), ("p2", "z.rs", 0)}
@@ -102,7 +110,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, db, name):
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
