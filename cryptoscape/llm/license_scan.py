@@ -18,6 +18,8 @@ from .common import map_texts, table
 _OTHER = re.compile(rb"[a-z0-9\x80-\xff]")
 _MAP = bytes(b if _OTHER.match(bytes([b])) else 32 for b in bytes(range(256)).lower())
 
+#: Words of a detection, at most; no rule can match more.
+LONGEST = 64
 #: Phrases that always count, with their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"),
         ("cc by nc", "cc-by-nc"))
@@ -154,20 +156,25 @@ def normalise(text: bytes) -> list[bytes]:
 
 def places(joined: bytes, phrase: bytes) -> list[int]:
     """Word numbers at which the phrase starts in a text joined by blanks, a blank at both ends."""
-    found, at = [], joined.find(b" " + phrase + b" ")
+    found, seen, word = [], 0, 0
+    at = joined.find(b" " + phrase + b" ")
     while at >= 0:
-        found.append(joined.count(b" ", 0, at))
+        word += joined.count(b" ", seen, at)
+        seen = at
+        found.append(word)
         at = joined.find(b" " + phrase + b" ", at + 1)
     return found
 
 
 def resolve(found: list[tuple]) -> list[tuple]:
     """Drop detections (start, end, priority, rule, label, score) contained in a stronger one."""
-    kept: list[tuple] = []
+    kept: dict[int, list[tuple]] = {}  # by start in steps of the longest detection
     for d in sorted(set(found), key=lambda d: (-d[2], d[0] - d[1], d[3], d[0])):
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-            kept.append(d)
-    return sorted(kept)
+        step = d[0] // LONGEST
+        if not any(k[0] <= d[0] and d[1] <= k[1]
+                   for s in (step - 1, step) for k in kept.get(s, ())):
+            kept.setdefault(step, []).append(d)
+    return sorted(d for ds in kept.values() for d in ds)
 
 
 def detect(words: list[bytes], rules: tuple[Rule, ...], vocabulary: frozenset) -> list[tuple]:
@@ -180,8 +187,10 @@ def detect(words: list[bytes], rules: tuple[Rule, ...], vocabulary: frozenset) -
         return []
     joined, found = b" " + b" ".join(words) + b" ", []
     for n, r in ready:
+        seen, start = 0, -1
         for m in r.regex.finditer(joined):
-            start = joined.count(b" ", 0, m.start()) - 1
+            start += joined.count(b" ", seen, m.start())
+            seen = m.start()
             found.append((start, start + m.group().count(b" ") + 1, r.priority, n, r.label, r.score))
     return resolve(found)
 

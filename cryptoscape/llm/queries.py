@@ -23,4 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_toxicity, op6_source_mix, op7_quality_rules,
         op8_warc_round_trip, op9_html_text, op10_simhash)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc_round_trip": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (html)""",
+}

@@ -10,6 +10,7 @@ so output stays linear, and components come from stars that shrink with every ro
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -25,24 +26,41 @@ BLOCKS = 6
 #: Fingerprints of a key that are compared in one part.
 PART = 4096
 SEED = 42
+#: Bytes of a text that are cut into words at a time.
+LONG_TEXT = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _word_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The words in lists of bounded size; a cut is made at white space only."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + LONG_TEXT)
+        end = space.start() if space else len(text)
+        yield text[at:end].lower().split()
+        at = end
 
 
 def fingerprint(text: bytes, width: int) -> int:
     """SimHash over all shingles of ``width`` words; 0 without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) < width:
-        shingles: Iterable[bytes] = (b" ".join(words),)
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    hashes = [xxhash.xxh64_intdigest(s, SEED) for s in shingles]
-    count = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = np.array(hashes[at:at + 65536], ">u8").view(np.uint8).reshape(-1, 8)
-        count += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(count * 2 > len(hashes))
-    return int.from_bytes(bits.tobytes(), "big")
+    count, total, before = np.zeros(64, np.int64), 0, []
+
+    def add(shingles: Iterable[bytes]) -> int:
+        hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], ">u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+        count.__iadd__(bits.sum(axis=0, dtype=np.int64))
+        return len(hashes)
+
+    for words in _word_lists(text):
+        words = before + words
+        if len(words) >= width:
+            total += add(map(b" ".join, zip(*(words[i:] for i in range(width)))))
+        before = words[max(0, len(words) - width + 1):]
+    if not total:
+        if not before:
+            return 0
+        total = add([b" ".join(before)])
+    return int.from_bytes(np.packbits(count * 2 > total).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, width: int = 3, text: str = "text",

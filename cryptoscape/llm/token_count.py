@@ -11,6 +11,7 @@ Python's Unicode tables don't know goes to the library whole, since tables diffe
 from __future__ import annotations
 
 import unicodedata
+from itertools import islice
 
 import numpy as np
 import regex
@@ -23,6 +24,8 @@ from .common import map_texts, table
 DICTIONARY = 400_000
 #: Pre-tokens up to this many characters are kept in the dictionary.
 KEEP_CHARS = 256
+#: Characters of a text above which its pre-tokens aren't listed all at once.
+LONG_TEXT = 1 << 20
 #: How byte-level BPE cuts a text: the split rule that the vocabulary was made with (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -53,10 +56,26 @@ class Pieces:
         out = []
         for text in texts:
             parts = self.between.split(text) if self.special else [text]
-            total = self._sum([p for part in parts for p in self.split.findall(part)])
-            out.append(self._whole(text) if total is None else total + len(parts) - 1)
+            total = len(parts) - 1
+            for found in self._cut(parts):
+                more = self._sum(found)
+                if more is None:
+                    total = self._whole(text)
+                    break
+                total += more
+            out.append(total)
         return out
 
+    def _cut(self, parts: list[str]):
+        """Lists of pre-tokens; those of a long text come a part at a time."""
+        if sum(map(len, parts)) <= LONG_TEXT:
+            yield [p for part in parts for p in self.split.findall(part)]
+            return
+        for part in parts:
+            found = (m.group() for m in self.split.finditer(part))
+            while some := list(islice(found, LONG_TEXT // 8)):
+                yield some
+
     def _whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False))
 
