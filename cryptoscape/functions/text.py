@@ -60,13 +60,14 @@ def split_lines(text: str) -> str:
         return (f"CASE WHEN endswith({t}, '\\n') THEN split(left({t}, length({t}) - 1), '\\n', -1)"
                 f" ELSE split({t}, '\\n', -1) END")
 
-    # A break before such a line end is a break of its own: "\\r\\r\\n" is two.
-    unix = f"replace({text}, '\\r\\n', '\\n')"
+    # A carriage return before such a line end is a break of its own.
+    unix = bind(f"replace({text}, '\\r\\n', '\\n')", "unix",
+                f"CASE WHEN NOT ({rare('unix')}) THEN {plain('unix')} END")
+    windows = f"CASE WHEN contains({text}, '\\r\\n') THEN {unix} END"
     return (
         f"CASE WHEN {text} = '' THEN CAST(array() AS array<string>)"
         f" WHEN NOT ({rare(text)}) THEN {plain(text)}"
-        f" WHEN contains({text}, '\\r\\n') AND NOT ({rare(unix)}) THEN {plain(unix)}"
-        f" ELSE split(regexp_replace({text}, {last}, ''), {whole}, -1) END")
+        f" ELSE coalesce({windows}, split(regexp_replace({text}, {last}, ''), {whole}, -1)) END")
 
 
 def count_breaks(text: str) -> str:
