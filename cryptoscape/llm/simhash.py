@@ -254,6 +254,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, text: s
     keyed = docs.select(F.col(id_column).alias("_id"), h.alias("_h"), F.col(text).alias("_text"))
     rows, roots = _marked(keyed, ("_id", "_h"), width, most, "_text")
     per_key = rows.join(roots, "fp").groupBy("root", "_id", "_h").agg(F.count("*").alias("_n"))
+    return keep_first(docs, per_key, text, id_column)
+
+
+def keep_first(docs: DataFrame, per_key: DataFrame, text: str, id_column: str) -> DataFrame:
+    """One row of ``docs`` for each root; per_key has root, _id, _h (hash of the text) and _n (rows)."""
+    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     per_key = stored(per_key, "keys").withColumn("_rank", F.struct(
         F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_h").alias("h")))
     best = per_key.groupBy("root").agg(F.min("_rank").alias("_best"))
