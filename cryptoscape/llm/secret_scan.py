@@ -1,11 +1,12 @@
 """Secret scan: strong patterns, and multipart credentials linked within scopes.
 
 Assignments, access keys and long hexadecimal runs always count. Identifiers, weakly marked
-secrets and endpoints count only if their complement starts in the same scope, at most SCOPE
-characters away: a weak secret needs an identifier, an identifier a secret, an endpoint both. The
-join by interval runs inside the document's row, over its parts ordered by start: since no part is
-shorter than SHORTEST, all that a scope can hold lies within NEIGHBOURS places. No rows are
-shuffled, and one cheap pattern decides whether a text is searched at all.
+secrets and endpoints count only if their complement is in the same scope, with a gap of at most
+SCOPE characters between the two: a weak secret needs an identifier, an identifier a secret, an
+endpoint both. The join by interval runs inside the document's row, over its parts ordered by start:
+for each role, the last end before a part (a running maximum) and the next start after it decide,
+however long the parts are. No rows are shuffled, and one cheap pattern decides whether a text is
+searched at all.
 """
 
 from __future__ import annotations
@@ -30,24 +31,25 @@ STRONG = ("assign", "access", "hex")
 GUARD = ("(?i:password|passwd|secret|token|api_?key|client_?id|access_?key|account_?id|app_?id|"
          "tenant_?id|username|login|private_?key|credential|passphrase|bearer|auth|pwd)"
          r"""["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|://""")
-SCOPE, SHORTEST = 200, 8
-NEIGHBOURS = len(KINDS) * (SCOPE // SHORTEST + 1)
+#: Most characters between the parts of a scope.
+SCOPE = 200
 _BLOCK = 256
 
 
-def _running(df: DataFrame, name: str) -> DataFrame:
-    """Replace the array ``name`` of lengths by its running sums, block by block."""
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda s, x: s + x)
 
+
+def _running(df: DataFrame, name: str, total=_sum, add=Column.__add__) -> DataFrame:
+    """Replace the array ``name`` by its running sums (or what else is given), block by block."""
     blocks = F.ceil(F.size(name) / _BLOCK).cast("int")
     df = bound(df, _sums=F.when(F.size(name) > 0, F.transform(
         F.sequence(F.lit(0), blocks - 1),
         lambda b: total(F.slice(name, b * _BLOCK + 1, _BLOCK)))))
     df = bound(df, _before=F.transform("_sums", lambda _, b: total(F.slice("_sums", F.lit(1), b))))
     block = lambda i: F.floor(i / _BLOCK).cast("int")
-    sums = F.transform(F.col(name), lambda _, i: F.get("_before", block(i)) + total(
-        F.slice(name, block(i) * _BLOCK + 1, i - block(i) * _BLOCK + 1)))
+    sums = F.transform(F.col(name), lambda _, i: add(F.get("_before", block(i)), total(
+        F.slice(name, block(i) * _BLOCK + 1, i - block(i) * _BLOCK + 1))))
     df = bound(df, _new=sums).drop(name, "_sums", "_before")
     return df.withColumnRenamed("_new", name)
 
@@ -85,10 +87,17 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     none = F.array().cast("array<struct<start:int,end:int,ord:int,kind:string,role:string,n:int>>")
     df = bound(df.drop("body"), parts=F.coalesce(F.sort_array(F.concat(*kinds)), none))
 
+    for role in ("id", "secret"):  # nulls, where the role is another, count for nothing
+        df = bound(df, **{
+            f"_{role}_end": F.transform("parts", lambda p: F.when(p["role"] == role, p["end"])),
+            f"_{role}_start": F.transform(F.reverse("parts"), lambda p: F.when(p["role"] == role, -p["start"]))})
+        for name in (f"_{role}_end", f"_{role}_start"):
+            df = _running(df, name, F.array_max, F.greatest)
+
     def near(p: Column, i: Column, role: str) -> Column:
-        around = F.slice("parts", F.greatest(i + 1 - NEIGHBOURS, F.lit(1)), 2 * NEIGHBOURS + 1)
-        return F.exists(around, lambda q: (q["role"] == role)
-                        & (F.abs(q["start"] - p["start"]) <= SCOPE))
+        before = p["start"] - F.get(f"_{role}_end", i - 1)
+        after = -F.get(f"_{role}_start", F.size("parts") - 2 - i) - p["end"]
+        return F.coalesce(F.least(before, after) <= SCOPE, F.lit(False))
 
     def report(p: Column, i: Column) -> Column:
         return (p["kind"].isin(*STRONG)

@@ -1,5 +1,7 @@
 """License scan, secret scan and token counts against plain Python, on a table and on edge cases."""
 
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cryptoscape.llm.license_scan import build_rules, op1_license_scan, resolve, scan_licenses
 from cryptoscape.llm.quality import judged, keep_good, op7_quality_rules
-from cryptoscape.llm.secret_scan import KINDS, op2_secret_scan, redact, scan_secrets
+from cryptoscape.llm.secret_scan import KINDS, SCOPE, STRONG, op2_secret_scan, redact, scan_secrets
 from cryptoscape.llm.token_count import count_tokens, op3_token_counts
 
 
@@ -60,6 +62,38 @@ def test_linked_parts(spark):
     assert len(KINDS) == 6
 
 
+def test_long_values_link(spark):
+    """The gap between parts counts, on both sides and behind many parts inside a long one."""
+    rows = [(n, "private_key = " + "k" * n + "\nclient_id = app77") for n in (100, 190, 800, 5000)]
+    rows += [(1, "private_key = " + "k" * 800 + "\n" + "z " * 150 + "client_id = app77"),
+             (2, "client_id = app77 " + "private_key = " + "k" * 800 + " " * 50 + "username = bob42"),
+             (3, "username = " + "u" * 700 + "\npwd = hunter2x\n" + "https://example.com/a" * 40),
+             (4, "client_id = " + "https://" + "a" * 10 + " https://example.com/a" * 300)]
+    found = {r.row.doc_id: [s.kind for s in r.spans] for r in scan_secrets(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[n] == ["weak", "identifier"] for n in (100, 190, 800, 5000))
+    assert found[1] == [] and found[4] == []
+    assert found[2] == ["identifier", "weak", "identifier"]
+    assert found[3] == ["identifier", "weak", "endpoint"]
+
+
+def test_linked_parts_equal_all_pairs(spark):
+    r, parts = random.Random(4), ("pwd = ", "client_id = ", "https://", "secret = ", "x ")
+    rows = [(i, " ".join(r.choice(parts) + "v" * r.randint(6, 260) for _ in range(n)))
+            for i, n in enumerate((3, 5, 8, 13, 40, 700))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for got in scan_secrets(df).collect():
+        text, every = got.row.text, []
+        for kind, role, pattern, least in KINDS:
+            for m in re.finditer(pattern, text, re.ASCII):
+                if len(m.group(m.re.groups)) >= least:
+                    every.append((m.start(), m.end(), kind, role))
+        near = lambda p, role: any(q[3] == role and max(q[0] - p[1], p[0] - q[1]) <= SCOPE for q in every)
+        needs = {"secret": ["id"], "id": ["secret"], "endpoint": ["id", "secret"]}
+        want = sorted(p[:3] for p in every if p[2] in STRONG or all(near(p, x) for x in needs[p[3]]))
+        assert sorted((x.start, x.end, x.kind) for x in got.spans) == want
+
+
 def test_many_secrets(spark):
     text = "é " + " ".join(f'token = "abc{i:05d}" x' for i in range(1500))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
