@@ -2,9 +2,12 @@
 
 A text becomes a template: lower-case words, with runs of numbers, names (capitalised inside a
 sentence) and units (after a number) replaced by one typed placeholder each, whose value is kept
-apart. Windows of template tokens of the benchmark are joined by hash to those of the documents. On
-the same alignment the values of an item's slots must map to one value of the document each, so a
-re-parameterised question is found and an accidental frame is not. Only windows that pass a bitmap
+apart. A capitalised word that starts a sentence may be a name or not, so texts that have one are read
+both ways. Windows of template tokens of the benchmark are joined by hash to those of the documents.
+On the same alignment the values of an item's slots must map to one value of the document each, so a
+re-parameterised question is found and an accidental frame is not; where they do not, windows that
+agree word by word still count, and those of the commonest mapping if they are most of the item.
+Windows with few words outside slots must agree word by word, or the whole item must. Only windows that pass a bitmap
 of the benchmark's hashes leave the scan; the bitmap has a fixed size, and the join that follows is
 exact on 64 bits.
 """
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, BATCH_ROWS, stored, table
@@ -26,8 +29,12 @@ from .common import BATCH_BYTES, BATCH_ROWS, stored, table
 WINDOW, SHORTEST = 8, 5
 #: Words outside slots that a window needs to count as a template; others must agree word by word.
 WORDS = 5
+#: Words outside slots that a window needs to count as a template where the whole item is found.
+FEW_WORDS = 2
 #: Tokens in a row, or share of an item's windows, that make a document contaminated.
 RUN, SHARE = 13, 0.5
+#: Share of an item's windows that one mapping must hold for where others disagree.
+MOST = 0.75
 #: Bits of the bitmap (1 MiB).
 BITS = 1 << 23
 #: Words of a worker's dictionary before it is emptied.
@@ -72,8 +79,12 @@ class Templates:
         self.kind[at] = kind
         return at
 
-    def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hashes, literal hashes (of whole runs for slots), and which tokens are slots."""
+    def readings(self, text: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Template hashes, literal hashes (of whole runs for slots), and which tokens are slots.
+
+        Capitalised words at the start of sentences are words in the first reading, and names in the
+        second, which is left out without such words.
+        """
         if len(self.ids) > DICTIONARY:
             self.ids = {}
         ids, add = self.ids, self._add
@@ -82,9 +93,15 @@ class Templates:
         kind, literal = self.kind[at], self.hash[at]
         start = np.ones(len(at), bool)
         start[1:] = kind[:-1] == _STOP
-        kind = np.where((kind == _CAP) & start, _WORD, kind)
+        first = (kind == _CAP) & start
         inside = kind != _STOP
-        kind, literal = kind[inside], literal[inside]
+        made = [self._reading(np.where(first, _WORD, kind)[inside], literal[inside])]
+        if first.any():
+            made.append(self._reading(kind[inside], literal[inside]))
+        return made
+
+    @staticmethod
+    def _reading(kind: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         before = np.concatenate([[_WORD], kind[:-1]]) if len(kind) else kind
         kind = np.where((kind == _UNIT) & (before != _NUM), _WORD, kind)
         slot = kind >= _CAP
@@ -103,17 +120,23 @@ class Templates:
         return template, whole, slot
 
     @staticmethod
-    def windows(template: np.ndarray, whole: np.ndarray, slot: np.ndarray, width: int) -> np.ndarray:
-        """The key of each window: by template, or by its words where few are outside slots."""
+    def windows(template: np.ndarray, whole: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The key of each window: by template, or by its words where few are outside slots.
+
+        Besides, the places and keys by template of those with FEW_WORDS outside slots.
+        """
         n = len(template) - width + 1
         by_template, by_word = np.full(n, width, np.uint64), np.full(n, width + 100, np.uint64)
         for k in range(width):
             by_template = by_template * _STEP + template[k:k + n]
             by_word = by_word * _STEP + whole[k:k + n]
         free = np.concatenate([[0], np.cumsum(~slot)])
-        few = free[width:] - free[:-width] < min(WORDS, width)
+        free = free[width:] - free[:-width]
+        few = free < min(WORDS, width)
         mixed = np.where(few, by_word, by_template)
-        return mixed ^ (mixed >> np.uint64(29))
+        loose = np.nonzero(few & (free >= FEW_WORDS))[0]
+        template = by_template[loose]
+        return mixed ^ (mixed >> np.uint64(29)), loose, template ^ (template >> np.uint64(29))
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -129,41 +152,43 @@ def _run(widths: tuple[int, ...] | None, bitmap):
         made = _SEEN.setdefault("", Templates())
         bits = bitmap.value if bitmap is not None else None
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
             for i, text in enumerate(batch.column(1).to_pylist()):
-                template, whole, slot = made.tokens(text)
-                n = len(template)
-                for width in widths or (min(n, WINDOW),):
-                    if n < max(width, SHORTEST):
-                        continue
-                    keys = made.windows(template, whole, slot, width)
-                    if bits is None:
-                        hits = np.arange(len(keys))
-                    else:
-                        low = keys & np.uint64(BITS - 1)
-                        hits = np.nonzero((bits[low >> np.uint64(6)] >> (low & np.uint64(63)))
-                                          & np.uint64(1))[0]
-                    if not len(hits):
-                        continue
-                    rows[0].append(np.full(len(hits), i))
-                    rows[1].append(np.full(len(hits), width))
-                    rows[2].append(hits)
-                    rows[3].append(_signed(keys[hits]))
-                    rows[4].append(np.full(len(hits), len(keys)))
-                    for h in hits.tolist():
-                        at = np.nonzero(slot[h:h + width])[0]
-                        rows[5].append(_signed(whole[h + at]).tolist())
+                for reading, (template, whole, slot) in enumerate(made.readings(text)):
+                    n = len(template)
+                    for width in widths or (min(n, WINDOW),):
+                        if n < max(width, SHORTEST):
+                            continue
+                        keys, loose, others = made.windows(template, whole, slot, width)
+                        for is_loose, places, found in ((0, None, keys), (1, loose, others)):
+                            if bits is None:
+                                hits = np.arange(len(found))
+                            else:
+                                low = found & np.uint64(BITS - 1)
+                                hits = np.nonzero((bits[low >> np.uint64(6)] >> (low & np.uint64(63)))
+                                                  & np.uint64(1))[0]
+                            if not len(hits):
+                                continue
+                            at = hits if places is None else places[hits]
+                            for k, v in enumerate((i, width, at, _signed(found[hits]), len(keys),
+                                                   reading, is_loose)):
+                                rows[k if k < 5 else k + 1].append(
+                                    v if isinstance(v, np.ndarray) else np.full(len(hits), v))
+                            for h in at.tolist():
+                                inside = np.nonzero(slot[h:h + width])[0]
+                                rows[5].append(_signed(whole[h + inside]).tolist())
             if not rows[5]:
                 continue
             take, *numbers = (np.concatenate(r) for r in rows[:5])
+            reading, loose = (pa.array(np.concatenate(r), pa.int64()) for r in rows[6:])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(take)), *(pa.array(x, pa.int64()) for x in numbers),
-                 pa.array(rows[5], pa.list_(pa.int64()))],
-                ["key", "width", "at", "window", "windows", "slots"])
+                 pa.array(rows[5], pa.list_(pa.int64())), reading, loose],
+                ["key", "width", "at", "window", "windows", "slots", "reading", "loose"])
     return run
 
 
-_WINDOWS = "width long, at long, window long, windows long, slots array<long>"
+_WINDOWS = "width long, at long, window long, windows long, slots array<long>, reading long, loose long"
 
 
 def _windows(rows: DataFrame, key: str, widths=None, bitmap=None) -> DataFrame:
@@ -186,26 +211,74 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return bits
 
 
+def _counted(lined: DataFrame) -> DataFrame:
+    """places and tokens that count, and same (all slots equal), of alignments with their cells."""
+    def at(cells) -> Column:
+        return F.array_distinct(F.transform(cells, lambda c: c["item_at"]))
+
+    def pairs(cells) -> Column:
+        return F.flatten(F.transform(cells, lambda c: c["pairs"]))
+
+    def consistent(name: str) -> Column:
+        kinds = F.array_distinct(pairs(name))
+        return F.size(kinds) == F.size(F.array_distinct(F.transform(kinds, lambda p: p["item_slots"])))
+
+    def equal(ps: Column) -> Column:
+        return F.forall(ps, lambda p: p["item_slots"] == p["slots"])
+
+    def run(places: Column) -> Column:
+        """The most places in a row."""
+        steps = F.transform(F.sort_array(places), lambda x, i: x - i)
+        return F.coalesce(F.array_max(F.transform(F.array_distinct(steps), lambda d: F.size(
+            F.filter(steps, lambda e: e == d)))), F.lit(0))
+
+    df = lined.withColumn("strict", F.filter("cells", lambda c: c["loose"] == 0))
+    df = df.withColumn("how", F.when(consistent("cells") & (F.size(at("cells")) == F.col("windows")), 2)
+                       .when(consistent("strict"), 1).otherwise(0))
+    # the commonest value of each slot, of equally common ones that with the largest hash
+    every = pairs("strict")
+    counts = F.transform(F.array_distinct(every), lambda p: F.struct(
+        p.alias("pair"), F.size(F.filter(every, lambda q: q == p)).alias("n")))
+    df = df.withColumn("counts", F.when(F.col("how") == 0, counts))
+    most = F.filter("counts", lambda p: F.forall("counts", lambda q: (
+        (q["pair"]["item_slots"] != p["pair"]["item_slots"]) | (q["n"] < p["n"])
+        | ((q["n"] == p["n"]) & (q["pair"]["slots"] <= p["pair"]["slots"])))))
+    df = df.withColumn("most", F.transform(most, lambda p: p["pair"]))
+    df = df.withColumn("mapped", at(F.filter("strict", lambda c: F.forall(
+        c["pairs"], lambda p: F.array_contains("most", p)))))
+    df = df.withColumn("copied", at(F.filter("strict", lambda c: equal(c["pairs"]))))
+    mostly = F.size("mapped") >= MOST * F.col("windows")
+    df = df.withColumn("places", F.when(F.col("how") == 2, at("cells")).when(
+        F.col("how") == 1, at("strict")).when(mostly, F.array_union("mapped", "copied")).otherwise(
+        F.col("copied")))
+    count = F.when(F.col("how") > 0, F.size("places")).when(
+        mostly, F.greatest(run(F.col("mapped")), run(F.col("copied")))).otherwise(run(F.col("copied")))
+    return df.where(F.size("places") > 0).withColumns({
+        "same": F.when(F.col("how") == 2, equal(pairs("cells"))).when(
+            F.col("how") == 1, equal(pairs("strict"))).otherwise(F.lit(False)),
+        "tokens": F.when(count > 0, count + F.col("width") - 1).otherwise(0)})
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id",
                item_text: str = "text", item_column: str = "item_id") -> DataFrame:
     """One row per row of ``docs`` and benchmark item that it contains.
 
     Columns: the ids, h (a hash of the text), windows (found on consistent alignments), share (of
-    the item's windows), longest (tokens on the best alignment) and verbatim (all slots equal). A
-    document has the item if RUN tokens in a row, or SHARE of its windows, or the whole of a short
+    the item's windows), longest (tokens on the best alignment) and verbatim (all slots equal), by the
+    reading that shares most. A document has the item if RUN tokens in a row, or SHARE of its windows, or the whole of a short
     item are found. Items with fewer than SHORTEST tokens are too short to tell and match nothing;
     null texts are empty. Repeated items give a row each, repeated documents too. Other columns
     are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.struct(F.col(item_column).alias("item")).alias("id"),
+    # repeated item ids with other texts stay apart by their line
+    items = benchmark.select(F.struct(F.col(item_column).alias("item"),
+                                      F.monotonically_increasing_id().alias("line")).alias("id"),
                              F.col(item_text).alias("text"))
     known = stored(_windows(items, "id").select(
-        F.col("key.item").alias("item"), F.monotonically_increasing_id().alias("line"), "width",
-        F.col("at").alias("item_at"), "window", "windows", F.col("slots").alias("item_slots")),
+        "key.item", "key.line", "width", F.col("at").alias("item_at"), "window", "windows",
+        F.col("slots").alias("item_slots"), F.col("reading").alias("item_reading"), "loose"),
         "benchmark-windows")
-    # repeated item ids with other texts stay apart by the line of their first window
-    known = known.withColumn("line", F.col("line") - F.col("item_at"))
     widths = tuple(sorted(r[0] for r in known.select("width").distinct().collect()))
     schema = f"{id_column} {docs.schema[id_column].dataType.simpleString()}"
     bitmap = spark.sparkContext.broadcast(_bitmap(known))
@@ -217,25 +290,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col
         seen = _windows(rows, "key", widths, bitmap)
     else:
         seen = spark.createDataFrame([], f"key struct<id:{schema.split(' ', 1)[1]},row:long,h:long>, {_WINDOWS}")
-    seen = seen.select("key", "width", "at", "window", "slots")
-    met = seen.join(known, ["window", "width"]).where(F.size("slots") == F.size("item_slots"))
+    seen = seen.select("key", "reading", "width", "at", "window", "slots", "loose")
+    met = seen.join(known, ["window", "width", "loose"]).where(F.size("slots") == F.size("item_slots"))
     met = met.withColumn("pairs", F.arrays_zip("item_slots", "slots"))
-    lined = met.groupBy("key", "item", "line", "windows", "width",
-                        (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set("item_at").alias("places"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item_slots")))
-    lined = lined.where(consistent).withColumns({
-        "same": F.forall("pairs", lambda p: p["item_slots"] == p["slots"]),
-        "tokens": F.size("places") + F.col("width") - 1})
-    found = lined.groupBy("key", "item", "line", "windows", "width").agg(
+    one = ["key", "reading", "item", "line", "item_reading", "windows", "width"]
+    lined = met.groupBy(*one, (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.collect_set(F.struct("item_at", "loose", "pairs")).alias("cells"))
+    lined = _counted(lined)
+    found = lined.groupBy(*one).agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
         F.max("tokens").alias("longest"), F.max("same").alias("verbatim"))
     found = found.withColumn("found", F.size("places").cast("long"))
     total = F.col("windows") + F.col("width") - 1
     hit = (F.col("longest") >= F.least(F.lit(RUN), total)) | (
         (F.col("found") >= SHARE * F.col("windows")) & (F.col("windows") > 1))
-    return found.where(hit).select(
+    found = found.where(hit).withColumn("best", F.struct(
+        (F.col("found") / F.col("windows")).alias("share"), "longest", "verbatim", "found", "windows"))
+    found = found.groupBy("key", "item", "line").agg(F.max("best").alias("best")).select(
+        "key", "item", "best.*")
+    return found.select(
         F.col("key.id").alias(id_column), F.col("key.h").alias("h"), F.col("item").alias(item_column),
         F.col("found").alias("windows"), (F.col("found") / F.col("windows")).alias("share"),
         F.col("longest").cast("long").alias("longest"), "verbatim")

@@ -106,6 +106,38 @@ def test_inconsistent_slots(spark):
     assert [r.doc_id for r in find_leaks(docs, bench).collect()] == [1]
 
 
+def test_one_changed_name_keeps_the_verbatim_run(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(39)]
+    words[1] = words[33] = "Anna"
+    copy, other = list(words), list(words)
+    copy[33], other[1], other[33] = "Berta", "Clara", "Berta"
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(copy)), (2, " ".join(other))], "doc_id long, text string")
+    got = {r.doc_id: r for r in find_leaks(docs, bench).collect()}
+    assert set(got) == {1, 2} and got[1].longest >= 33 and not got[1].verbatim
+
+
+def test_names_that_start_sentences(spark):
+    text = "Tom has 3 apples. Ann has 5 apples. How many do they have together?"
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    swap = "Mia has 7 apples. Eve has 2 apples. How many do they have together?"
+    docs = spark.createDataFrame([
+        (1, "Some words before it. " + swap), (2, swap.replace("apples", "pears")),
+        (3, "We know that " + swap)], "doc_id long, text string")
+    assert {r.doc_id for r in find_leaks(docs, bench).collect()} >= {1}
+    assert not {r.doc_id for r in find_leaks(docs, bench).collect()} & {2}
+
+
+def test_short_items_by_template(spark):
+    bench = spark.createDataFrame([(1, "What is 12 plus 7?"), (2, "Compute 12 times 7 minus 5"),
+                                   (3, "What is 9 times 9 plus 2?")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "so: What is 15 plus 4? yes"), (2, "Well. Compute 4 times 8 minus 3"), (3, "What is 5 times 6 plus 2?"),
+        (4, "What is 12 minus 7?"), (5, "12 plus 7 is 19")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()}
+    assert {(1, 1), (2, 2)} <= got and not {d for d, _ in got} & {3, 4, 5}
+
+
 def test_repeated_rows_and_empty_benchmark(spark, edge, documents):
     bench = spark.createDataFrame([(1, QUESTION), (1, QUESTION)], "item_id long, text string")
     docs = spark.createDataFrame([(1, QUESTION), (1, QUESTION), (1, "other")], "doc_id long, text string")
