@@ -6,13 +6,15 @@ import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Most bytes and rows that one Arrow batch brings to a Python worker.
+#: Bytes (a single text may have more) and rows that a Python worker treats at once.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 2048
 
 
@@ -31,6 +33,19 @@ def bound(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(fields)))
 
 
+def pieces(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to BATCH_ROWS rows and, by the binary ``column``, about BATCH_BYTES bytes."""
+    for whole in batches:
+        sizes = pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes), 0
+        while start < whole.num_rows:
+            before = ends[start - 1] if start else 0
+            end = int(np.searchsorted(ends, before + BATCH_BYTES, "right"))
+            end = min(max(end, start + 1), start + BATCH_ROWS)
+            yield whole.slice(start, end - start)
+            start = end
+
+
 def map_texts(rows: DataFrame, text: str, keep: Iterable[str],
               work: Callable[[list[bytes]], list[list]], fields: str) -> DataFrame:
     """Apply ``work`` to the UTF-8 bytes of whole texts, batch by batch, without a shuffle.
@@ -39,8 +54,6 @@ def map_texts(rows: DataFrame, text: str, keep: Iterable[str],
     a batch (null: empty) and returns one list per name in ``fields``, a DDL schema.
     """
     spark, keep = rows.sparkSession, list(keep)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     small = rows.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     kept = small.drop("_text").schema
     schema = kept
@@ -50,7 +63,7 @@ def map_texts(rows: DataFrame, text: str, keep: Iterable[str],
     types = list(to_arrow_schema(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, len(keep)):
             made = work(batch.column(len(keep)).to_pylist())
             columns = [batch.column(i).cast(types[i].type) for i in range(len(keep))]
             columns += [pa.array(m, t.type) for m, t in zip(made, types[len(keep):])]
