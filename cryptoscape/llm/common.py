@@ -72,6 +72,39 @@ def map_texts(rows: DataFrame, text: str, keep: Iterable[str],
     return small.mapInArrow(run, schema)
 
 
+def map_batches(rows: DataFrame, work: Callable[[Iterator[list[list]]], Iterator[list[list]]], fields: str,
+                keep: Iterable[str] = ()) -> DataFrame:
+    """Apply ``work`` to the rows of each partition: iterators of lists of columns go in and come out.
+
+    Without ``keep``, a DDL schema of what comes out is all there is to say. With it, ``work`` must give a row
+    per row, batch by batch; the columns named go along and are left out of what ``work`` sees.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    keep = list(keep)
+    rows = rows.select(*(c for c in rows.columns if c not in keep), *keep)
+    schema = rows.sparkSession.createDataFrame([], fields).schema
+    for name in keep:
+        schema = schema.add(rows.schema[name])
+    types, seen = list(to_arrow_schema(schema)), len(rows.columns) - len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        along: list[list] = []
+
+        def columns() -> Iterator[list[list]]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, BATCH_ROWS):
+                    batch = whole.slice(at, BATCH_ROWS)
+                    along.append([batch.column(seen + i).cast(types[len(types) - len(keep) + i].type)
+                                  for i in range(len(keep))])
+                    yield [batch.column(i).to_pylist() for i in range(seen)]
+
+        for made in work(columns()):
+            arrays = [pa.array(list(m), t.type) for m, t in zip(made, types)]
+            yield pa.RecordBatch.from_arrays(arrays + (along.pop(0) if keep else []), names=[t.name for t in types])
+
+    return rows.mapInArrow(run, schema)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor reaches.
 

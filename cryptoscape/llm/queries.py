@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversations import op13_conversation_repair
 from .decontaminate import op4_decontamination
 from .html_text import op9_html_text
 from .lexical_search import op12_lexical_search
@@ -24,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_license_scan, op2_secret_scan, op3_token_counts, op4_decontamination,
         op5_toxicity, op6_source_mix, op7_quality_rules,
         op8_warc_round_trip, op9_html_text, op10_simhash,
-        op11_vector_search, op12_lexical_search)}
+        op11_vector_search, op12_lexical_search, op13_conversation_repair)}
 
 ORACLES: dict[str, str] = {
     "op8_warc_round_trip": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
