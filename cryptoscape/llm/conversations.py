@@ -278,12 +278,18 @@ def _starts(batches: Iterator[list[list]]) -> Iterator[list[list]]:
 
 def _repaired(batches: Iterator[list[list]]) -> Iterator[list[list]]:
     """Walks every block from its start and checkpoint; only this step sees the texts."""
-    for conv, part, block, turns, roles, texts, codes, behind, last, start in batches:
+    for conv, part, block, turns, roles, texts, codes, behind, last, first, start in batches:
         edits = [walk(c, tuple(b), s, z)[0] for c, b, s, z in zip(codes, behind, start, last)]
         rows = [[(None if i is None else t[i], letter, role, "" if i is None else x[i])
                  for i, letter, role in remaining(e, r, s)]
                 for e, r, s, t, x in zip(edits, roles, start, turns, texts)]
-        yield [conv, part, block, edits, [[dict(zip(("turn", "edit", "role", "text"), r)) for r in b] for b in rows]]
+        whole = [hashlib.sha256(_lines(b)).hexdigest() if f and z else None for b, f, z in zip(rows, first, last)]
+        yield [conv, part, block, edits, [[dict(zip(("turn", "edit", "role", "text"), r)) for r in b] for b in rows],
+               whole]
+
+
+def _lines(rows: list[tuple]) -> bytes:
+    return "\n".join(f"{role}:{text}" for *_, role, text in rows).encode()
 
 
 def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -292,8 +298,8 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
 
     A row per block: conv, part and block (which order the blocks of a conversation), edits (K keep, R
     another role, D delete, I insert; the cheapest, of these the ASCII-least), rows (turn, edit, role and
-    text of what stays, turn null where inserted), cost (of the conversation, in its first block), first, and
-    what was found: blank, duplicate, truncated, illegal (pairs of rows inside the block) and the initials at
+    text of what stays, turn null where inserted), sha256 (of its lines, if it is the only block), cost (of the
+    conversation, in its first block), and what was found: blank, duplicate, truncated, illegal (pairs of rows inside the block) and the initials at
     its ends. Rows come by turn (whole numbers, nulls first); rows of one turn by role, then text, by a hash
     where texts share 256 characters. Null roles and texts count as one blank, so such a text is blank and
     such a role never fits. Null conversation ids are one conversation. Repeated rows are duplicates. A
@@ -336,11 +342,11 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     starts = stored(map_batches(forward, _starts, "part int, block long, start int, first boolean"), "starts")
     whole = blocks.drop("codes", "keys").join(known.drop("conv", "matrix", "illegal").join(starts, key), key)
     whole = whole.withColumn("cost", F.when(F.col("first"), F.col("cost")).otherwise(0))
-    also = ["blank", "duplicate", "truncated", "illegal", "head", "tail", "first", "cost"]
+    also = ["blank", "duplicate", "truncated", "illegal", "head", "tail", "cost"]
     return map_batches(whole.select(
-        "conv", *key, "turns", "roles", "texts", "codes", "behind", "last", "start", *also), _repaired,
+        "conv", *key, "turns", "roles", "texts", "codes", "behind", "last", "first", "start", *also), _repaired,
         f"conv {kind}, part int, block long, edits string, "
-        "rows array<struct<turn:long,edit:string,role:string,text:string>>", also)
+        "rows array<struct<turn:long,edit:string,role:string,text:string>>, sha256 string", also)
 
 
 def repaired_rows(blocks: DataFrame) -> DataFrame:
@@ -351,14 +357,14 @@ def repaired_rows(blocks: DataFrame) -> DataFrame:
 
 def _digested(batches: Iterator[list[list]]) -> Iterator[list[list]]:
     """Blocks in order to a row per conversation; texts pass through a hash and are not kept."""
-    conv, edits, counts, sha, tail, empty = None, [], [], None, "", True
+    conv, edits, counts, sha, tail, empty, known = None, [], [], None, "", True, None
 
     def close() -> list:
-        return [conv[0], *counts, "".join(edits), sha.hexdigest()]
+        return [conv[0], *counts, "".join(edits), known or sha.hexdigest()]
 
     for columns in batches:
         out = []
-        for c, edit, rows, blank, duplicate, truncated, illegal, head, end, cost in zip(*columns):
+        for c, edit, rows, known_here, blank, duplicate, truncated, illegal, head, end, cost in zip(*columns):
             if conv != (c,):
                 if conv:
                     out.append(close())
@@ -366,8 +372,8 @@ def _digested(batches: Iterator[list[list]]) -> Iterator[list[list]]:
             odd = illegal + (tail is not None and tail + head not in ("su", "ua", "au"))
             counts = [a + b for a, b in zip(counts, (blank, duplicate, truncated, odd, cost))]
             edits.append(edit)
-            tail = end
-            for row in rows:
+            tail, known = end, known_here
+            for row in rows or ():
                 sha.update(f"{'' if empty else chr(10)}{row['role']}:{row['text']}".encode())
                 empty = False
         if out:
@@ -379,12 +385,12 @@ def _digested(batches: Iterator[list[list]]) -> Iterator[list[list]]:
 def digests(rows: DataFrame, blocks: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """A row per conversation of ``rows``: gaps, counts of faults, cost, audit and hash of the repair.
 
-    A hash of a text is made from its start to its end, so here each conversation passes through one task,
-    as a stream of blocks.
+    A hash of a text is made from its start to its end, so a conversation of several blocks passes through one
+    task, as a stream of blocks. Those of one block bring their hash and leave their texts behind.
     """
     kind = rows.schema[conv].dataType.simpleString()
-    ordered = blocks.repartition("conv").sortWithinPartitions("conv", "part", "block").select(
-        "conv", "edits", "rows", "blank", "duplicate", "truncated", "illegal", "head", "tail", "cost")
+    ordered = blocks.withColumn("rows", F.when(F.col("sha256").isNull(), F.col("rows"))).repartition("conv").sortWithinPartitions("conv", "part", "block").select(
+        "conv", "edits", "rows", "sha256", "blank", "duplicate", "truncated", "illegal", "head", "tail", "cost")
     made = map_batches(ordered, _digested, (
         f"conv {kind}, blank long, duplicate long, truncated long, illegal long, cost long, audit string, "
         "repaired_sha256 string"))
