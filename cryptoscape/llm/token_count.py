@@ -1,27 +1,29 @@
 """Token counts: pieces are counted once per distinct pre-token, then summed per document.
 
-In each block of documents the pre-tokens of every text become numbers of a dictionary; pieces are
-counted once for each new entry, and a document's frequencies are joined to those counts by number
-and summed. No ids are made for a text. Blocks need no shuffle: a join of all (document, pre-token)
-pairs on their text would move several times the corpus and meet its commonest words in one task.
-The dictionary is emptied when it is full, so memory is bounded. A text with a character that this
+Each worker keeps a dictionary from pre-tokens to numbers of pieces; pieces are counted once for each new
+entry, and a document's frequencies are joined to those counts and summed. No ids are made for a text.
+This needs no shuffle: a join of all (document, pre-token) pairs on their text would move several times
+the corpus and meet its commonest words in one task. When the dictionary is full, entries that were not
+used lately go, so memory is bounded. A text with a character that this
 Python's Unicode tables don't know goes to the library whole, since tables differ in new letters.
 """
 
 from __future__ import annotations
 
+import os
 import unicodedata
+from collections import Counter
 from itertools import islice
+from operator import mul
 
-import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
-#: Entries and characters of a worker's dictionary before it is emptied.
-DICTIONARY = 400_000
+#: Entries of a worker's dictionary.
+DICTIONARY = 1_000_000
 #: Pre-tokens up to this many characters are kept in the dictionary.
 KEEP_CHARS = 256
 #: Characters of a text above which its pre-tokens aren't listed all at once.
@@ -34,70 +36,76 @@ class Pieces:
     """Numbers of tokens by text for one tokenizer file; lives in a worker."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(SPLIT)
         self.between = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        self.ids: dict[str, int] = {}
-        self.counts, self.known = np.zeros(0, np.int64), 0
-
-    def _learn(self, new: list[str]) -> None:
-        made = [len(e) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        known, end = self.known, self.known + len(made)
-        if end > len(self.counts):
-            self.counts = np.concatenate([self.counts, np.zeros(max(end, 1024), np.int64)])
-        self.counts[known:end] = made
-        self.known = end
+        self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.ids) > DICTIONARY:
-            self.ids, self.known = {}, 0
-        out = []
+        """Tokens of each text."""
+        out, waiting, size = [], [], 0
+        for text in texts:
+            waiting.append(text)
+            size += len(text)
+            if size >= LONG_TEXT:
+                out += self._count(waiting)
+                waiting, size = [], 0
+        return out + self._count(waiting)
+
+    def _count(self, texts: list[str]) -> list[int]:
+        """Counts of some texts; what is new in them is learned in one call."""
+        if len(self.known) > DICTIONARY // 2:  # what isn't used before the next time is forgotten
+            self.known, self.older = {}, self.known
+        known, older, new, found = self.known, self.older, {}, []
         for text in texts:
             parts = self.between.split(text) if self.special else [text]
-            total = len(parts) - 1
-            for found in self._cut(parts):
-                more = self._sum(found)
-                if more is None:
-                    total = self._whole(text)
+            total, freq = len(parts) - 1, Counter()
+            for part in parts:
+                total += self._add(part, freq)
+            for piece in [p for p in freq if p not in known]:
+                if piece in older:
+                    known[piece] = older[piece]
+                elif piece in new:
+                    pass
+                elif not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
+                    total, freq = self._whole(text), Counter()
                     break
-                total += more
-            out.append(total)
-        return out
-
-    def _cut(self, parts: list[str]):
-        """Lists of pre-tokens; those of a long text come a part at a time."""
-        if sum(map(len, parts)) <= LONG_TEXT:
-            yield [p for part in parts for p in self.split.findall(part)]
-            return
-        for part in parts:
-            found = (m.group() for m in self.split.finditer(part))
-            while some := list(islice(found, LONG_TEXT // 8)):
-                yield some
+                else:
+                    new[piece] = 0
+            found.append((total, freq))
+        if new:
+            made = self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False)
+            known.update(zip(new, map(len, made)))
+        return [total + sum(map(mul, freq.values(), map(known.__getitem__, freq))) for total, freq in found]
+
+    def _add(self, part: str, freq: Counter) -> int:
+        """Adds the pre-tokens to ``freq``, those of a long text a part at a time.
+
+        Very long ones are not worth a place in the dictionary; returned is the number of their pieces.
+        """
+        if len(part) <= KEEP_CHARS:
+            freq.update(self.split.findall(part))
+            return 0
+        if len(part) <= LONG_TEXT:
+            lists = [self.split.findall(part)]
+        else:
+            cut = (m.group() for m in self.split.finditer(part))
+            lists = iter(lambda: list(islice(cut, LONG_TEXT // 8)), [])
+        more = 0
+        for found in lists:
+            freq.update(found)
+            if max(map(len, found)) > KEEP_CHARS:
+                for piece in [p for p in freq if len(p) > KEEP_CHARS]:
+                    more += self._whole(piece) * freq.pop(piece)
+        return more
 
     def _whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False))
 
-    def _sum(self, found: list[str]) -> int | None:
-        """Tokens of the pre-tokens of a text; None if one has an unknown character."""
-        ids, numbers, new, long = self.ids, [], [], 0
-        for piece in found:
-            at = ids.get(piece)
-            if at is None:
-                if not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
-                    self._learn(new)
-                    return None
-                if len(piece) > KEEP_CHARS:
-                    long += self._whole(piece)
-                    continue
-                at = ids[piece] = len(ids)
-                new.append(piece)
-            numbers.append(at)
-        self._learn(new)
-        which, freq = np.unique(np.array(numbers, np.int64), return_counts=True)
-        return int(self.counts[which] @ freq) + long
-
 
 _LOADED: dict[str, Pieces] = {}
 
