@@ -33,14 +33,14 @@ def bound(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(fields)))
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to BATCH_ROWS rows and, by the binary ``column``, about BATCH_BYTES bytes."""
+def pieces(batches: Iterable[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to BATCH_ROWS rows and, by the binary ``column``, about ``most`` bytes."""
     for whole in batches:
         sizes = pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(sizes), 0
         while start < whole.num_rows:
             before = ends[start - 1] if start else 0
-            end = int(np.searchsorted(ends, before + BATCH_BYTES, "right"))
+            end = int(np.searchsorted(ends, before + most, "right"))
             end = min(max(end, start + 1), start + BATCH_ROWS)
             yield whole.slice(start, end - start)
             start = end

@@ -15,24 +15,31 @@ exact on 64 bits.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, BATCH_ROWS, stored, table
+from .common import map_batches, pieces, stored, table
 
 #: Tokens of a window, and the least tokens of an item that is searched.
-WINDOW, SHORTEST = 8, 5
+WINDOW, SHORTEST = 8, 3
 #: Words outside slots that a window needs to count as a template; others must agree word by word.
 WORDS = 5
 #: Words outside slots that a window needs to count as a template where the whole item is found.
 FEW_WORDS = 2
 #: Tokens in a row, or share of an item's windows, that make a document contaminated.
 RUN, SHARE = 13, 0.5
+#: Places of a window in an item that are met with documents.
+REPEATS = 4
+#: Bytes of texts that are turned into templates at a time.
+PART_BYTES = 1 << 20
 #: Share of an item's windows that one mapping must hold for where others disagree.
 MOST = 0.75
 #: Bits of the bitmap (1 MiB).
@@ -49,18 +56,30 @@ _TOKEN = re.compile(rb"[0-9]+|[A-Za-z\x80-\xff]+|[.!?\n]")
 _STOP, _WORD, _CAP, _UNIT, _NUM = 0, 1, 2, 3, 4
 _SLOT = {k: np.uint64(xxhash.xxh64_intdigest(f"slot {k}", 7)) for k in (_CAP, _UNIT, _NUM)}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+class _Ids(dict):
+    """Numbers of words; a new one is added when it is asked for."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, token: bytes) -> int:
+        at = self[token] = self.add(token)
+        return at
 
 
 class Templates:
-    """Turns texts into windows; keeps the hash and kind of words it has seen."""
+    """Turns texts into templates; keeps the hash and kind of words it has seen."""
 
     def __init__(self):
-        self.ids: dict[bytes, int] = {}
+        self.ids: dict[bytes, int] = _Ids(self._add)
         self.hash = np.zeros(1024, np.uint64)
         self.kind = np.zeros(1024, np.uint8)
 
     def _add(self, token: bytes) -> int:
-        at = self.ids[token] = len(self.ids)
+        at = len(self.ids)
         if at >= len(self.hash):
             self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)])
             self.kind = np.concatenate([self.kind, np.zeros_like(self.kind)])
@@ -79,64 +98,75 @@ class Templates:
         self.kind[at] = kind
         return at
 
-    def readings(self, text: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Template hashes, literal hashes (of whole runs for slots), and which tokens are slots.
-
-        Capitalised words at the start of sentences are words in the first reading, and names in the
-        second, which is left out without such words.
-        """
+    def readings(self, texts: list[bytes]) -> list["Reading"]:
+        """The templates of some texts: capitalised words at the start of sentences are words in the first
+        reading and names in the second, which has only texts with such words."""
         if len(self.ids) > DICTIONARY:
-            self.ids = {}
-        ids, add = self.ids, self._add
-        found = _TOKEN.findall(text)
-        at = np.fromiter((ids[t] if t in ids else add(t) for t in found), np.int64, len(found))
+            self.ids.clear()
+        found = [_TOKEN.findall(t) for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(found)), np.int64, sizes.sum())
+        text = np.repeat(np.arange(len(texts)), sizes)
         kind, literal = self.kind[at], self.hash[at]
         start = np.ones(len(at), bool)
-        start[1:] = kind[:-1] == _STOP
+        start[1:] = (kind[:-1] == _STOP) | (text[1:] != text[:-1])
         first = (kind == _CAP) & start
         inside = kind != _STOP
-        made = [self._reading(np.where(first, _WORD, kind)[inside], literal[inside])]
+        made = [Reading(text[inside], np.where(first, _WORD, kind)[inside], literal[inside], len(texts))]
         if first.any():
-            made.append(self._reading(kind[inside], literal[inside]))
+            has = np.zeros(len(texts), bool)
+            has[text[first]] = True
+            inside &= has[text]
+            made.append(Reading(text[inside], kind[inside], literal[inside], len(texts)))
         return made
 
-    @staticmethod
-    def _reading(kind: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        before = np.concatenate([[_WORD], kind[:-1]]) if len(kind) else kind
-        kind = np.where((kind == _UNIT) & (before != _NUM), _WORD, kind)
+
+class Reading:
+    """Template tokens of some texts, one text behind the other."""
+
+    def __init__(self, text: np.ndarray, kind: np.ndarray, literal: np.ndarray, texts: int):
+        same = np.zeros(len(text), bool)
+        same[1:] = text[1:] == text[:-1]
+
+        def behind(kinds: np.ndarray) -> np.ndarray:
+            return np.where(same, np.concatenate([kinds[:1], kinds[:-1]]), _WORD)
+
+        kind = np.where((kind == _UNIT) & (behind(kind) != _NUM), _WORD, kind)
         slot = kind >= _CAP
-        before = np.concatenate([[_WORD], kind[:-1]]) if len(kind) else kind
-        head = ~(slot & (kind == before))
-        number = np.cumsum(head) - 1
-        heads = np.nonzero(head)[0]
-        whole = literal[heads].copy()
-        rest = np.nonzero(~head)[0]
-        for i in rest:  # the later tokens of a slot's run
-            whole[number[i]] = (int(whole[number[i]]) * int(_STEP) + int(literal[i])) & (1 << 64) - 1
-        kind, slot = kind[heads], slot[heads]
-        template = whole.copy()
+        heads = np.nonzero(~(slot & (kind == behind(kind))))[0]
+        # the tokens of a slot's run are one; its hash depends on all of them and their order
+        place = np.arange(len(kind)) - np.repeat(heads, np.diff(np.append(heads, len(kind))))
+        steps = np.cumprod(np.full(place.max(initial=0) + 1, _STEP, np.uint64)) * _STEP_BACK
+        self.text, self.slot, kind = text[heads], slot[heads], kind[heads]
+        self.whole = np.add.reduceat(literal * steps[place], heads) if len(heads) else literal
+        self.template = self.whole.copy()
         for k, h in _SLOT.items():
-            template[kind == k] = h
-        return template, whole, slot
+            self.template[kind == k] = h
+        self.sizes = np.bincount(self.text, minlength=texts)
+        self.start = np.cumsum(self.sizes) - self.sizes
 
-    @staticmethod
-    def windows(template: np.ndarray, whole: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The key of each window: by template, or by its words where few are outside slots.
+    def windows(self, width: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(loose, places, keys) of all windows, where places are counted over all texts.
 
-        Besides, the places and keys by template of those with FEW_WORDS outside slots.
+        Keys are by template, or by words where few are outside slots. Windows of five tokens or more with
+        FEW_WORDS outside slots come once more, by template and loose.
         """
-        n = len(template) - width + 1
+        n = max(len(self.text) - width + 1, 0)
+        places = np.nonzero(self.text[:n] == self.text[width - 1:width - 1 + n])[0]
         by_template, by_word = np.full(n, width, np.uint64), np.full(n, width + 100, np.uint64)
         for k in range(width):
-            by_template = by_template * _STEP + template[k:k + n]
-            by_word = by_word * _STEP + whole[k:k + n]
-        free = np.concatenate([[0], np.cumsum(~slot)])
+            by_template = by_template * _STEP + self.template[k:k + n]
+            by_word = by_word * _STEP + self.whole[k:k + n]
+        free = np.concatenate([[0], np.cumsum(~self.slot)])
         free = free[width:] - free[:-width]
         few = free < min(WORDS, width)
-        mixed = np.where(few, by_word, by_template)
-        loose = np.nonzero(few & (free >= FEW_WORDS))[0]
-        template = by_template[loose]
-        return mixed ^ (mixed >> np.uint64(29)), loose, template ^ (template >> np.uint64(29))
+        mixed = np.where(few, by_word, by_template)[places]
+        found = [(0, places, mixed ^ (mixed >> np.uint64(29)))]
+        if width >= WORDS:
+            places = places[(few & (free >= FEW_WORDS))[places]]
+            loose = by_template[places]
+            found.append((1, places, loose ^ (loose >> np.uint64(29))))
+        return found
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -148,43 +178,34 @@ _SEEN: dict[str, Templates] = {}
 
 def _run(widths: tuple[int, ...] | None, bitmap):
     """The windows of texts as rows; ``widths`` None: each text's own, for benchmark items."""
+    names = ["key", *(f.split()[0] for f in _WINDOWS.split(", "))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _SEEN.setdefault("", Templates())
         bits = bitmap.value if bitmap is not None else None
-        for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for reading, (template, whole, slot) in enumerate(made.readings(text)):
-                    n = len(template)
-                    for width in widths or (min(n, WINDOW),):
-                        if n < max(width, SHORTEST):
+        for batch in pieces(batches, 1, PART_BYTES):
+            for number, read in enumerate(made.readings(batch.column(1).to_pylist())):
+                own = np.minimum(read.sizes, WINDOW)
+                for width in widths or np.unique(own[own >= SHORTEST]).tolist():
+                    for loose, places, keys in read.windows(width):
+                        if bits is None:
+                            hits = np.nonzero(own[read.text[places]] == width)[0]
+                        else:
+                            low = keys & np.uint64(BITS - 1)
+                            hits = np.nonzero((bits[low >> np.uint64(6)] >> (low & np.uint64(63)))
+                                              & np.uint64(1))[0]
+                        if not len(hits):
                             continue
-                        keys, loose, others = made.windows(template, whole, slot, width)
-                        for is_loose, places, found in ((0, None, keys), (1, loose, others)):
-                            if bits is None:
-                                hits = np.arange(len(found))
-                            else:
-                                low = found & np.uint64(BITS - 1)
-                                hits = np.nonzero((bits[low >> np.uint64(6)] >> (low & np.uint64(63)))
-                                                  & np.uint64(1))[0]
-                            if not len(hits):
-                                continue
-                            at = hits if places is None else places[hits]
-                            for k, v in enumerate((i, width, at, _signed(found[hits]), len(keys),
-                                                   reading, is_loose)):
-                                rows[k if k < 5 else k + 1].append(
-                                    v if isinstance(v, np.ndarray) else np.full(len(hits), v))
-                            for h in at.tolist():
-                                inside = np.nonzero(slot[h:h + width])[0]
-                                rows[5].append(_signed(whole[h + inside]).tolist())
-            if not rows[5]:
-                continue
-            take, *numbers = (np.concatenate(r) for r in rows[:5])
-            reading, loose = (pa.array(np.concatenate(r), pa.int64()) for r in rows[6:])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(take)), *(pa.array(x, pa.int64()) for x in numbers),
-                 pa.array(rows[5], pa.list_(pa.int64())), reading, loose],
-                ["key", "width", "at", "window", "windows", "slots", "reading", "loose"])
+                        at, text = places[hits], read.text[places[hits]]
+                        inside = at[:, None] + np.arange(width)
+                        slot, whole = read.slot[inside], read.whole[inside]
+                        slots = pa.ListArray.from_arrays(
+                            pa.array(np.append(0, np.cumsum(slot.sum(1))), pa.int32()), pa.array(_signed(whole[slot])))
+                        numbers = (np.full(len(at), width), at - read.start[text], _signed(keys[hits]),
+                                   read.sizes[text] - width + 1)
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(text)), *(pa.array(x, pa.int64()) for x in numbers), slots,
+                             *(pa.array(np.full(len(at), x), pa.int64()) for x in (number, loose))], names)
     return run
 
 
@@ -193,8 +214,6 @@ _WINDOWS = "width long, at long, window long, windows long, slots array<long>, r
 
 def _windows(rows: DataFrame, key: str, widths=None, bitmap=None) -> DataFrame:
     """Windows of the column ``text`` of rows; ``key`` is a struct column that goes along."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     two = rows.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     kind = two.schema["key"].dataType.simpleString()
     return two.mapInArrow(_run(widths, bitmap), f"key {kind}, {_WINDOWS}")
@@ -211,52 +230,107 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return bits
 
 
-def _counted(lined: DataFrame) -> DataFrame:
-    """places and tokens that count, and same (all slots equal), of alignments with their cells."""
-    def at(cells) -> Column:
-        return F.array_distinct(F.transform(cells, lambda c: c["item_at"]))
-
-    def pairs(cells) -> Column:
-        return F.flatten(F.transform(cells, lambda c: c["pairs"]))
-
-    def consistent(name: str) -> Column:
-        kinds = F.array_distinct(pairs(name))
-        return F.size(kinds) == F.size(F.array_distinct(F.transform(kinds, lambda p: p["item_slots"])))
-
-    def equal(ps: Column) -> Column:
-        return F.forall(ps, lambda p: p["item_slots"] == p["slots"])
-
-    def run(places: Column) -> Column:
-        """The most places in a row."""
-        steps = F.transform(F.sort_array(places), lambda x, i: x - i)
-        return F.coalesce(F.array_max(F.transform(F.array_distinct(steps), lambda d: F.size(
-            F.filter(steps, lambda e: e == d)))), F.lit(0))
-
-    df = lined.withColumn("strict", F.filter("cells", lambda c: c["loose"] == 0))
-    df = df.withColumn("how", F.when(consistent("cells") & (F.size(at("cells")) == F.col("windows")), 2)
-                       .when(consistent("strict"), 1).otherwise(0))
-    # the commonest value of each slot, of equally common ones that with the largest hash
-    every = pairs("strict")
-    counts = F.transform(F.array_distinct(every), lambda p: F.struct(
-        p.alias("pair"), F.size(F.filter(every, lambda q: q == p)).alias("n")))
-    df = df.withColumn("counts", F.when(F.col("how") == 0, counts))
-    most = F.filter("counts", lambda p: F.forall("counts", lambda q: (
-        (q["pair"]["item_slots"] != p["pair"]["item_slots"]) | (q["n"] < p["n"])
-        | ((q["n"] == p["n"]) & (q["pair"]["slots"] <= p["pair"]["slots"])))))
-    df = df.withColumn("most", F.transform(most, lambda p: p["pair"]))
-    df = df.withColumn("mapped", at(F.filter("strict", lambda c: F.forall(
-        c["pairs"], lambda p: F.array_contains("most", p)))))
-    df = df.withColumn("copied", at(F.filter("strict", lambda c: equal(c["pairs"]))))
-    mostly = F.size("mapped") >= MOST * F.col("windows")
-    df = df.withColumn("places", F.when(F.col("how") == 2, at("cells")).when(
-        F.col("how") == 1, at("strict")).when(mostly, F.array_union("mapped", "copied")).otherwise(
-        F.col("copied")))
-    count = F.when(F.col("how") > 0, F.size("places")).when(
-        mostly, F.greatest(run(F.col("mapped")), run(F.col("copied")))).otherwise(run(F.col("copied")))
-    return df.where(F.size("places") > 0).withColumns({
-        "same": F.when(F.col("how") == 2, equal(pairs("cells"))).when(
-            F.col("how") == 1, equal(pairs("strict"))).otherwise(F.lit(False)),
-        "tokens": F.when(count > 0, count + F.col("width") - 1).otherwise(0)})
+class Alignment:
+    """Windows of an item that a document has at one distance, and the values of their slots."""
+
+    def __init__(self):
+        self.cells: list[tuple[int, int, list[tuple[int, int]]]] = []
+
+    def judged(self, windows: int, width: int) -> tuple[set[int], int, bool]:
+        """(places that count, tokens, verbatim).
+
+        All windows count where each slot has one value, and loose ones besides only where the whole item is
+        there. Else those of the commonest values, if they are most of the item, and those that are equal
+        word by word; then the tokens are those in a row.
+        """
+        strict = [c for c in self.cells if not c[1]]
+        all_places = {at for at, _, _ in self.cells}
+        if len(all_places) == windows and _consistent(self.cells):
+            chosen, places = self.cells, all_places
+        elif _consistent(strict):
+            chosen, places = strict, {at for at, _, _ in strict}
+        else:
+            counts = Counter(p for _, _, pairs in strict for p in pairs)
+            best: dict[int, tuple[int, int]] = {}
+            for (mine, other), n in counts.items():
+                best[mine] = max(best.get(mine, (0, 0)), (n, other))
+            mapped = {at for at, _, pairs in strict if all(best[a][1] == b for a, b in pairs)}
+            copied = {at for at, _, pairs in strict if all(a == b for a, b in pairs)}
+            places, longest = copied, _in_a_row(copied)
+            if len(mapped) >= MOST * windows:
+                places, longest = mapped | copied, max(longest, _in_a_row(mapped))
+            return places, longest + width - 1 if longest else 0, False
+        return places, len(places) + width - 1 if places else 0, bool(places) and all(
+            a == b for _, _, pairs in chosen for a, b in pairs)
+
+
+def _consistent(cells: list[tuple[int, int, list[tuple[int, int]]]]) -> bool:
+    value: dict[int, int] = {}
+    return all(value.setdefault(a, b) == b for _, _, pairs in cells for a, b in pairs)
+
+
+def _in_a_row(places: set[int]) -> int:
+    best = run = 0
+    before = None
+    for at in sorted(places):
+        run = run + 1 if at - 1 == before else 1
+        best, before = max(best, run), at
+    return best
+
+
+def _judge(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+    """Rows sorted by document row, item line, readings and alignment to a row per document and item."""
+    def pair(rows) -> tuple | None:
+        """The best reading's (share, longest, verbatim, found) if the document has the item."""
+        best = None
+        for _, reading in groupby(rows, key=itemgetter(2, 3)):
+            places: set[int] = set()
+            longest, verbatim = 0, False
+            for _, line in groupby(reading, key=itemgetter(4)):
+                one = Alignment()
+                for *_, windows, width, kept, at, loose, mine, other in line:
+                    one.cells.append((at, loose, list(zip(mine, other))))
+                more, tokens, same = one.judged(kept, width)
+                places |= more
+                longest, verbatim = max(longest, tokens), verbatim or (same and bool(more))
+            if longest >= min(RUN, windows + width - 1) or (len(places) >= SHARE * kept and kept > 1):
+                found = (len(places) / kept, longest, verbatim, len(places))
+                best = max(best, found) if best else found
+        return best
+
+    def rows() -> Iterator[tuple]:
+        for columns in batches:
+            yield from zip(*columns)
+
+    out = []
+    for (row, line), found in groupby(rows(), key=itemgetter(0, 1)):
+        best = pair(found)
+        if best:
+            out.append((row, line, *best))
+        if len(out) >= 4096:
+            yield list(zip(*out))
+            out = []
+    if out:
+        yield list(zip(*out))
+
+
+def searchable(benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The benchmark with tokens (long) and searched: ``templates``, ``verbatim`` or ``no``.
+
+    Items of fewer than five tokens are found verbatim only. One or two tokens are in too many texts to be a
+    sign of anything, so such items are not searched.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _SEEN.setdefault("", Templates())
+        for batch in pieces(batches, 0, PART_BYTES):
+            sizes = made.readings(batch.column(0).to_pylist())[0].sizes
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(sizes, pa.int64())], [*batch.schema.names[1:], "tokens"])
+
+    schema = benchmark.withColumn("tokens", F.lit(0).cast("long")).schema
+    whole = benchmark.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), "*")
+    return whole.mapInArrow(run, schema).withColumn("searched", F.when(
+        F.col("tokens") >= WORDS, "templates").when(F.col("tokens") >= SHORTEST, "verbatim").otherwise("no"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id",
@@ -265,10 +339,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col
 
     Columns: the ids, h (a hash of the text), windows (found on consistent alignments), share (of
     the item's windows), longest (tokens on the best alignment) and verbatim (all slots equal), by the
-    reading that shares most. A document has the item if RUN tokens in a row, or SHARE of its windows, or the whole of a short
-    item are found. Items with fewer than SHORTEST tokens are too short to tell and match nothing;
-    null texts are empty. Repeated items give a row each, repeated documents too. Other columns
-    are ignored.
+    reading that shares most. A document has the item if RUN tokens in a row, or SHARE of its windows, or the
+    whole of a short item are found. Items of three or four tokens are found verbatim, shorter ones not at
+    all (``searchable`` tells which); null texts are empty. Repeated items give a row each, repeated documents
+    too. Other columns are ignored.
     """
     spark = docs.sparkSession
     # repeated item ids with other texts stay apart by their line
@@ -290,28 +364,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col
         seen = _windows(rows, "key", widths, bitmap)
     else:
         seen = spark.createDataFrame([], f"key struct<id:{schema.split(' ', 1)[1]},row:long,h:long>, {_WINDOWS}")
+    # a window that an item repeats is met at its first places only, or repeated lines would meet by squares
+    of = ["line", "item_reading", "width", "loose"]
+    repeats = Window.partitionBy(*of, "window").orderBy("item_at")
+    known = known.withColumn("nth", F.row_number().over(repeats)).where(F.col("nth") <= REPEATS).drop("nth")
+    kept = known.where("loose = 0").groupBy("line", "item_reading").agg(F.count("*").alias("kept"))
+    known = known.join(kept, ["line", "item_reading"])
     seen = seen.select("key", "reading", "width", "at", "window", "slots", "loose")
     met = seen.join(known, ["window", "width", "loose"]).where(F.size("slots") == F.size("item_slots"))
-    met = met.withColumn("pairs", F.arrays_zip("item_slots", "slots"))
-    one = ["key", "reading", "item", "line", "item_reading", "windows", "width"]
-    lined = met.groupBy(*one, (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set(F.struct("item_at", "loose", "pairs")).alias("cells"))
-    lined = _counted(lined)
-    found = lined.groupBy(*one).agg(
-        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
-        F.max("tokens").alias("longest"), F.max("same").alias("verbatim"))
-    found = found.withColumn("found", F.size("places").cast("long"))
-    total = F.col("windows") + F.col("width") - 1
-    hit = (F.col("longest") >= F.least(F.lit(RUN), total)) | (
-        (F.col("found") >= SHARE * F.col("windows")) & (F.col("windows") > 1))
-    found = found.where(hit).withColumn("best", F.struct(
-        (F.col("found") / F.col("windows")).alias("share"), "longest", "verbatim", "found", "windows"))
-    found = found.groupBy("key", "item", "line").agg(F.max("best").alias("best")).select(
-        "key", "item", "best.*")
+    met = stored(met.select(
+        "key", F.col("key.row").alias("row"), "line", "item_reading", "reading",
+        (F.col("at") - F.col("item_at")).alias("shift"), "windows", "width", "kept", "item_at", "loose",
+        "item_slots", "slots"), "met")
+    order = ["row", "line", "item_reading", "reading", "shift"]
+    lined = met.drop("key").repartition("row", "line").sortWithinPartitions(*order, "item_at", "loose")
+    found = map_batches(lined, _judge, "row long, line long, share double, longest long, verbatim boolean, windows long")
+    keys = met.select("key").distinct()
+    items = known.select("line", "item").distinct()
+    found = found.join(keys, found.row == keys.key.row).join(items, "line")
     return found.select(
         F.col("key.id").alias(id_column), F.col("key.h").alias("h"), F.col("item").alias(item_column),
-        F.col("found").alias("windows"), (F.col("found") / F.col("windows")).alias("share"),
-        F.col("longest").cast("long").alias("longest"), "verbatim")
+        "windows", "share", "longest", "verbatim")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text",

@@ -197,16 +197,28 @@ def _potential_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             ["name", "tag", "parent", "label", "n"])
 
 
+#: Pages of our own: an article with what usually surrounds it, with and without telling names.
+EXAMPLES = tuple(f"""<body><div class="{top}"><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></div>
+<article><h1>A title of some words</h1><p>{"A sentence of the text of this page, long enough for a paragraph. " * 3}</p>
+<h2>A part</h2><p>{"More of it follows here, in plain words. " * 2}</p><ul><li>One thing in a list</li><li>Another</li></ul>
+<table><tr><td>Cell</td><td>12</td></tr></table><blockquote><p>{"Someone said it. " * 4}</p></blockquote></article>
+<div class="{side}"><h3>See also</h3><ul><li><a href=z>Other page</a></li></ul><p>Short note</p></div>
+<div class="{end}"><p><a href=i>Imprint</a> <a href=p>Privacy</a></p><p>All rights reserved</p></div></body>"""
+                 for top, side, end in (("nav", "sidebar", "footer"), ("a", "b", "c"), ("menu", "related", "copyright")))
+
+
 def train(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> dict:
-    """Potentials from about TRAIN_PAGES labelled pages, chosen by a hash of their id.
+    """Potentials from about TRAIN_PAGES pages that label themselves, chosen by a hash of their id.
 
-    The counts are over a fixed set of names and kinds, so what comes to the driver is bounded.
-    Without labelled pages the potentials hold no evidence and no page has content.
+    The counts are over a fixed set of names and kinds, so what comes to the driver is bounded. A few
+    pages of our own (EXAMPLES) are counted besides, so that there are potentials where no page has labels.
     """
-    n = pages.count()
-    share = min(1.0, TRAIN_PAGES / max(n, 1))
-    some = pages.where(F.pmod(F.xxhash64(F.col(page_id).cast("string")), F.lit(1_000_000))
-                       < int(share * 1_000_000))
+    spark = pages.sparkSession
+    labelled = pages.where(F.col(html).rlike(r"(?i)<(article|main)[\s>/]|articlebody|role\s*=\s*[\"']?main"))
+    n = labelled.count()
+    edge = (1 << 63) - 1 if n <= TRAIN_PAGES else int((TRAIN_PAGES / n - 0.5) * 2.0 ** 64)
+    some = labelled.where(F.xxhash64(F.coalesce(F.col(page_id).cast("string"), F.lit(""))) <= edge).select(
+        html).union(spark.createDataFrame([(e,) for e in EXAMPLES], f"{html} string"))
     some = some.select(F.coalesce(F.col(html), F.lit("")).cast("binary").alias("html"))
     rows = some.mapInArrow(
         _potential_counts, "name string, tag string, parent int, label int, n long").groupBy(

@@ -77,7 +77,7 @@ def solve(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"),
         F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("error"))
     state = stored(state, "dual")
-    for _ in range(MOST_STEPS):
+    for left in reversed(range(MOST_STEPS)):
         x = sizes.where("size > 0").join(state.where("not fill and target > 0"), "key").withColumn(
             "z", F.col("size") / F.col("mean"))
         r = _rate()
@@ -101,6 +101,8 @@ def solve(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         worst = state.agg(F.max("error")).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
+        if not left:
+            raise ArithmeticError(f"the dual is not solved after {MOST_STEPS} steps: {worst}")
     return state
 
 
@@ -188,7 +190,14 @@ def mix_sizes(docs: DataFrame, text: str = "text", source: str = "source",
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id",
         copy: str = "copy") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with the copy number from 1."""
+    """The rows of ``docs`` as often as the mix takes them, with the copy number from 1.
+
+    The number is in a last column ``copy``; underscores are added to the name while ``docs`` has a column of
+    that name. Nulls, ties and repeated rows are treated as ``mix_sizes`` does; rows without words are not
+    taken where their source's target is 0. An empty table stays empty.
+    """
+    while copy.lower() in map(str.lower, docs.columns):
+        copy += "_"
     _, copies = plan(docs, text, source, id_column)
     whole = docs.select(F.struct("*").alias("row"), _key(source).alias("key"),
                         _size(text).alias("size"), _hash(id_column, text).alias("h"))

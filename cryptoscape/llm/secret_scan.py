@@ -54,37 +54,45 @@ def _running(df: DataFrame, name: str, total=_sum, add=Column.__add__) -> DataFr
     return df.withColumnRenamed("_new", name)
 
 
-def _spans(df: DataFrame, kind: str, role: str, pattern: str, least: int) -> DataFrame:
-    """Add the array ``kind`` of spans; df has body, null where there is nothing to find."""
+def _spans(df: DataFrame, kind: str, role: str, pattern: str, least: int, in_bytes: bool = False) -> DataFrame:
+    """Add the array ``kind`` of spans; df has body, null where there is nothing to find.
+
+    With ``in_bytes`` spans also have byte, where they start, and bytes, their length.
+    """
     group = 1 if "(" in pattern.replace("(?", "") else 0
     p = F.lit(pattern)
     df = bound(df, _m=F.regexp_extract_all("body", p, F.lit(0)),
                _v=F.regexp_extract_all("body", p, F.lit(group)),
-               _gap=F.transform(F.split("body", pattern, -1), F.length))
-    df = bound(df, _at=F.transform("_m", lambda m, i: F.get("_gap", i) + F.coalesce(
-        F.length(F.get("_m", i - 1)), F.lit(0))))
-    df = _running(df, "_at")
+               _gap=F.split("body", pattern, -1))
+    sizes = {"_at": F.length, "_byte": F.octet_length} if in_bytes else {"_at": F.length}
+    for name, size in sizes.items():
+        df = bound(df, **{name: F.transform("_m", lambda m, i: size(F.get("_gap", i)) + F.coalesce(
+            size(F.get("_m", i - 1)), F.lit(0)))})
+        df = _running(df, name)
+    more = lambda m, i: [F.get("_byte", i).alias("byte"), F.octet_length(m).alias("bytes")]
     spans = F.transform("_m", lambda m, i: F.struct(
         F.get("_at", i).alias("start"), (F.get("_at", i) + F.length(m)).alias("end"),
         F.lit([k[0] for k in KINDS].index(kind)).alias("ord"), F.lit(kind).alias("kind"),
-        F.lit(role).alias("role"), F.length(F.get("_v", i)).alias("n")))
+        F.lit(role).alias("role"), F.length(F.get("_v", i)).alias("n"), *(more(m, i) if in_bytes else ())))
     good = F.filter(spans, lambda s: s["n"] >= least)
-    return bound(df, **{kind: good}).drop("_m", "_v", "_gap", "_at")
+    return bound(df, **{kind: good}).drop("_m", "_v", "_gap", *sizes)
 
 
-def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", in_bytes: bool = False) -> DataFrame:
     """Every row of ``docs`` below ``row``, with its strong spans and all reported spans.
 
     base and spans are arrays of start, end, ord, kind, role, n, by start and kind; positions are
     code points, the end exclusive. Null or empty text: empty arrays. A span is reported once for
-    each row, so repeated rows repeat it. Other columns stay below ``row``.
+    each row, so repeated rows repeat it. Other columns stay below ``row``. With ``in_bytes`` spans also have
+    byte and bytes, their start and length in UTF-8.
     """
     df = docs.select(F.struct("*").alias("row"))
     df = bound(df, body=F.when(F.col("row")[text].rlike(GUARD), F.col("row")[text]))
     kinds = [k[0] for k in KINDS]
     for k in KINDS:
-        df = _spans(df, *k)
-    none = F.array().cast("array<struct<start:int,end:int,ord:int,kind:string,role:string,n:int>>")
+        df = _spans(df, *k, in_bytes)
+    none = F.array().cast("array<struct<start:int,end:int,ord:int,kind:string,role:string,n:int"
+                          + (",byte:int,bytes:int>>" if in_bytes else ">>"))
     df = bound(df.drop("body"), parts=F.coalesce(F.sort_array(F.concat(*kinds)), none))
 
     for role in ("id", "secret"):  # nulls, where the role is another, count for nothing
@@ -117,21 +125,25 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]",
            length: str = "n_chars") -> DataFrame:
     """The rows of ``docs`` with every reported span replaced by ``mark``.
 
-    Overlapping spans become one mark. A column ``length``, if there is one, follows changed texts.
+    Overlapping spans become one mark. A column ``length``, if there is one, follows changed texts. Null and
+    empty texts stay as they are, repeated rows change alike, and the work grows with the length of a text and
+    its number of spans: pieces are cut from bytes, where a place is found without counting characters.
     """
-    found = scan_secrets(docs, text)
-    found = bound(found, body=F.col("row")[text])
+    found = scan_secrets(docs, text, True)
+    found = bound(found, body=F.col("row")[text].cast("binary"),
+                  _ends=F.transform("spans", lambda s: s["byte"] + s["bytes"]))
+    found = _running(found, "_ends", F.array_max, lambda a, b: F.greatest(a, b))
 
     def cut(s: Column, i: Column) -> Column:
         """The text between the end of all earlier spans and this start, or null inside them."""
-        before = F.coalesce(F.array_max(F.transform(F.slice("spans", F.lit(1), i), lambda x: x["end"])), F.lit(0))
-        return F.when(s["start"] >= before, F.concat(F.substring(
-            F.col("body"), before + 1, s["start"] - before), F.lit(mark)))
+        before = F.coalesce(F.get("_ends", i - 1), F.lit(0))
+        return F.when(s["byte"] >= before, F.concat(F.substring(
+            F.col("body"), before + 1, s["byte"] - before).cast("string"), F.lit(mark)))
 
-    end = F.array_max(F.transform("spans", lambda s: s["end"]))
+    end = F.get("_ends", F.size("spans") - 1)
     new = F.when(F.size("spans") > 0, F.concat(
-        F.array_join(F.transform("spans", cut), ""), F.substring(F.col("body"), end + 1, F.length("body"))
-    )).otherwise(F.col("body"))
+        F.array_join(F.transform("spans", cut), ""),
+        F.substring(F.col("body"), end + 1, F.octet_length("body")).cast("string"))).otherwise(F.col("row")[text])
     found = bound(found, fresh=new)
     made = {text: F.col("fresh")}
     if length in docs.columns:

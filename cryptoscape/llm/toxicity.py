@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, stored, table
 
-#: Labelled rows that the model is fitted on, at most; terms of the lexicon, at most.
-TRAIN_ROWS, TERMS = 20_000, 400
+#: Labelled rows that the model is fitted on, at most.
+TRAIN_ROWS = 20_000
 #: Least log likelihood ratio of a term, and how much more often it must be in toxic rows.
 LEAST_G2, LEAST_RATIO = 20.0, 6.0
 STEMS = (4, 5, 6, 7)
@@ -209,7 +209,11 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_terms(train: DataFrame) -> list[tuple[str, bool, float]]:
-    """Terms with their weights (log of the ratio of their rates), the strongest TERMS at most."""
+    """Words and stems that mark toxic rows, with their weights (log of the ratio of their rates).
+
+    Of stems that start each other the strongest stays. Words stay beside the stems that they start with,
+    since only words allow for spelling errors.
+    """
     n = {bool(r[0]): r[1] for r in train.groupBy(F.col("toxic") > 0).count().collect()}
     n1, n0 = n.get(True, 0), n.get(False, 0)
     if not n1 or not n0:
@@ -227,13 +231,16 @@ def learn_terms(train: DataFrame) -> list[tuple[str, bool, float]]:
     ratio = ((F.col("c1") + 0.5) / (n1 + 1.0)) / ((F.col("c0") + 0.5) / (n0 + 1.0))
     best = counts.withColumns({"g2": F.round(g2, 6), "ratio": ratio}).where(
         (F.col("g2") >= LEAST_G2) & (F.col("ratio") >= LEAST_RATIO)).orderBy(
-        F.desc("g2"), F.desc(F.length("term")), "term", "stem").limit(10 * TERMS)
+        F.desc("g2"), F.desc(F.length("term")), "term", "stem")
     chosen: list[tuple[str, bool, float]] = []
-    for r in best.collect():
-        alike = any((s and r["term"].startswith(t)) or (r["stem"] and t.startswith(r["term"]))
-                    for t, s, _ in chosen)
-        if not alike and len(chosen) < TERMS:
-            chosen.append((r["term"], r["stem"], math.log(r["ratio"])))
+    stems: set[str] = set()
+    for r in best.collect():  # of TRAIN_ROWS texts
+        term, stem = r["term"], r["stem"]
+        if stem and any(term[:k] in stems for k in STEMS) or stem and any(s.startswith(term) for s in stems):
+            continue
+        if stem:
+            stems.add(term)
+        chosen.append((term, stem, math.log(r["ratio"])))
     return chosen
 
 
@@ -253,8 +260,12 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[list, np.ndarray]:
-    """The lexicon and the model's weights, from labelled rows that are not held out."""
-    rows = training_rows(docs, labels, text)
+    """The lexicon and the model's weights, from labelled rows that are not held out.
+
+    Null texts are empty; of rows with equal text and label one counts, and a document with several labels
+    is toxic if one says so. With rows of one class only, or none, every text gets the same low score.
+    """
+    rows = stored(training_rows(docs, labels, text), "training")
     terms = learn_terms(rows)
     lexicon = Lexicon(terms)
 

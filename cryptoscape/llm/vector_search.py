@@ -162,12 +162,13 @@ class Index:
         order = F.xxhash64("h", "id")
         sample = self.rows.select("vec", order.alias("o")).orderBy("o", "vec").limit(
             max(1, min(SAMPLE, SAMPLE_CELLS // cells))).select("vec").collect()
-        sample = np.array([np.pad(np.floor(scale * np.array(r.vec, float)), (0, width - len(r.vec)))
-                           for r in sample]).reshape(-1, width)
+        padded = np.zeros((len(sample), width))
+        for row, r in zip(padded, sample):
+            row[:len(r.vec)] = np.floor(scale * np.array(r.vec, float))
         self.page = max(64, min(PAGE, SAMPLE_CELLS // cells))
         pivots = max(1, min(PIVOTS, SAMPLE_CELLS // cells, -(-n // (4 * self.page))))
         sc = spark.sparkContext
-        self.geo = sc.broadcast(Geometry({r.band: r.most for r in found}, sample, width, pivots))
+        self.geo = sc.broadcast(Geometry({r.band: r.most for r in found}, padded, width, pivots))
         self._cut(sc)
 
     def _lengths(self, width: int):

@@ -1,14 +1,16 @@
 """SimHash, decontamination and mixing against plain Python, on a table and on edge cases."""
 
+import time
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import pytest
 from brute import near, targets, words
 from pyspark.sql import functions as F
 
-from cryptoscape.llm import simhash
-from cryptoscape.llm.decontaminate import find_leaks, op4_decontamination, remove_leaks
+from cryptoscape.llm import mixing, simhash
+from cryptoscape.llm.decontaminate import UNITS, Alignment, find_leaks, op4_decontamination, remove_leaks, searchable
 from cryptoscape.llm.mixing import mix, mix_sizes, op6_source_mix
 from cryptoscape.llm.simhash import components, links, near_duplicates, op10_simhash
 
@@ -199,3 +201,115 @@ def test_equal_sizes_split_by_hash(spark):
 def test_near_duplicate_columns(spark, edge):
     assert near_duplicates(edge).count() == edge.count()
     assert near_duplicates(edge.where("false")).count() == 0
+
+
+def test_short_items_are_found_verbatim(spark):
+    texts = ["Capital of France?", "What color is blood?", "two words", "Add 3 apples", "yes", "", None]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "Say: capital of France? Paris."), (2, "what color is blood"), (3, "these two words, yes"),
+        (4, "Add 4 apples. Capital of Spain? What color is snow?"), (5, "then add 3 apples to it")],
+        "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()}
+    assert got == {(1, 0), (2, 1), (5, 3)}
+    assert [(r.item_id, r.tokens, r.searched) for r in searchable(bench).orderBy("item_id").collect()] == [
+        (0, 3, "verbatim"), (1, 4, "verbatim"), (2, 2, "no"), (3, 3, "verbatim"), (4, 1, "no"), (5, 0, "no"), (6, 0, "no")]
+
+
+def test_long_items_and_repeated_lines_stay_linear(spark):
+    r = np.random.default_rng(1)
+    long = " ".join(f"w{x}" for x in r.integers(0, 9000, 42_000))
+    lines = "again and again the same line of words stands here\n" * 800
+    bench = spark.createDataFrame([(1, long), (2, lines)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, long), (2, lines), (3, long[:4000]), (4, "x " * 100)], "doc_id long, text string")
+    find_leaks(docs, bench.limit(0)).collect()
+    start = time.time()
+    got = {(x.doc_id, x.item_id): x for x in find_leaks(docs, bench).collect()}
+    took = time.time() - start
+    assert set(got) == {(1, 1), (2, 2), (3, 1)} and got[1, 1].share == 1 and got[2, 2].share == 1 and took < 30
+
+
+def plain_leaks(docs, items):
+    """(doc, item) by the template rules, restated: all windows of all alignments, without hashes."""
+    import re
+
+    def template(text, names):
+        tokens, kinds, start, out = [], [], True, []
+        for t in re.findall(r"[0-9]+|[A-Za-z\x80-\U0010ffff]+|[.!?\n]", text or ""):
+            if t in ".!?\n":
+                start = True
+                continue
+            cap = t[0].isupper() and not t[1:].isupper() and len(t) > 1
+            kind = ("n" if t[0].isdigit() else "u" if t.lower() in UNITS else
+                    "c" if cap and (names or not start) else "w")
+            start = False
+            tokens.append(t.lower())
+            kinds.append(kind)
+        kinds = ["w" if k == "u" and (i == 0 or kinds[i - 1] != "n") else k for i, k in enumerate(kinds)]
+        for i, (t, k) in enumerate(zip(tokens, kinds)):
+            if k != "w" and i and kinds[i - 1] == k:
+                out[-1] = (k, out[-1][1] + " " + t)
+            else:
+                out.append((k, t))
+        return out
+
+    found = set()
+    for (d, text), (item, other) in product(docs, items):
+        for mine, its in product((template(text, x) for x in (False, True)), (template(other, x) for x in (False, True))):
+            width = min(8, len(its))
+            if width < 3:
+                continue
+            windows, lines = len(its) - width + 1, defaultdict(list)
+            for a, b in product(range(len(mine) - width + 1), range(windows)):
+                p, q = mine[a:a + width], its[b:b + width]
+                free = sum(k == "w" for k, _ in q)
+                slots = [(y[1], x[1]) for x, y in zip(p, q) if x[0] != "w"]
+                alike = all(x == y if "w" in (x[0], y[0]) else x[0] == y[0] for x, y in zip(p, q))
+                if alike and (free >= min(5, width) or [x[1] for x in p] == [y[1] for y in q]):
+                    lines[a - b].append((b, False, slots))
+                if alike and free < min(5, width) and free >= 2 and width >= 5:
+                    lines[a - b].append((b, True, slots))
+            places, longest = set(), 0
+            for cells in lines.values():
+                one = Alignment()
+                one.cells = cells
+                more, tokens, _ = one.judged(windows, width)
+                places, longest = places | more, max(longest, tokens)
+            if longest >= min(13, len(its)) or (len(places) >= windows / 2 and windows > 1):
+                found.add((d, item))
+    return found
+
+
+def test_templates_equal_plain_search(spark):
+    """Re-parameterised questions, names that start sentences, units, runs of names, and texts like them."""
+    r = np.random.default_rng(8)
+    frames = ["A train leaves {c} at {n} km and reaches {c} {n} hours later, how far is it from {c}?",
+              "{c} has {n} apples. {c} has {n} apples. How many do they have together?", "What is {n} plus {n}?",
+              "Compute {n} times {n} minus {n}", "Name the capital of {c}", "In {n} days {c} and {c} walk {n} miles a day."]
+
+    def made():
+        text = frames[r.integers(0, len(frames))]
+        while "{" in text:
+            text = text.replace("{c}", str(r.choice(["Leeds", "York", "Rome", "Ann Lee", "Tom"])), 1)
+            text = text.replace("{n}", str(r.integers(2, 30)), 1)
+        return text
+
+    items = [(i, made()) for i in range(12)]
+    docs = [(i, " ".join([made(), "so it goes on.", made()][:1 + i % 3])) for i in range(30)]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                     spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = plain_leaks(docs, items)
+    assert {(x.doc_id, x.item_id) for x in got} == want and 30 < len(want) < 300
+
+
+def test_mix_beside_a_copy_column(spark):
+    rows = [(i, "some words here " * (1 + i % 3), "ab"[i % 2], i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int")
+    got = mix(docs)
+    assert got.columns == ["doc_id", "text", "source", "copy", "copy_"] and {r.copy for r in got.collect()} <= set(range(40))
+
+
+def test_unsolved_dual_is_an_error(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_STEPS", 1)
+    with pytest.raises(ArithmeticError):
+        mix_sizes(documents).count()

@@ -168,3 +168,25 @@ def test_empty_tables(spark, edge, folder_of):
         assert query(spark, folder).count() == 0
     assert keep_good(edge.where("false")).columns == edge.columns
     assert keep_good(edge).count() <= edge.where(F.col("text").isNotNull()).count()
+
+
+def test_redaction_by_bytes(spark):
+    """Overlaps, spans at both ends and characters of several bytes, against spans cut out of the text."""
+    texts = ['password = "abc123" é \U0001F600 ' + "0a" * 14 + " ü token: " + "f" * 30, "0a" * 12, "", None, "plain é",
+             "é" * 50 + "AKIA" + "Q" * 16 + "é", "secret=" + "ab" * 20 + " tail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "length(text) as n_chars")
+    spans = {r.row.doc_id: [(s.start, s.end) for s in r.spans] for r in scan_secrets(df).collect()}
+    for r in redact(df).collect():
+        text, out, at = texts[r.doc_id], "", 0
+        for start, end in spans[r.doc_id]:
+            if start >= at:
+                out += text[at:start] + "[SECRET]"
+            at = max(at, end)
+        assert r.text == (None if text is None else out + text[at:])
+        assert r.n_chars == (None if text is None else len(r.text))
+
+
+def test_redaction_of_very_many_spans(spark):
+    row = [(1, " ".join(f"é {i:03d} " + "0a" * 13 for i in range(20_000)))]
+    got = redact(spark.createDataFrame(row, "doc_id long, text string")).collect()[0].text
+    assert got == " ".join(f"é {i:03d} [SECRET]" for i in range(20_000))

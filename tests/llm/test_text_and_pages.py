@@ -216,3 +216,22 @@ def test_marginals_are_exact(spark):
         for i in range(n):
             weight[i] += w * y[i]
     assert marginals(page, model) == pytest.approx([w / total for w in weight])
+
+
+def test_stems_leave_misspellings_of_words(spark):
+    rows = [(i, f"here is an {'idiot' if i % 2 else 'idiots'} w{i}" if i % 3 == 0 else f"here is a thing w{i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms, _ = train_toxicity(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic"))
+    match = Lexicon(terms).match
+    assert all(match(w) and match(w)[1] == e for w, e in (("idiot", 0), ("idjot", 1), ("ldiot", 1), ("ldiots", 1)))
+    assert match("thing") is None
+
+
+def test_pages_without_labels(spark):
+    main = "This is the main text of the page, a long paragraph of it. " * 4
+    page = ("<body><div class=menu><a href=1>Home</a> <a href=2>Shop</a></div><div class=content><h1>Title</h1>"
+            "<p>{}</p><p>{}</p></div><div class=footer>Copyright</div></body>")
+    pages = spark.createDataFrame([(i, "u", page.format(main, f"Page {i}. " + main)) for i in range(20)],
+                                  "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(pages, train(pages)).collect()}
+    assert got == {i: f"Title\n{main.strip()}\n{(f'Page {i}. ' + main).strip()}" for i in range(20)}
