@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cryptoscape.functions.scales import RISKS, lookup
+from cryptoscape.functions.storage import numbered
 from cryptoscape.operators.baseline import BASELINE_VERSION, baseline_entries, diff_summary
 from cryptoscape.operators.classify import sarif_level
-from cryptoscape.operators.scan import report_key
+from cryptoscape.operators.scan import place, report_key
 from cryptoscape.operators.summary import cbom_components, readiness, sarif_rules
 
 TOOL = "cryptoscape"
@@ -57,13 +58,24 @@ def findings_listing(findings: DataFrame) -> DataFrame:
         "context", replacement.alias("replacement"))
 
 
-def sorted_listing(findings: DataFrame) -> DataFrame:
+def sorted_listing(findings: DataFrame, folder: str | None = None) -> DataFrame:
     """The listing from the worst risk down, in scan order inside a risk (a range sort).
 
-    The keys stay with the rows: ``risk_ord`` and those of the scan.
+    The keys stay with the rows: ``risk_ord`` and those of the scan. With a
+    ``folder`` that all executors reach, the findings are computed once, for the
+    sample of the sort as well, and rows are numbered in a column ``seq_no``.
     """
-    return findings_listing(findings).select("*", "seq.*").drop("seq").orderBy(
-        "repo", "risk_ord", *ORDER[3:])
+    return _in_order(findings_listing(findings), ["repo", "risk_ord"], folder, "listing")
+
+
+def sorted_advice(findings: DataFrame, folder: str | None = None) -> DataFrame:
+    """Advice for the worst first, in scan order inside a degree; ``folder`` as for a listing."""
+    return _in_order(advise(findings), ["repo", "advice_ord"], folder, "advice")
+
+
+def _in_order(rows: DataFrame, by: list[str], folder: str | None, name: str) -> DataFrame:
+    rows, by = rows.select("*", "seq.*").drop("seq"), [*by, *ORDER[3:]]
+    return numbered(rows, by, folder, name) if folder else rows.orderBy(*by)
 
 
 def advise(findings: DataFrame) -> DataFrame:
@@ -113,12 +125,12 @@ def _piece(part: int, text: Column, item: Column | int = 0, sub: int = 0,
 
 
 def _with_commas(elements: DataFrame, firsts: DataFrame) -> DataFrame:
-    """A comma before every ``text`` but the first of its repository.
+    """A comma before every ``text`` but the first of its repository, by its place ``at``.
 
     ``firsts`` (repo, first_key) has a row per repository and comes from an
     aggregate that the document needs anyway.
     """
-    comma = F.when(F.col("element_key") == F.col("first_key"), "").otherwise(",")
+    comma = F.when(F.col("at") == F.col("first_key"), "").otherwise(",")
     return elements.join(firsts, "repo").withColumn("text", F.concat(comma, "text"))
 
 
@@ -134,7 +146,7 @@ def write_documents(pieces: DataFrame, path: str) -> None:
 def json_pieces(findings: DataFrame, file_counts: DataFrame, diff: DataFrame | None = None,
                 duration: float = 0.0) -> DataFrame:
     """Pieces of the JSON report: summary, findings and, for a diff, its summary."""
-    summary = readiness(findings, file_counts, F.min(report_key()).alias("first_key"))
+    summary = readiness(findings, file_counts, F.min(place(findings)).alias("first_key"))
     head = _opened(_json(
         F.lit(VERSION).alias("version"), F.col("repo").alias("scan_path"), "total_files_scanned",
         F.lit(duration).alias("scan_duration_seconds"),
@@ -146,7 +158,7 @@ def json_pieces(findings: DataFrame, file_counts: DataFrame, diff: DataFrame | N
             F.lit('],"diff_summary":'), _json("new", "worsened", "resolved", "unchanged"),
             F.lit("}")).alias("text"))
     elements = with_diff_status(findings).select(
-        "repo", report_key().alias("element_key"),
+        "repo", report_key().alias("element_key"), place(findings).alias("at"),
         _json(F.col("path").alias("file_path"), *FINDING_FIELDS).alias("text"))
     body = _with_commas(elements, summary.select("repo", "first_key"))
     return (summary.select(*_piece(0, head))
@@ -165,7 +177,7 @@ def _text(value: Column) -> Column:
 def sarif_results(findings: DataFrame) -> DataFrame:
     """Columns of the SARIF results, one row per finding."""
     return with_diff_status(findings).select(
-        "repo", report_key().alias("element_key"), _rule_id().alias("rule_id"),
+        "repo", report_key().alias("element_key"), place(findings).alias("at"), _rule_id().alias("rule_id"),
         sarif_level("severity").alias("level"),
         F.concat(F.lit("Uses "), F.col("algorithm_name"), F.lit(": "), F.col("reason"),
                  F.lit(". Instead: "), F.col("replacement")).alias("message"),
@@ -212,7 +224,7 @@ def sarif_pieces(findings: DataFrame, repos: DataFrame, help_uri: str | None = N
         F.struct("quantum_risk", "algorithm_type", "replacement", "confidence", "context",
                  "severity", "category", "remediation", "diff_status").alias("properties"))
     body = _with_commas(
-        sarif_results(findings).select("repo", "element_key", result.alias("text")),
+        sarif_results(findings).select("repo", "element_key", "at", result.alias("text")),
         rules.where("item = 0").select("repo", "first_key"))
     repos = repos.select("repo")
     return (repos.select(*_piece(0, head))
@@ -264,10 +276,10 @@ def cbom_pieces(findings: DataFrame, repos: DataFrame, timestamp: str,
     # The table of components has a row per repository and algorithm; its size
     # decides whether the join broadcasts it.
     occurrences = findings.select("repo", "algorithm_id", report_key().alias("element_key"),
-                                  occurrence.alias("occurrence")).join(
+                                  place(findings).alias("at"), occurrence.alias("occurrence")).join(
         components.select("repo", "algorithm_id", "first_key", "component_index"),
         ["repo", "algorithm_id"])
-    comma = F.when(F.col("element_key") == F.col("first_key"), "").otherwise(",")
+    comma = F.when(F.col("at") == F.col("first_key"), "").otherwise(",")
     return (heads
             .unionByName(components.select(*_piece(1, opening, index)))
             .unionByName(occurrences.select(*_piece(

@@ -110,6 +110,14 @@ def report_key() -> Column:
     return F.struct(ordinal.alias("source_ord"), key.alias("path_key"), ord_a, ord_b)
 
 
+def place(findings: DataFrame) -> Column:
+    """What orders the findings of a repository: their number where they are stored in order, or the key.
+
+    A number is of fixed width, so its minimum is found by hashing, without a sort.
+    """
+    return F.col("seq_no") if "seq_no" in findings.columns else report_key()
+
+
 def _by_class(patterns: list[Pattern]) -> list[tuple[int, list[Pattern]]]:
     """Patterns of source files and of configuration files, with their class bits."""
     groups: dict[bool, list[Pattern]] = {}

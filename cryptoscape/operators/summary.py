@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cryptoscape.functions.scales import lookup
-from cryptoscape.operators.scan import report_key
+from cryptoscape.operators.scan import place
 
 # Object identifiers, and the asymmetric algorithms that encrypt or agree keys.
 OIDS = {
@@ -62,13 +64,27 @@ def readiness(findings: DataFrame, repos: DataFrame | None = None, *more: Column
         "score_band", score_band(F.col("quantum_ready_score")))
 
 
+def first_findings(findings: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Per algorithm of a repository: first_key, occurrences and ``fields`` of the first finding.
+
+    Findings with their number (``stored_inventory``) are aggregated by hash: the
+    least number, and the fields from the finding that has it. Others carry their
+    keys and fields through a sort.
+    """
+    key, group = place(findings), findings.groupBy("repo", "algorithm_id")
+    if "seq_no" not in findings.columns:
+        return group.agg(F.min(key).alias("first_key"), F.count("*").alias("occurrences"),
+                         F.min_by(F.struct(*fields), key).alias("r")).select(
+            "repo", "algorithm_id", "first_key", "occurrences", "r.*")
+    firsts = group.agg(F.min(key).alias("first_key"), F.count("*").alias("occurrences"))
+    return firsts.join(findings.select(key.alias("first_key"), *fields), "first_key").select(
+        "repo", "algorithm_id", "first_key", "occurrences", *fields)
+
+
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """One rule per algorithm of a repository, from its first finding."""
-    first = F.min_by(F.struct("algorithm_name", "algorithm_type", "quantum_risk", "reason",
-                              "replacement"), report_key()).alias("r")
-    return findings.groupBy("repo", "algorithm_id").agg(
-        F.min(report_key()).alias("first_key"), first
-    ).select("repo", "algorithm_id", "first_key", "r.*").withColumn(
+    fields = ("algorithm_name", "algorithm_type", "quantum_risk", "reason", "replacement")
+    return first_findings(findings, fields).drop("occurrences").withColumn(
         "default_level", lookup("quantum_risk", RULE_LEVEL, "warning"))
 
 
@@ -91,10 +107,7 @@ def cbom_components(findings: DataFrame) -> DataFrame:
     """
     fields = ("algorithm_name", "algorithm_type", "quantum_risk", "replacement", "source",
               "confidence", "context", "severity", "category", "remediation")
-    grouped = findings.groupBy("repo", "algorithm_id").agg(
-        F.min(report_key()).alias("first_key"), F.count("*").alias("occurrences"),
-        F.min_by(F.struct(*fields), report_key()).alias("r"),
-    ).select("repo", "algorithm_id", "first_key", "occurrences", "r.*")
+    grouped = first_findings(findings, fields)
     ranked = F.row_number().over(Window.partitionBy("repo").orderBy("first_key")) - 1
     return grouped.withColumns({
         "component_index": ranked,

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame
 
+from cryptoscape.functions.storage import materialize, numbered
 from cryptoscape.operators.classify import assess
 from cryptoscape.operators.policy import Policy, apply_policy
-from cryptoscape.operators.scan import scan_files
+from cryptoscape.operators.scan import scan_files, scan_order
 from cryptoscape.sources.catalogue import Algorithm, Library
 
 
@@ -29,12 +29,13 @@ def inventory(
     return apply_policy(findings, policy, as_of)
 
 
-def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a table that several branches read to ``folder``, which all executors reach.
+def stored_inventory(findings: DataFrame, folder: str) -> DataFrame:
+    """Findings written to ``folder`` in scan order, each with its number ``seq_no``.
 
-    A lost executor then costs no rescan, columns are pruned, and the size is
-    known to the optimizer.
+    The scan runs once, however many reports follow; first findings and order
+    are then questions about numbers.
     """
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return numbered(findings, scan_order(), folder, "findings")
+
+
+__all__ = ["inventory", "materialize", "stored_inventory"]

@@ -7,12 +7,14 @@ Spark makes from them.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cryptoscape.functions import text as tx
+from cryptoscape.functions.storage import scratch_folder
 from cryptoscape.operators import baseline as bl
 from cryptoscape.operators import classify as cl
 from cryptoscape.operators import files as fl
@@ -24,7 +26,7 @@ from cryptoscape.operators.manifests import extract_packages
 from cryptoscape.operators.scan import scan_config, scan_dependencies, scan_files, scan_source
 from cryptoscape.plans.catalogues import line_libraries, part_algorithms
 from cryptoscape.plans.corpus import planted, prose, table
-from cryptoscape.plans.inventory import inventory
+from cryptoscape.plans.inventory import inventory, materialize, stored_inventory
 from cryptoscape.sources.catalogue import algorithms_from_dict, exposed_rows, pattern_rows
 
 AS_OF = dt.date(2026, 6, 30)
@@ -189,19 +191,32 @@ def diff_reported(spark, sf_dir):
         "repo", "path", "line_number", "algorithm_id", "source", "severity", "diff_status")
 
 
+def ordered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in scan order with their numbers; the corpus is scanned once."""
+    return stored_inventory(findings(spark, sf_dir), scratch_folder(spark))
+
+
+def load_baselines(spark, sf_dir):
+    """The findings as baselines, written as lines to the shared folder and read back."""
+    folder = scratch_folder(spark)
+    path, found = f"{folder}/baselines-{uuid.uuid4().hex}", materialize(findings(spark, sf_dir), folder, "findings")
+    bl.write_baseline(found, repositories(spark, sf_dir), path, rp.VERSION, DAY)
+    return bl.load_baselines(spark, path)
+
+
 def readiness(spark, sf_dir):
     files = corpus(spark, sf_dir)
     return sm.readiness(inventory(files), fl.count_files(files))
 
 
 def sarif_rules(spark, sf_dir):
-    return sm.sarif_rules(findings(spark, sf_dir)).select(
+    return sm.sarif_rules(ordered_findings(spark, sf_dir)).select(
         "repo", "algorithm_id", "algorithm_name", "quantum_risk", "reason", "replacement",
         "default_level")
 
 
 def cbom_components(spark, sf_dir):
-    return sm.cbom_components(findings(spark, sf_dir)).drop("first_key")
+    return sm.cbom_components(ordered_findings(spark, sf_dir)).drop("first_key")
 
 
 def json_rows(spark, sf_dir):
@@ -210,49 +225,49 @@ def json_rows(spark, sf_dir):
 
 
 def sarif_results(spark, sf_dir):
-    return rp.sarif_results(findings(spark, sf_dir)).drop("element_key")
+    return rp.sarif_results(findings(spark, sf_dir)).drop("element_key", "at")
 
 
 def listing(spark, sf_dir):
-    return rp.sorted_listing(findings(spark, sf_dir))
+    return rp.sorted_listing(findings(spark, sf_dir), scratch_folder(spark))
 
 
 def diff_listing(spark, sf_dir):
-    return rp.sorted_listing(bl.reported(diff(spark, sf_dir)))
+    return rp.sorted_listing(bl.reported(diff(spark, sf_dir)), scratch_folder(spark))
 
 
 def advice(spark, sf_dir):
-    return rp.advise(findings(spark, sf_dir)).orderBy("repo", "advice_ord", "seq").select(
-        "repo", "advice_ord", "seq.*", "message")
+    return rp.sorted_advice(findings(spark, sf_dir), scratch_folder(spark))
 
 
 DAY = "2026-06-30T00:00:00+00:00"
 
 
 def json_documents(spark, sf_dir):
-    return rp.json_pieces(findings(spark, sf_dir), repositories(spark, sf_dir))
+    return rp.json_pieces(ordered_findings(spark, sf_dir), repositories(spark, sf_dir))
 
 
 def json_diff_documents(spark, sf_dir):
-    found = diff(spark, sf_dir)
+    found = materialize(diff(spark, sf_dir), scratch_folder(spark), "diff")
     return rp.json_pieces(bl.reported(found), repositories(spark, sf_dir), found)
 
 
 def sarif_documents(spark, sf_dir):
-    return rp.sarif_pieces(findings(spark, sf_dir), repositories(spark, sf_dir))
+    return rp.sarif_pieces(ordered_findings(spark, sf_dir), repositories(spark, sf_dir))
 
 
 def sarif_diff_results(spark, sf_dir):
-    return rp.sarif_results(bl.reported(diff(spark, sf_dir))).drop("element_key")
+    return rp.sarif_results(bl.reported(diff(spark, sf_dir))).drop("element_key", "at")
 
 
 def cbom_documents(spark, sf_dir):
     serial = F.concat(F.lit("urn:uuid:"), F.md5("repo"))
-    return rp.cbom_pieces(findings(spark, sf_dir), repositories(spark, sf_dir), DAY, serial)
+    return rp.cbom_pieces(ordered_findings(spark, sf_dir), repositories(spark, sf_dir), DAY, serial)
 
 
 def baseline_documents(spark, sf_dir):
-    return rp.baseline_pieces(findings(spark, sf_dir), repositories(spark, sf_dir), DAY)
+    found = materialize(findings(spark, sf_dir), scratch_folder(spark), "findings")
+    return rp.baseline_pieces(found, repositories(spark, sf_dir), DAY)
 
 
 def decoded(spark, sf_dir):
@@ -298,6 +313,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pol_policy_per_repo": policy_per_repo,
     "pol5_fail_gate": fail_gate,
     "bas_baseline_entries": lambda spark, sf_dir: bl.baseline_entries(findings(spark, sf_dir)),
+    "src5_load_baselines": load_baselines,
     "dif1_diff_findings": diff_rows,
     "dif2_resolved": lambda spark, sf_dir: bl.resolved(diff(spark, sf_dir)),
     "dif3_diff_summary": lambda spark, sf_dir: bl.diff_summary(

@@ -573,6 +573,12 @@ def problems(table: str, id_column: str, checks: dict[str, str]) -> str:
             f"FROM {table}) WHERE problem IS NOT NULL")
 
 
+def in_order(rows: str, first: str) -> str:
+    """``rows`` numbered by repository, ``first`` and the keys of the scan."""
+    return (f" SELECT *, row_number() OVER (ORDER BY repo, {first}, source_ord, path_key, ord_a, ord_b) "
+            f"AS seq_no FROM ({rows})")
+
+
 ORACLES = {
     "src1_fil1_select_files": select_files("(is_source OR is_config) AND NOT excluded"),
     "fil3_size_filter": select_files("(is_source OR is_config) AND NOT excluded AND size <= 4000"),
@@ -691,9 +697,9 @@ SELECT repo, algorithm_id, occurrences, algorithm_name, algorithm_type, quantum_
     WHEN 'mac' THEN 'mac' END AS primitive FROM ranked""",
     "rpt2_sarif_results": f"{FINDINGS} {sarif_results('NULL::VARCHAR', 'findings')}",
     "rpt2_diff_results": f"{DIFF_FINDINGS} {sarif_results('diff_status', 'reported')}",
-    "srt1_findings_listing": f"{FINDINGS} {listing('NULL', 'findings')}",
-    "srt1_diff_listing": f"{DIFF_FINDINGS} {listing('diff_status', 'reported')}",
-    "adv1_advice": f"""{FINDINGS} SELECT repo, CASE quantum_risk WHEN 'VULNERABLE' THEN 0
+    "srt1_findings_listing": f"{FINDINGS} {in_order(listing('NULL', 'findings'), 'risk_ord')}",
+    "srt1_diff_listing": f"{DIFF_FINDINGS} {in_order(listing('diff_status', 'reported'), 'risk_ord')}",
+    "adv1_advice": FINDINGS + in_order(f"""SELECT repo, CASE quantum_risk WHEN 'VULNERABLE' THEN 0
     WHEN 'PARTIAL' THEN 1 ELSE 2 END AS advice_ord,
   {KEYS},
   CASE quantum_risk WHEN 'VULNERABLE' THEN 'CRITICAL: ' || algorithm_name || ' at ' || place
@@ -702,7 +708,7 @@ SELECT repo, algorithm_id, occurrences, algorithm_name, algorithm_type, quantum_
       || '); think of ' || replacement
     ELSE 'INFO: no entry for ' || algorithm_id || ', found at ' || place END AS message
 FROM (SELECT *, path || coalesce(':' || line_number, '') AS place FROM findings)
-WHERE quantum_risk <> 'SAFE'""",
+WHERE quantum_risk <> 'SAFE'""", "advice_ord"),
     "src3_exposed_algorithms": f"WITH {LIBS} SELECT library_id, unnest(range(len(exposes)))::INT AS "
                                "expose_ord, 'P' || unnest(exposes) AS algorithm_id FROM libs",
     "src4_all_patterns": f"WITH {PARTS} SELECT algorithm_id, unnest(range(len(patterns)))::INT AS "
@@ -736,3 +742,4 @@ ORACLES["rpt1_diff_documents"] = JSON_DIFF_DOCUMENTS
 ORACLES["rpt2_sarif_documents"] = SARIF_DOCUMENTS
 ORACLES["rpt3_cbom_documents"] = cbom_documents(ORACLES["agg5_cbom_components"])
 ORACLES["bas2_baseline_documents"] = BASELINE_DOCUMENTS
+ORACLES["src5_load_baselines"] = ORACLES["bas_baseline_entries"]

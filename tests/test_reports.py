@@ -12,7 +12,8 @@ from cryptoscape.operators import reports as rp
 from cryptoscape.operators import summary as sm
 from cryptoscape.operators.classify import assess
 from cryptoscape.operators.files import count_files
-from cryptoscape.plans.inventory import inventory, materialize
+from cryptoscape.functions.storage import numbered
+from cryptoscape.plans.inventory import inventory, materialize, stored_inventory
 
 FILES = {
     ("one", "src/a.py"): "key = RSA.generate(1)\nh = sha256(x)\n# MD5 é \"quoted\"\nRSA\n",
@@ -286,3 +287,63 @@ def test_listing_and_advice(make_findings):
     assert messages[0].startswith("CRITICAL: RSA at src/auth.py:10 has to go (")
     assert "; think of " in messages[1]
     assert messages[2] == "INFO: no entry for Q, found at src/auth.py:10"
+
+
+def _executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbered_rows(spark, tmp_path):
+    rows = [(i * 7 % 1000, f"r{i % 3}", "x") for i in range(1000)] + [(5, "r1", "again")] * 3
+    df = spark.createDataFrame(rows, "a int, repo string, b string")
+    got = numbered(df, ["repo", "a"], str(tmp_path), "rows").orderBy("seq_no").collect()
+    assert [r.seq_no for r in got] == list(range(1, 1004))
+    assert [(r.repo, r.a) for r in got] == sorted((r, a) for a, r, _ in rows)
+    assert numbered(df.where("false"), ["a"], str(tmp_path), "rows").count() == 0
+
+
+def test_first_findings_by_number(spark, make_findings, tmp_path):
+    """Hash aggregates over stored findings give what the sort over lazy ones gives, for every report."""
+    found = assess(make_findings(
+        *[{"path": f"src/f{i % 7}.py", "line_number": 20 - i, "ord_a": 20 - i, "repo": f"r{i % 2}",
+           "algorithm_id": ("RSA", "MD5", "AES-128")[i % 3]} for i in range(20)],
+        {"source": "dependency", "path": "a/package.json", "line_number": None, "ord_a": 0},
+        {"source": "config", "path": "conf/tls.conf", "algorithm_id": "TLS-1.0"}))
+    stored = stored_inventory(found, str(tmp_path))
+    for made in (sm.sarif_rules, sm.cbom_components):
+        plan = _executed(made(stored))
+        assert "SortAggregate" not in plan and "HashAggregate" in plan and "SortAggregate" in _executed(made(found))
+        drop = lambda df: sorted(map(tuple, df.drop("first_key").collect()), key=repr)
+        assert drop(made(stored)) == drop(made(found))
+    repos = found.select("repo").distinct()
+    counts = found.groupBy("repo").agg(F.count("*").alias("total_files_scanned"))
+    for make in (lambda f: rp.json_pieces(f, counts), lambda f: rp.sarif_pieces(f, repos),
+                 lambda f: rp.cbom_pieces(f, repos, "now", F.lit("urn:uuid:0"))):
+        assert sorted(map(tuple, make(stored).collect())) == sorted(map(tuple, make(found).collect()))
+
+
+def test_listing_and_advice_by_number(spark, make_findings, tmp_path):
+    found = assess(make_findings(*[
+        {"path": f"f{i % 5}.py", "line_number": i, "ord_a": i, "algorithm_id": ("RSA", "SHA-256", "Odd")[i % 3]}
+        for i in range(30)]))
+    for make in (rp.sorted_listing, rp.sorted_advice):
+        want = [tuple(r) for r in make(found).collect()]
+        got = make(found, str(tmp_path)).orderBy("seq_no").collect()
+        assert [tuple(r)[:-1] for r in got] == want and [r.seq_no for r in got] == list(range(1, len(want) + 1))
+
+
+def test_documents_scan_the_corpus_once(spark, corpus, tmp_path):
+    """Contents are read by the job that writes the findings, and not by the plan of the document."""
+    files = corpus({("a", "x.py"): "RSA md5", ("b", "y.py"): "sha1 DES"})
+    files.write.parquet(str(tmp_path / "files"))
+    stored = stored_inventory(inventory(spark.read.parquet(str(tmp_path / "files"))), str(tmp_path / "work"))
+    pieces = rp.sarif_pieces(stored, stored.select("repo").distinct())
+    assert "content" not in _executed(pieces) and pieces.count() > 8
+
+
+def test_baselines_by_query(spark):
+    from cryptoscape.plans.queries import QUERIES
+    folder = "/root/testdata/sf0.001"
+    rows = [sorted(map(tuple, QUERIES[q](spark, folder).collect()), key=repr)
+            for q in ("src5_load_baselines", "bas_baseline_entries")]
+    assert rows[0] == rows[1] and len(rows[0]) > 50
