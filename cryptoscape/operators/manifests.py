@@ -160,6 +160,35 @@ def _gradle() -> str:
             f"r -> {both}))")
 
 
+def _with_lines(text: str, is_wanted: str) -> str:
+    """``names`` with the first line that has each between quotes, all in one pass.
+
+    What stands between two quotes of a line is one spot. Sorted, the first spot of
+    a name is in front; sorted again with the names, it is at most as many places
+    before a name as there are sections. A name that holds a quote is searched.
+    """
+    parts = f"split(l, {quote(chr(34))}, -1)"
+    spots = (f"flatten(transform({tx.split_lines(text)}, (l, n) -> transform("
+             f"{bind(parts, 'parts', 'slice(parts, 2, greatest(size(parts) - 2, 0))')}, "
+             "s -> named_struct('name', s, 'kind', 0, 'at', n + 1))))")
+    firsts = bind(f"array_sort({spots})", "spots",
+                  "filter(spots, (x, i) -> i = 0 OR get(spots, i - 1).name <> x.name)")
+    asked = "transform(names, (name, i) -> named_struct('name', name, 'kind', 1, 'at', i))"
+    near = ", ".join(f"CASE WHEN get(merged, i - {j}).kind = 0 AND get(merged, i - {j}).name = m.name "
+                     f"THEN get(merged, i - {j}).at END" for j in range(1, len(_JSON_SECTIONS) + 1))
+    found = bind(f"array_sort(concat({firsts}, {asked}))", "merged",
+                 f"transform(merged, (m, i) -> named_struct('at', m.at, 'kind', m.kind, 'name', m.name, "
+                 f"'line', coalesce({near})))")
+    needle = "concat('\"', name, '\"')"
+    above = f"substring_index({text}, {needle}, 1)"
+    searched = (f"CASE WHEN contains({text}, {needle}) THEN "
+                f"{bind(above, 'above', tx.count_breaks('above'))} + 1 END")
+    line = (f"CASE WHEN {is_wanted} AND NOT name RLIKE {quote(tx.LINE_BREAK)} THEN "
+            f"CASE WHEN contains(name, '\"') THEN {searched} ELSE f.line END END")
+    package = bind("f.name", "name", f"named_struct('package', name, 'line_number', {line})")
+    return f"transform(array_sort(filter({found}, f -> f.kind = 1)), f -> {package})"
+
+
 def _package_json(text: str, is_wanted: str) -> str:
     """Keys of the dependency objects; the line is the first one with the quoted key.
 
@@ -171,13 +200,9 @@ def _package_json(text: str, is_wanted: str) -> str:
         return f"coalesce({keys}, CAST(array() AS array<string>))"
 
     keys = f"concat({', '.join(map(section, _JSON_SECTIONS))})"
-    needle = "concat('\"', name, '\"')"
-    above = f"substring_index({text}, {needle}, 1)"
-    line = (f"CASE WHEN {is_wanted} AND contains({text}, {needle}) "
-            f"AND NOT name RLIKE {quote(tx.LINE_BREAK)} "
-            f"THEN {bind(above, 'above', tx.count_breaks('above'))} + 1 END")
-    packages = (f"transform({keys}, name -> "
-                f"named_struct('package', name, 'line_number', {line}))")
+    packages = bind(keys, "names", f"CASE WHEN exists(names, name -> {is_wanted}) THEN "
+                                   f"{_with_lines(text, is_wanted)} ELSE transform(names, name -> "
+                                   "named_struct('package', name, 'line_number', CAST(NULL AS int))) END")
     # In an array, text after the object is an error too.
     document = f"from_json(concat('[', {text}, '\\n]'), 'array<map<string,string>>', {_JSON_OPTIONS})"
     whole = f"CASE WHEN size({document}) = 1 THEN get({document}, 0) END"

@@ -1,5 +1,7 @@
 """Manifest extraction and the library lookup."""
 
+import time
+
 import pytest
 
 from cryptoscape.operators.manifests import extract_packages
@@ -166,3 +168,30 @@ def test_thousands_of_libraries(corpus):
     start = time.monotonic()
     assert scan_dependencies(corpus(files), libraries).count() == 5000
     assert time.monotonic() - start < 120
+
+
+def test_large_package_json(spark, corpus):
+    """32,000 keys on lines of their own, in four sections, take no more than their share of time."""
+    names = [f"pkg-{i}" for i in range(32_000)]
+    sections = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
+    lines, line_of = ["{"], {}
+    for k, section in enumerate(sections):
+        lines.append(f'  "{section}": {{')
+        mine = names[k * 8000:(k + 1) * 8000] + names[:5]
+        for i, name in enumerate(mine):
+            lines.append(f'    "{name}": "^1.{i}"' + ("," if i + 1 < len(mine) else ""))
+            line_of.setdefault(name, len(lines))
+        lines.append("  }" + ("," if k < 3 else ""))
+    df = corpus({"package.json": "\n".join([*lines, "}"])})
+    start = time.time()
+    got = extract_packages(df).collect()
+    assert time.time() - start < 40 and len(got) == 32_015  # a key twice in a section is one
+    assert {r.package: r.line_number for r in got} == line_of
+    found = scan_dependencies(corpus({"package.json": "\n".join([*lines, "}"]).replace("pkg-9000", "crypto-js")}))
+    assert {r.line_number for r in found.collect()} == {line_of["pkg-9000"]}
+
+
+def test_keys_that_look_alike_in_package_json(spark, corpus):
+    text = '{"name": "b", "x": "say \\"a\\" b",\n"dependencies": {"a\\"b": "1", "a": "2",\n"b": "3", "c\\u0041": "4", "": "5"},\n"c": {}}'
+    got = {r.package: r.line_number for r in extract_packages(corpus({"package.json": text})).collect()}
+    assert got == {'a"b': None, "a": 2, "b": 1, "cA": None, "": 2 if '""' in text.split("\n")[1] else 3}
