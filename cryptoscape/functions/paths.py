@@ -55,10 +55,16 @@ def is_env_file(name: Column) -> Column:
     return (name == ".env") | name.startswith(".env.")
 
 
+_GLOB_TOKEN = re.compile(r"\*+|\?|\[!?\]?[^\]]*\]|.", re.DOTALL)
+
+
 def glob_regex(glob: str) -> str:
     """Shell glob as a full-match Java regex; ``*`` also crosses ``/``."""
-    token = re.compile(r"\*+|\?|\[!?\]?[^\]]*\]|.", re.DOTALL)
-    return r"\A(?s:" + "".join(_glob_token(t) for t in token.findall(glob)) + r")\z"
+    return r"\A(?s:" + "".join(map(_glob_token, _GLOB_TOKEN.findall(glob))) + r")\z"
+
+
+def _is_class(token: str) -> bool:
+    return token[0] == "[" and len(token) > 2 and token != "[!]"
 
 
 def _glob_token(token: str) -> str:
@@ -66,11 +72,59 @@ def _glob_token(token: str) -> str:
         return ".*"
     if token == "?":
         return "."
-    if token[0] == "[" and len(token) > 2 and token != "[!]":
+    if _is_class(token):
         return _glob_class(token[1:-1])
     return re.sub(r"(\W)", r"\\\1", token) if token.isascii() else token
 
 
+# Globs as data, by the directory that each names in full before its first wildcard.
+# Of a glob: the literal text before its first wildcard, that after its last (null
+# without a wildcard), the texts between, and a regex if stars are not all.
+GLOBS_TYPE = "map<string,array<struct<first:string,middle:array<string>,last:string,regex:string>>>"
+
+
+def glob_index(globs: list[str]) -> dict[str, list[dict[str, object]]]:
+    """A value of GLOBS_TYPE for shell globs."""
+    index: dict[str, list[dict[str, object]]] = {}
+    for glob in globs:
+        parts = _glob_parts(glob)
+        index.setdefault(parts["first"][:parts["first"].rfind("/") + 1], []).append(parts)
+    return index
+
+
+def _glob_parts(glob: str) -> dict[str, object]:
+    texts, is_regex = [""], False
+    for token in _GLOB_TOKEN.findall(glob):
+        if token[0] == "*" or token == "?" or _is_class(token):
+            texts.append("")
+            is_regex |= token[0] != "*"
+        else:
+            texts[-1] += token
+    return {"first": texts[0], "middle": [t for t in texts[1:-1] if t],
+            "last": texts[-1] if len(texts) > 1 else None,
+            "regex": glob_regex(glob) if is_regex else None}
+
+
+def matches_any_glob(path: str, globs: str) -> str:
+    """SQL: does the path match a glob of a GLOBS_TYPE that comes with the row?
+
+    Only globs below the directories of the path are tested. A regex that is no
+    literal is compiled for every row, so both ends of a path have to agree
+    first, and globs with stars alone need no regex: the texts between the ends
+    are searched one behind the other.
+    """
+    above = (f"transform(sequence(0, length({path}) - length(replace({path}, '/', ''))), "
+             f"i -> CASE WHEN i = 0 THEN '' ELSE concat(substring_index({path}, '/', i), '/') END)")
+    inner = f"substring({path}, length(g.first) + 1, length({path}) - length(g.first) - length(g.last))"
+    matches = (f"CASE WHEN g.last IS NULL THEN {path} = g.first "
+               f"WHEN NOT startswith({path}, g.first) OR NOT endswith({path}, g.last) "
+               f"OR length({path}) < length(g.first) + length(g.last) THEN false "
+               f"WHEN g.regex IS NOT NULL THEN {path} RLIKE g.regex "
+               f"ELSE aggregate(g.middle, {inner}, (rest, t) -> CASE WHEN contains(rest, t) "
+               "THEN substring(rest, locate(t, rest) + length(t)) END) IS NOT NULL END")
+    return f"exists({above}, d -> coalesce(exists(try_element_at({globs}, d), g -> {matches}), false))"
+
+
 def _glob_class(body: str) -> str:
     negated = body[0] == "!" and len(body) > 1
     members = []

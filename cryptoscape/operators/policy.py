@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cryptoscape.functions.paths import glob_regex
+from cryptoscape.functions.paths import GLOBS_TYPE, glob_index, glob_regex, matches_any_glob
 from cryptoscape.functions.scales import SEVERITIES, severity_index
 from cryptoscape.functions.text import quote
 
 POLICY_TYPE = (
-    "struct<ignore_paths:string,ignore_algorithms:array<string>,"
-    "allow:array<struct<algorithm:string,paths:string,expires:date>>,"
+    f"struct<ignore_paths:string,ignore_globs:{GLOBS_TYPE},ignore_algorithms:array<string>,"
+    f"allow:array<struct<algorithm:string,globs:{GLOBS_TYPE},expires:date>>,"
     "overrides:array<struct<algorithm:string,severity:string>>,"
     "on_severity:string,max_new:int>"
 )
@@ -154,12 +154,17 @@ def _any_glob(globs: list[str]) -> str | None:
     return "|".join(f"(?:{glob_regex(g)})" for g in globs) or None
 
 
-def _as_row(policy: Policy) -> dict[str, Any]:
-    """Globs become one regex and ids upper case, once on the driver."""
+def _as_row(policy: Policy, for_all: bool) -> dict[str, Any]:
+    """Globs and ids in the form that rows are tested with, made once on the driver.
+
+    A policy ``for_all`` is a literal, so the regex of its ignored paths is
+    compiled once. Globs that differ by row stay apart.
+    """
     return {
-        "ignore_paths": _any_glob(policy.ignore_paths),
+        "ignore_paths": _any_glob(policy.ignore_paths) if for_all else None,
+        "ignore_globs": {} if for_all else glob_index(policy.ignore_paths),
         "ignore_algorithms": [a.upper() for a in policy.ignore_algorithms],
-        "allow": [{"algorithm": r.algorithm.upper(), "paths": _any_glob(r.paths),
+        "allow": [{"algorithm": r.algorithm.upper(), "globs": glob_index(r.paths),
                    "expires": r.expires.isoformat() if r.expires else None}
                   for r in policy.allow],
         "overrides": [{"algorithm": o.algorithm.upper(), "severity": o.severity}
@@ -172,7 +177,7 @@ def _as_row(policy: Policy) -> dict[str, Any]:
 def policies_df(spark: SparkSession, policies: dict[str, Policy]) -> DataFrame:
     """``repo, policy``: one policy per repository."""
     rows = pa.table({"repo": pa.array(policies, pa.string()),
-                     "p": pa.array([json.dumps(_as_row(p)) for p in policies.values()],
+                     "p": pa.array([json.dumps(_as_row(p, False)) for p in policies.values()],
                                    pa.string())})
     # A local relation: its size decides whether the join broadcasts it.
     return spark.createDataFrame(rows).select(
@@ -183,12 +188,13 @@ def with_policy(df: DataFrame, policy: Policy | DataFrame) -> DataFrame:
     """Add the ``policy`` struct of each row's repository, null where there is none."""
     if isinstance(policy, DataFrame):
         return df.join(policy, "repo", "left")
-    literal = f"from_json({quote(json.dumps(_as_row(policy)))}, {quote(POLICY_TYPE)})"
+    literal = f"from_json({quote(json.dumps(_as_row(policy, True)))}, {quote(POLICY_TYPE)})"
     return df.withColumn("policy", F.expr(literal))
 
 
 def should_ignore_path() -> Column:
-    return F.expr("coalesce(path RLIKE policy.ignore_paths, false)")
+    return F.expr("coalesce(path RLIKE policy.ignore_paths, false) OR "
+                  f"coalesce({matches_any_glob('path', 'policy.ignore_globs')}, false)")
 
 
 def should_ignore_finding(as_of: dt.date) -> Column:
@@ -197,7 +203,7 @@ def should_ignore_finding(as_of: dt.date) -> Column:
         "coalesce(array_contains(policy.ignore_algorithms, upper(algorithm_id)), false) OR "
         "coalesce(exists(policy.allow, a -> a.algorithm = upper(algorithm_id) "
         f"AND coalesce(a.expires >= DATE '{as_of.isoformat()}', true) "
-        "AND coalesce(path RLIKE a.paths, false)), false)")
+        f"AND coalesce({matches_any_glob('path', 'a.globs')}, false)), false)")
 
 
 def apply_severity_overrides(findings: DataFrame, policy: Policy | DataFrame) -> DataFrame:

@@ -158,6 +158,21 @@ def test_policy_per_repository(spark, assessed):
     assert gate == {"r": True, "s": False}
 
 
+def test_many_repositories_with_many_globs(spark, assessed):
+    """1,000 policies of 100 globs: what a policy for all repositories gives for each of them."""
+    globs = [f"d{i}/**/x{i}*.py" for i in range(60)] + [f"*.e{i}" for i in range(30)] + [
+        f"f{i}/[a-c]?/*" for i in range(10)]
+    paths = [f"d{i}/a/x{i}b.py" for i in range(8)] + ["a.e3", "f2/bz/q", "f2/dz/q", "src/a.py", "d1/x1.py", ""]
+    p = policy(ignore={"paths": globs}, allow=[{"algorithm": "RSA", "paths": ["src/*"], "reason": "r"}])
+    one = assessed.limit(1).drop("path").crossJoin(spark.createDataFrame([(x,) for x in paths], "path string"))
+    rows = one.drop("repo").crossJoin(spark.range(1000).selectExpr("concat('r', id) AS repo"))
+    want = {x for x, _ in kept(one, p)}
+    assert want == {"f2/dz/q", "d1/x1.py", ""}
+    table = po.policies_df(spark, {f"r{i}": p for i in range(1000)})
+    got = po.apply_policy(rows, table, DAY).groupBy("path").count().collect()
+    assert {r.path: r["count"] for r in got} == dict.fromkeys(want, 1000)
+
+
 def test_gate_of_a_repository_without_findings(spark, assessed):
     repos = spark.createDataFrame([("r",), ("clean",)], "repo string")
     for mode in (False, True):

@@ -58,11 +58,24 @@ def test_glob_regex_equals_fnmatch(spark):
              "[", "[!]", "a+b", "a.b", "[z-a]", "[!z-a]", "[^]", "a[&&]*", "", "[a-]", "*[!b]", "é/?"]
     globs += ["".join(rng.choice("ab[]!-*?./") for _ in range(rng.randint(1, 6)))
               for _ in range(200)]
-    pairs = [(n, g, paths.glob_regex(g)) for n in names for g in globs]
-    rows = spark.createDataFrame(pairs, "n string, g string, r string").select(
-        "n", "g", F.rlike("n", F.col("r")).alias("hit")).collect()
+    globs += ["**", "a*b*c", "a*a", "*b*b*", "ab*ba", "é*é*ü", "*/x[y]", "/a*", "a//b*", "/"]
+    names += ["aXbYc", "a", "aa", "aba", "abba", "abxba", "bb", "b", "éé/ü", "q/xy", "/", "/ab", "a//bc", "a/b/"]
+    pairs = [(n, g, paths.glob_regex(g), paths.glob_index([g])) for n in names for g in globs]
+    rows = spark.createDataFrame(pairs, f"n string, g string, r string, p {paths.GLOBS_TYPE}").select(
+        "n", "g", F.rlike("n", F.col("r")).alias("hit"),
+        F.expr(paths.matches_any_glob("n", "p")).alias("hit_by_parts")).collect()
     for row in rows:
-        assert row.hit == fnmatch.fnmatchcase(row.n, row.g), (row.n, row.g)
+        assert row.hit == row.hit_by_parts == fnmatch.fnmatchcase(row.n, row.g), (row.n, row.g)
+
+
+def test_globs_by_directory():
+    """Globs with stars alone need no regex."""
+    assert paths.glob_index(["src/**/gen*.py", "a/b", "src/x", "*.c"]) == {
+        "src/": [{"first": "src/", "middle": ["/gen"], "last": ".py", "regex": None},
+                 {"first": "src/x", "middle": [], "last": None, "regex": None}],
+        "a/": [{"first": "a/b", "middle": [], "last": None, "regex": None}],
+        "": [{"first": "", "middle": [], "last": ".c", "regex": None}]}
+    assert paths.glob_index(["a/?.py"])["a/"][0]["regex"] == paths.glob_regex("a/?.py")
 
 
 def test_suffix_and_excluded_directories(spark):
