@@ -1,4 +1,4 @@
-"""Patterns as Java regexes, and the cheap guard that runs before them."""
+"""Patterns as Java regexes, the words that their lines hold, and a cheap guard made of words."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 
 from cryptoscape.functions.text import quote
-from cryptoscape.operators.files import CLASS_BIT
 from cryptoscape.sources.catalogue import Algorithm, load_algorithms
 
 # A pattern with one of these is a regex already; any other is a
@@ -160,14 +159,12 @@ def _some_term(terms: str, folded: str) -> str:
 
 _TERMS_TYPE = "array<struct<a:string,b:string>>"
 _GROUPS_TYPE = f"array<struct<bits:int,letters:string,terms:{_TERMS_TYPE}>>"
-_RULES_TYPE = (
-    f"array<struct<algorithm_id:string,source:string,bits:int,terms:{_TERMS_TYPE},"
-    "patterns:array<struct<ord:int,place:int,bit:int,word:string,line_text:string>>>>"
-)
 
 
-def rules_literal(patterns: list[Pattern]) -> str:
-    """SQL literal of the patterns: a rule per (source, algorithm), in order.
+def numbered_rules(
+    patterns: list[Pattern]
+) -> list[tuple[tuple[str, str], list[tuple[int, Pattern]]]]:
+    """The patterns as (place, pattern) by rule, (source, algorithm), in order.
 
     ``place`` orders the findings of a line: by algorithm in source, where its
     patterns stand together, and by pattern in configuration.
@@ -178,41 +175,5 @@ def rules_literal(patterns: list[Pattern]) -> str:
         rules.setdefault((p.source, p.algorithm_id), []).append((i, p))
         first.setdefault(p.source, i)
     place = {key: n for n, key in enumerate(k for k in rules if k[0] == "source_code")}
-    rows = [{
-        "source": source, "algorithm_id": algorithm_id,
-        "bits": sum({CLASS_BIT[p.file_class] for _, p in numbered}),
-        "terms": [_term(t) for t in guard_terms([p.words for _, p in numbered]) or [()]],
-        "patterns": [{"ord": i, "place": place.get((source, algorithm_id), i - first[source]),
-                      "bit": CLASS_BIT[p.file_class], "word": (*p.words, "")[0],
-                      "line_text": p.line_text} for i, p in numbered],
-    } for (source, algorithm_id), numbered in rules.items()]
-    return f"from_json({quote(json.dumps(rows))}, {quote(_RULES_TYPE)})"
-
-
-def by_ord(patterns: list[Pattern], ord_: str, leaf) -> str:
-    """SQL that picks ``leaf(pattern)`` by a pattern's number, by halves.
-
-    The leaves hold literal regexes, which are compiled once and not for each line.
-    """
-    def pick(low: int, high: int) -> str:
-        if high - low == 1:
-            return leaf(patterns[low])
-        middle = (low + high) // 2
-        return f"IF({ord_} < {middle}, {pick(low, middle)}, {pick(middle, high)})"
-
-    return pick(0, len(patterns))
-
-
-def line_hits(patterns: list[Pattern], line: str, folded: str, mask: str) -> str:
-    """SQL for the first matching pattern of every rule that matches the line.
-
-    The first in catalogue order, not the leftmost or longest match.
-    """
-    possible = (f"filter({rules_literal(patterns)}, r -> {mask} & r.bits <> 0 AND "
-                f"{_some_term('r.terms', folded)})")
-    found = by_ord(patterns, "p.ord", lambda p: f"{line} RLIKE {quote(p.regex)}")
-    matching = (f"filter(r.patterns, p -> {mask} & p.bit <> 0 AND contains({folded}, p.word) "
-                f"AND {found})")
-    tried = (f"transform({possible}, r -> named_struct('algorithm_id', r.algorithm_id, "
-             f"'source', r.source, 'hit', get({matching}, 0)))")
-    return f"filter({tried}, r -> r.hit IS NOT NULL)"
+    return [(key, [(place.get(key, i - first[key[0]]), p) for i, p in held])
+            for key, held in rules.items()]

@@ -1,9 +1,9 @@
 """The scan: one pass over the corpus table, without a shuffle.
 
 Per file: class and size from the path, then one case-folded copy of the text
-and a guard on it, so a file that cannot hold a finding is dropped before its
-lines are made. Per line: the same guard, then the patterns. Manifests give
-their findings as one array per file. The corpus is read once for all scanners.
+and a search for any anchor of the patterns, so a file that cannot hold a
+finding is dropped before its lines are made. Per line: its anchors name the
+patterns that are tried. Manifests give their findings as one array per file. The corpus is read once for all scanners.
 """
 
 from __future__ import annotations
@@ -18,14 +18,8 @@ from cryptoscape.functions import text as tx
 from cryptoscape.operators import files as fl
 from cryptoscape.operators.config_rules import config_patterns
 from cryptoscape.operators.dependencies import HITS_TYPE, dependency_hits, package_words
-from cryptoscape.operators.patterns import (
-    Pattern,
-    by_ord,
-    compile_patterns,
-    guard,
-    guard_groups,
-    line_hits,
-)
+from cryptoscape.operators.pattern_index import PatternIndex, build_index
+from cryptoscape.operators.patterns import Pattern, compile_patterns, guard, guard_groups
 from cryptoscape.sources.catalogue import Algorithm, Library
 
 SOURCES = ("source_code", "dependency", "config")
@@ -54,23 +48,25 @@ def scan_files(
     if "config" in sources:
         patterns += config_patterns()
 
-    groups = [g for c, ps in _by_class(patterns) for g in guard_groups(c, [p.words for p in ps])]
+    index = build_index(patterns)
     with_deps = "dependency" in sources
-    file_groups = groups + (guard_groups(fl.CLASS_BIT["manifest"], package_words(libraries))
-                            if with_deps else [])
+    may_depend = guard("folded", "mask", guard_groups(
+        fl.CLASS_BIT["manifest"], package_words(libraries))) if with_deps else "false"
 
     classed = _classed(files, sorted({p.file_class for p in patterns}), with_deps, max_bytes,
                        probe_bytes)
     whole = tx.bind_row(classed, "folded", tx.fold_case(F.col("text")))
     # A JSON key may be written with escapes, which the guard cannot see through.
     escaped = (F.col("kind") == "package.json") & F.col("text").contains("\\")
-    candidates = whole.where(F.expr(guard("folded", "mask", file_groups)) | escaped)
+    candidates = whole.where(
+        F.expr(index.may_match("folded", "mask")) | F.expr(may_depend) | escaped)
 
     lines = _lines_of(candidates, libraries, with_deps)
-    hits = lines.where(
-        F.expr(guard("folded", "mask", groups))
-        | ((F.col("pos") == 0) & F.col("deps").isNotNull())
-    ).select("repo", "path", F.explode(F.expr(_all_hits(patterns))).alias("hit"))
+    has_deps = (F.col("pos") == 0) & F.col("deps").isNotNull()
+    lines = tx.bind_row(lines, "anchors", F.expr(index.found_anchors("folded")))
+    possible = F.lit(True) if index.free else F.size("anchors") > 0
+    hits = lines.where(possible | has_deps).select(
+        "repo", "path", F.explode(F.expr(_all_hits(patterns, index))).alias("hit"))
     return hits.select("repo", "path", *[F.col(f"hit.{c}").alias(c) for c in FINDING_COLUMNS[2:]])
 
 
@@ -118,14 +114,6 @@ def place(findings: DataFrame) -> Column:
     return F.col("seq_no") if "seq_no" in findings.columns else report_key()
 
 
-def _by_class(patterns: list[Pattern]) -> list[tuple[int, list[Pattern]]]:
-    """Patterns of source files and of configuration files, with their class bits."""
-    groups: dict[bool, list[Pattern]] = {}
-    for p in patterns:
-        groups.setdefault(p.file_class == "source", []).append(p)
-    return [(sum({fl.CLASS_BIT[p.file_class] for p in ps}), ps) for ps in groups.values()]
-
-
 def _classed(files: DataFrame, classes: list[str], with_deps: bool, max_bytes: int | None,
              probe_bytes: int | None) -> DataFrame:
     """``repo, path, mask, kind, text`` of the files that some scanner looks at."""
@@ -166,13 +154,11 @@ def _lines_of(candidates: DataFrame, libraries: dict[str, Library] | None,
              F.col("l.1").alias("folded"))
 
 
-def _all_hits(patterns: list[Pattern]) -> str:
+def _all_hits(patterns: list[Pattern], index: PatternIndex) -> str:
     """SQL for the line and dependency findings of a row, in one shape."""
-    matched = by_ord(patterns, "r.hit.ord", lambda p: (
-        f"regexp_extract(line, {tx.quote(p.regex)}, 0)")) if patterns else ""
     found = "" if not patterns else (
-        f"transform({line_hits(patterns, 'line', 'folded', 'mask')}, r -> named_struct("
-        f"'line_number', pos + 1, 'matched_text', {matched}, "
+        f"transform({index.line_hits('anchors', 'line', 'folded', 'mask')}, r -> named_struct("
+        "'line_number', pos + 1, 'matched_text', regexp_extract(line, r.hit.regex, 0), "
         "'algorithm_id', r.algorithm_id, 'source', r.source, "
         f"'line_text', coalesce(r.hit.line_text, {tx.strip('line')}), "
         "'ord_a', pos + 1, 'ord_b', r.hit.place))")

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from cryptoscape.operators.pattern_index import build_index, one_of, pattern_anchors
 from cryptoscape.operators.patterns import compile_patterns, guard_terms, pattern_words
 from cryptoscape.operators.scan import scan_config, scan_files, scan_order, scan_source
 from cryptoscape.sources.catalogue import algorithms_from_dict, load_algorithms
@@ -146,6 +147,40 @@ def test_lines_of_a_scan_are_those_of_python(corpus):
                      for i, line in enumerate(t.splitlines(), 1) if line == "bcrypt"}
 
 
+@pytest.mark.parametrize("letters, longest", [("ab", 3), ("abc-_ .+]^", 4), ("abcdefghijklmnopqrstuvwxyz09", 2)])
+def test_one_regex_finds_the_longest_word_at_every_place(spark, letters, longest):
+    rng = random.Random(3)
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, longest))) for _ in range(60)}
+    text = "".join(rng.choice(letters + "#") for _ in range(400))
+    expected = [max((w for w in words if text.startswith(w, i)), key=len) for i in range(len(text))
+                if any(text.startswith(w, i) for w in words)]
+    df = spark.createDataFrame([(text,)], "t string")
+    pattern = f"(?=({one_of(words)}))".replace("\\", "\\\\").replace("'", "\\'")
+    assert df.selectExpr(f"regexp_extract_all(t, '{pattern}', 1)").first()[0] == expected
+
+
+def test_anchors_are_the_rarest_pieces():
+    assert pattern_anchors([("rsa",), ("generate", "rsa"), (), ("generaty",)]) == [
+        "rsa", "nerate", "", "neraty"]
+
+
+def test_words_that_start_other_words_are_all_tried(corpus):
+    algorithms = catalogue(A=["ab"], B=["ab-c"], C=["abcdefgh"], D=["abcdef"], E=["abcdefgh", "b"], F=["x.*ab"])
+    files = {f"f{i}.py": t for i, t in enumerate(
+        ["ab", "abc", "AB-C ab", "abcdefgh", "abcdef b", "x abcdef", "xab", "b ab abcdefgh\nab", "none"])}
+    assert rows(scan_source(corpus(files), algorithms)) == brute_force(files, algorithms)
+
+
+def test_index_names_few_patterns_a_line(spark):
+    """Anchors of thousands of patterns stay apart, so a line that holds one tries one."""
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(5000)})
+    index = build_index(compile_patterns(spark, catalogue(**{f"A{i}": words[i::500] for i in range(500)})))
+    numbers = index.found_anchors("t")
+    df = spark.createDataFrame([(w,) for w in words], "t string").selectExpr(f"size({numbers}) AS n")
+    assert df.selectExpr("min(n)", "avg(n) < 1.1").first() == (1, True)
+
+
 def test_thousands_of_patterns_end_in_bounded_time(corpus):
     rng = random.Random(7)
     words = sorted({"".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(5000)})
