@@ -37,7 +37,8 @@ def decode(content: Column, dtype: T.DataType) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def is_binary(content: Column, dtype: T.DataType, probe_bytes: int | None = None) -> Column:
+def is_binary(content: Column, dtype: T.DataType,
+              probe_bytes: int | Column | None = None) -> Column:
     """True when the content, or its first ``probe_bytes``, holds a NUL."""
     raw = content.cast("binary") if isinstance(dtype, T.StringType) else content
     probed = raw if probe_bytes is None else F.substring(raw, 1, probe_bytes)

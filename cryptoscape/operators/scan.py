@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cryptoscape.functions import paths
@@ -41,7 +41,57 @@ def scan_files(
     larger than ``max_bytes`` and source files with a NUL in their first
     ``probe_bytes`` are left out; without limits, every size and the whole
     content count.
+
+    A row may hold a chunk of a file: lines of it, with their place in a column
+    ``chunk_start`` that is null for whole files (``sources.large_tree``).
+    Chunks are read once more for their numbers of lines. A manifest in chunks
+    gives no dependency findings.
+    """
+    if "chunk_start" in files.columns:
+        whole = files.where("chunk_start IS NULL").drop("chunk_start")
+        parts = files.where("chunk_start IS NOT NULL")
+        found = _scan(whole, algorithms, libraries, sources, max_bytes, probe_bytes)
+        by_line = [s for s in sources if s != "dependency"]
+        return found if not by_line else found.unionByName(
+            _scan_chunks(parts, algorithms, by_line, max_bytes, probe_bytes))
+    return _scan(files, algorithms, libraries, sources, max_bytes, probe_bytes)
+
+
+def _scan_chunks(chunks: DataFrame, algorithms: dict[str, Algorithm] | None,
+                 sources: Sequence[str], max_bytes: int | None, probe_bytes: int | None) -> DataFrame:
+    """Findings of chunks, with the line numbers of their files.
+
+    The scan hands ``repo`` on as it is, so it can hold the place of the chunk besides. The window
+    has one narrow row per chunk of a file.
     """
+    # Whether a file is binary is known when all of its chunks are.
+    found = _scan(chunks.withColumn("repo", F.struct("repo", "chunk_start")), algorithms, None,
+                  sources, max_bytes, probe_bytes=0)
+    dtype = chunks.schema["content"].dataType
+    left = None if probe_bytes is None else F.greatest(
+        F.lit(probe_bytes) - F.col("chunk_start"), F.lit(0)).cast("int")
+    text = tx.bind_row(
+        chunks.select("repo", "path", "chunk_start",
+                      tx.is_binary(F.col("content"), dtype, left).alias("has_nul"),
+                      tx.decode(F.col("content"), dtype).alias("raw")), "text", F.col("raw"))
+    counted = text.select("repo", "path", "chunk_start", "has_nul",
+                          F.expr(tx.count_breaks("text")).alias("breaks"))
+    file = Window.partitionBy("repo", "path")
+    earlier = file.orderBy("chunk_start").rowsBetween(Window.unboundedPreceding, -1)
+    places = counted.select(
+        F.struct("repo", "chunk_start").alias("repo"), "path",
+        F.coalesce(F.sum("breaks").over(earlier), F.lit(0)).cast("int").alias("_before"),
+        F.max("has_nul").over(file).alias("_binary"))
+    placed = found.join(places, ["repo", "path"]).where(
+        (F.col("source") != "source_code") | ~F.col("_binary"))
+    return placed.withColumns({
+        "repo": F.col("repo.repo"), "line_number": F.col("line_number") + F.col("_before"),
+        "ord_a": F.col("ord_a") + F.col("_before")}).select(*FINDING_COLUMNS)
+
+
+def _scan(files: DataFrame, algorithms: dict[str, Algorithm] | None,
+          libraries: dict[str, Library] | None, sources: Sequence[str], max_bytes: int | None,
+          probe_bytes: int | None) -> DataFrame:
     patterns: list[Pattern] = []
     if "source_code" in sources:
         patterns += compile_patterns(files.sparkSession, algorithms)

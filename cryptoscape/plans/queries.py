@@ -28,9 +28,11 @@ from cryptoscape.plans.catalogues import line_libraries, part_algorithms
 from cryptoscape.plans.corpus import planted, prose, table
 from cryptoscape.plans.inventory import inventory, materialize, stored_inventory
 from cryptoscape.sources.catalogue import algorithms_from_dict, exposed_rows, pattern_rows
+from cryptoscape.sources.large_tree import cut_files, list_tree, read_listed, write_tree
 
 AS_OF = dt.date(2026, 6, 30)
 SMALL_FILE = 4_000
+SMALL_CHUNK = 1_000
 
 POLICY = {
     "version": "1",
@@ -111,6 +113,15 @@ def file_classes(spark, sf_dir):
                         fl.manifest_kind().alias("manifest"))
 
 
+def tree_files(spark, sf_dir):
+    """The corpus written as a tree to the shared folder, listed and read again."""
+    folder = scratch_folder(spark)
+    root = f"{folder.rstrip('/')}/tree-{uuid.uuid4().hex}"
+    write_tree(corpus(spark, sf_dir), root)
+    files = read_listed(list_tree(spark, root, folder), folder, chunk_bytes=None)
+    return fl.select_files(files).select("repo", "path", "size")
+
+
 def stripped_lines(spark, sf_dir):
     return fl.file_lines(prose(spark, sf_dir)).select(
         "repo", "path", "line_number", F.expr(tx.strip("line")).alias("line_text"))
@@ -283,6 +294,7 @@ def _on_parts(check):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src1_fil1_select_files": _files(fl.select_files),
+    "src1_tree_round_trip": tree_files,
     "fil3_size_filter": _files(lambda files: fl.select_files(files, max_bytes=SMALL_FILE)),
     "fil4_text_files": _files(lambda files: fl.select_text_files(
         files, probe_bytes=fl.paths.PROBE_BYTES)),
@@ -295,6 +307,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prj4_relative_path": relative_urls,
     "agg0_files_scanned": lambda spark, sf_dir: fl.count_files(corpus(spark, sf_dir)),
     "scn1_scan_source": lambda spark, sf_dir: scan_source(corpus(spark, sf_dir)).select(*_ROW),
+    "scn1_scan_chunks": lambda spark, sf_dir: scan_source(
+        cut_files(corpus(spark, sf_dir), SMALL_CHUNK)).select(*_ROW),
     "scn1_custom_catalogue": custom_catalogue,
     "cfg_scan_config": lambda spark, sf_dir: scan_config(corpus(spark, sf_dir)).select(*_ROW),
     "dep1_extract_packages": lambda spark, sf_dir: extract_packages(corpus(spark, sf_dir)),

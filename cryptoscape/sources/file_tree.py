@@ -66,22 +66,13 @@ class _TreeReader(DataSourceReader):
     def read(self, partition: _Directories) -> Iterator[tuple]:
         for repo, root, top, recursive in partition.places:
             for directory, names, files in os.walk(top):
-                names[:] = [n for n in sorted(names) if recursive and not _is_excluded(n)]
+                names[:] = [n for n in sorted(names) if recursive and not is_excluded(n)]
                 for name in sorted(files):
-                    if self._matters(name):
+                    if matters(name, self.suffixes):
                         row = self._row(repo, root, os.path.join(directory, name))
                         if row is not None:
                             yield row
 
-    def _matters(self, name: str) -> bool:
-        if "*" in self.suffixes:
-            return True
-        suffix = os.path.splitext(name)[1].lower()
-        if self.suffixes:
-            return suffix in self.suffixes
-        return (suffix in _SUFFIXES or name in _NAMES or name == ".env"
-                or name.startswith(".env."))
-
     def _row(self, repo: str, root: str, path: str) -> tuple | None:
         """The file as a row; links, too large and unreadable files are left out."""
         try:
@@ -101,14 +92,25 @@ _SUFFIXES = frozenset((*SOURCE_SUFFIXES, *CONFIG_SUFFIXES, *CONFIG_FILE_SUFFIXES
 _NAMES = frozenset((*MANIFESTS, *CONFIG_NAMES))
 
 
-def _is_excluded(name: str) -> bool:
+def matters(name: str, suffixes: frozenset[str]) -> bool:
+    """Can a file of this name matter to a scan? ``suffixes`` are the caller's own, ``*`` for all."""
+    if "*" in suffixes:
+        return True
+    suffix = os.path.splitext(name)[1].lower()
+    if suffixes:
+        return suffix in suffixes
+    return (suffix in _SUFFIXES or name in _NAMES or name == ".env"
+            or name.startswith(".env."))
+
+
+def is_excluded(name: str) -> bool:
     return name in EXCLUDED_DIRS or name.endswith(".egg-info")
 
 
 def _subdirectories(directory: str) -> list[os.DirEntry]:
     with os.scandir(directory) as entries:
         return sorted((e for e in entries if e.is_dir(follow_symlinks=False)
-                       and not _is_excluded(e.name)), key=lambda e: e.name)
+                       and not is_excluded(e.name)), key=lambda e: e.name)
 
 
 def _upper(repo: str, root: str, directory: str, depth: int) -> Iterator[tuple[str, str, str, bool]]:

@@ -743,3 +743,5 @@ ORACLES["rpt2_sarif_documents"] = SARIF_DOCUMENTS
 ORACLES["rpt3_cbom_documents"] = cbom_documents(ORACLES["agg5_cbom_components"])
 ORACLES["bas2_baseline_documents"] = BASELINE_DOCUMENTS
 ORACLES["src5_load_baselines"] = ORACLES["bas_baseline_entries"]
+ORACLES["src1_tree_round_trip"] = ORACLES["src1_fil1_select_files"]
+ORACLES["scn1_scan_chunks"] = ORACLES["scn1_scan_source"]
