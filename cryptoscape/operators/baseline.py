@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cryptoscape.functions.scales import severity_index
+from cryptoscape.functions.text import quote
 
 BASELINE_VERSION = "1.0"
 _ENTRY = ("hash:string,file:string,line:int,algorithm:string,risk:string,severity:string,"
@@ -87,6 +88,38 @@ def load_baselines(spark: SparkSession, path: str) -> DataFrame:
         "repo", "hash", "file", "line", "algorithm", "risk", "severity", "source")
 
 
+def store_baseline(entries: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Write baseline entries to ``path`` as table ``name``, bucketed and sorted by what a diff joins on.
+
+    One shuffle here saves one of the whole baseline in every diff. Take as many buckets as the
+    shuffle partitions of the diffs to come, or more: Spark shuffles both sides into partitions of its
+    own number when there are fewer.
+    """
+    keys = ("repo", "hash")
+    (entries.select("repo", "hash", "file", "line", "algorithm", "risk", "severity", "source")
+     .repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(name, format="parquet", mode="errorifexists"))
+    return entries.sparkSession.table(name)
+
+
+def open_baseline(spark: SparkSession, name: str, path: str, buckets: int) -> DataFrame:
+    """The table that ``store_baseline`` wrote to ``path``, in a session whose catalogue lacks it.
+
+    ``buckets`` is the number it was written with. A table of that name that lies elsewhere or has
+    other buckets, or a path without a table, is an error.
+    """
+    columns = "repo STRING, " + _ENTRY.replace(":", " ").upper().replace(",", ", ")
+    if not spark.catalog.tableExists(name):
+        spark.read.parquet(path).select("repo", "hash")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (repo, hash) "
+                  f"SORTED BY (repo, hash) INTO {int(buckets)} BUCKETS LOCATION {quote(path)}")
+    detail = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
+    lies_at, wanted = (p.removeprefix("file:").strip("/") for p in (detail.get("Location", ""), path))
+    if lies_at != wanted or detail.get("Num Buckets") != str(buckets):
+        raise ValueError(f"table {name} is not the baseline of {buckets} buckets at {path}")
+    return spark.table(name)
+
+
 def diff_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Full outer join of findings and baseline entries on (repo, hash).
 

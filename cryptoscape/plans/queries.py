@@ -215,6 +215,15 @@ def load_baselines(spark, sf_dir):
     return bl.load_baselines(spark, path)
 
 
+def stored_diff(spark, sf_dir):
+    """The diff against a baseline that is kept as a bucketed table in the shared folder."""
+    name = f"baseline_{uuid.uuid4().hex}"
+    before = bl.store_baseline(snapshot(spark, sf_dir), name, f"{scratch_folder(spark)}/{name}",
+                               int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return bl.diff_summary(bl.diff_findings(findings(spark, sf_dir), before),
+                           repositories(spark, sf_dir))
+
+
 def readiness(spark, sf_dir):
     files = corpus(spark, sf_dir)
     return sm.readiness(inventory(files), fl.count_files(files))
@@ -332,6 +341,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dif2_resolved": lambda spark, sf_dir: bl.resolved(diff(spark, sf_dir)),
     "dif3_diff_summary": lambda spark, sf_dir: bl.diff_summary(
         diff(spark, sf_dir), repositories(spark, sf_dir)),
+    "dif3_stored_baseline": stored_diff,
     "dif5_reported": diff_reported,
     "pol5_diff_gate": diff_gate,
     "agg1_agg2_readiness": readiness,

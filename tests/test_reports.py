@@ -215,6 +215,41 @@ def test_baseline_round_trip(pieces, findings, spark, tmp_path):
     assert {r.diff_class for r in bl.diff_findings(one, loaded).collect()} == {"unchanged"}
 
 
+def test_stored_baseline_is_not_shuffled(findings, spark, tmp_path):
+    """The same diff as with plain entries; only the findings are exchanged. Another session opens it."""
+    entries = bl.baseline_entries(findings).where("algorithm <> 'MD5'").withColumn(
+        "severity", F.when(F.col("source") == "config", "info").otherwise(F.col("severity")))
+    path = str(tmp_path / "stored")
+    stored = bl.store_baseline(entries, "kept_baseline", path, 4)
+    want = sorted(map(repr, bl.diff_findings(findings, entries).collect()))
+    assert want
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, stored.collect()), key=repr) == sorted(map(tuple, entries.collect()), key=repr)
+        spark.sql("DROP TABLE kept_baseline")  # the files of a table with a path stay
+        opened = bl.open_baseline(spark, "kept_baseline", path, 4)
+        for before in (opened, bl.open_baseline(spark, "kept_baseline", path, 4)):
+            diff = bl.diff_findings(findings, before)
+            assert sorted(map(repr, diff.collect())) == want
+            assert exchanges(diff) == exchanges(bl.diff_findings(findings, entries)) - 1
+        with pytest.raises(ValueError):
+            bl.open_baseline(spark, "kept_baseline", path, 8)
+        with pytest.raises(ValueError):
+            bl.open_baseline(spark, "kept_baseline", str(tmp_path / "other"), 4)
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            bl.open_baseline(spark, "no_baseline", str(tmp_path / "other"), 4)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        spark.sql("DROP TABLE IF EXISTS kept_baseline")
+
+
+def exchanges(df):
+    """Shuffles of the plan that adaptive execution starts from."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    return plan.count("Exchange hashpartitioning")
+
+
 def test_baselines_as_lines(findings, repos, spark, tmp_path):
     """Written to several files and read back, the entries are the same."""
     path = str(tmp_path / "lines")
