@@ -68,6 +68,29 @@ def class_mask(classes: list[str], suffix: str) -> Column:
             paths.in_excluded_dir(F.col("path")), F.lit(0)).otherwise(bits(source))))
 
 
+def store_corpus(files: DataFrame, path: str) -> DataFrame:
+    """Write ``repo, path, content, size`` as Parquet partitioned by ``file_classes``, without a shuffle.
+
+    Scans of it open only the partitions whose classes they look at. Rows without a path belong to
+    no class.
+    """
+    named = text.bind_row(with_size(files).select("repo", "path", "content", "size"), "suffix",
+                          paths.file_suffix(F.col("path")))
+    classes = class_mask(list(CLASS_FILES), "suffix").bitwiseOR(
+        F.when(manifest_kind().isNotNull(), CLASS_BIT["manifest"]).otherwise(0))
+    kept = named.withColumn("file_classes", F.coalesce(classes, F.lit(0)).cast("int")).drop("suffix")
+    kept.write.partitionBy("file_classes").parquet(path)
+    return files.sparkSession.read.schema(kept.schema).parquet(path)
+
+
+def of_classes(files: DataFrame, classes: list[str]) -> DataFrame:
+    """The files of some classes where the corpus is stored by class; else all files."""
+    if "file_classes" not in files.columns:
+        return files
+    bits = sum(CLASS_BIT[c] for c in classes)
+    return files.where(F.col("file_classes").bitwiseAND(bits) != 0)
+
+
 def manifest_kind() -> Column:
     """The manifest name of a file, null for any other file."""
     name = paths.file_name(F.col("path"))
@@ -92,7 +115,8 @@ def select_text_files(files: DataFrame, max_bytes: int | None = None,
 
 
 def select_manifests(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    return with_size(files).where(manifest_kind().isNotNull() & small_enough(max_bytes))
+    return with_size(of_classes(files, ["manifest"])).where(
+        manifest_kind().isNotNull() & small_enough(max_bytes))
 
 
 def select_config_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:

@@ -42,7 +42,8 @@ def scan_files(
     ``probe_bytes`` are left out; without limits, every size and the whole
     content count.
 
-    A row may hold a chunk of a file: lines of it, with their place in a column
+    Of a corpus stored by file class (``files.store_corpus``) only the classes
+    of the scanners are read. A row may hold a chunk of a file: lines of it, with their place in a column
     ``chunk_start`` that is null for whole files (``sources.large_tree``).
     Chunks are read once more for their numbers of lines. A manifest in chunks
     gives no dependency findings.
@@ -103,8 +104,9 @@ def _scan(files: DataFrame, algorithms: dict[str, Algorithm] | None,
     may_depend = guard("folded", "mask", guard_groups(
         fl.CLASS_BIT["manifest"], package_words(libraries))) if with_deps else "false"
 
-    classed = _classed(files, sorted({p.file_class for p in patterns}), with_deps, max_bytes,
-                       probe_bytes)
+    classes = sorted({p.file_class for p in patterns})
+    files = fl.of_classes(files, [*classes, "manifest"] if with_deps else classes)
+    classed = _classed(files, classes, with_deps, max_bytes, probe_bytes)
     whole = tx.bind_row(classed, "folded", tx.fold_case(F.col("text")))
     # A JSON key may be written with escapes, which the guard cannot see through.
     escaped = (F.col("kind") == "package.json") & F.col("text").contains("\\")

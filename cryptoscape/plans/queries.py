@@ -122,6 +122,13 @@ def tree_files(spark, sf_dir):
     return fl.select_files(files).select("repo", "path", "size")
 
 
+def stored_dependencies(spark, sf_dir):
+    """The dependency findings of the corpus stored by file class, of which only manifests are read."""
+    path = f"{scratch_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    return scan_dependencies(fl.store_corpus(corpus(spark, sf_dir), path)).select(
+        *_ROW, "ord_a", "ord_b")
+
+
 def stripped_lines(spark, sf_dir):
     return fl.file_lines(prose(spark, sf_dir)).select(
         "repo", "path", "line_number", F.expr(tx.strip("line")).alias("line_text"))
@@ -323,6 +330,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dep1_extract_packages": lambda spark, sf_dir: extract_packages(corpus(spark, sf_dir)),
     "dep9_scan_dependencies": lambda spark, sf_dir: scan_dependencies(
         corpus(spark, sf_dir)).select(*_ROW, "ord_a", "ord_b"),
+    "fil7_stored_dependencies": stored_dependencies,
     "uni1_scan_counts": scan_counts,
     "cls1_unknown_algorithms": classified_prose,
     "sev3_sarif_levels": sarif_levels,

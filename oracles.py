@@ -746,3 +746,4 @@ ORACLES["src5_load_baselines"] = ORACLES["bas_baseline_entries"]
 ORACLES["src1_tree_round_trip"] = ORACLES["src1_fil1_select_files"]
 ORACLES["scn1_scan_chunks"] = ORACLES["scn1_scan_source"]
 ORACLES["dif3_stored_baseline"] = ORACLES["dif3_diff_summary"]
+ORACLES["fil7_stored_dependencies"] = ORACLES["dep9_scan_dependencies"]

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from cryptoscape.operators.files import CLASS_BIT, select_manifests, store_corpus
 from cryptoscape.operators.pattern_index import build_index, one_of, pattern_anchors
 from cryptoscape.operators.patterns import compile_patterns, guard_terms, pattern_words
 from cryptoscape.operators.scan import scan_config, scan_files, scan_order, scan_source
@@ -289,3 +290,30 @@ def test_scan_of_a_stream_of_files(spark, corpus, tmp_path):
         query.stop()
     found = spark.table("stream_findings").select("path", "algorithm_id").collect()
     assert {tuple(r) for r in found} == {("a.py", "RSA"), ("requirements.txt", "bcrypt")}
+
+
+def test_scans_of_a_stored_corpus_read_their_classes_only(spark, corpus, tmp_path):
+    files = corpus(random_files(4, 60) | {
+        "package.json": '{"dependencies": {"jose": 1}}', "a/requirements.txt": "bcrypt\n", "n.cfg": "",
+        "nginx.conf": "ssl_protocols TLSv1;", "settings.json": "x", "notes.md": "RSA", "node_modules/x.js": "RSA"})
+    path = tmp_path / "stored"
+    stored = store_corpus(files, str(path))
+    assert stored.count() == files.count()
+    for sources in (["source_code"], ["dependency"], ["config"], ["source_code", "dependency", "config"]):
+        wanted = sorted(scan_files(files, sources=sources).collect())
+        assert wanted
+        found = scan_files(stored, sources=sources)
+        assert sorted(found.collect()) == wanted
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^]]*file_classes", plan)
+    wanted = sorted(scan_files(files, sources=["dependency"]).collect())
+    # Files of other classes are not opened: they may be no Parquet at all.
+    for part in path.glob("file_classes=*"):
+        if not int(part.name.split("=")[1]) & CLASS_BIT["manifest"]:
+            for f in part.glob("*.parquet"):
+                f.write_bytes(b"spoiled" * (f.stat().st_size // 7 + 1))
+                f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    assert sorted(scan_files(stored, sources=["dependency"]).collect()) == wanted
+    assert select_manifests(stored).count() == 2
+    with pytest.raises(Exception):
+        scan_files(stored, sources=["source_code"]).collect()
