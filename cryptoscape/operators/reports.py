@@ -127,11 +127,19 @@ def _piece(part: int, text: Column, item: Column | int = 0, sub: int = 0,
 def _with_commas(elements: DataFrame, firsts: DataFrame) -> DataFrame:
     """A comma before every ``text`` but the first of its repository, by its place ``at``.
 
-    ``firsts`` (repo, first_key) has a row per repository and comes from an
-    aggregate that the document needs anyway.
+    ``firsts`` (repo, first_key) has a row per repository of the elements and comes
+    from an aggregate that the document needs anyway. The join is a left one because
+    Spark broadcasts no left side: from the size of compressed findings it takes
+    their texts for small.
     """
     comma = F.when(F.col("at") == F.col("first_key"), "").otherwise(",")
-    return elements.join(firsts, "repo").withColumn("text", F.concat(comma, "text"))
+    return elements.where("repo IS NOT NULL").join(firsts, "repo", "left").withColumn(
+        "text", F.concat(comma, "text"))
+
+
+def _of_repos(elements: DataFrame, repos: DataFrame) -> DataFrame:
+    """The elements of the repositories that get a document."""
+    return elements.join(repos.select("repo"), "repo", "left_semi")
 
 
 def write_documents(pieces: DataFrame, path: str) -> None:
@@ -160,7 +168,7 @@ def json_pieces(findings: DataFrame, file_counts: DataFrame, diff: DataFrame | N
     elements = with_diff_status(findings).select(
         "repo", report_key().alias("element_key"), place(findings).alias("at"),
         _json(F.col("path").alias("file_path"), *FINDING_FIELDS).alias("text"))
-    body = _with_commas(elements, summary.select("repo", "first_key"))
+    body = _with_commas(_of_repos(elements, file_counts), summary.select("repo", "first_key"))
     return (summary.select(*_piece(0, head))
             .unionByName(body.select(*_piece(1, F.col("text"), key="element_key")))
             .unionByName(tails.select(*_piece(2, F.col("text")))))
@@ -274,11 +282,12 @@ def cbom_pieces(findings: DataFrame, repos: DataFrame, timestamp: str,
         F.col("path").alias("location"), F.coalesce("line_number", F.lit(1)).alias("line"),
         F.when(F.col("matched_text") != "", F.col("matched_text")).alias("additionalContext"))
     # The table of components has a row per repository and algorithm; its size
-    # decides whether the join broadcasts it.
-    occurrences = findings.select("repo", "algorithm_id", report_key().alias("element_key"),
-                                  place(findings).alias("at"), occurrence.alias("occurrence")).join(
+    # decides whether the join broadcasts it. A left join never broadcasts the findings.
+    occurrences = findings.where("repo IS NOT NULL AND algorithm_id IS NOT NULL").select(
+        "repo", "algorithm_id", report_key().alias("element_key"),
+        place(findings).alias("at"), occurrence.alias("occurrence")).join(
         components.select("repo", "algorithm_id", "first_key", "component_index"),
-        ["repo", "algorithm_id"])
+        ["repo", "algorithm_id"], "left")
     comma = F.when(F.col("at") == F.col("first_key"), "").otherwise(",")
     return (heads
             .unionByName(components.select(*_piece(1, opening, index)))
@@ -302,7 +311,7 @@ def baseline_pieces(findings: DataFrame, repos: DataFrame, generated_at: str,
         F.lit(commit).cast("string").alias("commit"), "findings_count"), "findings")
     entry = _json("hash", "file", "line", "algorithm", "risk", "severity", "source")
     comma = F.when(F.col("hash") == F.col("first_hash"), "").otherwise(",")
-    body = entries.join(counts.select("repo", "first_hash"), "repo").select(
+    body = _of_repos(entries, repos).join(counts.select("repo", "first_hash"), "repo", "left").select(
         "repo", F.concat(comma, entry).alias("text"),
         F.struct(F.lit(0).alias("source_ord"), F.col("hash").alias("path_key"),
                  F.lit(0).alias("ord_a"), F.lit(0).alias("ord_b")).alias("element_key"))

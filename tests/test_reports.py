@@ -376,6 +376,32 @@ def test_documents_scan_the_corpus_once(spark, corpus, tmp_path):
     assert "content" not in _executed(pieces) and pieces.count() > 8
 
 
+def test_documents_broadcast_no_findings(spark, make_findings, tmp_path):
+    """Stored findings look small (compressed), but their texts never go through the driver."""
+    found = assess(make_findings(*[
+        {"path": f"src/f{i % 7}.py", "line_number": i, "ord_a": i, "repo": r, "algorithm_id": ("RSA", "MD5")[i % 2]}
+        for i in range(40) for r in ("a", "b", None)]))
+    stored = stored_inventory(found, str(tmp_path))
+    counts = spark.createDataFrame([("a", 1), ("empty", 0)], "repo string, total_files_scanned long")
+    repos = found.select("repo").where("repo = 'a'").distinct()
+    made = {"json": rp.json_pieces(stored, counts), "sarif": rp.sarif_pieces(stored, repos),
+            "cbom": rp.cbom_pieces(stored, repos, "now", F.lit("urn:uuid:0")),
+            "baseline": rp.baseline_pieces(stored, repos, "now")}
+    for name, pieces in made.items():
+        depth = None
+        for line in _executed(pieces).splitlines():
+            at = len(line) - len(line.lstrip(" :+-"))
+            if depth is not None and at <= depth:
+                depth = None
+            if depth is None and "BroadcastExchange" in line:
+                depth = at
+            assert depth is None or "StructsToJson" not in line, name
+        # as many pieces of findings as before: of repositories with a document, none without a repository
+        part = {"json": "part = 1", "sarif": "part = 3", "cbom": "part = 1 AND sub = 1", "baseline": "part = 1"}[name]
+        by_repo = {r.repo: r["count"] for r in pieces.where(part).groupBy("repo").count().collect()}
+        assert by_repo == ({"a": 40} if name in ("json", "baseline") else {"a": 40, "b": 40}), name
+
+
 def test_baselines_by_query(spark):
     from cryptoscape.plans.queries import QUERIES
     folder = "/root/testdata/sf0.001"
