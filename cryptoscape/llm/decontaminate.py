@@ -14,6 +14,7 @@ exact on 64 bits.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,8 +37,11 @@ WORDS = 5
 FEW_WORDS = 2
 #: Tokens in a row, or share of an item's windows, that make a document contaminated.
 RUN, SHARE = 13, 0.5
-#: Places of a window in an item that are met with documents.
+#: Places of a window in an item that are joined one by one; an item that repeats windows more often is joined
+#: once per window, and its places are met alignment by alignment in the task that judges it.
 REPEATS = 4
+#: Cells (alignments by places of an item) that are compared at a time.
+CELLS = 1 << 20
 #: Bytes of texts that are turned into templates at a time.
 PART_BYTES = 1 << 20
 #: Share of an item's windows that one mapping must hold for where others disagree.
@@ -278,6 +282,58 @@ def _in_a_row(places: set[int]) -> int:
     return best
 
 
+def _crowded(rows: list[tuple], windows: int, width: int) -> Iterator[tuple[set[int], int, bool]]:
+    """What ``Alignment.judged`` says of the alignments of a document with an item that repeats its windows.
+
+    Rows are the item's places and the document's, each once. All alignments are compared, some at a time.
+    Those whose slots are equal word by word are judged together. Others with the same cells are judged alike,
+    so one of them is.
+    """
+    numbers: dict[tuple, int] = {}
+    named: dict[int, int] = {}
+    mine, theirs = [], []
+    for *_, item_at, loose, item_slots, slots, at, window in rows:
+        content = (named.setdefault(window, len(named)), tuple(slots if item_at is None else item_slots))
+        entry = (loose, at if item_at is None else item_at, numbers.setdefault(content, len(numbers)))
+        (theirs if item_at is None else mine).append(entry)
+    contents = list(numbers)
+    window_of = np.array([w for w, _ in contents] + [-1], np.int32)
+    size = max(at for _, at, _ in mine) + 1
+    first, last = min(at for _, at, _ in theirs), max(at for _, at, _ in theirs)
+    # numbers of contents, strict and loose ones apart, by place; the document's with room on both sides
+    here, there = np.full((2, size), -1, np.int32), np.full((2, last - first + 2 * size - 1), -1, np.int32)
+    for loose, at, number in mine:
+        here[loose, at] = number
+    for loose, at, number in theirs:
+        there[loose, at - first + size - 1] = number
+    wanted = np.where(here >= 0, window_of[here], -2)[:, None, :]
+    lines = np.lib.stride_tricks.sliding_window_view(there, size, axis=1)
+    done: set[bytes] = set()
+    step = max(1, CELLS // size)
+    for start in range(0, lines.shape[1], step):
+        held = lines[:, start:start + step]
+        met = window_of[held] == wanted
+        some = met.any(axis=(0, 2))
+        copied = some & (~met | (held == here[:, None, :])).all(axis=(0, 2))
+        if copied.any():
+            both = met[:, copied].any(axis=0)
+            chosen = np.where((both.sum(1) == windows)[:, None], both, met[0, copied])
+            most = int(chosen.sum(1).max())
+            yield set(np.nonzero(chosen.any(axis=0))[0].tolist()), most + width - 1 if most else 0, True
+        for line in np.nonzero(some & ~copied)[0]:
+            cells = np.where(met[:, line], held[:, line], -1)
+            same = hashlib.blake2b(cells.tobytes(), digest_size=16).digest()
+            if same in done:
+                continue
+            done.add(same)
+            one = Alignment()
+            for at, loose in np.argwhere(met[:, line].T).tolist():
+                item_slots, slots = contents[here[loose, at]][1], contents[cells[loose, at]][1]
+                if len(slots) == len(item_slots):
+                    one.cells.append((at, loose, list(zip(item_slots, slots))))
+            yield one.judged(windows, width)
+
+
 def _judge(batches: Iterator[list[list]]) -> Iterator[list[list]]:
     """Rows sorted by document row, item line, readings and alignment to a row per document and item."""
     def pair(rows) -> tuple | None:
@@ -286,13 +342,19 @@ def _judge(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for _, reading in groupby(rows, key=itemgetter(2, 3)):
             places: set[int] = set()
             longest, verbatim = 0, False
-            for _, line in groupby(reading, key=itemgetter(4)):
-                one = Alignment()
-                for *_, windows, width, kept, at, loose, mine, other in line:
-                    one.cells.append((at, loose, list(zip(mine, other))))
-                more, tokens, same = one.judged(kept, width)
-                places |= more
-                longest, verbatim = max(longest, tokens), verbatim or (same and bool(more))
+            for shift, line in groupby(reading, key=itemgetter(4)):
+                if shift is None:
+                    line = list(line)
+                    windows, width, kept = line[0][5:8]
+                    judged = _crowded(line, kept, width)
+                else:
+                    one = Alignment()
+                    for *_, windows, width, kept, at, loose, mine, other, _, _ in line:
+                        one.cells.append((at, loose, list(zip(mine, other))))
+                    judged = [one.judged(kept, width)]
+                for more, tokens, same in judged:
+                    places |= more
+                    longest, verbatim = max(longest, tokens), verbatim or (same and bool(more))
             if longest >= min(RUN, windows + width - 1) or (len(places) >= SHARE * kept and kept > 1):
                 found = (len(places) / kept, longest, verbatim, len(places))
                 best = max(best, found) if best else found
@@ -364,20 +426,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col
         seen = _windows(rows, "key", widths, bitmap)
     else:
         seen = spark.createDataFrame([], f"key struct<id:{schema.split(' ', 1)[1]},row:long,h:long>, {_WINDOWS}")
-    # a window that an item repeats is met at its first places only, or repeated lines would meet by squares
+    # joined place by place, a document would meet repeated lines of an item by squares
     of = ["line", "item_reading", "width", "loose"]
-    repeats = Window.partitionBy(*of, "window").orderBy("item_at")
-    known = known.withColumn("nth", F.row_number().over(repeats)).where(F.col("nth") <= REPEATS).drop("nth")
+    times = known.groupBy(*of, "window").agg(F.count("*").alias("n")).groupBy("line", "item_reading").agg(
+        (F.max("n") > REPEATS).alias("crowded"))
     kept = known.where("loose = 0").groupBy("line", "item_reading").agg(F.count("*").alias("kept"))
-    known = known.join(kept, ["line", "item_reading"])
+    known = known.join(kept, ["line", "item_reading"]).join(times, ["line", "item_reading"])
     seen = seen.select("key", "reading", "width", "at", "window", "slots", "loose")
-    met = seen.join(known, ["window", "width", "loose"]).where(F.size("slots") == F.size("item_slots"))
+    plain, crowded = known.where("NOT crowded"), known.where("crowded")
+    once = crowded.select(*of, "window", "windows", "kept").distinct().select(
+        "*", F.lit(None).cast("long").alias("item_at"), F.lit(None).cast("array<long>").alias("item_slots"))
+    sides = plain.drop("item", "crowded").unionByName(once)
+    met = seen.join(sides, ["window", "width", "loose"]).where(
+        F.col("item_slots").isNull() | (F.size("slots") == F.size("item_slots")))
     met = stored(met.select(
         "key", F.col("key.row").alias("row"), "line", "item_reading", "reading",
         (F.col("at") - F.col("item_at")).alias("shift"), "windows", "width", "kept", "item_at", "loose",
-        "item_slots", "slots"), "met")
+        "item_slots", "slots", F.when(F.col("item_at").isNull(), F.col("at")).alias("at"), "window"), "met")
+    # the places of a crowded item go to each document that has some of its windows, once
+    pairs = met.where("shift IS NULL").select("row", "line", "item_reading", "reading").distinct()
+    places = pairs.join(crowded, ["line", "item_reading"]).select(
+        "row", "line", "item_reading", "reading", F.lit(None).cast("long").alias("shift"), "windows", "width",
+        "kept", "item_at", "loose", "item_slots", F.lit(None).cast("array<long>").alias("slots"),
+        F.lit(None).cast("long").alias("at"), "window")
     order = ["row", "line", "item_reading", "reading", "shift"]
-    lined = met.drop("key").repartition("row", "line").sortWithinPartitions(*order, "item_at", "loose")
+    lined = met.drop("key").unionByName(places).repartition("row", "line").sortWithinPartitions(
+        *order, "item_at", "loose")
     found = map_batches(lined, _judge, "row long, line long, share double, longest long, verbatim boolean, windows long")
     keys = met.select("key").distinct()
     items = known.select("line", "item").distinct()

@@ -302,6 +302,30 @@ def test_templates_equal_plain_search(spark):
     assert {(x.doc_id, x.item_id) for x in got} == want and 30 < len(want) < 300
 
 
+def test_all_places_of_repeated_windows_are_met(spark):
+    """Items that repeat windows more often than are joined one by one, against the plain search."""
+    r = np.random.default_rng(5)
+    line = "again and again the same line of words"
+    items = [(1, f"{line} " * 9 + "then the end of it"), (2, "Row {} has {} apples and {} pears in it. " * 8),
+             (3, "yes no " * 30), (4, "Tom met Ann Lee in York on day {} again and again. " * 7), (5, "aye {} " * 12)]
+
+    def filled(text):
+        return "".join(c if c != "#" else str(r.integers(1, 9)) for c in text.replace("{}", "#"))
+
+    items = [(i, filled(t)) for i, t in items]
+    docs = [(10 * i + n, t) for i, text in items for n, t in enumerate((
+        text, "so " + text[len(text) // 2:], text[:len(text) // 4] + " and then others", filled(
+            "".join("#" if c.isdigit() and r.random() < .3 else c for c in text))))]
+    docs += [(99, f"{line} once"), (98, "Row 1 has 2 apples and 3 pears in it."), (97, "nothing of this")]
+    got = {(x.doc_id, x.item_id): x for x in find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == plain_leaks(docs, items)
+    for i, text in items:
+        assert got[10 * i, i].share == 1 and got[10 * i, i].verbatim
+    assert got[10, 1].windows == got[10, 1].longest - 7 == 9 * 8 + 5 - 7
+
+
 def test_mix_beside_a_copy_column(spark):
     rows = [(i, "some words here " * (1 + i % 3), "ab"[i % 2], i) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int")
