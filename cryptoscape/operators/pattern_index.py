@@ -1,9 +1,10 @@
 """Patterns by what their lines must hold: the line names its few patterns, not every pattern the line.
 
-Each pattern with known words has one anchor, the piece of at most ``WIDTH`` letters of a word that
-the fewest other patterns have. All anchors are one regex, factored by their beginnings, so its cost
-at a letter does not grow with their number. What it finds in a line are keys of a literal hash table
-that holds the numbers of the patterns to try.
+Each pattern with known words has one anchor of at most ``WIDTH`` letters: what its matches start with
+at a bound, or the piece of a word that the fewest other patterns have. All anchors are one regex,
+factored by their beginnings, so its cost at a letter does not grow with their number; inside a word it
+looks for the second kind only. Files of one class have a regex of their own. What it finds in a line
+are keys of a literal hash table that holds the numbers of the patterns to try.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from cryptoscape.functions.text import bind, quote
@@ -22,6 +23,8 @@ from cryptoscape.operators.patterns import Pattern, numbered_rules
 WIDTH = 6
 #: Branches of a node that are tried one by one; more are first told apart by groups of letters.
 BRANCHES = 8
+#: Letters of a start that is an anchor at least, and patterns that may share it; others have their rarest pieces.
+START, SHARED = 2, 16
 
 _PATTERN_TYPE = (
     "struct<regex:string,algorithm_id:string,source:string,bit:int,rule:int,place:int,a:string,b:string,"
@@ -34,10 +37,12 @@ class PatternIndex:
 
     ``anchors`` is a Java regex whose group 1 is an anchor (empty without anchors), ``bits`` the
     classes of all patterns, ``free`` the numbers of patterns without known words, which are tried
-    on every line. ``slots`` (anchor to numbers) and ``rows`` (number to pattern) are SQL literals.
+    on every line. ``own`` has the regexes of the anchors of one class, where there are others, by its bit.
+    ``slots`` (anchor to numbers) and ``rows`` (number to pattern) are SQL literals.
     """
 
     anchors: str
+    own: dict[int, str]
     bits: int
     free: tuple[int, ...]
     slots: str
@@ -46,15 +51,25 @@ class PatternIndex:
 
     def may_match(self, folded: str, mask: str) -> str:
         """SQL: can a pattern match the case-folded text of a file with this class mask?"""
-        held = f"{folded} RLIKE {quote(self.anchors)}" if self.anchors and not self.free else (
-            "true" if self.free else "false")
+        if not self.anchors or self.free:
+            return f"({mask} & {self.bits} <> 0 AND {'true' if self.free else 'false'})"
+        held = self._by_class(mask, lambda anchors: f"{folded} RLIKE {quote(anchors)}", "false")
         return f"({mask} & {self.bits} <> 0 AND {held})"
 
-    def found_anchors(self, folded: str) -> str:
-        """SQL for the distinct anchors in a case-folded line."""
+    def found_anchors(self, folded: str, mask: str | None = None) -> str:
+        """SQL for the distinct anchors in a case-folded line, of a file with this class mask."""
+        none = "CAST(array() AS array<string>)"
         if not self.anchors:
-            return "CAST(array() AS array<string>)"
-        return f"array_distinct(regexp_extract_all({folded}, {quote(self.anchors)}, 1))"
+            return none
+        return self._by_class(
+            mask, lambda anchors: f"array_distinct(regexp_extract_all({folded}, {quote(anchors)}, 1))", none)
+
+    def _by_class(self, mask: str | None, use: Callable[[str], str], none: str) -> str:
+        """SQL for ``use`` of the regex for a mask, or ``none`` where a class has no anchors."""
+        own = "" if mask is None else " ".join(
+            f"WHEN {mask} & {self.bits} = {bit} THEN {use(anchors) if anchors else none}"
+            for bit, anchors in self.own.items())
+        return f"CASE {own} ELSE {use(self.anchors)} END" if own else use(self.anchors)
 
     def line_hits(self, anchors: str, line: str, folded: str, mask: str) -> str:
         """SQL for the first matching pattern of every rule that matches the line.
@@ -77,14 +92,24 @@ class PatternIndex:
 def build_index(patterns: list[Pattern]) -> PatternIndex:
     ordered = [(rule, place, p) for rule, (_, held) in enumerate(numbered_rules(patterns))
                for place, p in held]
-    anchors = pattern_anchors([p.words for _, _, p in ordered])
+    starts = [p.start[:WIDTH] if p.words else "" for _, _, p in ordered]
+    shared = Counter(starts)
+    starts = [start if len(start) >= START and shared[start] <= SHARED else "" for start in starts]
+    pieces = pattern_anchors([() if start else p.words for start, (_, _, p) in zip(starts, ordered)])
     numbers: dict[str, list[int]] = {}
-    for i, anchor in enumerate(anchors):
+    for i, anchor in enumerate(map(str.__add__, starts, pieces)):
         if anchor:
             numbers.setdefault(anchor, []).append(i)
     # The longest anchor at a place is found; it stands for those that it starts with, too.
     reached = {a: sorted(i for n in range(1, len(a) + 1) for i in numbers.get(a[:n], ()))
                for a in numbers}
+    classes = [CLASS_BIT[p.file_class] for _, _, p in ordered]
+
+    def regex(bits: int) -> str:
+        held = [(s, p) for s, p, bit in zip(starts, pieces, classes) if bit & bits]
+        return _anchors({s for s, _ in held} - {""}, {p for _, p in held} - {""})
+
+    everywhere = sum(set(classes))
     slots: list[list[dict]] = [[] for _ in range(2 * len(reached) + 1)]
     for anchor, held in reached.items():
         slots[zlib.crc32(anchor.encode()) % len(slots)].append({"anchor": anchor, "numbers": held})
@@ -93,13 +118,23 @@ def build_index(patterns: list[Pattern]) -> PatternIndex:
              "a": (*p.words, "")[0], "b": (*p.words, "", "")[1], "line_text": p.line_text}
             for rule, place, p in ordered]
     return PatternIndex(
-        anchors=f"(?=({one_of(numbers)}))" if numbers else "",
-        bits=sum({CLASS_BIT[p.file_class] for p in patterns}),
-        free=tuple(i for i, anchor in enumerate(anchors) if not anchor),
+        anchors=regex(everywhere),
+        own={bit: regex(bit) for bit in sorted(set(classes))} if len(set(classes)) > 1 else {},
+        bits=everywhere,
+        free=tuple(i for i, anchor in enumerate(map(str.__add__, starts, pieces)) if not anchor),
         slots=_literal(slots, "array<array<struct<anchor:string,numbers:array<int>>>>"),
         n_slots=len(slots), rows=_literal(rows, f"array<{_PATTERN_TYPE}>"))
 
 
+def _anchors(starts: set[str], pieces: set[str]) -> str:
+    """A Java regex whose group 1 is the longest anchor at a place: any at the start of a word, else a piece."""
+    anywhere = one_of(pieces) if pieces else ""
+    if not starts:
+        return f"(?=({anywhere}))" if pieces else ""
+    bound = f"(?<![a-z0-9])(?:{one_of(starts | pieces)})"
+    return f"(?=({bound}|{anywhere}))" if pieces else f"(?=({bound}))"
+
+
 def _literal(rows: list, dtype: str) -> str:
     return f"from_json({quote(json.dumps(rows))}, {quote(dtype)})"
 

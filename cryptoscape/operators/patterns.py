@@ -24,7 +24,10 @@ _BOUNDED_LETTER = "(?iu){}(?<![a-zA-Z0-9].){}(?![a-zA-Z0-9])"
 
 @dataclass(frozen=True)
 class Pattern:
-    """One regex of a rule. ``words`` are literals every matching line holds."""
+    """One regex of a rule. ``words`` are literals every matching line holds.
+
+    ``start`` are letters and digits that every match starts with, behind none of them (folded); or empty.
+    """
 
     algorithm_id: str
     source: str
@@ -32,6 +35,7 @@ class Pattern:
     regex: str
     words: tuple[str, ...]
     line_text: str | None = None
+    start: str = ""
 
 
 def is_regex(pattern: str) -> bool:
@@ -72,12 +76,21 @@ def pattern_words(pattern: str) -> tuple[str, ...]:
     return tuple(w for w in words if len(w) > 1 or w.isdigit()) or tuple(words)
 
 
+def pattern_start(pattern: str) -> str:
+    """The letters and digits that a pattern's match starts with after case folding, at a bound; empty if unknown."""
+    if is_regex(pattern) or not pattern.isascii():
+        return ""
+    # A letter before a quantifier may be missing.
+    found = re.match(r"[A-Za-z0-9]+(?![?*+{])", pattern)
+    return found.group().lower() if found else ""
+
+
 def compile_patterns(
     spark: SparkSession, algorithms: dict[str, Algorithm] | None = None
 ) -> list[Pattern]:
     """Source patterns in catalogue order; a malformed pattern is left out."""
     return [
-        Pattern(a.id, "source_code", "source", pattern_regex(p), pattern_words(p))
+        Pattern(a.id, "source_code", "source", pattern_regex(p), pattern_words(p), start=pattern_start(p))
         for a in (algorithms or load_algorithms()).values()
         for p in a.patterns
         if _compiles(spark, p)

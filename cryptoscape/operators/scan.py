@@ -115,7 +115,7 @@ def _scan(files: DataFrame, algorithms: dict[str, Algorithm] | None,
 
     lines = _lines_of(candidates, libraries, with_deps)
     has_deps = (F.col("pos") == 0) & F.col("deps").isNotNull()
-    lines = tx.bind_row(lines, "anchors", F.expr(index.found_anchors("folded")))
+    lines = tx.bind_row(lines, "anchors", F.expr(index.found_anchors("folded", "mask")))
     possible = F.lit(True) if index.free else F.size("anchors") > 0
     hits = lines.where(possible | has_deps).select(
         "repo", "path", F.explode(F.expr(_all_hits(patterns, index))).alias("hit"))

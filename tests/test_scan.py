@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from cryptoscape.operators.config_rules import config_patterns
 from cryptoscape.operators.files import CLASS_BIT, select_manifests, store_corpus
 from cryptoscape.operators.pattern_index import build_index, one_of, pattern_anchors
 from cryptoscape.operators.patterns import compile_patterns, guard_terms, pattern_words
@@ -172,6 +173,28 @@ def test_words_that_start_other_words_are_all_tried(corpus):
     assert rows(scan_source(corpus(files), algorithms)) == brute_force(files, algorithms)
 
 
+def test_bounded_patterns_are_looked_for_at_word_starts_only(spark):
+    """Inside words of a source file no pattern is named but those without a bound."""
+    index = build_index([*compile_patterns(spark), *config_patterns()])
+    source = CLASS_BIT["source"]
+    df = spark.createDataFrame([("universal besides adsa ssl_protocols",), ("(rsa universal_md5",), ("xhmac.x",)],
+                               "t string")
+    found = [r[0] for r in df.selectExpr(index.found_anchors("t", str(source))).collect()]
+    assert found[:2] == [[], ["rsa", "md5"]] and len(found[2]) == 1
+    assert [r[0] for r in df.selectExpr(index.may_match("t", str(source))).collect()] == [False, True, True]
+    tls = CLASS_BIT["tls"]
+    assert df.selectExpr(index.found_anchors("t", str(source | tls))).first()[0]
+
+
+def test_bounds_beside_letters_that_fold(corpus):
+    algorithms = catalogue(A=["RSA"], B=["a?b-c"], C=["SHA-256", "sk+i-x"], D=["-x", "3DES"], E=["xk.*RSA"], F=["RSA_k"])
+    beside = ["", "x", "9", "_", "-", "\u0131", "\u0130", "\u017f", "\u212a", "\u00e9", "\U0001d400", "."]
+    words = ["RSA", "b-c", "ab_c", "c", "SHA256", "sha-256", "\u017fha 256", "s\u212aki-x", "si-x", "skix", "3des", "xkRSA",
+             "rsa\u212a"]
+    files = {f"f{i}.py": "\n".join(f"{b}{w}{a}" for b in beside for a in ("", "x", b)) for i, w in enumerate(words)}
+    assert rows(scan_source(corpus(files), algorithms)) == brute_force(files, algorithms)
+
+
 def test_index_names_few_patterns_a_line(spark):
     """Anchors of thousands of patterns stay apart, so a line that holds one tries one."""
     rng = random.Random(7)
